@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, urls
+from . import jaccard, packing, quality, token_counts, urls
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_url_filter": urls.op8_url_filter,
+    "op9_quality_rules": quality.op9_quality_rules,
 }
 
 SQL = {
