@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, quality, token_counts, urls
+from . import decontaminate, jaccard, packing, pii, quality, token_counts, toxicity, urls
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op4_pii": pii.op4_pii,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_url_filter": urls.op8_url_filter,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL = {
