@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, packing, pii, quality, token_counts, toxicity, urls
+import importlib
+
+from . import decontaminate, jaccard, licenses, packing, pii, quality, token_counts, toxicity, urls, warc
+
+
+def pipeline(spark, sf_dir):
+    """All stages of ``corpus_pipeline.py``."""
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_warc_index": warc.op3_warc_index,
     "op4_pii": pii.op4_pii,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_url_filter": urls.op8_url_filter,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": pipeline,
 }
 
 SQL = {
