@@ -27,18 +27,23 @@ one doc_id stay repeated.  A null doc_id is dropped, as it cannot be a class.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel, work
 
-COUNTERS = 1 << 22
-#: Shingles in more than this share of the documents go last in the order.
-FREQUENT_SHARE = 0.001
-FLUSH_SIGNATURES = 3_000_000
-SIGNATURES_PER_BUCKET = 1_000_000
+#: Bounds of the sketch's counters, and counters per document between them.
+MIN_COUNTERS, MAX_COUNTERS, COUNTERS_PER_DOC = 1 << 16, 1 << 26, 128
+BLOCK = 1 << 14
+#: Bits of a signature that order it; equal ones are in order of partition.
+RANK_BITS = 28
+FLUSH_SIGNATURES = 1_000_000
+SIGNATURES_PER_BUCKET = 2_000_000
+BLOCK_MEMBERS = 1024
 
 
 def band_bounds(largest: int) -> np.ndarray:
@@ -64,48 +69,74 @@ def _class_ids(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return kernel.mix(total[ends] - total[ends - n] + n.astype(np.uint64)).view(np.int64)
 
 
-def _describe(batches):
-    for batch in batches:
-        ids = batch.column("doc_id")
-        for a, b, row, h, n in _sets(batch):
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(_class_ids(row, h, n))], ["doc_id", "n", "cls"])
+def _survey(counters: int):
+    """Rows (doc_id, n, cls) of documents and (block, counts) of the task's sketch."""
 
+    def run(batches):
+        counts = np.zeros(counters, np.uint16)
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for a, b, row, h, n in _sets(batch):
+                np.add.at(counts, (h % np.uint64(counters)).astype(np.int64), np.uint16(1))
+                nothing = pa.nulls(b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(_class_ids(row, h, n)), nothing.cast(pa.int32()), nothing.cast(pa.binary())],
+                    ["doc_id", "n", "cls", "block", "counts"],
+                )
+        for k, part in enumerate(counts.reshape(-1, BLOCK)):
+            part = np.minimum(part, 255).astype(np.uint8)
+            if part.any():
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["doc_id", "n", "cls", "block", "counts"])
 
-def _count(batches):
-    """Saturating count-min rows of this task: (block, counters)."""
-    counts = np.zeros(COUNTERS, np.uint32)
-    for batch in batches:
-        for _, _, _, h, _ in _sets(batch):
-            counts += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-    step = COUNTERS // 64
-    for k in range(64):
-        part = counts[k * step : (k + 1) * step]
-        at = np.flatnonzero(part)
-        width = np.uint16 if len(part) <= 1 << 16 else np.uint32
-        yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "at": pa.array([at.astype(width).tobytes()], pa.binary()), "n": pa.array([part[at].tobytes()], pa.binary())})
+    return run
 
 
 def _frequent(threshold: int):
     def merge(table: pa.Table) -> pa.Table:
-        step = COUNTERS // 64
-        total = np.zeros(step, np.int64)
-        for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+        total = np.zeros(BLOCK, np.int64)
+        for part in table.column("counts").to_pylist():
+            total += np.frombuffer(zlib.decompress(part), np.uint8)
         return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(total > threshold).tobytes()], pa.binary())})
 
     return merge
 
 
-def frequent_bits(docs: DataFrame, n_docs: int) -> bytes:
-    """Bitmap of the counters above the share: a fixed 512 KB."""
-    threshold = max(32, int(n_docs * FREQUENT_SHARE))
-    rows = docs.select("text").mapInArrow(_count, "block int, at binary, n binary").groupBy("block").applyInArrow(_frequent(threshold), "block int, bits binary").collect()
-    bits = np.zeros((64, COUNTERS // 64 // 8), np.uint8)
+def counters_for(n_docs: int) -> int:
+    return min(MAX_COUNTERS, max(MIN_COUNTERS, 1 << (max(1, n_docs) * COUNTERS_PER_DOC - 1).bit_length()))
+
+
+def survey(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(facts, sketch, counters): one pass over all texts.
+
+    facts is (doc_id, n, cls); sketch holds each task's saturating count-min
+    counters of shingles by block.
+    """
+    counters = counters_for(docs.count())
+    both = work.cut(docs.select("doc_id", "text").mapInArrow(_survey(counters), "doc_id long, n long, cls long, block int, counts binary"), "survey")
+    return both.where("block is null").select("doc_id", "n", "cls"), both.where("block is not null").select("block", "counts"), counters
+
+
+def frequent_bits(sketch: DataFrame, counters: int, shingles: int) -> bytes:
+    """Bitmap of counters well above the mean: at most 8 MB."""
+    threshold = 8 + 3 * (shingles // counters)
+    rows = sketch.groupBy("block").applyInArrow(_frequent(threshold), "block int, bits binary").collect()
+    bits = np.zeros((counters // BLOCK, BLOCK // 8), np.uint8)
     for r in rows:
         bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     return bits.tobytes()
 
 
+def _order(high: np.ndarray, low: np.ndarray, low_bits: int) -> np.ndarray:
+    """argsort by (high, low), ties by place; one plain sort where 64 bits hold it."""
+    width = max(1, (len(high) - 1).bit_length())
+    if int(high.max(initial=0)).bit_length() + low_bits + width > 64:
+        return np.lexsort((low, high))
+    key = (high.astype(np.uint64) << np.uint64(low_bits) | low) << np.uint64(width) | np.arange(len(high), dtype=np.uint64)
+    key.sort()
+    return (key & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
 def signatures(row, h, n, rare, bounds):
     """(signature, row) of all sets of a slice, for both of their instances."""
     has = n > 0
@@ -119,9 +150,8 @@ def signatures(row, h, n, rare, bounds):
         salt = kernel.mix(inst.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7))
         dealt = kernel.mix(h ^ salt[row])
         part = (dealt >> np.uint64(20)) % n1[row].astype(np.uint64)
-        key = row.astype(np.uint64) << np.uint64(40) | part
-        order = np.argsort(key, kind="stable")
-        key_s = key[order]
+        order = _order(row, part, int(n1.max()).bit_length())
+        key_s = row[order].astype(np.uint64) << np.uint64(32) | part[order]
         first = np.ones(len(key_s), bool)
         first[1:] = key_s[1:] != key_s[:-1]
         at = np.flatnonzero(first)
@@ -131,8 +161,7 @@ def signatures(row, h, n, rare, bounds):
         known = np.maximum.reduceat(rare[order], at)
         srow = row[order][at]
         sig = kernel.mix(total ^ kernel.mix(part[order][at] + salt[srow])) >> np.uint64(1)
-        rank_key = sig | (np.uint64(1) << np.uint64(63)) * (~known).astype(np.uint64)
-        ranked = np.lexsort((rank_key, srow))
+        ranked = _order(srow, sig >> np.uint64(63 - RANK_BITS) | np.uint64(1 << RANK_BITS) * (~known).astype(np.uint64), RANK_BITS + 1)
         srow, sig = srow[ranked], sig[ranked]
         ne = np.bincount(srow, minlength=len(n))
         lead = np.cumsum(ne) - ne
@@ -161,28 +190,29 @@ def _emit(bits, largest: int, buckets: int):
     bounds = band_bounds(largest)
 
     def flush(sig, local, cls, size):
-        bucket = (sig % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((sig, bucket))
+        bucket = ((sig >> np.uint64(31)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = _order(bucket, local.astype(np.uint64), max(1, len(cls).bit_length()))
         bucket, sig, local = bucket[order], sig[order], local[order]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         los, his = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(bucket)]))
         for j in range(0, len(los), 256):
-            cols = {"bucket": [], "sig": [], "at": [], "cls": [], "n": []}
+            cols = {"bucket": [], "low": [], "high": [], "each": [], "cls": [], "n": []}
             for lo, hi in zip(los[j : j + 256], his[j : j + 256]):
-                used, at = np.unique(local[lo:hi], return_inverse=True)
+                used, each = np.unique(local[lo:hi], return_counts=True)
                 cols["bucket"].append(int(bucket[lo]))
-                cols["sig"].append(sig[lo:hi].tobytes())
-                cols["at"].append(at.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes())
+                cols["low"].append(sig[lo:hi].astype(np.uint32).tobytes())
+                cols["high"].append((sig[lo:hi] >> np.uint64(32)).astype(np.uint16).tobytes())
+                cols["each"].append(each.astype(np.uint32).tobytes())
                 cols["cls"].append(cls[used].tobytes())
                 cols["n"].append(size[used].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cols["bucket"], pa.int64()), *(pa.array(cols[c], pa.binary()) for c in ("sig", "at", "cls", "n"))], list(cols))
+            yield pa.RecordBatch.from_arrays([pa.array(cols["bucket"], pa.int64()), *(pa.array(cols[c], pa.binary()) for c in ("low", "high", "each", "cls", "n"))], list(cols))
 
     def run(batches):
         held, seen, count, base = [], [], 0, 0
         frequent = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
         for batch in batches:
             for a, b, row, h, n in _sets(batch):
-                rare = ~frequent[(h % np.uint64(COUNTERS)).astype(np.int64)]
+                rare = ~frequent[(h % np.uint64(len(frequent))).astype(np.int64)]
                 cls = _class_ids(row, h, n)
                 _, lead = np.unique(cls, return_index=True)
                 once = np.zeros(len(n), bool)
@@ -202,23 +232,23 @@ def _emit(bits, largest: int, buckets: int):
 
 
 def _stars(table: pa.Table) -> pa.Table:
-    """Groups of one signature as stars (sig, a, b, na, nb) around their pivot."""
+    """Distinct star edges (a, b, na, nb) of the bucket: each group of one
+    signature around its pivot, the smallest class."""
     sigs, clss, ns = [], [], []
-    for sig, at, cls, n in zip(*(table.column(c).to_pylist() for c in ("sig", "at", "cls", "n"))):
-        sig = np.frombuffer(sig, np.uint64)
-        at = np.frombuffer(at, np.uint16 if len(at) == 2 * len(sig) else np.uint32)
-        sigs.append(sig)
-        clss.append(np.frombuffer(cls, np.int64)[at])
-        ns.append(np.frombuffer(n, np.uint32)[at])
+    for low, high, each, cls, n in zip(*(table.column(c).to_pylist() for c in ("low", "high", "each", "cls", "n"))):
+        each = np.frombuffer(each, np.uint32)
+        sigs.append(np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint32))
+        clss.append(np.repeat(np.frombuffer(cls, np.int64), each))
+        ns.append(np.repeat(np.frombuffer(n, np.uint32), each))
     sig, cls, n = np.concatenate(sigs), np.concatenate(clss), np.concatenate(ns)
-    order = np.argsort(sig, kind="stable")
+    order = _order(sig >> np.uint64(8), sig & np.uint64(255), 8)
     sig = sig[order]
     again = np.zeros(len(sig), bool)
     again[1:] = sig[1:] == sig[:-1]
     again[:-1] |= again[1:]
     order, sig = order[again], sig[again]
     cls, n = cls[order], n[order]
-    order = np.lexsort((cls, n, sig))
+    order = np.lexsort((cls, sig))
     sig, cls, n = sig[order], cls[order], n[order]
     first = np.ones(len(sig), bool)
     first[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
@@ -227,14 +257,15 @@ def _stars(table: pa.Table) -> pa.Table:
     lead[1:] = sig[1:] != sig[:-1]
     start = np.flatnonzero(lead)
     size = np.diff(np.concatenate((start, [len(sig)])))
-    pivot = np.repeat(start + size // 2, size)
+    pivot = np.repeat(start, size)
     rest = np.arange(len(sig)) != pivot
-    return pa.table({"sig": sig[rest].view(np.int64), "a": cls[pivot][rest], "b": cls[rest], "na": n[pivot][rest], "nb": n[rest]})
+    found = pa.table({"a": cls[pivot][rest], "b": cls[rest], "na": n[pivot][rest], "nb": n[rest]})
+    return found.group_by(["a", "b", "na", "nb"]).aggregate([])
 
 
 def _cells(h: np.ndarray, n: int) -> bytes:
-    """Counts of a set's features in about n / 4 cells, a power of two."""
-    m = 1 << max(0, int(n).bit_length() - 3)
+    """Counts of a set's features in about n cells, a power of two."""
+    m = 1 << max(0, int(n).bit_length() - 1)
     return np.minimum(np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m), 255).astype(np.uint8).tobytes()
 
 
@@ -248,110 +279,170 @@ def _far(x: bytes, y: bytes) -> int:
     return int(np.abs(x - y).sum())
 
 
-def _materialise(batches):
-    """(cls, cells, features) of each text: what a comparison needs."""
-    for batch in batches:
-        for _, b, row, h, n in _sets(batch):
-            cls, ends = _class_ids(row, h, n), np.cumsum(n)
-            parts = [h[e - k : e] for e, k in zip(ends, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([_cells(p, len(p)) for p in parts], pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary())], ["cls", "cells", "features"])
+def _with_id(pack):
+    """(doc_id, cls, data) of each text, with what a comparison needs as data."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, row, h, n in _sets(batch):
+                ends = np.cumsum(n)
+                data = pa.array([pack(h[e - k : e], k) for e, k in zip(ends, n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(_class_ids(row, h, n)), data], ["doc_id", "cls", "data"])
+
+    return run
+
+
+def _features(h: np.ndarray, n: int) -> bytes:
+    """The sorted features in 7 bytes each."""
+    return h.astype(np.uint32).tobytes() + (h >> np.uint64(32)).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n = len(data) // 7
+    high = np.frombuffer(data, np.uint8, offset=4 * n).reshape(-1, 3).astype(np.uint64)
+    return np.frombuffer(data, np.uint32, n).astype(np.uint64) | (high[:, 0] | high[:, 1] << np.uint64(8) | high[:, 2] << np.uint64(16)) << np.uint64(32)
 
 
-def _near(batches):
-    for batch in batches:
-        ok = [7 * _far(x, y) <= s + t for x, y, s, t in zip(*(batch.column(c).to_pylist() for c in ("xa", "xb", "na", "nb")))]
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _near(x: bytes, y: bytes, s: int, t: int) -> bool:
+    return 7 * _far(x, y) <= s + t
 
 
-def _linked(batches):
-    for batch in batches:
-        ok = []
-        for x, y in zip(batch.column("fa"), batch.column("fb")):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(100 * both >= 75 * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _linked(x: bytes, y: bytes, s: int, t: int) -> bool:
+    both = len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True))
+    return 100 * both >= 75 * (s + t - both)
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cls) of every document."""
-    return docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n long, cls long")
+def _where(test):
+    def run(batches):
+        for batch in batches:
+            ok = [test(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("xa", "xb", "na", "nb")))]
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones of distinct candidate pairs (a, b, na, nb)."""
-    cells = sets.select("cls", "cells")
-    near = (
-        pairs.join(cells.select(F.col("cls").alias("a"), F.col("cells").alias("xa")), "a")
-        .join(cells.select(F.col("cls").alias("b"), F.col("cells").alias("xb")), "b")
+def _compare(pairs: DataFrame, data: DataFrame, test, name: str) -> DataFrame:
+    """Pairs (a, b, na, nb) that pass ``test`` on the data of both."""
+    rows = (
+        pairs.join(data.select(F.col("cls").alias("a"), F.col("data").alias("xa")), "a")
+        .join(data.select(F.col("cls").alias("b"), F.col("data").alias("xb")), "b")
         .select("a", "b", "na", "nb", "xa", "xb")
-        .mapInArrow(_near, "a long, b long")
     )
-    near = work.cut(near, "near")
-    full = sets.select("cls", "features")
-    linked = (
-        near.join(full.select(F.col("cls").alias("a"), F.col("features").alias("fa")), "a")
-        .join(full.select(F.col("cls").alias("b"), F.col("features").alias("fb")), "b")
-        .select("a", "b", "fa", "fb")
-        .mapInArrow(_linked, "a long, b long")
-    )
-    out = work.cut(linked, "linked")
-    work.drop(near)
-    return out
+    return work.cut(rows.mapInArrow(_where(test), "a long, b long, na long, nb long"), name)
 
 
-def _needed(docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """Sets of the owners' documents; a blocked Bloom filter thins the scan first."""
+def _data(docs: DataFrame, facts: DataFrame, pairs: DataFrame, pack) -> DataFrame:
+    """(cls, data) of the classes in pairs, from one document of each.
+
+    A blocked Bloom filter of the owners thins the scan ahead of the join.
+    """
     from .urls import bloom_blocks, bloom_probe
 
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    owners = work.cut(facts.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls", "left_semi").select("doc_id"), "owners")
     count = owners.count()
     blocks = bloom_blocks(owners.select(F.xxhash64("doc_id").alias("h")), count)
-    thin = bloom_probe(docs.select("doc_id", "text").withColumn("h", F.xxhash64("doc_id")), blocks, count).drop("h")
-    rows = thin.join(owners.select("doc_id"), "doc_id", "left_semi")
-    return work.cut(rows.select("text").mapInArrow(_materialise, "cls long, cells binary, features binary").dropDuplicates(["cls"]), "sets")
+    thin = bloom_probe(docs.select("doc_id", "text").withColumn("h", F.xxhash64("doc_id")), blocks, count).select("doc_id", "text")
+    sets = thin.mapInArrow(_with_id(pack), "doc_id long, cls long, data binary")
+    return work.cut(sets.join(owners, "doc_id", "left_semi").groupBy("cls", "doc_id").agg(F.first("data").alias("data")).select("cls", "data"), "sets")
 
 
-def links(docs: DataFrame, facts: DataFrame) -> DataFrame:
+def links(docs: DataFrame, facts: DataFrame, sketch: DataFrame, counters: int) -> DataFrame:
     """Verified links (a, b) between classes that span every component."""
     spark = docs.sparkSession
-    total = facts.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("top")).first()
-    bits = spark.sparkContext.broadcast(frequent_bits(docs, total["docs"]))
+    total = facts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("top")).first()
+    bits = spark.sparkContext.broadcast(frequent_bits(sketch, counters, total["n"]))
     buckets = max(24, -(-total["n"] // SIGNATURES_PER_BUCKET))
-    blobs = docs.select("text").mapInArrow(_emit(bits, total["top"], buckets), "bucket long, sig binary, at binary, cls binary, n binary")
-    stars = work.cut(blobs.groupBy("bucket").applyInArrow(_stars, "sig long, a long, b long, na long, nb long"), "stars")
-    close = F.expr("3 * greatest(na, nb) <= 4 * least(na, nb)")
-    pairs = work.cut(stars.where(close).select("a", "b", "na", "nb").distinct(), "pairs")
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    owners = facts.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls", "left_semi").select("doc_id")
-    sets = _needed(docs, owners)
-    found = _verify(pairs, sets)
-    members = stars.select("sig", F.col("b").alias("x"), F.col("nb").alias("nx"), "a")
-    roots = work.components(found)
-    label = lambda df: df.join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    open_ = label(members)
-    split = open_.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("x").bitwiseAND(F.lit((1 << 40) - 1))).alias("who")).where("lo <> hi")
-    split = split.groupBy("who").agg(F.min("sig").alias("sig")).select("sig")
-    rest = work.cut(open_.join(split, "sig", "left_semi").select("sig", "x", "nx", "root"), "rest")
-    y = rest.select("sig", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("root").alias("ry"))
-    more = (
-        rest.join(y, "sig")
-        .where("x < y and root <> ry and 3 * greatest(nx, ny) <= 4 * least(nx, ny)")
-        .select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"))
-        .distinct()
+    stars = work.cut(
+        docs.select("text")
+        .mapInArrow(_emit(bits, total["top"], buckets), "bucket long, low binary, high binary, each binary, cls binary, n binary")
+        .groupBy("bucket")
+        .applyInArrow(_stars, "a long, b long, na long, nb long")
+        .distinct(),
+        "stars",
     )
-    more = more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = work.cut(more, "pairs")
+    work.release(spark)
+    pairs = stars.where("3 * greatest(na, nb) <= 4 * least(na, nb)")
+    cells = _data(docs, facts, stars, _cells)
+    near = _compare(pairs, cells, _near, "near")
+    sets = _data(docs, facts, near, _features)
+    found = _compare(near, sets, _linked, "linked").select("a", "b")
+    more = _unsettled(stars, found, cells)
+    work.drop(stars, cells, sets)
     if not more.isEmpty():
-        found = work.cut(found.union(_verify(more, sets)), "found")
-    work.drop(stars, sets, pairs)
+        sets = _data(docs, facts, more, _features)
+        found = work.cut(found.union(_compare(more, sets, _linked, "linked").select("a", "b")), "found")
+        work.drop(sets)
     return found
 
 
+def _fold(rows: list[bytes], m: int) -> np.ndarray:
+    """Cell counts of several sets, each folded to m cells."""
+    out = np.zeros((len(rows), m), np.int16)
+    for k, x in enumerate(rows):
+        out[k] = np.frombuffer(x, np.uint8).reshape(-1, m).sum(0)
+    return out
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """Near pairs between two blocks of one pivot's members, in different components."""
+    x, n, root, block = (table.column(c).to_numpy() for c in ("x", "nx", "root", "block"))
+    cells = table.column("data").to_pylist()
+    width = np.array([len(c) for c in cells])
+    lo = int(table.column("lo")[0].as_py())
+    left = np.flatnonzero(block == lo)
+    right = left if lo == int(table.column("hi")[0].as_py()) else np.flatnonzero(block != lo)
+    out_a, out_b = [], []
+    for wa in np.unique(width[left]):
+        for wb in np.unique(width[right]):
+            m = int(min(wa, wb))
+            if max(wa, wb) > 2 * m:
+                continue
+            ia, ib = left[width[left] == wa], right[width[right] == wb]
+            if root[ia].min() == root[ia].max() and (root[ib] == root[ia[0]]).all():
+                continue
+            other = _fold([cells[k] for k in ib], m)
+            for k, row in zip(ia, _fold([cells[k] for k in ia], m)):
+                fits = (root[ib] != root[k]) & (3 * np.maximum(n[ib], n[k]) <= 4 * np.minimum(n[ib], n[k]))
+                if left is right:
+                    fits &= x[ib] > x[k]
+                at = np.flatnonzero(fits)
+                if len(at):
+                    far = np.abs(other[at] - row).sum(1, dtype=np.int64)
+                    good = ib[at[7 * far <= n[ib[at]] + n[k]]]
+                    out_a.append(np.full(len(good), k))
+                    out_b.append(good)
+    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
+    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+    swap = x[a] > x[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    return pa.table({"a": x[a], "b": x[b], "na": n[a], "nb": n[b]})
+
+
+def _unsettled(stars: DataFrame, found: DataFrame, cells: DataFrame) -> DataFrame:
+    """Near pairs of members of one pivot that are in different components.
+
+    Two sets of one signature group are members of its pivot, and each was
+    compared with the pivot itself.  A pivot's members are dealt into blocks of
+    BLOCK_MEMBERS, in order of component and size, and pairs of blocks are
+    compared by cell counts, so no task holds an unbounded group.
+    """
+    roots = work.components(found).select(F.col("node").alias("x"), "root")
+    rows = stars.select("a", F.col("b").alias("x"), F.col("nb").alias("nx")).join(roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
+    split = rows.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("a", "size")
+    order = Window.partitionBy("a").orderBy("root", "nx", "x")
+    rows = rows.join(split, "a").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK_MEMBERS))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK_MEMBERS))))
+    rows = rows.select("a", "x", "nx", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    rows = rows.join(cells.select(F.col("cls").alias("x"), "data"), "x")
+    return work.cut(rows.groupBy("a", "lo", "hi").applyInArrow(_across, "a long, b long, na long, nb long").distinct(), "near")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document with an id."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    facts = work.cut(describe(docs), "facts")
-    roots = work.components(links(docs, facts))
+    facts, sketch, counters = survey(docs)
+    roots = work.components(links(docs, facts, sketch, counters))
     rep = facts.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     label = rep.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = label.groupBy("root").agg(F.min("least").alias("component_id"))

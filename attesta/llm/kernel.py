@@ -15,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+#: Rows of a slice, and bits of a shingle hash: both fit one 64-bit word.
+SLICE_ROWS = 4096
+HASH_BITS = 52
 SHINGLE = 5
 _MULT = 0x9E3779B97F4A7C15 | 1
 _BASE = 0xD6E8FEB86659FD93 | 1
@@ -49,11 +52,11 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
-    """Row ranges [a, b) of at most ``limit`` bytes, one row at least."""
+    """Row ranges [a, b) of at most ``limit`` bytes and 4096 rows, one row at least."""
     a, n = 0, len(offsets) - 1
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1
-        b = min(n, max(b, a + 1))
+        b = min(n, a + SLICE_ROWS, max(b, a + 1))
         yield a, b
         a = b
 
@@ -137,6 +140,8 @@ def windows(hashes: np.ndarray, row: np.ndarray, size: int = SHINGLE) -> tuple[n
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 5-word shingles of A-Z-lowered texts as (row, hash), sorted.
 
+    Hashes have 52 bits, so that a slice's rows and hashes sort as one word.
+
     A text of one to four words has one shingle, its whole sequence; a text
     without words has none.
     """
@@ -155,9 +160,9 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
                 total += h[lead[few] + j] * np.uint64(_ORDER[j])
             rows.append(few)
             hashes.append(mix(total))
-    rows, hashes = np.concatenate(rows), np.concatenate(hashes)
-    order = np.lexsort((hashes, rows))
-    rows, hashes = rows[order], hashes[order]
-    keep = np.ones(len(rows), bool)
-    keep[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
-    return rows[keep], hashes[keep]
+    key = np.concatenate(rows).astype(np.uint64) << np.uint64(HASH_BITS) | np.concatenate(hashes) >> np.uint64(64 - HASH_BITS)
+    key.sort()
+    keep = np.ones(len(key), bool)
+    keep[1:] = key[1:] != key[:-1]
+    key = key[keep]
+    return (key >> np.uint64(HASH_BITS)).astype(np.int64), key & np.uint64((1 << HASH_BITS) - 1)

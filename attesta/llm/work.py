@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -44,6 +45,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer referenced."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more."""
     for df in frames:
