@@ -1,0 +1 @@
+"""Spark-native analytics over versioned text evidence."""

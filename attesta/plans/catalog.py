@@ -1,6 +1,14 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+import importlib
+
+from .registry import QUERIES, SQL
+
+MODULES: tuple[str, ...] = ("relational",)
+
+for _name in MODULES:
+    importlib.import_module(f"attesta.plans.{_name}")
+
+__all__ = ["QUERIES", "SQL"]
