@@ -106,7 +106,7 @@ def interval_islands(df: DataFrame, by: str, start: str, end: str, slack: float
 def coverage_gaps(regions: DataFrame, segments: DataFrame, by: str, slack: float = 0.25, least: float = 0.02) -> DataFrame:
     """Parts of speech regions that no segment covers, longer than ``least``."""
     covered = interval_islands(segments, by, "start", "end", slack)
-    rows = regions.withColumn("region", F.monotonically_increasing_id() * 0 + F.xxhash64(by, "start", "end"))
+    rows = regions.withColumn("region", F.xxhash64(by, "start", "end"))
     cut = rows.join(covered, by, "left").where(F.col("lo").isNull() | ((F.col("hi") > F.col("start")) & (F.col("lo") < F.col("end"))))
     whole = rows.select(by, "region", "start", "end").join(cut.select(by, "region").distinct(), [by, "region"], "left_anti").select(by, F.col("start").alias("gap_start"), F.col("end").alias("gap_end"))
     order = Window.partitionBy(by, "region").orderBy("lo")

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES: tuple[str, ...] = ("relational",)
+MODULES: tuple[str, ...] = ("relational", "ordered", "sampling")
 
 for _name in MODULES:
     importlib.import_module(f"attesta.plans.{_name}")
