@@ -155,24 +155,32 @@ def features(text: str, machine: Automaton) -> list[float]:
     return [1.0, *np.log1p(counts).tolist(), float(hits > 0), min(1.0, 50 * hits / max(1, len(words)))]
 
 
+def terms_of(text: str) -> set[str]:
+    """Words of a text and the stems they begin with, written ``stem*``."""
+    words = set(WORD.findall(text.lower()))
+    out = {w for w in words if 3 <= len(w) < 40}
+    out.update(w[:n] + "*" for w in words for n in STEMS if len(w) > n)
+    return out
+
+
 def learn_lexicon(texts: list[str], labels: np.ndarray) -> list[str]:
-    """Greedy choice of words and stems that explain toxic documents."""
+    """Greedy choice of words and stems that explain toxic documents.
+
+    Terms are counted by hash first, so only those of two toxic documents or
+    more are ever held as strings.
+    """
+    toxic = np.flatnonzero(labels == 1).tolist()
+    hashes, times = np.unique(np.concatenate([np.fromiter(map(hash, terms_of(texts[i])), np.int64) for i in toxic]), return_counts=True)
+    often = set(hashes[times >= MIN_SUPPORT].tolist())
     owners: dict[str, list[int]] = {}
-    toxic = set(np.flatnonzero(labels == 1).tolist())
-    each = []
-    for text in texts:
-        words = set(WORD.findall(text.lower()))
-        terms = {w for w in words if 3 <= len(w) < 40}
-        terms.update(w[:n] + "*" for w in words for n in STEMS if len(w) > n)
-        each.append(terms)
     for i in toxic:
-        for t in each[i]:
-            owners.setdefault(t, []).append(i)
-    owners = {t: v for t, v in owners.items() if len(v) >= MIN_SUPPORT}
+        for t in terms_of(texts[i]):
+            if hash(t) in often:
+                owners.setdefault(t, []).append(i)
     clean: dict[str, int] = {}
-    for i, terms in enumerate(each):
-        if i not in toxic:
-            for t in terms & owners.keys():
+    for i in np.flatnonzero(labels != 1).tolist():
+        for t in terms_of(texts[i]):
+            if t in owners:
                 clean[t] = clean.get(t, 0) + 1
     open_ = set(toxic)
     pool = {t: set(v) for t, v in owners.items() if len(v) > CLEAN_COST * clean.get(t, 0)}
@@ -184,11 +192,10 @@ def learn_lexicon(texts: list[str], labels: np.ndarray) -> list[str]:
             break
         out.append(best)
         open_ -= pool.pop(best)
-        pool = {t: v & open_ for t, v in pool.items()}
-        pool = {t: v for t, v in pool.items() if len(v) >= MIN_SUPPORT}
+        pool = {t: v & open_ for t, v in pool.items() if gain[t] >= MIN_SUPPORT}
     stems = tuple(t[:-1] for t in out if t.endswith("*"))
     sure = [t for t, v in owners.items() if len(v) >= SURE_SUPPORT and not clean.get(t, 0) and not t.endswith("*") and not t.startswith(stems)]
-    return out + sorted(t for t in set(sure).difference(out) if not _copies([each[i] for i in owners[t][:6]]))
+    return out + sorted(t for t in set(sure).difference(out) if not _copies([terms_of(texts[i]) for i in owners[t][:6]]))
 
 
 def _copies(docs: list[set[str]]) -> bool:
