@@ -15,11 +15,11 @@ COS = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
 
 @query(
     "knn_top8",
-    f"select vec_id as query, neighbour, cosine, rank from (select a.vec_id, b.vec_id as neighbour, round({COS}, 9) as cosine, row_number() over (partition by a.vec_id order by round({COS}, 12) desc, b.vec_id) as rank from embeddings a, embeddings b) where rank <= 8",
+    f"select vec_id as query, neighbour, cosine, rank from (select a.vec_id, b.vec_id as neighbour, round({COS}, 6) as cosine, row_number() over (partition by a.vec_id order by round({COS}, 12) desc, b.vec_id) as rank from embeddings a, embeddings b) where rank <= 8",
 )
 def knn_top8(spark, sf_dir):
     got = vectors.knn(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
-    return got.withColumn("cosine", F.round("cosine", 9))
+    return got.withColumn("cosine", F.round("cosine", 6))
 
 
 @query("cosine_pairs", f"select a.vec_id as a, b.vec_id as b, round({COS}, 6) as cosine from embeddings a join embeddings b on a.vec_id < b.vec_id where {COS} >= 0.35")
