@@ -385,9 +385,12 @@ def _fold(rows: list[bytes], m: int) -> np.ndarray:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Near pairs between two blocks of one pivot's members, in different components."""
+    """Near pairs between two blocks of one pivot's members, in different components.
+
+    A pair is reported by the smallest pivot that both have.
+    """
     x, n, root, block = (table.column(c).to_numpy() for c in ("x", "nx", "root", "block"))
-    cells = table.column("data").to_pylist()
+    cells, pivots, pivot = table.column("data").to_pylist(), table.column("pivots").to_pylist(), table.column("a")[0].as_py()
     width = np.array([len(c) for c in cells])
     lo = int(table.column("lo")[0].as_py())
     left = np.flatnonzero(block == lo)
@@ -409,9 +412,10 @@ def _across(table: pa.Table) -> pa.Table:
                 at = np.flatnonzero(fits)
                 if len(at):
                     far = np.abs(other[at] - row).sum(1, dtype=np.int64)
-                    good = ib[at[7 * far <= n[ib[at]] + n[k]]]
+                    known = set(pivots[k])
+                    good = [j for j in ib[at[7 * far <= n[ib[at]] + n[k]]].tolist() if next(p for p in pivots[j] if p in known) == pivot]
                     out_a.append(np.full(len(good), k))
-                    out_b.append(good)
+                    out_b.append(np.array(good, np.int64))
     a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
     b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
     swap = x[a] > x[b]
@@ -434,8 +438,9 @@ def _unsettled(stars: DataFrame, found: DataFrame, cells: DataFrame) -> DataFram
     rows = rows.join(split, "a").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK_MEMBERS))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK_MEMBERS))))
     rows = rows.select("a", "x", "nx", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    rows = rows.join(cells.select(F.col("cls").alias("x"), "data"), "x")
-    return work.cut(rows.groupBy("a", "lo", "hi").applyInArrow(_across, "a long, b long, na long, nb long").distinct(), "near")
+    pivots = stars.join(split, "a", "left_semi").groupBy(F.col("b").alias("x")).agg(F.array_sort(F.collect_set("a")).alias("pivots"))
+    rows = rows.join(pivots, "x").join(cells.select(F.col("cls").alias("x"), "data"), "x")
+    return work.cut(rows.groupBy("a", "lo", "hi").applyInArrow(_across, "a long, b long, na long, nb long"), "near")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -451,9 +456,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of every component: the row of its smallest doc_id."""
-    lead = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(lead, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    """Drops all but the smallest doc_id of every component.
+
+    Rows without a doc_id stay; of repeated rows of one doc_id one stays.
+    """
+    found = work.cut(near_duplicates(docs), "components")
+    count = found.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.count_if(F.expr("doc_id <> component_id")).alias("gone")).first()
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(work.small_or_not(gone, count["gone"], 16), "doc_id", "left_anti").select(docs.columns)
+    if count["rows"] == count["ids"]:
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
