@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES: tuple[str, ...] = ("relational", "ordered", "sampling", "vectors", "texts", "state")
+MODULES = ("relational", "ordered", "sampling", "vectors", "texts", "state", "streams")
 
 for _name in MODULES:
     importlib.import_module(f"attesta.plans.{_name}")
