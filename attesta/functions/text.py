@@ -9,9 +9,10 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalized(texts: pd.Series) -> pd.Series:
     """NFKC, case folding and single spaces; null stays null."""
     return texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).casefold().split()), na_action="ignore")
@@ -57,7 +58,7 @@ def grounded(quote: Column, source: Column) -> Column:
     return F.coalesce(F.instr(source, quote) > 0, F.lit(False)) & (quote != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repaired_quote(quotes: pd.Series, sources: pd.Series) -> pd.Series:
     """The source's own wording of a quote: exact, or equal words (three or more); else null."""
     import re
@@ -141,7 +142,7 @@ def _picked(html: str | None, match) -> str:
 def main_text(tags: tuple[str, ...] = ("main", "article")):
     """UDF: text of the first of the tags, without scripts, navigation and footers."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for html in pages:
             yield html.map(lambda h: _picked(h, lambda tag, attrs: tag in tags), na_action="ignore")
@@ -149,7 +150,7 @@ def main_text(tags: tuple[str, ...] = ("main", "article")):
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def block_text(pages: pd.Series, selectors: pd.Series) -> pd.Series:
     """Text of the first element with the class or id."""
 
@@ -176,7 +177,7 @@ def cards(html: Column, item: str, date: str, title: str, link: str) -> Column:
     return F.transform(blocks, one)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def chunks(texts: pd.Series, limits: pd.Series) -> pd.Series:
     """Parts of at most ``limit`` characters, cut at the last blank before it."""
 

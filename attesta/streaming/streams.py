@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -53,20 +56,22 @@ def running_cursor(df: DataFrame, key: str, at: str) -> DataFrame:
 def insert_batches(df: DataFrame, target: str, key: str, checkpoint: str) -> StreamingQuery:
     """Idempotent append: each micro-batch adds only ids the target lacks.
 
-    Batches are written to folders named by batch id, so a repeated batch
-    overwrites its own rows.
+    A batch has a folder of its own, named by checkpoint and batch id, and is
+    compared with all other folders, so a repeated batch writes the same rows.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        own = f"run-{run}-{number:09d}"
         fresh = batch.dropDuplicates([key])
         try:
-            old = spark.read.parquet(f"{target}/batch=*").where(F.lit(True)).select(key)
+            old = spark.read.schema(batch.schema).parquet(f"{target}/run-*").where(~F.contains("_metadata.file_path", F.lit(f"/{own}/"))).select(key)
             fresh = fresh.join(old, key, "left_anti")
-        except Exception as e:  # the first batch has no target yet
+        except AnalysisException as e:  # the first batch has no target yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        fresh.write.mode("overwrite").parquet(f"{target}/{own}")
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
