@@ -62,7 +62,7 @@ def _within(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 
 def _twice(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(occurs twice or more in its row, is not the row's first of its kind)."""
-    key = kernel.mix(h ^ kernel.mix(row.astype(np.uint64) + np.uint64(1)))
+    key = kernel.mix(h + kernel.mix(row.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)))
     order = np.argsort(key, kind="stable")
     k = key[order]
     same = np.zeros(len(k) + 1, bool)
@@ -136,7 +136,7 @@ def judge(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(got[c]) for c in COLUMNS)], ["doc_id", *COLUMNS])
 
     types = ", ".join(f"{c} {'boolean' if c in ('base_failed', 'kept') else 'long'}" for c in COLUMNS)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {types}")
+    return docs.select("doc_id", "text").mapInArrow(work.tidy(run), f"doc_id long, {types}")
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def clean(docs: DataFrame) -> DataFrame:
                 rows = rows.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
                 yield rows.filter(pa.array(got["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(work.tidy(run), docs.schema)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
