@@ -203,16 +203,16 @@ def _align(batches):
 def contained(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, matched_words, item_words, last_word) of items found."""
     spark = docs.sparkSession
-    items = work.cut(bench.select("item_id", "text").where("item_id is not null").mapInArrow(_item_rows, "item_id long, size long, words binary, grams array<long>").where("size > 0"), "items")
+    items = work.cut(bench.select("item_id", "text").where("item_id is not null").mapInArrow(work.tidy(_item_rows), "item_id long, size long, words binary, grams array<long>").where("size > 0"), "items")
     facts = items.agg(F.count("*").alias("n"), F.coalesce(F.max("size"), F.lit(1)).alias("top"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()
     seeds = items.select("item_id", F.explode("grams").alias("gram"))
     bits = np.zeros(BITS, np.uint8)
-    for part in seeds.select("gram").distinct().mapInArrow(_bitmap, "bits binary").toLocalIterator():
+    for part in seeds.select("gram").distinct().mapInArrow(work.tidy(_bitmap), "bits binary").toLocalIterator():
         bits[np.frombuffer(part["bits"], np.uint32)] = 1
     short = [r[0] for r in items.where(F.col("size") < GRAM).select("size").distinct().collect()]
     bits = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
     around = int(facts["top"] * AROUND) + GRAM
-    passages = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_scan(bits, around, short), "doc_id long, first long, words binary, grams array<long>")
+    passages = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(work.tidy(_scan(bits, around, short)), "doc_id long, first long, words binary, grams array<long>")
     passages = work.cut(passages, "passages")
     hits = passages.select("doc_id", "first", F.explode("grams").alias("gram"))
     df = hits.groupBy("gram").agg(F.count("*").alias("df"))
@@ -223,7 +223,7 @@ def contained(docs: DataFrame, bench: DataFrame) -> DataFrame:
     pairs = near.join(passages.select("doc_id", "first", "words"), ["doc_id", "first"]).join(
         work.small_or_not(items.select("item_id", "size", F.col("words").alias("item_words")), facts["total"], 16), "item_id"
     )
-    got = pairs.select("doc_id", "item_id", "size", "first", "words", "item_words").mapInArrow(_align, "doc_id long, item_id long, size long, first long, score long, matched long, end long")
+    got = pairs.select("doc_id", "item_id", "size", "first", "words", "item_words").mapInArrow(work.tidy(_align), "doc_id long, item_id long, size long, first long, score long, matched long, end long")
     got = got.where((F.col("score") >= 2 * MIN_SCORE * F.col("size")) & (F.col("matched") >= F.least(F.lit(MIN_WORDS), "size")))
     best = got.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("first")).alias("back"), "size", "matched", "end")).alias("m"))
     return best.select("doc_id", "item_id", (F.col("m.score") / (2 * F.col("m.size"))).alias("score"), F.col("m.matched").alias("matched_words"), F.col("m.size").alias("item_words"), (F.col("m.end") - F.col("m.back")).alias("last_word"))

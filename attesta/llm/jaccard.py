@@ -113,7 +113,7 @@ def survey(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     counters of shingles by block.
     """
     counters = counters_for(docs.count())
-    both = work.cut(docs.select("doc_id", "text").mapInArrow(_survey(counters), "doc_id long, n long, cls long, block int, counts binary"), "survey")
+    both = work.cut(docs.select("doc_id", "text").mapInArrow(work.tidy(_survey(counters)), "doc_id long, n long, cls long, block int, counts binary"), "survey")
     return both.where("block is null").select("doc_id", "n", "cls"), both.where("block is not null").select("block", "counts"), counters
 
 
@@ -260,7 +260,9 @@ def _stars(table: pa.Table) -> pa.Table:
     pivot = np.repeat(start, size)
     rest = np.arange(len(sig)) != pivot
     found = pa.table({"a": cls[pivot][rest], "b": cls[rest], "na": n[pivot][rest], "nb": n[rest]})
-    return found.group_by(["a", "b", "na", "nb"]).aggregate([])
+    found = found.group_by(["a", "b", "na", "nb"]).aggregate([])
+    work.trim()
+    return found
 
 
 def _cells(h: np.ndarray, n: int) -> bytes:
@@ -328,7 +330,7 @@ def _compare(pairs: DataFrame, data: DataFrame, test, name: str) -> DataFrame:
         .join(data.select(F.col("cls").alias("b"), F.col("data").alias("xb")), "b")
         .select("a", "b", "na", "nb", "xa", "xb")
     )
-    return work.cut(rows.mapInArrow(_where(test), "a long, b long, na long, nb long"), name)
+    return work.cut(rows.mapInArrow(work.tidy(_where(test)), "a long, b long, na long, nb long"), name)
 
 
 def _data(docs: DataFrame, facts: DataFrame, pairs: DataFrame, pack) -> DataFrame:
@@ -338,12 +340,12 @@ def _data(docs: DataFrame, facts: DataFrame, pairs: DataFrame, pack) -> DataFram
     """
     from .urls import bloom_blocks, bloom_probe
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     owners = work.cut(facts.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls", "left_semi").select("doc_id"), "owners")
     count = owners.count()
     blocks = bloom_blocks(owners.select(F.xxhash64("doc_id").alias("h")), count)
     thin = bloom_probe(docs.select("doc_id", "text").withColumn("h", F.xxhash64("doc_id")), blocks, count).select("doc_id", "text")
-    sets = thin.mapInArrow(_with_id(pack), "doc_id long, cls long, data binary")
+    sets = thin.mapInArrow(work.tidy(_with_id(pack)), "doc_id long, cls long, data binary")
     return work.cut(sets.join(owners, "doc_id", "left_semi").groupBy("cls", "doc_id").agg(F.first("data").alias("data")).select("cls", "data"), "sets")
 
 
@@ -355,7 +357,7 @@ def links(docs: DataFrame, facts: DataFrame, sketch: DataFrame, counters: int) -
     buckets = max(24, -(-total["n"] // SIGNATURES_PER_BUCKET))
     stars = work.cut(
         docs.select("text")
-        .mapInArrow(_emit(bits, total["top"], buckets), "bucket long, low binary, high binary, each binary, cls binary, n binary")
+        .mapInArrow(work.tidy(_emit(bits, total["top"], buckets)), "bucket long, low binary, high binary, each binary, cls binary, n binary")
         .groupBy("bucket")
         .applyInArrow(_stars, "a long, b long, na long, nb long")
         .distinct(),

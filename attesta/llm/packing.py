@@ -163,7 +163,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
                 keep = 6 if with_ids else 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:keep], types)], list(names[:keep]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(work.tidy(run), PIECES + (", ids binary" if with_ids else ""))
 
 
 def _place(capacity: int):

@@ -37,7 +37,7 @@ MIN_SUPPORT = 2
 #: Toxic documents from which a word of no clean document is a term anyway.
 SURE_SUPPORT = 8
 STEMS = range(4, 11)
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 
 #: Terms used where nothing can be learned.
 SEED = ("idiot", "moron", "scum", "loser", "pathetic", "worthless", "disgusting", "stupid", "trash", "clown")
@@ -256,10 +256,10 @@ def score(docs: DataFrame, model: tuple[list[str], list[float]]) -> DataFrame:
         machine = kernel.cached(("lexicon", tuple(terms)), lambda: Automaton(terms))
         w = np.array(weights)
         for batch in batches:
-            x = np.array([features(t or "", machine) for t in batch.column("text").to_pylist()]).reshape(-1, len(w))
+            x = np.array([features(t.as_py() or "", machine) for t in batch.column("text")]).reshape(-1, len(w))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(work.tidy(run), "doc_id long, score double")
 
 
 def reject(docs: DataFrame, model: tuple[list[str], list[float]], least: float = 0.5) -> DataFrame:
@@ -270,10 +270,10 @@ def reject(docs: DataFrame, model: tuple[list[str], list[float]], least: float =
         machine = kernel.cached(("lexicon", tuple(terms)), lambda: Automaton(terms))
         w = np.array(weights)
         for batch in batches:
-            x = np.array([features(t or "", machine) for t in batch.column("text").to_pylist()]).reshape(-1, len(w))
+            x = np.array([features(t.as_py() or "", machine) for t in batch.column("text")]).reshape(-1, len(w))
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) < least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(work.tidy(run), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

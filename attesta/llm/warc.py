@@ -196,7 +196,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     first = work.cut(first, "payloads")
     rows = rows.join(work.small_or_not(first, first.count(), 80), "sha1", "left")
     rows = rows.withColumn("refers_to", F.expr("case when first_id <> page_id then first_id end"))
-    return work.cut(rows.select("page_id", "url", "payload", "sha1", "ts", "refers_to").mapInArrow(_write(folder), INDEX), "runs")
+    return work.cut(rows.select("page_id", "url", "payload", "sha1", "ts", "refers_to").mapInArrow(work.tidy(_write(folder)), INDEX), "runs")
 
 
 def _bounds(entries: DataFrame, n: int) -> list[tuple]:
@@ -256,7 +256,7 @@ def _merge(table: pa.Table) -> pa.Table:
 def merge_index(entries: DataFrame) -> DataFrame:
     """Globally ordered capture histories: order by (range, position)."""
     bounds = _bounds(entries, entries.count())
-    pieces = entries.mapInArrow(_deal(bounds), "range long, run string, url_key array<string>, ts array<string>, page_id array<long>, file array<string>, offset array<long>, size array<long>")
+    pieces = entries.mapInArrow(work.tidy(_deal(bounds)), "range long, run string, url_key array<string>, ts array<string>, page_id array<long>, file array<string>, offset array<long>, size array<long>")
     return pieces.groupBy("range").applyInArrow(_merge, INDEX + ", range long, position long")
 
 
@@ -295,7 +295,7 @@ def _read(folder: str):
 
 def read_archives(files: DataFrame, folder: str, parts: int) -> DataFrame:
     """Records of the named files, with payloads checked against their digests."""
-    return files.repartition(max(1, parts), "file").mapInArrow(_read(folder), "file string, offset long, page long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.repartition(max(1, parts), "file").mapInArrow(work.tidy(_read(folder)), "file string, offset long, page long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules["attesta.llm"])
 
 #: A table is broadcast only when its measured size is under this.
 BROADCAST_BYTES = 8 << 20
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +48,33 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def tidy(f):
+    """A mapInArrow function that hands memory back when its task ends.
+
+    Workers are reused by later stages, and their batches are kept small: at
+    most BATCH_ROWS rows, which Arrow would else gather by the ten thousand.
+    """
+    spark = SparkSession.active()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+    def run(batches):
+        yield from f(batches)
+        trim()
+
+    return run
+
+
+def trim() -> None:
+    """Returns freed memory of this worker to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are no longer referenced."""
     gc.collect()
