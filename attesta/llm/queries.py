@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-from . import decontaminate, jaccard, licenses, packing, pii, quality, token_counts, toxicity, urls, warc
+from . import decontaminate, jaccard, licenses, packing, pii, quality, sql, token_counts, toxicity, urls, warc
 
 
 def pipeline(spark, sf_dir):
@@ -27,5 +27,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op7_ngram_jaccard": sql.OP7,
     "op8_url_filter": urls.OP8_SQL,
+    "op9_quality_rules": sql.OP9,
 }

@@ -140,11 +140,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 with u as (
-  select page_id, strpos(url, '://') as at, substr(url, strpos(url, '://') + 3) as rest from pages
+  select page_id, strpos(url, '://') as found, substr(url, strpos(url, '://') + 3) as rest from pages
 ), p as (
   select page_id,
-    case when at > 0 then translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
-    case when at > 0 then regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) else '' end as path
+    case when found > 0 then translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
+    case when found > 0 then regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) else '' end as path
   from u
 ), r as (
   select *,
