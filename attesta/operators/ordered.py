@@ -15,15 +15,24 @@ def burst(df: DataFrame, by: str, at: str, seconds: int = 600) -> DataFrame:
 def tertiles(df: DataFrame, value: str, by: list[str] | None = None, names=("low", "medium", "high")) -> DataFrame:
     """Tier by the share of strictly smaller values; ties share a tier.
 
-    Ranks come from per-value counts, so only distinct values are ordered.
+    Ranks come from per-value counts.  Approximate quantiles cut each group into
+    a hundred ranges of values; a value's rank is its place inside its range plus
+    the sizes of the ranges before, so it is exact and no task orders a group.
     """
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [i / 100 for i in range(1, 100)], 1000).alias("_cuts"))
+    rows = counts.join(cuts, by) if by else counts.crossJoin(F.broadcast(cuts))
+    rows = rows.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sizes = rows.groupBy(*by, "_range").agg(F.sum("_c").alias("_size"))
     w = Window.partitionBy(*by)
-    below = F.coalesce(F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    share = below / F.sum("_c").over(w)
+    before = lambda c, o: F.coalesce(F.sum(c).over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*by, "_range", before("_size", w.orderBy("_range")).alias("_start"), F.sum("_size").over(w).alias("_all"))
+    inside = before("_c", Window.partitionBy(*by, "_range").orderBy(value))
+    ranked = rows.withColumn("_in", inside).join(sizes, [*by, "_range"])
+    share = (F.col("_start") + F.col("_in")) / F.col("_all")
     tier = F.when(share < 1 / 3, names[0]).when(share < 2 / 3, names[1]).otherwise(names[2])
-    return df.join(counts.select(*by, value, tier.alias("tier")), [*by, value], "left")
+    return df.join(ranked.select(*by, value, tier.alias("tier")), [*by, value], "left")
 
 
 def week_streak(df: DataFrame, by: str, day: str) -> DataFrame:
