@@ -31,7 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel, work
@@ -387,16 +387,16 @@ def _fold(rows: list[bytes], m: int) -> np.ndarray:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Near pairs between two blocks of one pivot's members, in different components.
+    """Near pairs between a block of unsettled members (side 0) and a block of all
+    members (side 1) of one pivot, in different components.
 
-    A pair is reported by the smallest pivot that both have.
+    A pair is reported by the smallest pivot that both have, and once if both
+    are unsettled.
     """
-    x, n, root, block = (table.column(c).to_numpy() for c in ("x", "nx", "root", "block"))
+    x, n, root, side, main = (table.column(c).to_numpy() for c in ("x", "nx", "root", "side", "main"))
     cells, pivots, pivot = table.column("data").to_pylist(), table.column("pivots").to_pylist(), table.column("a")[0].as_py()
     width = np.array([len(c) for c in cells])
-    lo = int(table.column("lo")[0].as_py())
-    left = np.flatnonzero(block == lo)
-    right = left if lo == int(table.column("hi")[0].as_py()) else np.flatnonzero(block != lo)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     out_a, out_b = [], []
     for wa in np.unique(width[left]):
         for wb in np.unique(width[right]):
@@ -404,13 +404,9 @@ def _across(table: pa.Table) -> pa.Table:
             if max(wa, wb) > 2 * m:
                 continue
             ia, ib = left[width[left] == wa], right[width[right] == wb]
-            if root[ia].min() == root[ia].max() and (root[ib] == root[ia[0]]).all():
-                continue
             other = _fold([cells[k] for k in ib], m)
             for k, row in zip(ia, _fold([cells[k] for k in ia], m)):
-                fits = (root[ib] != root[k]) & (3 * np.maximum(n[ib], n[k]) <= 4 * np.minimum(n[ib], n[k]))
-                if left is right:
-                    fits &= x[ib] > x[k]
+                fits = (root[ib] != root[k]) & (3 * np.maximum(n[ib], n[k]) <= 4 * np.minimum(n[ib], n[k])) & ((root[ib] == main[ib]) | (x[ib] > x[k]))
                 at = np.flatnonzero(fits)
                 if len(at):
                     far = np.abs(other[at] - row).sum(1, dtype=np.int64)
@@ -429,20 +425,25 @@ def _unsettled(stars: DataFrame, found: DataFrame, cells: DataFrame) -> DataFram
     """Near pairs of members of one pivot that are in different components.
 
     Two sets of one signature group are members of its pivot, and each was
-    compared with the pivot itself.  A pivot's members are dealt into blocks of
-    BLOCK_MEMBERS, in order of component and size, and pairs of blocks are
-    compared by cell counts, so no task holds an unbounded group.
+    compared with the pivot itself.  Pairs inside a pivot's largest component
+    need no test, so only its other members meet all members, in blocks of about
+    BLOCK_MEMBERS on either side dealt by hash: no task holds or sorts an
+    unbounded group, and a settled group costs nothing.
     """
     roots = work.components(found).select(F.col("node").alias("x"), "root")
     rows = stars.select("a", F.col("b").alias("x"), F.col("nb").alias("nx")).join(roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
-    split = rows.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("a", "size")
-    order = Window.partitionBy("a").orderBy("root", "nx", "x")
-    rows = rows.join(split, "a").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK_MEMBERS))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK_MEMBERS))))
-    rows = rows.select("a", "x", "nx", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    pivots = stars.join(split, "a", "left_semi").groupBy(F.col("b").alias("x")).agg(F.array_sort(F.collect_set("a")).alias("pivots"))
-    rows = rows.join(pivots, "x").join(cells.select(F.col("cls").alias("x"), "data"), "x")
-    return work.cut(rows.groupBy("a", "lo", "hi").applyInArrow(_across, "a long, b long, na long, nb long"), "near")
+    each = rows.groupBy("a", "root").agg(F.count("*").alias("n"))
+    main = each.groupBy("a").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_MEMBERS)).cast("long")
+    main = main.select("a", "main", blocks(F.col("all") - F.col("most")).alias("lefts"), blocks(F.col("all")).alias("rights"))
+    rows = rows.join(main, "a")
+    dealt = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "x"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.where("root <> main").select("a", "x", "nx", "root", "main", F.lit(0).alias("side"), dealt(0, "lefts").alias("lo"), every("rights").alias("hi"))
+    right = rows.select("a", "x", "nx", "root", "main", F.lit(1).alias("side"), every("lefts").alias("lo"), dealt(1, "rights").alias("hi"))
+    pivots = stars.join(main, "a", "left_semi").groupBy(F.col("b").alias("x")).agg(F.array_sort(F.collect_set("a")).alias("pivots"))
+    both = left.union(right).join(pivots, "x").join(cells.select(F.col("cls").alias("x"), "data"), "x")
+    return work.cut(both.groupBy("a", "lo", "hi").applyInArrow(_across, "a long, b long, na long, nb long"), "near")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
