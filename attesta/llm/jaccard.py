@@ -1,6 +1,6 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-A document's feature set is its distinct 5-word shingles (64-bit hashes).  Sets
+A document's feature set is its distinct 5-word shingles (52-bit hashes).  Sets
 are put into size bands whose bounds grow by 4/3, so two sets of similarity
 0.75 or more lie in one band or in neighbouring ones.  Instance i of PartEnum
 serves bands i-1 and i: such sets differ in at most k = 2 r / 7 features, where
@@ -18,7 +18,10 @@ sets also emit single features (prefix of ``n - ceil(0.75 n) + 1``).
 
 Signature groups are verified from their pivot (a star), links are joined into
 components, and only members of one group that are still in different
-components, and were not compared with the pivot, are compared as well.  No pair is dropped, capped or sampled.
+components, and were not compared with the pivot, are compared as well.  No
+pair is dropped, capped or sampled.  The entries of one signature, 16 bytes a
+distinct set, meet in one task to find the pivot; everything after that is
+dealt into blocks.
 
 Nulls, empty texts and texts of white space only have an empty set, n = 0, no
 link, and are their own component.  Equal sets are one class; repeated rows of
@@ -435,7 +438,8 @@ def _unsettled(stars: DataFrame, found: DataFrame, cells: DataFrame) -> DataFram
     each = rows.groupBy("a", "root").agg(F.count("*").alias("n"))
     main = each.groupBy("a").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_MEMBERS)).cast("long")
-    main = main.select("a", "main", blocks(F.col("all") - F.col("most")).alias("lefts"), blocks(F.col("all")).alias("rights"))
+    main = work.cut(main.select("a", "main", blocks(F.col("all") - F.col("most")).alias("lefts"), blocks(F.col("all")).alias("rights")), "unsettled")
+    main = work.small_or_not(main, main.count(), 48)
     rows = rows.join(main, "a")
     dealt = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "x"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))

@@ -100,23 +100,25 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): smallest node reachable over undirected edges (a, b).
 
     Alternating large-star and small-star rounds; each round is one shuffle of
-    edges and lineage is cut by a written table, so nothing is collected.  Only
-    nodes of at least one edge appear.
+    edges and lineage is cut by a written table, so nothing is collected.  The
+    rounds end when the edge set's size and hash stay the same.  Only nodes of
+    at least one edge appear.
     """
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while True:
+    now, before = state(e), None
+    while now != before:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(
-            F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        ).select("e.u", "e.v").where("u <> v").distinct()
-        after = cut(small, "edges")
-        same = e.count() == after.count() and after.join(e, ["u", "v"], "left_anti").isEmpty()
+        small = large.join(low2, "u").select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e")).select("e.u", "e.v")
+        after = cut(small.where("u <> v").distinct(), "edges")
         drop(e)
-        e = after
-        if same:
-            break
+        e, now, before = after, state(after), now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v"))).distinct()
