@@ -82,10 +82,22 @@ def _item_rows(batches):
         )
 
 
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bit numbers of each hash."""
+    return (h % np.uint64(BITS)).astype(np.uint32), (kernel.mix(h) % np.uint64(BITS)).astype(np.uint32)
+
+
+def _held(seen: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Indices of the hashes the map may hold."""
+    at = np.flatnonzero(seen[(h % np.uint64(BITS)).astype(np.int64)])
+    return at[seen[_places(h[at])[1]]]
+
+
 def _bitmap(batches):
     """One row of set bit numbers for each batch of seeds."""
     for batch in batches:
-        h = np.unique(batch.column("gram").to_numpy().view(np.uint64) % np.uint64(BITS)).astype(np.uint32)
+        h = batch.column("gram").to_numpy().view(np.uint64)
+        h = np.unique(np.concatenate(_places(h)))
         yield pa.RecordBatch.from_arrays([pa.array([h.tobytes()], pa.binary())], ["bits"])
 
 
@@ -107,7 +119,7 @@ def _scan(bits, around: int, short: bool):
                 hit_h, hit_at = [], []
                 for size in sizes:
                     got, at = kernel.windows(h, row, GRAM) if size == GRAM else _short(h, row, size)
-                    ok = seen[(got % np.uint64(BITS)).astype(np.int64)]
+                    ok = _held(seen, got)
                     hit_h.append(got[ok])
                     hit_at.append(at[ok])
                 hit_h, hit_at = np.concatenate(hit_h), np.concatenate(hit_at)
@@ -216,7 +228,7 @@ def contained(docs: DataFrame, bench: DataFrame) -> DataFrame:
     passages = work.cut(passages, "passages")
     hits = passages.select("doc_id", "first", F.explode("grams").alias("gram"))
     df = hits.groupBy("gram").agg(F.count("*").alias("df"))
-    known = seeds.join(work.small_or_not(df, facts["total"], 24), "gram")
+    known = df.join(work.small_or_not(seeds, facts["total"], 24), "gram")
     middle = known.groupBy("item_id").agg(F.expr("percentile(df, 0.5)").alias("mid"))
     rare = known.join(work.small_or_not(middle, facts["n"], 24), "item_id").where(F.col("df") <= COMMON_TIMES * F.col("mid")).select("gram", "item_id")
     near = hits.join(work.small_or_not(rare, facts["total"], 24), "gram").select("doc_id", "first", "item_id").distinct()
