@@ -122,10 +122,18 @@ def spans(text: Column, kind: str) -> Column:
     return F.filter(found, lambda s: score(text, s, kind) >= LEAST)
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds one array column ``pii_<kind>`` for each kind."""
+def free_prefix(docs: DataFrame) -> str:
+    """A prefix under which the span columns clash with no column of ``docs``."""
+    prefix = "pii_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
+def with_spans(docs: DataFrame, text: str = "text", prefix: str = "pii_") -> DataFrame:
+    """Adds one array column ``<prefix><kind>`` for each kind."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select("*", *(spans(body, k).alias(f"pii_{k}") for k in PATTERNS))
+    return docs.select("*", *(spans(body, k).alias(f"{prefix}{k}") for k in PATTERNS))
 
 
 def _labels(kind: str) -> Column:
@@ -146,12 +154,12 @@ def redact(docs: DataFrame) -> DataFrame:
     Overlapping spans are one stretch, named after the kind that begins first
     (then the longer, then in order of the list).
     """
-    cols = docs.columns
+    cols, prefix = docs.columns, free_prefix(docs)
 
     def marked_as(i: int, k: str):
         return lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(i).alias("rank"), F.lit(f"[{k.upper()}]").alias("mark"))
 
-    typed = [F.transform(F.col(f"pii_{k}"), marked_as(i, k)) for i, k in enumerate(PATTERNS)]
+    typed = [F.transform(F.col(f"{prefix}{k}"), marked_as(i, k)) for i, k in enumerate(PATTERNS)]
     body = F.coalesce(F.col("text"), F.lit(""))
     ordered = F.array_sort(F.concat(*typed))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -162,8 +170,8 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(end.alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
     text = F.aggregate(ordered, zero, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.char_length(body))))
-    marked = with_spans(docs)
-    any_ = sum((F.size(f"pii_{k}") for k in PATTERNS), F.lit(0)) > 0
+    marked = with_spans(docs, prefix=prefix)
+    any_ = sum((F.size(f"{prefix}{k}") for k in PATTERNS), F.lit(0)) > 0
     return marked.withColumn("text", F.when(any_, text).otherwise(F.col("text"))).select(cols)
 
 

@@ -152,7 +152,7 @@ def test_added_kinds_and_context(spark):
 
 
 def test_redaction(spark):
-    df = spark.createDataFrame([(1, "mail x@y.com or +1 (743) 555-3824 🙂 4111 1111 1111 1111.", "s"), (2, None, "s"), (3, "none", None)], "doc_id long, text string, pii string")
+    df = spark.createDataFrame([(1, "mail x@y.com or +1 (743) 555-3824 🙂 4111 1111 1111 1111.", "s"), (2, None, "s"), (3, "none", None)], "doc_id long, text string, pii_email string")
     got = pii.redact(df)
     assert got.columns == df.columns
     assert {r.doc_id: r.text for r in got.collect()} == {1: "mail [EMAIL] or [PHONE] 🙂 [CARD].", 2: None, 3: "none"}
