@@ -19,9 +19,10 @@ sets also emit single features (prefix of ``n - ceil(0.75 n) + 1``).
 Signature groups are verified from their pivot (a star), links are joined into
 components, and only members of one group that are still in different
 components, and were not compared with the pivot, are compared as well.  No
-pair is dropped, capped or sampled.  The entries of one signature, 16 bytes a
-distinct set, meet in one task to find the pivot; everything after that is
-dealt into blocks.
+pair is dropped, capped or sampled.  No task holds an unbounded group: an
+infrequent signature has one infrequent shingle at least, which bounds its
+sets; the pivots of frequent signatures come from a pre-aggregated minimum and
+a join; later comparisons are dealt into blocks.
 
 Nulls, empty texts and texts of white space only have an empty set, n = 0, no
 link, and are their own component.  Equal sets are one class; repeated rows of
@@ -141,10 +142,14 @@ def _order(high: np.ndarray, low: np.ndarray, low_bits: int) -> np.ndarray:
 
 
 def signatures(row, h, n, rare, bounds):
-    """(signature, row) of all sets of a slice, for both of their instances."""
+    """(signature, row, frequent) of all sets of a slice, for both of their instances.
+
+    A signature is frequent if all its shingles are: a property of the signature
+    itself, so all sets that share it agree.
+    """
     has = n > 0
     band = np.searchsorted(bounds, np.maximum(n, 1), "right") - 1
-    out_sig, out_row = [], []
+    out_sig, out_row, out_often = [], [], []
     for step in (0, 1):
         inst = band + step
         r = bounds[inst + 1] - 1
@@ -165,35 +170,38 @@ def signatures(row, h, n, rare, bounds):
         srow = row[order][at]
         sig = kernel.mix(total ^ kernel.mix(part[order][at] + salt[srow])) >> np.uint64(1)
         ranked = _order(srow, sig >> np.uint64(63 - RANK_BITS) | np.uint64(1 << RANK_BITS) * (~known).astype(np.uint64), RANK_BITS + 1)
-        srow, sig = srow[ranked], sig[ranked]
+        srow, sig, known = srow[ranked], sig[ranked], known[ranked]
         ne = np.bincount(srow, minlength=len(n))
         lead = np.cumsum(ne) - ne
         pos = np.arange(len(srow)) - lead[srow]
         keep = pos <= k[srow]
         out_sig.append(sig[keep])
         out_row.append(srow[keep])
+        out_often.append(~known[keep])
         poor = has & (ne <= k)
         if poor.any():
             mine = poor[row]
             prow, ph = row[mine], h[mine]
             ranked = np.lexsort((kernel.mix(ph), ~rare[mine], prow))
-            prow, ph = prow[ranked], ph[ranked]
+            prow, ph, pknown = prow[ranked], ph[ranked], rare[mine][ranked]
             cnt = np.bincount(prow, minlength=len(n))
             pos = np.arange(len(prow)) - (np.cumsum(cnt) - cnt)[prow]
             keep = pos <= n[prow] - (3 * n[prow] + 3) // 4
             out_sig.append(kernel.mix(ph[keep] + salt[prow[keep]] + np.uint64(0xF00D)) >> np.uint64(1))
             out_row.append(prow[keep])
+            out_often.append(~pknown[keep])
     if not out_sig:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out_sig), np.concatenate(out_row)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return np.concatenate(out_sig), np.concatenate(out_row), np.concatenate(out_often)
 
 
 def _emit(bits, largest: int, buckets: int):
     """Signature blobs: a row per bucket and flush, 8 bytes a signature."""
     bounds = band_bounds(largest)
 
-    def flush(sig, local, cls, size):
+    def flush(sig, local, often, cls, size):
         bucket = ((sig >> np.uint64(31)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        bucket[often] = buckets + int(cls[0]) % buckets
         order = _order(bucket, local.astype(np.uint64), max(1, len(cls).bit_length()))
         bucket, sig, local = bucket[order], sig[order], local[order]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -221,8 +229,8 @@ def _emit(bits, largest: int, buckets: int):
                 once = np.zeros(len(n), bool)
                 once[lead] = True
                 mine = once[row]
-                s, r = signatures(row[mine], h[mine], n * once, rare[mine], bounds)
-                held.append((s, r + base))
+                s, r, often = signatures(row[mine], h[mine], n * once, rare[mine], bounds)
+                held.append((s, r + base, often))
                 seen.append((cls, n))
                 count, base = count + len(s), base + len(n)
                 if count >= FLUSH_SIGNATURES:
@@ -234,38 +242,48 @@ def _emit(bits, largest: int, buckets: int):
     return run
 
 
-def _stars(table: pa.Table) -> pa.Table:
-    """Distinct star edges (a, b, na, nb) of the bucket: each group of one
-    signature around its pivot, the smallest class."""
-    sigs, clss, ns = [], [], []
-    for low, high, each, cls, n in zip(*(table.column(c).to_pylist() for c in ("low", "high", "each", "cls", "n"))):
-        each = np.frombuffer(each, np.uint32)
-        sigs.append(np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint32))
-        clss.append(np.repeat(np.frombuffer(cls, np.int64), each))
-        ns.append(np.repeat(np.frombuffer(n, np.uint32), each))
-    sig, cls, n = np.concatenate(sigs), np.concatenate(clss), np.concatenate(ns)
-    order = _order(sig >> np.uint64(8), sig & np.uint64(255), 8)
-    sig = sig[order]
-    again = np.zeros(len(sig), bool)
-    again[1:] = sig[1:] == sig[:-1]
-    again[:-1] |= again[1:]
-    order, sig = order[again], sig[again]
-    cls, n = cls[order], n[order]
-    order = np.lexsort((cls, sig))
-    sig, cls, n = sig[order], cls[order], n[order]
-    first = np.ones(len(sig), bool)
-    first[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-    sig, cls, n = sig[first], cls[first], n[first].astype(np.int64)
-    lead = np.ones(len(sig), bool)
-    lead[1:] = sig[1:] != sig[:-1]
-    start = np.flatnonzero(lead)
-    size = np.diff(np.concatenate((start, [len(sig)])))
-    pivot = np.repeat(start, size)
-    rest = np.arange(len(sig)) != pivot
-    found = pa.table({"a": cls[pivot][rest], "b": cls[rest], "na": n[pivot][rest], "nb": n[rest]})
-    found = found.group_by(["a", "b", "na", "nb"]).aggregate([])
-    work.trim()
-    return found
+STARS = "sig long, a long, b long, na long, nb long"
+
+
+def _stars(buckets: int):
+    """Distinct star edges (a, b, na, nb) of a bucket: each group of one signature
+    around its pivot, the smallest class.
+
+    Buckets past the last hold frequent signatures of some flushes; their
+    members (sig, a, na) are passed on as they are.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        sigs, clss, ns = [], [], []
+        for low, high, each, cls, n in zip(*(table.column(c).to_pylist() for c in ("low", "high", "each", "cls", "n"))):
+            each = np.frombuffer(each, np.uint32)
+            sigs.append(np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint32))
+            clss.append(np.repeat(np.frombuffer(cls, np.int64), each))
+            ns.append(np.repeat(np.frombuffer(n, np.uint32), each))
+        sig, cls, n = np.concatenate(sigs), np.concatenate(clss), np.concatenate(ns).astype(np.int64)
+        if table.column("bucket")[0].as_py() >= buckets:
+            none = pa.nulls(len(sig), pa.int64())
+            return pa.table({"sig": sig.view(np.int64), "a": cls, "b": none, "na": n, "nb": none})
+        order = _order(sig >> np.uint64(8), sig & np.uint64(255), 8)
+        sig = sig[order]
+        again = np.zeros(len(sig), bool)
+        again[1:] = sig[1:] == sig[:-1]
+        again[:-1] |= again[1:]
+        order, sig = order[again], sig[again]
+        cls, n = cls[order], n[order]
+        order = np.lexsort((cls, sig))
+        sig, cls, n = sig[order], cls[order], n[order]
+        lead = np.ones(len(sig), bool)
+        lead[1:] = sig[1:] != sig[:-1]
+        start = np.flatnonzero(lead)
+        pivot = np.repeat(start, np.diff(np.concatenate((start, [len(sig)]))))
+        rest = cls != cls[pivot]
+        found = pa.table({"a": cls[pivot][rest], "b": cls[rest], "na": n[pivot][rest], "nb": n[rest]})
+        found = found.group_by(["a", "b", "na", "nb"]).aggregate([])
+        work.trim()
+        return found.add_column(0, "sig", pa.nulls(len(found), pa.int64()))
+
+    return run
 
 
 def _cells(h: np.ndarray, n: int) -> bytes:
@@ -358,15 +376,19 @@ def links(docs: DataFrame, facts: DataFrame, sketch: DataFrame, counters: int) -
     total = facts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("top")).first()
     bits = spark.sparkContext.broadcast(frequent_bits(sketch, counters, total["n"]))
     buckets = max(24, -(-total["n"] // SIGNATURES_PER_BUCKET))
-    stars = work.cut(
+    raw = work.cut(
         docs.select("text")
         .mapInArrow(work.tidy(_emit(bits, total["top"], buckets)), "bucket long, low binary, high binary, each binary, cls binary, n binary")
         .groupBy("bucket")
-        .applyInArrow(_stars, "a long, b long, na long, nb long")
-        .distinct(),
-        "stars",
+        .applyInArrow(_stars(buckets), STARS),
+        "members",
     )
     work.release(spark)
+    often = raw.where("sig is not null").select("sig", F.col("a").alias("b"), F.col("na").alias("nb"))
+    pivots = work.cut(often.groupBy("sig").agg(F.min(F.struct(F.col("b").alias("a"), F.col("nb").alias("na"))).alias("p"), F.count("*").alias("k")).where("k > 1").select("sig", "p.*"), "pivots")
+    often = often.join(work.small_or_not(pivots, pivots.count(), 48), "sig").where("a <> b").select("a", "b", "na", "nb")
+    stars = work.cut(raw.where("sig is null").select("a", "b", "na", "nb").union(often).distinct(), "stars")
+    work.drop(raw, pivots)
     pairs = stars.where("3 * greatest(na, nb) <= 4 * least(na, nb)")
     cells = _data(docs, facts, stars, _cells)
     near = _compare(pairs, cells, _near, "near")

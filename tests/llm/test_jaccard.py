@@ -102,7 +102,7 @@ def test_signatures_never_lose_a_pair():
                 continue
             out = []
             for h in (a, b):
-                s, _ = jaccard.signatures(np.zeros(len(h), np.int64), h, np.array([len(h)]), rng.random(len(h)) < 2, bounds)
+                s, _, _ = jaccard.signatures(np.zeros(len(h), np.int64), h, np.array([len(h)]), rng.random(len(h)) < 2, bounds)
                 out.append(set(s.tolist()))
             assert out[0] & out[1]
 
