@@ -34,7 +34,7 @@ from . import kernel, work
 CAPACITY = 4096
 END_ID = 1
 DOCS_PER_GROUP = 32_768
-MEMO_CHUNKS = 1_200_000
+MEMO_CHUNKS = 1_000_000
 
 
 class ChunkIds:
