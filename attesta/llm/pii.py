@@ -10,8 +10,9 @@ parts of at most 255; card of 13 to 19 digits with a right Luhn sum; phone of 9
 to 15 digits.  A match that fails its test is dropped without another try.
 The method adds two kinds:
 
-* iban: two letters, two check digits, 11 to 30 letters or digits, in groups
-  or not, whose mod-97 remainder is 1 (score 0.9);
+* iban: two letters, two check digits, then letters or digits up to the
+  country's length, or 11 to 30 for other countries, in groups or not, whose
+  mod-97 remainder is 1 (score 0.9);
 * national_phone: digit groups without ``+`` and 9 to 11 digits (score 0.3).
 
 A context word within 40 characters before the match adds 0.4, a word of
@@ -27,14 +28,38 @@ from pyspark.sql import functions as F
 
 from . import work
 
-# The base patterns, with possessive loops (nothing after a loop
-# could use what it gives back), and the runs that cannot begin a match.
+# The patterns, those of the base with possessive loops (nothing
+# after a loop could use what it gives back), and the runs that cannot begin a match.
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
-NATIONAL = r"(?<![+0-9A-Za-z.-])\(?0[0-9]{1,4}\)?(?:[\x20./-][0-9]{2,4}){2,4}+(?![0-9A-Za-z.-])"
+#: Length and the countries whose account numbers have it.
+IBAN_SIZES = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+_COUNTRY = "|".join(c for codes in IBAN_SIZES.values() for c in codes.split())
+_OWN_SIZE = "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{size - 4}}}" for size, codes in IBAN_SIZES.items())
+# Loops before a lookahead give back: what follows a number may look like its next group.
+IBAN = rf"(?<![A-Za-z0-9])(?:{_OWN_SIZE}|(?!{_COUNTRY})[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20(?:{_COUNTRY})[0-9]{{2}})\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
+NATIONAL = r"(?<![+0-9A-Za-z.-])\(?0[0-9]{1,4}\)?(?:[\x20./-][0-9]{2,4}){2,4}(?![.-]?[0-9A-Za-z])"
 PATTERNS = {
     "email": (EMAIL, r"(?:[^A-Za-z0-9._%+-]++|(?!{p})[A-Za-z0-9._%+-]++)*+"),
     "ip": (IP, r"(?:[^0-9]++|(?!{p})[0-9]++)*+"),

@@ -151,6 +151,19 @@ def test_added_kinds_and_context(spark):
     assert "iban:5:27" in got[1] and "iban" not in got[2] and "national_phone:6:19" in got[3] and "national" not in got[4] and "iban" not in got[5]
 
 
+def test_added_kinds_end_before_what_follows(spark):
+    iban = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    after = ["", ".", " Please pay", " Bitte", " BY FRIDAY", " 12 times", ", DE", "\nX", " A"]
+    phone = ["", ".", " - home", ". Then", "- or"]
+    texts = [f"IBAN {i}{a}" for i in iban for a in after] + [f"IBAN AB12 {i}" for i in iban] + [f"call 030 1234 5678{a}" for a in phone] + ["call 030 1234 5678.9", "call 030 1234 5678-a", "call 030 1234 5678 12345"]
+    want = [["[IBAN]"]] * 30 + [["[NATIONAL_PHONE]"]] * 5 + [[], [], ["[NATIONAL_PHONE]"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    for i, t in enumerate(texts):
+        assert re.findall(r"\[[A-Z_]+\]", got[i]) == want[i], (t, got[i])
+    assert got[4] == "IBAN [IBAN] BY FRIDAY" and got[31] == "call [NATIONAL_PHONE]."
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail x@y.com or +1 (743) 555-3824 🙂 4111 1111 1111 1111.", "s"), (2, None, "s"), (3, "none", None)], "doc_id long, text string, pii_email string")
     got = pii.redact(df)
