@@ -4,12 +4,13 @@ Words are the letter and digit runs of the case-folded text.  Seeds are the
 distinct 4-word windows of the items (all words, for shorter items).  One scan
 of the documents tests every window against a bit map of the seeds, a fixed
 number of bytes whatever the data, and writes the stretches of words around the
-hits.  A join with the seeds makes (passage, item) candidates.  Seeds that are
-far more frequent over all documents than the item's median seed (more than
-four times) are common wording and nominate nothing; since the measure is the
-item's own median, an item that leaked into a third of all documents keeps its
-seeds.  Each candidate passage is aligned with the item by Smith-Waterman over
-words (match 2, mismatch -1, gap -1).  An item counts as contained if the
+hits.  A join with the seeds makes (passage, item) candidates: every seed
+nominates, however frequent, so what is found in a document does not depend on
+other documents.  A candidate whose words, counted with repetitions, have too
+few in common with the item for the least score is out before alignment, which
+loses nothing, as a score is at most twice the matched words.  Each other
+candidate is aligned with the item by Smith-Waterman over words (match 2,
+mismatch -1, gap -1).  An item counts as contained if the
 alignment reaches ``MIN_SCORE`` of the item's full score and matches at least
 ``MIN_WORDS`` words, or the whole item if that is shorter.
 
@@ -30,7 +31,6 @@ GRAM = 4
 BITS = 1 << 24
 MIN_SCORE = 0.5
 MIN_WORDS = 4
-COMMON_TIMES = 4
 #: Words around a hit, as a multiple of the longest item.
 AROUND = 1.5
 ALIGN_CELLS = 4_000_000
@@ -191,8 +191,18 @@ def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> list[
     return [(int(s), (int(s) + 1) // 2, int(e)) for s, e in zip(best, end)]
 
 
+def _in_common(item: np.ndarray, passage: np.ndarray) -> int:
+    """Words of the item that the passage has too, with repetitions."""
+    words, n = np.unique(item, return_counts=True)
+    there = np.sort(passage)
+    return int(np.minimum(n, there.searchsorted(words, "right") - there.searchsorted(words)).sum())
+
+
 def _align(batches):
     for batch in batches:
+        pairs = zip(batch.column("item_words"), batch.column("words"))
+        likely = [2 * _in_common(x, y) >= 2 * MIN_SCORE * len(x) for x, y in ((np.frombuffer(i.as_buffer(), np.uint64), np.frombuffer(p.as_buffer(), np.uint64)) for i, p in pairs)]
+        batch = batch.filter(pa.array(likely, pa.bool_()))
         items = [np.frombuffer(w.as_buffer(), np.uint64) for w in batch.column("item_words")]
         parts = [np.frombuffer(w.as_buffer(), np.uint64) for w in batch.column("words")]
         order = sorted(range(len(items)), key=lambda k: (len(parts[k]), len(items[k])))
@@ -227,11 +237,7 @@ def contained(docs: DataFrame, bench: DataFrame) -> DataFrame:
     passages = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(work.tidy(_scan(bits, around, short)), "doc_id long, first long, words binary, grams array<long>")
     passages = work.cut(passages, "passages")
     hits = passages.select("doc_id", "first", F.explode("grams").alias("gram"))
-    df = hits.groupBy("gram").agg(F.count("*").alias("df"))
-    known = df.join(work.small_or_not(seeds, facts["total"], 24), "gram")
-    middle = known.groupBy("item_id").agg(F.expr("percentile(df, 0.5)").alias("mid"))
-    rare = known.join(work.small_or_not(middle, facts["n"], 24), "item_id").where(F.col("df") <= COMMON_TIMES * F.col("mid")).select("gram", "item_id")
-    near = hits.join(work.small_or_not(rare, facts["total"], 24), "gram").select("doc_id", "first", "item_id").distinct()
+    near = hits.join(work.small_or_not(seeds, facts["total"], 24), "gram").select("doc_id", "first", "item_id").distinct()
     pairs = near.join(passages.select("doc_id", "first", "words"), ["doc_id", "first"]).join(
         work.small_or_not(items.select("item_id", "size", F.col("words").alias("item_words")), facts["total"], 16), "item_id"
     )

@@ -58,6 +58,14 @@ def test_leaks_are_caught_and_clean_texts_left(spark):
     assert decontaminate.contained(df.where("false"), bench).count() == 0
 
 
+def test_edited_copies_of_one_kind_are_all_caught(spark):
+    item = [f"w{i}" for i in range(40)]
+    edited = [f"x{i}" if i in (4, 12, 20, 28, 36) else w for i, w in enumerate(item)]
+    docs = [(0, " ".join(item))] + [(i, f"own{i} " + " ".join(edited) + f" words{i}") for i in range(1, 30)] + [(30, "w0 w1 w2 w3 and no more of it")]
+    got = decontaminate.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id: r.score for r in got.collect()} == {0: 1.0} | {i: 65 / 80 for i in range(1, 30)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_loser_tree_merges(seed):
     rng = random.Random(seed)
