@@ -1,16 +1,21 @@
 """License scan: sparse TF-IDF cosine to templates, then directory inheritance.
 
-Built from DataFrame functions only.  Header lines are lines of the whole text
-that hold a word of licensing; equal lines are one line with a count, so a
-notice on a third of all files is compared once.  A line and each template are
-sparse vectors of lower-case word weights ``tf * idf`` (idf over all header
-lines, counted with their repetitions, and the templates); their dot product is
-one join on words.  A line of cosine MIN_COSINE or more declares its best
-template, ties to the smaller license name.
-
-A file whose header lines declare a license has it itself; of several, the
-best cosine counts, then the smaller name.  A file in which such lines make up
-half of the words or more is a licence file and also declares its directory
+Built from DataFrame functions only.  Texts without any word of licensing are
+left out.  Of the others these are compared with templates: each line that
+holds such a word; blocks of lines that hold one, which are two or three
+successive lines, paragraphs and runs of comment lines; and the whole text.
+Templates are one-line notices and full license texts (``license_texts``).
+Equal lines or blocks are one with a count, so a notice on a third of all files
+is compared once.  Each is a sparse vector of lower-case word weights
+``tf * idf`` (idf over all lines, or all blocks and whole texts, counted with
+their repetitions, and the templates); dot products are one join on words.  A
+cosine of MIN_COSINE to a notice, or MIN_TEXT to a full text, declares that
+license, ties to the smaller license name.
+
+A file whose parts declare a license has it itself; of several, a full text
+that the whole file is goes first, then the best cosine, then the smaller name.
+A file that is a template as a whole, or of which declaring lines make up half
+of the words or more, is a licence file and also declares its directory
 (of several, the license of most files, then the smaller name).  Every other
 file inherits from the nearest ancestor directory with a license.  Directories
 are resolved once each, by a join of their ancestor paths.
@@ -21,12 +26,16 @@ ancestors.  Repeated rows are files of their own.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import work
 
 MIN_COSINE = 0.6
+#: Higher than for notices: long English texts share their frequent words.
+MIN_TEXT = 0.85
 WORDING = r"licen[sc]|copyright|spdx|public domain|permission is hereby|redistribution and use"
 
 #: Short notices of common licenses.
@@ -47,13 +56,22 @@ TEMPLATES = (
 )
 
 
+#: Lines that do not begin with a mark of comments.
+NO_COMMENT = r"(?m)^(?![\x20\t]*(?:#|//|/?\*|--|;|%)).*$"
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(license, text) of the full texts, read on the driver."""
+    return [(p.name.removesuffix(".txt"), p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+
+
 def _terms(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*+"), 0)
 
 
 def _weights(lines: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf) of a DataFrame of distinct lines."""
-    return lines.select(key, F.explode(_terms(F.col("line"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf) of a DataFrame with the columns key and text."""
+    return lines.select(key, F.explode(_terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def header_lines(files: DataFrame) -> DataFrame:
@@ -64,25 +82,39 @@ def header_lines(files: DataFrame) -> DataFrame:
     return lines.select("file", "at", F.col("line"), count(F.col("text")).alias("n_words"), count(F.col("line")).alias("line_words"))
 
 
+def blocks(files: DataFrame) -> DataFrame:
+    """(file, line, text, whole) of blocks of lines and whole texts; line is a hash."""
+    texts = files.where(F.lower("text").rlike(WORDING)).select("file", "text", F.split("text", "\n").alias("lines"))
+    wide = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("lines") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("lines", i, n), "\n"))
+    runs = F.split(F.regexp_replace("text", NO_COMMENT, "\0"), "\0")
+    parts = F.array_distinct(F.concat(wide(2), wide(3), F.split("text", r"\n[\x20\t\r]*\n"), runs))
+    parts = F.filter(parts, lambda p: F.lower(p).rlike(WORDING) & (p != F.col("text")))
+    both = F.concat(F.array(F.struct("text", F.lit(True).alias("whole"))), F.transform(parts, lambda p: F.struct(p.alias("text"), F.lit(False).alias("whole"))))
+    return texts.select("file", F.explode(both).alias("b")).select("file", F.sha2("b.text", 256).alias("line"), "b.text", "b.whole")
+
+
 def match_lines(lines: DataFrame, templates: DataFrame) -> DataFrame:
-    """(line, license, cosine) of distinct lines and their best templates.
+    """(line, license, cosine, full) of distinct lines and their best templates.
 
-    ``lines`` is (line, times); ``templates`` is (license, line).
+    ``lines`` is (line, text, times), where line is the key; ``templates`` is
+    (license, text, full).
     """
     total = lines.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"] + templates.count()
+    templates = templates.withColumn("template", F.struct("license", "full"))
     of_lines = _weights(lines, "line")
-    of_templates = _weights(templates, "license")
-    df = of_lines.join(lines, "line").groupBy("term").agg(F.sum("times").alias("df"))
+    of_templates = _weights(templates, "template")
+    df = of_lines.join(lines.select("line", "times"), "line").groupBy("term").agg(F.sum("times").alias("df"))
     df = df.union(of_templates.groupBy("term").agg(F.count("*").alias("df"))).groupBy("term").agg(F.sum("df").alias("df"))
     idf = df.select("term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     a = of_lines.join(idf, "term").select("line", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    b = of_templates.join(idf, "term").select("license", "term", (F.col("tf") * F.col("idf")).alias("v"))
+    b = of_templates.join(idf, "term").select("template", "term", (F.col("tf") * F.col("idf")).alias("v"))
     norm_a = a.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("na"))
-    norm_b = b.groupBy("license").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nb"))
-    dot = a.join(b, "term").groupBy("line", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    cos = dot.join(norm_a, "line").join(norm_b, "license").select("line", "license", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 9).alias("cosine"))
-    best = cos.where(F.col("cosine") >= MIN_COSINE).groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("back"), "license")).alias("m"))
-    return best.select("line", F.col("m.license").alias("license"), (-F.col("m.back")).alias("cosine"))
+    norm_b = b.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nb"))
+    dot = a.join(b, "term").groupBy("line", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    cos = dot.join(norm_a, "line").join(norm_b, "template").select("line", "template", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 9).alias("cosine"))
+    near = cos.where(F.col("cosine") >= F.when(F.col("template.full"), MIN_TEXT).otherwise(MIN_COSINE))
+    best = near.groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("back"), F.col("template.license").alias("license"), F.col("template.full").alias("full"))).alias("m"))
+    return best.select("line", F.col("m.license").alias("license"), (-F.col("m.back")).alias("cosine"), F.col("m.full").alias("full"))
 
 
 def ancestors(directory: Column) -> Column:
@@ -100,12 +132,18 @@ def scan(files: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     spark = files.sparkSession
     if templates is None:
         templates = spark.createDataFrame(list(TEMPLATES), "license string, line string")
+    notices = templates.select("license", F.col("line").alias("text"), F.lit(False).alias("full"))
+    texts = spark.createDataFrame(full_texts(), "license string, text string").withColumn("full", F.lit(True))
     heads = work.cut(header_lines(files.select("file", "text")), "headers")
-    known = work.cut(match_lines(heads.groupBy("line").agg(F.count("*").alias("times")), templates), "notices")
-    said = heads.join(work.small_or_not(known, known.count(), 400), "line")
-    own = said.groupBy("file").agg(
-        F.min(F.struct((-F.col("cosine")).alias("back"), "license")).alias("m"),
-        (2 * F.sum("line_words") >= F.max("n_words")).alias("whole"),
+    parts = work.cut(blocks(files.select("file", "text")), "blocks")
+    known = work.cut(match_lines(heads.groupBy("line").agg(F.count("*").alias("times")).withColumn("text", F.col("line")), notices), "notices")
+    alike = work.cut(match_lines(parts.groupBy("line").agg(F.first("text").alias("text"), F.count("*").alias("times")), notices.union(texts)), "alike")
+    said = heads.join(work.small_or_not(known, known.count(), 400), "line").select("file", "license", "cosine", F.lit(False).alias("all"), "full", "line_words", "n_words")
+    shown = parts.select("file", "line", "whole").join(work.small_or_not(alike, alike.count(), 160), "line")
+    shown = shown.select("file", "license", "cosine", F.col("whole").alias("all"), "full", F.lit(0).alias("line_words"), F.lit(1).alias("n_words"))
+    own = said.union(shown).groupBy("file").agg(
+        F.min(F.struct((~(F.col("all") & F.col("full"))).alias("part"), (-F.col("cosine")).alias("back"), "license")).alias("m"),
+        ((2 * F.sum("line_words") >= F.max("n_words")) | F.bool_or("all")).alias("whole"),
     )
     own = own.select("file", F.col("m.license").alias("license"), (-F.col("m.back")).alias("cosine"), "whole")
     where = files.select("file", "path", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "").alias("dir"))

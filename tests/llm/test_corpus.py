@@ -100,6 +100,20 @@ def test_archives_below_the_minimum_and_empty_tables(spark, tmp_path):
     assert warc.archive(df.where("false"), f"file://{tmp_path}/b").count() == 0
 
 
+def test_full_texts_and_wrapped_headers(spark):
+    text = dict(licenses.full_texts())
+    mit = text["MIT"].replace("[year] [fullname]", "2024 A Person")
+    bare = mit.split("\n", 2)[2]
+    rows = [(n, f"{n}/LICENSE", t) for n, t in text.items()] + [(f"{n}/x", f"{n}/src/x.py", "code") for n in text]
+    rows += [("bare", "b/LICENSE", bare), ("below", "b/c/x.py", "code"), ("head", "h/x.py", "\n".join("# " + x for x in mit.split("\n")) + "\ncode here" * 900), ("beside", "h/y.py", "code")]
+    rows += [("wrapped", "w/x.py", "# Licensed under the Apache\n# License, Version 2.0\n" + "code " * 50)]
+    rows += [("prose", "p/x.txt", "The driver of the car has to show the license to the officer, and any of the papers that are in the car. " * 9)]
+    got = {r.file: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "file string, path string, text string")).collect()}
+    want = {n: (n, "header") for n in text} | {f"{n}/x": (n, "inherited") for n in text}
+    want |= {"bare": ("MIT", "header"), "below": ("MIT", "inherited"), "head": ("MIT", "header"), "beside": (None, "none"), "wrapped": ("Apache-2.0", "header"), "prose": (None, "none")}
+    assert got == want
+
+
 def test_licenses_and_inheritance(spark):
     rows = [
         ("LICENSE", "a/LICENSE", "Released under the MIT License."),
