@@ -115,6 +115,20 @@ def exact_groups(df: DataFrame, by: list[str], text: Column) -> DataFrame:
     return df.withColumn("norm", text).groupBy(*by, "norm").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def equal_groups(df: DataFrame, key: str, what: str) -> DataFrame:
+    """(ids) of the rows that are equal in a column, two or more."""
+    return df.where(F.col(what).isNotNull()).groupBy(what).agg(F.array_sort(F.collect_list(key)).alias("ids")).where(F.size("ids") > 1).select("ids")
+
+
+def mutual_groups(df: DataFrame, key: str, vector: str, k: int, least: float) -> DataFrame:
+    """(ids) of each row's ``k`` nearest of ``least`` or more, if all pairs of them reach ``least``."""
+    near = knn(df, key, vector, k).where(F.col("cosine") >= least).select("query", F.col("neighbour").alias("id"))
+    members = near.join(df.select(F.col(key).alias("id"), F.col(vector).alias("v")), "id")
+    got = members.groupBy("query").agg(F.collect_list(F.struct("id", "v")).alias("m")).where(F.size("m") > 1)
+    alike = F.forall("m", lambda a: F.forall("m", lambda b: (a["id"] >= b["id"]) | (F.round(cosine(a["v"], b["v"]), 12) >= least)))
+    return got.where(alike).select(F.array_sort(F.transform("m", lambda a: a["id"])).alias("ids"))
+
+
 def united_groups(*groups: DataFrame) -> DataFrame:
     """Distinct groups, each a sorted id array ``ids``."""
     out = groups[0].select(F.array_sort("ids").alias("ids"))

@@ -76,10 +76,11 @@ def recurrence_exact(spark, sf_dir):
 
 @query("recurrence_clusters")
 def recurrence_clusters(spark, sf_dir):
-    """Nearest-neighbour groups that are mutually similar, over two labels or more."""
+    """Groups of equal vectors, and of the 8 nearest rows if all are mutually similar, over two labels or more."""
     e = load(spark, sf_dir, "embeddings")
-    near = vectors.knn(e, "vec_id", "embedding", 3).where("cosine >= 0.3").groupBy("query").agg(F.array_sort(F.collect_list("neighbour")).alias("ids")).where(F.size("ids") > 1)
-    groups = vectors.united_groups(near).withColumn("group", F.xxhash64("ids"))
+    same = vectors.equal_groups(e, "vec_id", "embedding")
+    near = vectors.mutual_groups(e, "vec_id", "embedding", 8, 0.3)
+    groups = vectors.united_groups(same, near).withColumn("group", F.xxhash64("ids"))
     members = e.select("vec_id", "label", (F.col("vec_id") % 7).alias("owner"), F.col("vec_id").alias("at"))
     return vectors.recurrence(groups, members, "vec_id", "label", "owner", "at")
 

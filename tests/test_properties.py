@@ -72,3 +72,22 @@ def test_search_and_clusters(spark, seed, monkeypatch):
         for r in vectors.complete_link(df.where(F.col("g") == g), "g", "id", "v", 0.3).collect():
             got.setdefault(r.cluster, []).append(r.id)
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups))
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_recurrence_clusters(spark, seed, tmp_path):
+    from attesta.plans.vectors import recurrence_clusters
+
+    rng = np.random.default_rng(seed)
+    m = rng.normal(size=(70, 6))
+    m[60:] = m[0]
+    spark.createDataFrame([(i, i % 3, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, label long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 12)
+    groups = {(0, *range(60, 70))}
+    for i in range(70):
+        g = sorted(int(j) for j in np.argsort(-sim[i], kind="stable")[:8] if sim[i, j] >= 0.3)
+        if len(g) > 1 and all(sim[a, b] >= 0.3 for a in g for b in g):
+            groups.add(tuple(g))
+    want = sorted((len({i % 3 for i in g}), len({i % 7 for i in g}), g[0], g[-1], len(g)) for g in groups if len({i % 3 for i in g}) > 1)
+    assert sorted((r.sources, r.owners, r.first_seen, r.last_seen, r.n) for r in recurrence_clusters(spark, str(tmp_path)).collect()) == want and max(w[-1] for w in want) == 11
