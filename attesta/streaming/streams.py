@@ -86,6 +86,14 @@ def drained(df: DataFrame, mode: str, checkpoint: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def drained_to_files(df: DataFrame, checkpoint: str) -> DataFrame:
+    """All appended rows of a stream over what is there now, by files beside the checkpoint."""
+    path = f"{checkpoint}-rows"
+    q = df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def closed_before(df: DataFrame, start: str, bound: Column) -> DataFrame:
     """Windows that were closed when the stream ended."""
     return df.where(F.col(start) < bound)

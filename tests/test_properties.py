@@ -91,3 +91,19 @@ def test_recurrence_clusters(spark, seed, tmp_path):
             groups.add(tuple(g))
     want = sorted((len({i % 3 for i in g}), len({i % 7 for i in g}), g[0], g[-1], len(g)) for g in groups if len({i % 3 for i in g}) > 1)
     assert sorted((r.sources, r.owners, r.first_seen, r.last_seen, r.n) for r in recurrence_clusters(spark, str(tmp_path)).collect()) == want and max(w[-1] for w in want) == 11
+
+
+def test_stream_dedupe_keeps_files_of_overlapping_times(spark, tmp_path):
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from attesta.plans.streams import stream_dedupe
+
+    os.makedirs(path := f"{tmp_path}/events.parquet")
+    for part in range(3):
+        at = [dt.datetime(2024, 1, 1) + dt.timedelta(days=5 * i + (1 - part)) for i in range(20)]
+        pq.write_table(pa.table({"event_id": [100 * part + i for i in range(20)] + [7], "user_id": [1] * 20 + [1], "ts": pa.array([*at, dt.datetime(2024, 2, 6)], pa.timestamp("us"))}), f"{path}/part-{part}.parquet")
+        os.utime(f"{path}/part-{part}.parquet", (1_700_000_000 + part, 1_700_000_000 + part))
+    assert sorted(r.event_id for r in stream_dedupe(spark, str(tmp_path)).collect()) == [*range(20), *range(100, 120), *range(200, 220)]
