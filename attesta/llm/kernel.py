@@ -9,6 +9,7 @@ of its own.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 
 import numpy as np
@@ -21,7 +22,10 @@ HASH_BITS = 52
 SHINGLE = 5
 _MULT = 0x9E3779B97F4A7C15 | 1
 _BASE = 0xD6E8FEB86659FD93 | 1
-_M64 = (1 << 64) - 1
+#: Spans up to so many bytes are hashed in step.
+SHORT_SPAN = 64
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _ORDER = tuple(pow(_MULT, 2 * j + 3, 1 << 64) for j in range(SHINGLE))
 
 
@@ -93,21 +97,6 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    held = sys.__dict__.setdefault("_attesta_cache", {})
-    if "powers" not in held or len(held["powers"][0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        if size > 4 * SLICE_BYTES:
-            return tuple(out)
-        held["powers"] = tuple(out)
-    return held["powers"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x ^ (x >> np.uint64(30))
@@ -118,11 +107,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans from one running polynomial sum."""
-    up, down = _powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    """64-bit hashes of byte spans.
+
+    Short spans are read eight bytes at a time, all spans in step, each word
+    stirred in by a bijection; a longer span is one BLAKE2b digest.  Neither has
+    inputs of a simple pattern that collide, as sums of powers modulo 2^64 have.
+    """
+    out = np.empty(len(start), np.uint64)
+    size = end - start
+    short = np.flatnonzero(size <= SHORT_SPAN)
+    if len(short):
+        padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+        word_at = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+        at, left = start[short], size[short]
+        h = mix(left.astype(np.uint64) + np.uint64(_MULT))
+        live = np.arange(len(short))
+        while len(live):
+            part = word_at[at[live]] & _HEAD[np.minimum(left[live], 8)]
+            h[live] = mix((h[live] ^ part) + np.uint64(_BASE))
+            at[live] += 8
+            left[live] -= 8
+            live = live[left[live] > 0]
+        out[short] = h
+    long = np.flatnonzero(size > SHORT_SPAN)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(buf))
+        digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(start[long].tolist(), end[long].tolist()))
+        out[long] = np.frombuffer(digests, "<u8")
+    return out
 
 
 def windows(hashes: np.ndarray, row: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
