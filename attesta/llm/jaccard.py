@@ -77,18 +77,18 @@ def _survey(counters: int):
     """Rows (doc_id, n, cls) of documents and (block, counts) of the task's sketch."""
 
     def run(batches):
-        counts = np.zeros(counters, np.uint16)
+        counts = np.zeros(counters, np.uint8)
         for batch in batches:
             ids = batch.column("doc_id")
             for a, b, row, h, n in _sets(batch):
-                np.add.at(counts, (h % np.uint64(counters)).astype(np.int64), np.uint16(1))
+                cell, seen = np.unique((h % np.uint64(counters)).astype(np.int64), return_counts=True)
+                counts[cell] = np.minimum(counts[cell].astype(np.int64) + seen, 255)
                 nothing = pa.nulls(b - a)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(_class_ids(row, h, n)), nothing.cast(pa.int32()), nothing.cast(pa.binary())],
                     ["doc_id", "n", "cls", "block", "counts"],
                 )
         for k, part in enumerate(counts.reshape(-1, BLOCK)):
-            part = np.minimum(part, 255).astype(np.uint8)
             if part.any():
                 none = pa.nulls(1, pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["doc_id", "n", "cls", "block", "counts"])
@@ -195,28 +195,57 @@ def signatures(row, h, n, rare, bounds):
     return np.concatenate(out_sig), np.concatenate(out_row), np.concatenate(out_often)
 
 
+BLOB = "bucket long, flush long, low binary, high binary, local binary"
+_BLOB_NAMES = ("bucket", "flush", "low", "high", "local")
+
+
+def _steps(local: np.ndarray) -> bytes:
+    """Ascending numbers as differences of one byte; 255 adds and goes on."""
+    gap = np.diff(local, prepend=0)
+    more = gap // 255
+    out = np.full(len(gap) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = gap - 255 * more
+    return out.tobytes()
+
+
+def _places(steps: bytes) -> np.ndarray:
+    step = np.frombuffer(steps, np.uint8)
+    return np.cumsum(step, dtype=np.int64)[step != 255]
+
+
+def _owner(flush: int, local: np.ndarray) -> np.ndarray:
+    """64-bit ids of a flush's documents."""
+    return kernel.mix(local.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(flush & (1 << 64) - 1)).view(np.int64)
+
+
 def _emit(bits, largest: int, buckets: int):
-    """Signature blobs: a row per bucket and flush, 8 bytes a signature."""
+    """Signature blobs of flushes: a row per bucket, 6 bytes a signature and about
+    one for its document's place in the flush, and one row of the documents.
+
+    Documents go to buckets of their own, as (class, size) by place, so what is
+    shuffled does not grow with the number of buckets a document meets.  A
+    flush is known by a hash of its classes in order: a task that runs again
+    names it alike.
+    """
     bounds = band_bounds(largest)
 
     def flush(sig, local, often, cls, size):
+        with np.errstate(over="ignore"):
+            name = int(np.bitwise_xor.reduce(kernel.mix(cls.view(np.uint64) + np.arange(len(cls), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))).view(np.int64))
+        spread = name % buckets
         bucket = ((sig >> np.uint64(31)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        bucket[often] = buckets + int(cls[0]) % buckets
+        bucket[often] = buckets + spread
         order = _order(bucket, local.astype(np.uint64), max(1, len(cls).bit_length()))
         bucket, sig, local = bucket[order], sig[order], local[order]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         los, his = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(bucket)]))
-        for j in range(0, len(los), 256):
-            cols = {"bucket": [], "low": [], "high": [], "each": [], "cls": [], "n": []}
-            for lo, hi in zip(los[j : j + 256], his[j : j + 256]):
-                used, each = np.unique(local[lo:hi], return_counts=True)
-                cols["bucket"].append(int(bucket[lo]))
-                cols["low"].append(sig[lo:hi].astype(np.uint32).tobytes())
-                cols["high"].append((sig[lo:hi] >> np.uint64(32)).astype(np.uint16).tobytes())
-                cols["each"].append(each.astype(np.uint32).tobytes())
-                cols["cls"].append(cls[used].tobytes())
-                cols["n"].append(size[used].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cols["bucket"], pa.int64()), *(pa.array(cols[c], pa.binary()) for c in ("low", "high", "each", "cls", "n"))], list(cols))
+        rows = [(2 * buckets + spread, name, cls.tobytes(), size.astype(np.uint32).tobytes(), b"")]
+        for k, (lo, hi) in enumerate(zip(los.tolist(), his.tolist()), 1):
+            rows.append((int(bucket[lo]), name, sig[lo:hi].astype(np.uint32).tobytes(), (sig[lo:hi] >> np.uint64(32)).astype(np.uint16).tobytes(), _steps(local[lo:hi])))
+            if k % 256 == 0 or k == len(los):
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], list(_BLOB_NAMES))
+                rows = []
 
     def run(batches):
         held, seen, count, base = [], [], 0, 0
@@ -228,11 +257,15 @@ def _emit(bits, largest: int, buckets: int):
                 _, lead = np.unique(cls, return_index=True)
                 once = np.zeros(len(n), bool)
                 once[lead] = True
+                once &= n > 0
+                if seen:
+                    once &= ~np.isin(cls, np.concatenate([c for c, _ in seen]))
+                place = np.cumsum(once) - 1 + base
                 mine = once[row]
                 s, r, often = signatures(row[mine], h[mine], n * once, rare[mine], bounds)
-                held.append((s, r + base, often))
-                seen.append((cls, n))
-                count, base = count + len(s), base + len(n)
+                held.append((s, place[r], often))
+                seen.append((cls[once], n[once]))
+                count, base = count + len(s), base + int(once.sum())
                 if count >= FLUSH_SIGNATURES:
                     yield from flush(*(np.concatenate(x) for x in (*zip(*held), *zip(*seen))))
                     held, seen, count, base = [], [], 0, 0
@@ -242,46 +275,52 @@ def _emit(bits, largest: int, buckets: int):
     return run
 
 
-STARS = "sig long, a long, b long, na long, nb long"
+EDGE, MEMBER, OWNER = 0, 1, 2
+STARS = "kind int, sig long, a long, b long, n long"
 
 
 def _stars(buckets: int):
-    """Distinct star edges (a, b, na, nb) of a bucket: each group of one signature
-    around its pivot, the smallest class.
+    """Distinct star edges (a, b) of a bucket's owners: each group of one signature
+    around its pivot, the smallest owner.
 
-    Buckets past the last hold frequent signatures of some flushes; their
-    members (sig, a, na) are passed on as they are.
+    Buckets past the last hold frequent signatures of some flushes, whose
+    members (sig, b) are passed on as they are, or owners (b, class a, size).
     """
 
+    def rows(kind: int, **columns) -> pa.Table:
+        n = len(next(iter(columns.values())))
+        none = pa.nulls(n, pa.int64())
+        return pa.table({"kind": pa.array(np.full(n, kind, np.int32)), **{c: columns.get(c, none) for c in ("sig", "a", "b", "n")}})
+
     def run(table: pa.Table) -> pa.Table:
-        sigs, clss, ns = [], [], []
-        for low, high, each, cls, n in zip(*(table.column(c).to_pylist() for c in ("low", "high", "each", "cls", "n"))):
-            each = np.frombuffer(each, np.uint32)
-            sigs.append(np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint32))
-            clss.append(np.repeat(np.frombuffer(cls, np.int64), each))
-            ns.append(np.repeat(np.frombuffer(n, np.uint32), each))
-        sig, cls, n = np.concatenate(sigs), np.concatenate(clss), np.concatenate(ns).astype(np.int64)
-        if table.column("bucket")[0].as_py() >= buckets:
-            none = pa.nulls(len(sig), pa.int64())
-            return pa.table({"sig": sig.view(np.int64), "a": cls, "b": none, "na": n, "nb": none})
+        flushes, lows, highs, locals_ = (table.column(c).to_pylist() for c in _BLOB_NAMES[1:])
+        bucket = table.column("bucket")[0].as_py()
+        if bucket >= 2 * buckets:
+            cls = np.concatenate([np.frombuffer(x, np.int64) for x in lows])
+            size = np.concatenate([np.frombuffer(x, np.uint32) for x in highs]).astype(np.int64)
+            own = np.concatenate([_owner(f, np.arange(len(x) // 8)) for f, x in zip(flushes, lows)])
+            return rows(OWNER, a=cls, b=own, n=size)
+        sig = np.concatenate([np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint32) for low, high in zip(lows, highs)])
+        own = np.concatenate([_owner(f, _places(x)) for f, x in zip(flushes, locals_)])
+        if bucket >= buckets:
+            return rows(MEMBER, sig=sig.view(np.int64), b=own)
         order = _order(sig >> np.uint64(8), sig & np.uint64(255), 8)
         sig = sig[order]
         again = np.zeros(len(sig), bool)
         again[1:] = sig[1:] == sig[:-1]
         again[:-1] |= again[1:]
         order, sig = order[again], sig[again]
-        cls, n = cls[order], n[order]
-        order = np.lexsort((cls, sig))
-        sig, cls, n = sig[order], cls[order], n[order]
+        own = own[order]
+        order = np.lexsort((own, sig))
+        sig, own = sig[order], own[order]
         lead = np.ones(len(sig), bool)
         lead[1:] = sig[1:] != sig[:-1]
         start = np.flatnonzero(lead)
         pivot = np.repeat(start, np.diff(np.concatenate((start, [len(sig)]))))
-        rest = cls != cls[pivot]
-        found = pa.table({"a": cls[pivot][rest], "b": cls[rest], "na": n[pivot][rest], "nb": n[rest]})
-        found = found.group_by(["a", "b", "na", "nb"]).aggregate([])
+        rest = own != own[pivot]
+        found = pa.table({"a": own[pivot][rest], "b": own[rest]}).group_by(["a", "b"]).aggregate([])
         work.trim()
-        return found.add_column(0, "sig", pa.nulls(len(found), pa.int64()))
+        return rows(EDGE, a=found.column("a"), b=found.column("b"))
 
     return run
 
@@ -370,6 +409,20 @@ def _data(docs: DataFrame, facts: DataFrame, pairs: DataFrame, pack) -> DataFram
     return work.cut(sets.join(owners, "doc_id", "left_semi").groupBy("cls", "doc_id").agg(F.first("data").alias("data")).select("cls", "data"), "sets")
 
 
+def _named(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """Distinct edges (a, b, na, nb) of classes from edges of owners.
+
+    An owner without its row would be a lost link, so it is an error: it means
+    that a repeated task read its rows in another order.
+    """
+    of = lambda side: owners.select(F.col("b").alias(side), F.col("a").alias(f"c{side}"), F.col("n").alias(f"n{side}"))
+    rows = edges.join(of("b"), "b", "left").join(of("a"), "a", "left")
+    lost = F.raise_error(F.lit("signatures of a document that no task named"))
+    known = lambda c: F.coalesce(F.col(c), lost.cast("long")).alias(c)
+    rows = rows.select(known("ca"), known("cb"), "na", "nb").where("ca <> cb")
+    return rows.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb").distinct()
+
+
 def links(docs: DataFrame, facts: DataFrame, sketch: DataFrame, counters: int) -> DataFrame:
     """Verified links (a, b) between classes that span every component."""
     spark = docs.sparkSession
@@ -378,18 +431,20 @@ def links(docs: DataFrame, facts: DataFrame, sketch: DataFrame, counters: int) -
     buckets = max(24, -(-total["n"] // SIGNATURES_PER_BUCKET))
     raw = work.cut(
         docs.select("text")
-        .mapInArrow(work.tidy(_emit(bits, total["top"], buckets)), "bucket long, low binary, high binary, each binary, cls binary, n binary")
+        .mapInArrow(work.tidy(_emit(bits, total["top"], buckets)), BLOB)
         .groupBy("bucket")
         .applyInArrow(_stars(buckets), STARS),
         "members",
     )
     work.release(spark)
-    often = raw.where("sig is not null").select("sig", F.col("a").alias("b"), F.col("na").alias("nb"))
-    pivots = work.cut(often.groupBy("sig").agg(F.min(F.struct(F.col("b").alias("a"), F.col("nb").alias("na"))).alias("p"), F.count("*").alias("k")).where("k > 1").select("sig", "p.*"), "pivots")
-    often = often.join(work.small_or_not(pivots, pivots.count(), 48), "sig").where("a <> b").select("a", "b", "na", "nb")
-    stars = work.cut(raw.where("sig is null").select("a", "b", "na", "nb").union(often).distinct(), "stars")
+    often = raw.where(f"kind = {MEMBER}").select("sig", "b")
+    pivots = work.cut(often.groupBy("sig").agg(F.min("b").alias("a"), F.count("*").alias("k")).where("k > 1").select("sig", "a"), "pivots")
+    often = often.join(work.small_or_not(pivots, pivots.count(), 40), "sig").where("a <> b").select("a", "b")
+    stars = work.cut(_named(raw.where(f"kind = {EDGE}").select("a", "b").union(often).distinct(), raw.where(f"kind = {OWNER}")), "stars")
     work.drop(raw, pivots)
     pairs = stars.where("3 * greatest(na, nb) <= 4 * least(na, nb)")
+    ordered = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), ordered("na", "nb").alias("na"), ordered("nb", "na").alias("nb")).distinct()
     cells = _data(docs, facts, stars, _cells)
     near = _compare(pairs, cells, _near, "near")
     sets = _data(docs, facts, near, _features)
@@ -481,7 +536,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = rep.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = label.groupBy("root").agg(F.min("least").alias("component_id"))
     of = label.join(smallest, "root").select("cls", "component_id")
-    return facts.join(of, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = facts.where("n > 0").join(of, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return linked.union(facts.where("n = 0").select("doc_id", "n", "doc_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -132,3 +132,47 @@ def test_words_of_a_batch_with_nulls_and_long_text():
         for s, e, r in zip(*kernel.words(part, offs[a : b + 1] - offs[a])):
             found[a + r].append(part[s:e].tobytes().decode())
     assert found == [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+
+
+def thue_morse(n: int) -> str:
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 4096])
+def test_words_of_a_simple_pattern_do_not_collide(n):
+    """Sums of powers modulo 2^64 of a Thue-Morse word and its complement are equal."""
+    word = thue_morse(n)
+    other = word.translate(str.maketrans("ab", "ba"))
+    text = f"{word} {other} {word}".encode()
+    buf = np.frombuffer(text, np.uint8)
+    a, b, c = kernel.span_hash(buf, *kernel.words(buf, np.array([0, len(text)]))[:2])
+    assert a == c and a != b
+    sets = [set(kernel.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[1].tolist()) for t in (f"w x {word} y z q", f"w x {other} y z q")]
+    assert len(sets[0] & sets[1]) == 0
+
+
+def test_span_hashes_depend_on_the_bytes_of_the_span_only():
+    rng = np.random.default_rng(2)
+    pool = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in [*range(1, 20), 63, 64, 65, 200] for _ in range(3)]
+    text = b" ".join(pool[i] for i in rng.integers(0, len(pool), 500))
+    buf = np.frombuffer(text, np.uint8)
+    start, end, _ = kernel.words(buf, np.array([0, len(text)]))
+    seen = {}
+    for s, e, h in zip(start.tolist(), end.tolist(), kernel.span_hash(buf, start, end).tolist()):
+        assert seen.setdefault(text[s:e], h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_steps_round_trip():
+    rng = np.random.default_rng(1)
+    for top in (3, 300, 100_000):
+        local = np.sort(rng.integers(0, top, 50))
+        assert jaccard._places(jaccard._steps(local)).tolist() == local.tolist()
+    assert jaccard._places(jaccard._steps(np.array([255, 510, 510, 765]))).tolist() == [255, 510, 510, 765]
+
+
+def test_the_sketch_saturates(spark):
+    rows = [(i, "one two three four five six") for i in range(3000)]
+    facts, sketch, counters = jaccard.survey(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    bits = np.unpackbits(np.frombuffer(jaccard.frequent_bits(sketch, counters, 6000), np.uint8))
+    assert bits.sum() == 2 and facts.count() == 3000
