@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
 
-Words are the letter and digit runs of the case-folded text.  Seeds are the
-distinct 4-word windows of the items (all words, for shorter items).  One scan
-of the documents tests every window against a bit map of the seeds, a fixed
-number of bytes whatever the data, and writes the stretches of words around the
+Words are the runs of letters, digits and marks of any script, in lower case.
+Seeds are the distinct 4-word windows of the items (all words, for shorter
+items).  One scan of the documents tests every window against a bit map of the
+seeds, sized by their number, and writes the stretches of words around the
 hits.  A join with the seeds makes (passage, item) candidates: every seed
 nominates, however frequent, so what is found in a document does not depend on
 other documents.  A candidate whose words, counted with repetitions, have too
@@ -14,12 +14,16 @@ mismatch -1, gap -1).  An item counts as contained if the
 alignment reaches ``MIN_SCORE`` of the item's full score and matches at least
 ``MIN_WORDS`` words, or the whole item if that is shorter.
 
-Null and empty texts, and items without words, match nothing.  An item longer
+Null and empty texts, items without words, and null ids of items match nothing.
+``matched_words`` is what a score needs at least, half of it.  An item longer
 than a document is compared as it is.  Repeated rows give one result.
+``contained`` leaves rows without a doc_id out, ``without_leaks`` judges them.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 from . import kernel, work
 
 GRAM = 4
-BITS = 1 << 24
+#: Bits of the seed map for each seed, and the most and least there are of them.
+BITS_PER_SEED, MIN_BITS, MAX_BITS = 16, 1 << 20, 1 << 28
 MIN_SCORE = 0.5
 MIN_WORDS = 4
 #: Words around a hit, as a multiple of the longest item.
@@ -36,18 +41,47 @@ AROUND = 1.5
 ALIGN_CELLS = 4_000_000
 
 
-def _alnum_table() -> np.ndarray:
-    t = np.zeros(256, bool)
-    t[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-    return t
+def _code_points() -> tuple[np.ndarray, np.ndarray]:
+    """(lower case, whether it belongs to words) of every code point of the BMP.
+
+    Letters, digits and marks do.  Lower case is a code point that UTF-8 writes
+    in as many bytes, else the code point itself.
+    """
+    width = lambda c: 1 if c < 0x80 else 2 if c < 0x800 else 3
+    low, word = np.arange(1 << 16, dtype=np.uint32), np.zeros(1 << 16, bool)
+    for c in (c for c in range(1 << 16) if not 0xD800 <= c < 0xE000):
+        small = chr(c).lower()
+        if len(small) == 1 and width(ord(small)) == width(c):
+            low[c] = ord(small)
+        word[c] = unicodedata.category(chr(c))[0] in "LNM"
+    return low, word
 
 
-ALNUM = _alnum_table()
+def _folded(buf: np.ndarray) -> np.ndarray:
+    """Lower-cased bytes of valid UTF-8, with a blank for every byte outside words.
+
+    Code points past the BMP count as letters.
+    """
+    lower, word = kernel.cached("code points", _code_points)
+    out = np.where(word[buf] & (buf < 128), kernel.LOWER[buf], np.uint8(32))
+    out = np.where(buf < 128, out, buf)
+    at = np.flatnonzero((buf >= 0xC2) & (buf < 0xE0))
+    if len(at):
+        c = (buf[at].astype(np.uint32) & 31) << 6 | buf[at + 1] & 63
+        own, c = word[c], lower[c]
+        out[at], out[at + 1] = np.where(own, 0xC0 | c >> 6, 32), np.where(own, 0x80 | c & 63, 32)
+    at = np.flatnonzero((buf >= 0xE0) & (buf < 0xF0))
+    if len(at):
+        c = (buf[at].astype(np.uint32) & 15) << 12 | (buf[at + 1].astype(np.uint32) & 63) << 6 | buf[at + 2] & 63
+        own, c = word[c], lower[c]
+        for j, value in enumerate((0xE0 | c >> 12, 0x80 | c >> 6 & 63, 0x80 | c & 63)):
+            out[at + j] = np.where(own, value, 32)
+    return out
 
 
 def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every word: runs of letters, digits and bytes past ASCII."""
-    low = np.where(ALNUM[buf], kernel.LOWER[buf], np.uint8(32))
+    """(hash, row) of every word: runs of letters, digits and marks."""
+    low = _folded(buf)
     start, end, row = kernel.words(low, offs)
     return kernel.span_hash(low, start, end), row
 
@@ -82,44 +116,64 @@ def _item_rows(batches):
         )
 
 
-def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bit numbers of each hash."""
-    return (h % np.uint64(BITS)).astype(np.uint32), (kernel.mix(h) % np.uint64(BITS)).astype(np.uint32)
+def bits_for(seeds: int) -> int:
+    """A power of two; past 16 million seeds the map gets denser, not larger."""
+    return min(MAX_BITS, max(MIN_BITS, 1 << (max(1, seeds) * BITS_PER_SEED - 1).bit_length()))
 
 
-def _held(seen: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _places(h: np.ndarray, size: int) -> np.ndarray:
+    """The first and the second bit number of each hash, in two rows."""
+    return np.stack((h, kernel.mix(h))) & np.uint64(size - 1)
+
+
+def _held(seen: np.ndarray, size: int, h: np.ndarray) -> np.ndarray:
     """Indices of the hashes the map may hold."""
-    at = np.flatnonzero(seen[(h % np.uint64(BITS)).astype(np.int64)])
-    return at[seen[_places(h[at])[1]]]
+    at = np.arange(len(h))
+    for place in (lambda x: x, kernel.mix):
+        bit = (place(h[at]) & np.uint64(size - 1)).astype(np.int64)
+        at = at[seen[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1]
+    return at
 
 
-def _bitmap(batches):
+def _bitmap(size: int):
     """One row of set bit numbers for each batch of seeds."""
-    for batch in batches:
-        h = batch.column("gram").to_numpy().view(np.uint64)
-        h = np.unique(np.concatenate(_places(h)))
-        yield pa.RecordBatch.from_arrays([pa.array([h.tobytes()], pa.binary())], ["bits"])
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column("gram").to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array([np.unique(_places(h, size)).astype(np.uint32).tobytes()], pa.binary())], ["bits"])
+
+    return run
 
 
-def _scan(bits, around: int, short: bool):
+def seed_map(seeds: DataFrame, size: int) -> bytes:
+    """The packed map of all seeds."""
+    out = np.zeros(size >> 3, np.uint8)
+    for part in seeds.select("gram").distinct().mapInArrow(work.tidy(_bitmap(size)), "bits binary").toLocalIterator():
+        bit = np.frombuffer(part["bits"], np.uint32)
+        np.bitwise_or.at(out, bit >> 3, np.left_shift(np.uint8(1), (bit & 7).astype(np.uint8)))
+    return out.tobytes()
+
+
+def _scan(bits, size: int, around: int, short: list[int]):
     """Passages (doc_id, first, words, grams) around windows the map may hold.
 
     Windows of fewer than GRAM words only arise from texts that short, so short
     items are found in longer texts by windows of their own lengths.
     """
-    sizes = sorted({GRAM, *short})
+    windows = sorted({GRAM, *short})
 
     def run(batches):
-        seen = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
+        seen = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             buf, offs = kernel.column_bytes(batch.column("text"))
             ids = batch.column("doc_id")
             for a, b in kernel.slices(offs):
                 h, row = _words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 hit_h, hit_at = [], []
-                for size in sizes:
-                    got, at = kernel.windows(h, row, GRAM) if size == GRAM else _short(h, row, size)
-                    ok = _held(seen, got)
+                for n in windows:
+                    got, at = kernel.windows(h, row, GRAM) if n == GRAM else _short(h, row, n)
+                    ok = _held(seen, size, got)
                     hit_h.append(got[ok])
                     hit_at.append(at[ok])
                 hit_h, hit_at = np.concatenate(hit_h), np.concatenate(hit_at)
@@ -228,13 +282,11 @@ def contained(docs: DataFrame, bench: DataFrame) -> DataFrame:
     items = work.cut(bench.select("item_id", "text").where("item_id is not null").mapInArrow(work.tidy(_item_rows), "item_id long, size long, words binary, grams array<long>").where("size > 0"), "items")
     facts = items.agg(F.count("*").alias("n"), F.coalesce(F.max("size"), F.lit(1)).alias("top"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()
     seeds = items.select("item_id", F.explode("grams").alias("gram"))
-    bits = np.zeros(BITS, np.uint8)
-    for part in seeds.select("gram").distinct().mapInArrow(work.tidy(_bitmap), "bits binary").toLocalIterator():
-        bits[np.frombuffer(part["bits"], np.uint32)] = 1
+    size = bits_for(facts["total"])
     short = [r[0] for r in items.where(F.col("size") < GRAM).select("size").distinct().collect()]
-    bits = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
+    bits = spark.sparkContext.broadcast(seed_map(seeds, size))
     around = int(facts["top"] * AROUND) + GRAM
-    passages = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(work.tidy(_scan(bits, around, short)), "doc_id long, first long, words binary, grams array<long>")
+    passages = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(work.tidy(_scan(bits, size, around, short)), "doc_id long, first long, words binary, grams array<long>")
     passages = work.cut(passages, "passages")
     hits = passages.select("doc_id", "first", F.explode("grams").alias("gram"))
     near = hits.join(work.small_or_not(seeds, facts["total"], 24), "gram").select("doc_id", "first", "item_id").distinct()
@@ -248,9 +300,13 @@ def contained(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """Documents in which no item is contained, with all columns."""
-    gone = work.cut(contained(docs, bench).select("doc_id").distinct(), "leaked")
-    return docs.join(work.small_or_not(gone, gone.count(), 16), "doc_id", "left_anti").select(docs.columns)
+    """Documents in which no item is contained, with all columns.
+
+    Rows of one doc_id go together; a row without one is known by its text.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    gone = work.cut(contained(docs.select(key.alias("doc_id"), "text"), bench).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
+    return docs.join(work.small_or_not(gone, gone.count(), 16), key == F.col("_leaked"), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
