@@ -4,7 +4,8 @@
 hash; four bits of the block, one in each long, come from another.  The filter
 is a DataFrame with one row per block, so building it is one pre-aggregated
 ``bit_or`` and probing it a hash join on the block number.  What passes goes to
-an exact join with the list, which removes the false positives.
+an exact join with the list, which removes the false positives.  All other pages
+stay where they were read.
 
 Null urls, and those without ``://``, have an empty host and path, fit no rule
 and are allowed.  Repeated page rows stay repeated; an empty list allows all.
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 from . import work
 
 BITS_PER_KEY = 16
-MAX_BLOCKS = 1 << 16
 BLOCK_BYTES = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,8 +40,8 @@ LISTED = (
 
 
 def n_blocks(keys: int) -> int:
-    """A power of two: 16 bits a key, bounded by MAX_BLOCKS."""
-    return min(MAX_BLOCKS, 1 << max(0, (max(keys, 1) * BITS_PER_KEY // 256).bit_length()))
+    """A power of two: 16 bits a key at least, up to 2^24 blocks of 256 bits."""
+    return min(1 << 24, 1 << max(0, (max(keys, 1) * BITS_PER_KEY // 256).bit_length()))
 
 
 def _block(h: Column, blocks: int) -> Column:
@@ -59,15 +59,27 @@ def bloom_blocks(keys: DataFrame, count: int) -> DataFrame:
     return keys.groupBy(_block(h, blocks).alias("block")).agg(*(F.bit_or(_mask(h, j)).alias(f"w{j}") for j in range(4)))
 
 
+def _hit(h: Column) -> Column:
+    out = F.lit(True)
+    for j in range(4):
+        m = _mask(h, j)
+        out = out & (F.col(f"w{j}").bitwiseAND(m) == m)
+    return out
+
+
 def bloom_probe(rows: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
-    """Rows whose hash ``h`` the filter may hold.  MAX_BLOCKS bounds the broadcast."""
+    """Rows whose hash ``h`` the filter may hold; blocks are broadcast if small."""
     h, n = F.col("h"), n_blocks(count)
     small = work.small_or_not(blocks, n, BLOCK_BYTES)
-    hit = F.lit(True)
-    for j in range(4):
-        m = _mask(h, j)
-        hit = hit & (F.col(f"w{j}").bitwiseAND(m) == m)
-    return rows.withColumn("block", _block(h, n)).join(small, "block").where(hit).select(*rows.columns)
+    return rows.withColumn("block", _block(h, n)).join(small, "block").where(_hit(h)).select(*rows.columns)
+
+
+def bloom_flag(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
+    """All rows, with ``maybe`` in place of ``h``: whether the filter may hold it."""
+    h, n = F.col("h"), n_blocks(count)
+    small = work.small_or_not(bloom_blocks(keys, count), n, BLOCK_BYTES)
+    out = rows.withColumn("block", _block(h, n)).join(small, "block", "left")
+    return out.withColumn("maybe", F.coalesce(_hit(h), F.lit(False))).drop("h", "block", "w0", "w1", "w2", "w3")
 
 
 def host(url: Column) -> Column:
@@ -104,17 +116,31 @@ def lookup_keys(host_col: Column, path_col: Column) -> Column:
 def listed_urls(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """Distinct (host, path) of ``pages`` that a listed canonical ``key`` covers.
 
-    Pages are reduced to distinct (host, path) first, so a hot host costs one
-    row per path and task.
+    The filter is probed where the pages are read, so only what passes is
+    shuffled, and reduced to distinct rows by task first.
     """
     count = listed.count()
     keys = listed.select("key").where("key is not null").distinct()
     blocks = bloom_blocks(keys.select(F.xxhash64("key").alias("h")), count)
-    probes = pages.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(lookup_keys(F.col("host"), F.col("path"))).alias("key"))
-    maybe = bloom_probe(probes.withColumn("h", F.xxhash64("key")), blocks, count)
+    probes = pages.select("host", "path").where("host <> ''").select("host", "path", F.explode(lookup_keys(F.col("host"), F.col("path"))).alias("key"))
+    maybe = bloom_probe(probes.withColumn("h", F.xxhash64("key")), blocks, count).select("host", "path", "key").distinct()
     return maybe.join(work.small_or_not(keys, count, 200), "key", "left_semi").select("host", "path").distinct()
 
 
+def marked(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows with ``listed``.  If the hits are not small, a filter of them parts the
+    rows, and only those that it may hold are shuffled to the join."""
+    hits = work.cut(hits.withColumn("listed", F.lit(True)), "listed")
+    n = hits.count()
+    if n * 400 <= work.BROADCAST_BYTES:
+        out = rows.join(F.broadcast(hits), ["host", "path"], "left")
+    else:
+        flagged = bloom_flag(rows.withColumn("h", F.xxhash64("host", "path")), hits.select(F.xxhash64("host", "path").alias("h")), n)
+        out = flagged.where("maybe").drop("maybe").join(hits, ["host", "path"], "left")
+        out = out.unionByName(flagged.where("not maybe").drop("maybe").withColumn("listed", F.lit(False)))
+    return out.withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
 def rule_of(host_col: Column, path_col: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; null where none does."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -127,9 +153,8 @@ def rule_of(host_col: Column, path_col: Column, rules=RULES) -> tuple[Column, Co
 def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed) of every page."""
     rows = pages.select("page_id", F.col("url").alias("u")).select("page_id", F.coalesce(host(F.col("u")), F.lit("")).alias("host"), F.coalesce(path(F.col("u")), F.lit("")).alias("path"))
-    hits = listed_urls(rows, listed).withColumn("listed", F.lit(True))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    out = rows.join(hits, ["host", "path"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    out = marked(rows, listed_urls(rows, listed))
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 

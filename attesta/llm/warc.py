@@ -6,9 +6,9 @@ committed are ever read, so a lost or repeated task leaves no trace.  Of
 records with equal payloads of at least ``min_bytes`` bytes, the one with the
 smallest page_id is the response and the others are revisits of it.
 
-Each file's index entries are a run, sorted by (URL key, timestamp, page_id).
-Ranges of that composite key are cut at quantiles of a bounded sample (they
-only balance the work), each run is dealt into its range pieces in order, and
+Each file's index entries are a run, sorted by (URL key, timestamp, page_id,
+file, offset).  Ranges of that composite key are cut at quantiles of a sample
+that grows with them (they only balance the work), each run is dealt into its range pieces in order, and
 one task a range merges its pieces with a loser tree.  A URL with a third of
 all captures is cut by timestamp and page like any other stretch of keys.
 
@@ -16,8 +16,9 @@ The archives are then read back, record by record, and joined with the merged
 index on (file, offset).
 
 A null html is the empty payload, a null url the empty URL.  Repeated rows are
-records of their own; of equal page_ids the first entry in index order is the
-response.  Pages have no capture time: ``capture_ts`` is the column of that
+records of their own, and still one of a payload is the response: of equal
+page_ids that of the smallest url and time, a null page_id only if there is no
+other (its revisits refer to no page).  Pages have no capture time: ``capture_ts`` is the column of that
 name if there is one, else 2024-01-01 plus page_id seconds.
 """
 
@@ -32,14 +33,16 @@ from urllib.parse import urlsplit
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import work
 
 FILE_BYTES = 256 << 20
 ENTRIES_PER_RANGE = 20_000
-SAMPLE_ENTRIES = 10_000
+SAMPLE_PER_RANGE = 64
+#: Sorts records without a page_id last.
+LAST_ID = (1 << 63) - 1
 EPOCH = "2024-01-01 00:00:00"
 LEVEL = 2
 
@@ -110,10 +113,10 @@ def _clean(value: str) -> str:
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def record(page_id, url: str, date: str, payload: bytes, digest: str, refers_to) -> bytes:
-    """One WARC record; a revisit has the HTTP head only."""
-    kind = "response" if refers_to is None else "revisit"
-    block = HTTP + (payload if refers_to is None else b"")
+def record(page_id, url: str, date: str, payload: bytes, size: int, digest: str, revisit: bool, refers_to) -> bytes:
+    """One WARC record; a revisit has the HTTP head only and needs no payload."""
+    kind = "revisit" if revisit else "response"
+    block = HTTP + (b"" if revisit else payload)
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
@@ -121,11 +124,13 @@ def record(page_id, url: str, date: str, payload: bytes, digest: str, refers_to)
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {_clean(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {size}",
         f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
+    if revisit:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"X-Refers-To-Page: {refers_to}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -153,7 +158,7 @@ def _write(folder: str):
 
     def close(out, entries):
         out.close()
-        entries.sort(key=lambda e: (e[0], e[1], e[2] is None, e[2]))
+        entries.sort(key=lambda e: (e[0], e[1], LAST_ID if e[2] is None else e[2], e[3], e[4]))
         cols = list(zip(*entries))
         types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], list(_INDEX_NAMES))
@@ -163,13 +168,13 @@ def _write(folder: str):
         store.create_dir(base, recursive=True)
         out, entries, offset = None, [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "ts", "refers_to"))):
-                page_id, url, payload, sha1, ts, refers_to = row
+            for row in zip(*(batch.column(c).to_pylist() for c in _RECORD)):
+                page_id, url, payload, size, sha1, ts, refers_to, revisit = row
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, offset = store.open_output_stream(f"{base}/{name}", compression=None), 0
                 packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                raw = record(page_id, url, ts, payload, base64.b32encode(bytes.fromhex(sha1)).decode(), refers_to)
+                raw = record(page_id, url, ts, payload, size, base64.b32encode(bytes.fromhex(sha1)).decode(), revisit, refers_to)
                 data = packer.compress(raw) + packer.flush()
                 out.write(data)
                 entries.append((url_key(url), ts, page_id, name, offset, len(data)))
@@ -192,22 +197,61 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
     ).withColumn("sha1", F.sha1("payload"))
-    first = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("sha1", "first_id")
+    rows = rows.withColumn("bytes", F.octet_length("payload").cast("long"))
+    return work.cut(_referred(rows, min_bytes).mapInArrow(work.tidy(_write(folder)), INDEX), "runs")
+
+
+_RECORD = ["page_id", "url", "payload", "bytes", "sha1", "ts", "refers_to", "revisit"]
+
+
+def _referred(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """Rows with ``revisit`` and ``refers_to``: one response per payload.
+
+    The response of a payload is its row of smallest (page_id, url, ts), null
+    page_ids last; of rows that are equal in all of these one is taken.  The
+    table of repeated payloads is pre-aggregated.  If it is not small, a Bloom
+    filter of its digests parts the rows first: those of a payload of their own
+    are not shuffled, and of the others only ids and digests are, beside one
+    copy of each payload.
+    """
+    from .urls import bloom_flag
+
+    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url", "ts")
+    first = rows.where(F.col("bytes") >= min_bytes).groupBy("sha1").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
     first = work.cut(first, "payloads")
-    rows = rows.join(work.small_or_not(first, first.count(), 80), "sha1", "left")
-    rows = rows.withColumn("refers_to", F.expr("case when first_id <> page_id then first_id end"))
-    return work.cut(rows.select("page_id", "url", "payload", "sha1", "ts", "refers_to").mapInArrow(work.tidy(_write(folder)), INDEX), "runs")
+    n = first.count()
+    if n * 400 <= work.BROADCAST_BYTES:
+        return _one_response(rows.join(F.broadcast(first), "sha1", "left"), order)
+    flagged = bloom_flag(rows.withColumn("h", F.xxhash64("sha1")), first.select(F.xxhash64("sha1").alias("h")), n)
+    alone = flagged.where("not maybe").withColumn("first", F.lit(None).cast(first.schema["first"].dataType))
+    shared = flagged.where("maybe")
+    payloads = shared.groupBy("sha1").agg(F.first("payload").alias("payload"))
+    named = _one_response(shared.drop("payload").join(first, "sha1", "left").withColumn("payload", F.lit(b"")), order).drop("payload")
+    named = named.where("not revisit").join(payloads, "sha1").unionByName(named.where("revisit").withColumn("payload", F.lit(b"")))
+    return _one_response(alone, order).unionByName(named.select(*_RECORD))
+
+
+def _one_response(rows: DataFrame, order: Column) -> DataFrame:
+    """Revisits are rows behind ``first`` and all but one of those equal to it."""
+    found = rows.withColumn("leads", order == F.col("first")).withColumn("refers_to", F.when(~F.col("leads"), F.col("first.page_id")))
+    plain = found.where("leads is null or not leads").withColumn("revisit", F.col("leads").isNotNull())
+    leads = found.where("leads").groupBy("page_id", "url", "payload", "bytes", "sha1", "ts", "first").agg(F.count("*").alias("n"))
+    leads = leads.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+    leads = leads.withColumn("revisit", F.col("nth") > 1).withColumn("refers_to", F.when(F.col("nth") > 1, F.col("first.page_id")))
+    return plain.select(*_RECORD).unionByName(leads.select(*_RECORD))
 
 
 def _bounds(entries: DataFrame, n: int) -> list[tuple]:
-    """Range bounds of the composite key at quantiles of a bounded sample."""
+    """Range bounds of the composite key at quantiles of a sample that grows with
+    the ranges, SAMPLE_PER_RANGE keys each.  File and offset make keys distinct,
+    so equal captures can be cut as well."""
     ranges = -(-n // ENTRIES_PER_RANGE)
     if ranges <= 1:
         return []
-    share = min(1.0, SAMPLE_ENTRIES / n)
-    rows = entries.select("url_key", "ts", F.coalesce("page_id", F.lit(-1)).alias("page_id")).sample(share, 7).limit(2 * SAMPLE_ENTRIES).collect()
+    share = min(1.0, SAMPLE_PER_RANGE / ENTRIES_PER_RANGE)
+    rows = entries.select("url_key", "ts", F.coalesce("page_id", F.lit(LAST_ID)).alias("page_id"), "file", "offset").sample(share, 7).collect()
     keys = sorted({tuple(r) for r in rows})
-    return [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
+    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
 
 
 def _deal(bounds: list[tuple]):
@@ -224,7 +268,7 @@ def _deal(bounds: list[tuple]):
         number = 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in _INDEX_NAMES)):
-                r = bisect.bisect_right(bounds, (row[0], row[1], -1 if row[2] is None else row[2]))
+                r = bisect.bisect_right(bounds, (row[0], row[1], LAST_ID if row[2] is None else row[2], row[3], row[4]))
                 if (r, row[3]) != (last, name):
                     if piece:
                         yield flush(last, piece, number)
@@ -240,15 +284,11 @@ def _deal(bounds: list[tuple]):
 def _merge(table: pa.Table) -> pa.Table:
     runs = []
     for cols in zip(*(table.column(c).to_pylist() for c in _INDEX_NAMES)):
-        runs.append([(k, t, -1 if p is None else p, f, o, s) for k, t, p, f, o, s in zip(*cols)])
+        runs.append([(k, t, LAST_ID if p is None else p, f, o, s) for k, t, p, f, o, s in zip(*cols)])
     merged = list(LoserTree(runs))
-    place, nth, last = [], 0, None
-    for e in merged:
-        nth = nth + 1 if e[0] == last else 1
-        last = e[0]
-        place.append(nth)
     n = len(merged)
     cols = list(zip(*merged)) if merged else [()] * 6
+    cols = [[None if v == LAST_ID else v for v in col] if c == "page_id" else col for c, col in zip(_INDEX_NAMES, cols)]
     out = pa.table({c: pa.array(v, t) for c, v, t in zip(_INDEX_NAMES, cols, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))})
     return out.append_column("range", pa.array([table.column("range")[0].as_py()] * n, pa.int64())).append_column("position", pa.array(range(n), pa.int64()))
 
@@ -281,7 +321,7 @@ def _read(folder: str):
                         fields, payload = parse(b"".join(parts))
                         refers = fields.get("X-Refers-To-Page")
                         size, digest = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if refers is None and (size != len(payload) or digest != base64.b32encode(hashlib.sha1(payload).digest()).decode()):
+                        if fields["WARC-Type"] == "response" and (size != len(payload) or digest != base64.b32encode(hashlib.sha1(payload).digest()).decode()):
                             raise ValueError(f"damaged record at {name}:{offset}")
                         own = fields["X-Page-ID"]
                         rows.append((name, offset, int(own) if own else None, size, digest, fields["WARC-Type"], None if refers is None else int(refers)))
@@ -304,7 +344,7 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     files = entries.select("file").distinct()
     records = read_archives(files, folder, files.count())
     index = merge_index(entries).select("file", "offset", "url_key", F.col("ts").alias("capture_ts"), "range", "position")
-    rows = records.join(index, ["file", "offset"])
+    rows = records.join(index.hint("merge"), ["file", "offset"])
     return rows.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_ts", "range", "position")
 
 
