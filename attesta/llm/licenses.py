@@ -4,7 +4,8 @@ Built from DataFrame functions only.  Texts without any word of licensing are
 left out.  Of the others these are compared with templates: each line that
 holds such a word; blocks of lines that hold one, which are two or three
 successive lines, paragraphs and runs of comment lines; and the whole text.
-Templates are one-line notices and full license texts (``license_texts``).
+Templates are one-line notices, SPDX tags and full license texts
+(``license_texts``).
 Equal lines or blocks are one with a count, so a notice on a third of all files
 is compared once.  Each is a sparse vector of lower-case word weights
 ``tf * idf`` (idf over all lines, or all blocks and whole texts, counted with
@@ -21,7 +22,8 @@ file inherits from the nearest ancestor directory with a license.  Directories
 are resolved once each, by a join of their ancestor paths.
 
 Null and empty texts declare nothing and inherit.  A null path has no
-ancestors.  Repeated rows are files of their own.
+ancestors.  Repeated rows, and rows without a file id, are files of their own, as
+what a file says follows from its text alone.
 """
 
 from __future__ import annotations
@@ -56,6 +58,12 @@ TEMPLATES = (
 )
 
 
+def tags(names: list[str]) -> list[tuple[str, str]]:
+    """(license, notice) of the SPDX tags of licenses."""
+    forms = lambda n: [n, f"{n}-only", f"{n}-or-later"] if "GPL" in n else [n]
+    return [(n, f"SPDX-License-Identifier: {f}") for n in sorted(set(names)) for f in forms(n)]
+
+
 #: Lines that do not begin with a mark of comments.
 NO_COMMENT = r"(?m)^(?![\x20\t]*(?:#|//|/?\*|--|;|%)).*$"
 
@@ -74,6 +82,11 @@ def _weights(lines: DataFrame, key: str) -> DataFrame:
     return lines.select(key, F.explode(_terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def _text_id() -> Column:
+    """Texts, not files, declare licenses: equal texts once, whatever their files are called."""
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
 def header_lines(files: DataFrame) -> DataFrame:
     """(file, line, n_words, line_words) of every line with a word of licensing."""
     lines = files.where(F.lower("text").rlike(WORDING)).select("file", "text", F.posexplode(F.split("text", "\n")).alias("at", "line"))
@@ -100,7 +113,7 @@ def match_lines(lines: DataFrame, templates: DataFrame) -> DataFrame:
     (license, text, full).
     """
     total = lines.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"] + templates.count()
-    templates = templates.withColumn("template", F.struct("license", "full"))
+    templates = templates.withColumn("template", F.struct("license", "full", F.sha1("text").alias("id")))
     of_lines = _weights(lines, "line")
     of_templates = _weights(templates, "template")
     df = of_lines.join(lines.select("line", "times"), "line").groupBy("term").agg(F.sum("times").alias("df"))
@@ -131,29 +144,31 @@ def scan(files: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """
     spark = files.sparkSession
     if templates is None:
-        templates = spark.createDataFrame(list(TEMPLATES), "license string, line string")
+        templates = spark.createDataFrame([*TEMPLATES, *tags([n for n, _ in TEMPLATES])], "license string, line string")
     notices = templates.select("license", F.col("line").alias("text"), F.lit(False).alias("full"))
     texts = spark.createDataFrame(full_texts(), "license string, text string").withColumn("full", F.lit(True))
-    heads = work.cut(header_lines(files.select("file", "text")), "headers")
-    parts = work.cut(blocks(files.select("file", "text")), "blocks")
+    by_text = files.select(_text_id().alias("file"), "text")
+    heads = work.cut(header_lines(by_text), "headers")
+    parts = work.cut(blocks(by_text), "blocks")
     known = work.cut(match_lines(heads.groupBy("line").agg(F.count("*").alias("times")).withColumn("text", F.col("line")), notices), "notices")
     alike = work.cut(match_lines(parts.groupBy("line").agg(F.first("text").alias("text"), F.count("*").alias("times")), notices.union(texts)), "alike")
-    said = heads.join(work.small_or_not(known, known.count(), 400), "line").select("file", "license", "cosine", F.lit(False).alias("all"), "full", "line_words", "n_words")
-    shown = parts.select("file", "line", "whole").join(work.small_or_not(alike, alike.count(), 160), "line")
+    said = heads.dropDuplicates(["file", "at"]).join(work.small_or_not(known, known.count(), 400), "line").select("file", "license", "cosine", F.lit(False).alias("all"), "full", "line_words", "n_words")
+    shown = parts.select("file", "line", "whole").distinct().join(work.small_or_not(alike, alike.count(), 160), "line")
     shown = shown.select("file", "license", "cosine", F.col("whole").alias("all"), "full", F.lit(0).alias("line_words"), F.lit(1).alias("n_words"))
     own = said.union(shown).groupBy("file").agg(
         F.min(F.struct((~(F.col("all") & F.col("full"))).alias("part"), (-F.col("cosine")).alias("back"), "license")).alias("m"),
         ((2 * F.sum("line_words") >= F.max("n_words")) | F.bool_or("all")).alias("whole"),
     )
-    own = own.select("file", F.col("m.license").alias("license"), (-F.col("m.back")).alias("cosine"), "whole")
-    where = files.select("file", "path", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "").alias("dir"))
-    rows = work.cut(where.join(own, "file", "left"), "declared")
+    own = work.cut(own.select(F.col("file").alias("text_id"), F.col("m.license").alias("license"), (-F.col("m.back")).alias("cosine"), "whole"), "own")
+    where = files.select("file", "path", _text_id().alias("text_id"), F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "").alias("dir"))
+    rows = work.cut(where.join(work.small_or_not(own, own.count(), 240), "text_id", "left").drop("text_id"), "declared")
     votes = rows.where("whole and dir is not null").groupBy("dir", "license").agg(F.count("*").alias("n"))
     first = Window.partitionBy("dir").orderBy(F.desc("n"), "license")
     declared = votes.withColumn("nth", F.row_number().over(first)).where("nth = 1").select(F.col("dir").alias("up"), F.col("license").alias("dir_license"))
     up = rows.select("dir").where("dir is not null").distinct().select("dir", F.posexplode(ancestors(F.col("dir"))).alias("far", "up"))
     nearest = up.join(declared, "up").groupBy("dir").agg(F.min(F.struct("far", "up", "dir_license")).alias("m")).select("dir", F.col("m.up").alias("from_dir"), "m.dir_license")
-    out = rows.join(nearest, "dir", "left")
+    nearest = work.cut(nearest, "nearest")
+    out = rows.join(work.small_or_not(nearest, nearest.count(), 400), "dir", "left")
     return out.select(
         "file",
         "path",
