@@ -10,9 +10,9 @@ bit set of the lengths at hand.  It fills a bin with the longest document that
 fits until none does; then it takes the bin's smallest document out if two
 unpacked ones fill the expanded gap more tightly, and puts these in.
 
-Packing tasks are independent groups of documents, dealt by hash; their number
-grows with the input, so no task grows, and a group of some 30,000 documents
-leaves one open bin at most and loses no more than a fraction of a per mille.
+Packing tasks are independent groups of pieces, dealt by hash; their number grows
+with the pieces that the texts can have at most, so no task grows however long
+texts are, and a group of some 30,000 pieces leaves one open bin at most and loses no more than a fraction of a per mille.
 
 Null and empty texts are the end id alone.  Repeated rows are packed each.
 """
@@ -33,7 +33,7 @@ from . import kernel, work
 
 CAPACITY = 4096
 END_ID = 1
-DOCS_PER_GROUP = 32_768
+PIECES_PER_GROUP = 32_768
 MEMO_CHUNKS = 1_000_000
 
 
@@ -177,9 +177,15 @@ def _place(capacity: int):
     return run
 
 
-def best_two_fit(cut: DataFrame, n_docs: int, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces with a ``length``."""
-    groups = max(1, -(-n_docs // DOCS_PER_GROUP))
+def most_pieces(docs: DataFrame, capacity: int = CAPACITY) -> int:
+    """An upper bound of the number of pieces: no token is shorter than a byte."""
+    spare = F.octet_length("text") / capacity
+    return int(docs.agg(F.count("*") + F.coalesce(F.sum(F.floor(spare)), F.lit(0))).first()[0])
+
+
+def best_two_fit(cut: DataFrame, n_pieces: int, capacity: int = CAPACITY) -> DataFrame:
+    """Adds sequence_id and offset to pieces with a ``length``, some n_pieces."""
+    groups = max(1, -(-n_pieces // PIECES_PER_GROUP))
     dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)
     return dealt.groupBy("grp").applyInArrow(_place(capacity), f"{schema}, sequence_id long, offset long")
@@ -189,4 +195,4 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = work.table(spark, sf_dir, "documents")
-    return best_two_fit(pieces(docs, public_tokenizers.path("word_bpe_49k.json")), docs.count())
+    return best_two_fit(pieces(docs, public_tokenizers.path("word_bpe_49k.json")), most_pieces(docs))
