@@ -8,12 +8,15 @@ from nine, same first letter): sets of (trie node, edits) are the states of one
 deterministic automaton, compiled when first met, which rejects most words
 after two or three letters.
 
-Every hit is judged in its window of six words: quotation marks and words of
-reporting around it make it a quotation, words of address make it abuse.  A
+Every hit is judged in its window of six words: words of reporting there, or
+quotation marks within two characters on both sides, make it a quotation, words
+of address make it abuse.  A
 logistic model over hits by kind and context gives the score.  Only labels of
 rows with ``crc32(doc_id) mod 5 <> 0`` are learned from, at most TOXIC_ROWS and
-CLEAN_ROWS of them (a bounded sample in hash order); labels, lang, source and
-doc_id are no inputs of a score.
+CLEAN_ROWS of them (a bounded sample in hash order) and texts of at most
+TRAIN_TEXT_BYTES; labels, lang, source and doc_id are no inputs of a score.  Of
+the texts of one doc_id the smallest is learned from, and equal texts are one,
+toxic if any is, so the model does not depend on the order of rows.
 
 Null and empty texts get the model's score of no hit.  Without labelled rows
 the seed lexicon and fixed weights are used.  Repeated rows are each scored.
@@ -22,6 +25,8 @@ the seed lexicon and fixed weights are used.  Repeated rows are each scored.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +42,10 @@ MIN_SUPPORT = 2
 #: Toxic documents from which a word of no clean document is a term anyway.
 SURE_SUPPORT = 8
 STEMS = range(4, 11)
-MEMO_WORDS = 200_000
+#: Bounds of the memo of words: how many, and of how many letters; longer ones are matched anew.
+MEMO_WORDS, MEMO_LETTERS = 200_000, 64
+#: Longer texts are not learned from, which bounds what the driver holds.
+TRAIN_TEXT_BYTES = 1 << 15
 
 #: Terms used where nothing can be learned.
 SEED = ("idiot", "moron", "scum", "loser", "pathetic", "worthless", "disgusting", "stupid", "trash", "clown")
@@ -126,9 +134,10 @@ class Automaton:
         memo, new = self.memo, set(words)
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        for w in new.difference(memo):
-            memo[w] = self.match(w) if len(w) < 64 else 0
-        return {w: memo[w] for w in new if memo[w]}
+        long = {w: self.match(w) for w in new if len(w) > MEMO_LETTERS}
+        for w in new.difference(memo, long):
+            memo[w] = self.match(w)
+        return {w: k for w in new if (k := long[w] if w in long else memo[w])}
 
 
 def features(text: str, machine: Automaton) -> list[float]:
@@ -158,7 +167,7 @@ def features(text: str, machine: Automaton) -> list[float]:
 def terms_of(text: str) -> set[str]:
     """Words of a text and the stems they begin with, written ``stem*``."""
     words = set(WORD.findall(text.lower()))
-    out = {w for w in words if 3 <= len(w) < 40}
+    out = {w for w in words if len(w) >= 3}
     out.update(w[:n] + "*" for w in words for n in STEMS if len(w) > n)
     return out
 
@@ -195,13 +204,19 @@ def learn_lexicon(texts: list[str], labels: np.ndarray) -> list[str]:
         pool = {t: v & open_ for t, v in pool.items() if gain[t] >= MIN_SUPPORT}
     stems = tuple(t[:-1] for t in out if t.endswith("*"))
     sure = [t for t, v in owners.items() if len(v) >= SURE_SUPPORT and not clean.get(t, 0) and not t.endswith("*") and not t.startswith(stems)]
-    return out + sorted(t for t in set(sure).difference(out) if not _copies([terms_of(texts[i]) for i in owners[t][:6]]))
+    return out + sorted(t for t in set(sure).difference(out) if not _copies(terms_of(texts[i]) for i in owners[t]))
 
 
-def _copies(docs: list[set[str]]) -> bool:
-    """Whether most pairs of term sets are copies: then a term says nothing alone."""
-    near = [len(x & y) * 2 > len(x | y) for i, x in enumerate(docs) for y in docs[:i]]
-    return 2 * sum(near) > len(near)
+def _copies(docs: Iterable[set[str]]) -> bool:
+    """Whether the pairs of all term sets share over half of their terms on the
+    whole: then a term of them says nothing alone.  The shared terms of all pairs
+    are known from how many sets hold each term."""
+    held, n, sizes = Counter(), 0, 0
+    for terms in docs:
+        held.update(terms)
+        n, sizes = n + 1, sizes + len(terms)
+    shared = sum(k * (k - 1) // 2 for k in held.values())
+    return 2 * shared > (n - 1) * sizes - shared
 
 
 def learn_weights(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -228,15 +243,15 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[float]]:
     own = labels.where("doc_id is not null and toxic is not null").where(_remainder(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [own.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     picked = F.broadcast(picked[0].union(picked[1]))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["doc_id"]).select(F.coalesce("text", F.lit("")), "toxic").collect()
-    y = np.array([r[1] for r in rows], float)
-    if not len(rows) or y.min() == y.max():
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= TRAIN_TEXT_BYTES)
+    rows = texts.join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").collect()
+    marks: dict[str, float] = {}
+    for text, toxic in rows:
+        marks[text] = max(marks.get(text, 0.0), float(toxic))
+    texts = sorted(marks, key=lambda t: (hash_text(t), t))
+    y = np.array([marks[t] for t in texts])
+    if not len(y) or y.min() == y.max():
         return list(SEED), [-4.0, 2.0, 1.0, 2.0, -1.0, 0.5, 3.0, 0.0]
-    texts = [r[0] for r in rows]
-    once = list(dict(zip(texts, range(len(texts)))).values())
-    texts, y = [texts[i] for i in once], y[once]
-    order = np.argsort([hash_text(t) for t in texts], kind="stable")
-    texts, y = [texts[i] for i in order], y[order]
     terms = learn_lexicon(texts, y) or list(SEED)
     machine = Automaton(terms)
     return terms, learn_weights(np.array([features(t, machine) for t in texts]), y)
