@@ -2,8 +2,11 @@
 
 import base64
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -199,3 +202,178 @@ def test_pipeline_runs_over_small_tables(spark, sf):
         assert rest.columns == docs.columns
         rest = work.cut(rest, "t")
     assert {r.doc_id for r in out} == {r.doc_id for r in rest.collect()}
+
+
+def plain_words(text):
+    return re.findall(r"\w+", (text or "").lower().replace("_", " "))
+
+
+def test_recall_against_alignment_of_all_pairs(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([3, 8, 25, 60])))) for i in range(25)]
+    docs = []
+    for i in range(120):
+        words = rng.choices(vocab, k=rng.randint(0, 200))
+        part = items[rng.randrange(25)][1].split()
+        for k in range(len(part)):
+            if rng.random() < (i % 4) / 12:
+                part[k] = rng.choice(vocab)
+        at = rng.randint(0, len(words))
+        docs.append((i, " ".join(words[:at] + part + words[at:]) if i % 5 else " ".join(words)))
+    want = set()
+    for d, t in docs:
+        for n, item in items:
+            x = plain_words(item)
+            s = plain_alignment(x, plain_words(t))
+            if s >= len(x) and (s + 1) // 2 >= min(decontaminate.MIN_WORDS, len(x)):
+                want.add((d, n))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 60
+
+
+def test_words_of_any_script_without_punctuation(spark):
+    item = "Élan vital Ünder ÇA Привет мир über façade 東京 tower"
+    docs = [(1, " ".join(f"“{w.lower()}”…" for w in item.split())), (2, item.upper().replace(" ", " —　")), (None, f"see «{item}»"), (None, "clean words only"), (3, "long " * 60_000 + item + " tail" * 60_000)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item), (None, "clean words only")], "item_id long, text string")
+    assert {(r.doc_id, r.score) for r in decontaminate.contained(df, bench).collect()} == {(1, 1.0), (2, 1.0), (3, 1.0)}
+    assert [tuple(r) for r in decontaminate.without_leaks(df, bench).collect()] == [(None, "clean words only")]
+
+
+def test_the_seed_map_grows_with_the_seeds(spark):
+    assert decontaminate.bits_for(0) == decontaminate.MIN_BITS and decontaminate.bits_for(10**6) == 1 << 24 and decontaminate.bits_for(10**12) == decontaminate.MAX_BITS
+    seeds = spark.range(3000).select(F.xxhash64("id").alias("gram"))
+    size = decontaminate.MIN_BITS
+    held = np.frombuffer(decontaminate.seed_map(seeds, size), np.uint8)
+    h = np.array([r[0] for r in seeds.collect()], np.int64).view(np.uint64)
+    assert len(decontaminate._held(held, size, h)) == 3000
+    assert len(decontaminate._held(held, size, np.arange(100_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) < 50
+
+
+def expected_records(rows):
+    """One response per payload: least (no id, id, url) of its rows, one of equal ones."""
+    groups = {}
+    for i, u, h in rows:
+        groups.setdefault(h or "", []).append((i is None, i, u or ""))
+    out = []
+    for h, g in groups.items():
+        lead = min(g, key=lambda r: (r[0], r[1] or 0, r[2]))
+        out += [(lead[1], h, "response", None)] + [(r[1], h, "revisit", lead[1]) for k, r in enumerate(g) if k != g.index(lead)]
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_one_response_for_each_payload_with_repeats_and_null_ids(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(warc, "ENTRIES_PER_RANGE", 5)
+    if not small:
+        monkeypatch.setattr(work, "BROADCAST_BYTES", 0)
+    rng = random.Random(4)
+    rows = [(1, "u", "p"), (1, "u", "p"), (2, "u", "p"), (None, "u", "q"), (None, "v", "q"), (None, "v", "r"), (5, "b", "s"), (5, "a", "s"), (6, "x", "alone")]
+    rows += [(rng.choice([None, *range(20)]), rng.choice("uvw"), rng.choice(["", None, "hot", "hot", "hot", f"own {k}"])) for k in range(150)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = warc.archive(df, f"file://{tmp_path}/{small}").collect()
+    digest = {base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(): h or "" for _, _, h in rows}
+    assert sorted(repr((r.page_id, digest[r.payload_digest], r.record_type, r.refers_to)) for r in got) == expected_records(rows)
+    assert all(r.payload_bytes == len(digest[r.payload_digest]) for r in got)
+    keys = [(r.url_key, r.capture_ts, r.page_id is None, r.page_id or 0) for r in sorted(got, key=lambda r: (r.range, r.position))]
+    assert keys == sorted(keys) and len({r.range for r in got}) > 10
+
+
+def test_equal_texts_declare_licenses_once_and_ids_may_be_null(spark):
+    mit = "Released under the MIT License.\n" + "word " * 12
+    rows = [("f", "d/f", mit), ("f", "d/f", mit), (None, "n/x", "Released under the MIT License."), (None, "n/y", "code"), ("g", "d/g", "code"), ("s", "s/s.py", "# SPDX-License-Identifier: Apache-2.0\ncode"), ("long", "l/l", "code words " * 50_000 + "\nReleased under the MIT License.")]
+    df = spark.createDataFrame(rows, "file string, path string, text string").withColumn("license", F.lit("clash"))
+    got = sorted(((r.path, r.license, r.origin) for r in licenses.scan(df).collect()), key=str)
+    assert got == [("d/f", "MIT", "header"), ("d/f", "MIT", "header"), ("d/g", None, "none"), ("l/l", "MIT", "header"), ("n/x", "MIT", "header"), ("n/y", "MIT", "inherited"), ("s/s.py", "Apache-2.0", "header")]
+
+
+def test_cosines_against_plain_ones(spark):
+    rows = [(i, t) for i, t in enumerate(["Licensed under the MIT license", "licensed under the Apache License, Version 2.0 today", "This license is none of those named", "Dedicated to the public domain", "GNU General Public License, version 3"])]
+    lines = spark.createDataFrame([(str(i), t, i + 1) for i, t in rows], "line string, text string, times long")
+    templates = spark.createDataFrame([(n, t, False) for n, t in licenses.TEMPLATES], "license string, text string, full boolean")
+    got = {r.line: (r.license, round(r.cosine, 6)) for r in licenses.match_lines(lines, templates).collect()}
+    terms = lambda t: Counter(re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", t.lower()))
+    df, total = Counter(), len(licenses.TEMPLATES)
+    for i, t in rows:
+        total += i + 1
+        df.update({w: i + 1 for w in terms(t)})
+    for _, t in licenses.TEMPLATES:
+        df.update(terms(t).keys())
+    vec = lambda t: {w: n * (math.log((1 + total) / (1 + df[w])) + 1) for w, n in terms(t).items()}
+    cos = lambda a, b: sum(v * b.get(w, 0) for w, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    want = {}
+    for i, t in rows:
+        best = min((-round(cos(vec(t), vec(x)), 9), n) for n, x in licenses.TEMPLATES)
+        if -best[0] >= licenses.MIN_COSINE:
+            want[str(i)] = (best[1], round(-best[0], 6))
+    assert got == want and len(want) >= 3
+
+
+def test_hits_that_are_not_small_are_parted_by_a_filter(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 50}.org/{'p' * (i % 3)}") for i in range(400)] + [(900, None), (901, "http://h1.org/" + "x" * 50_000)]
+    df, listed = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(f"h{i}.org/",) for i in range(0, 50, 7)], "key string")
+    want = sorted(map(str, urls.url_filter(df, listed).collect()))
+    monkeypatch.setattr(work, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, urls.url_filter(df, listed).collect())) == want and sum("listed=True" in r for r in want) == 64
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_automaton_against_plain_edit_distances():
+    rng = random.Random(8)
+    terms = ["idiot", "scum", "disgusting", "abcabcabc", "aaaaa", "worthless"]
+    words = {"".join(rng.choices("abc", k=rng.randint(0, 12))) for _ in range(3000)} | set(terms)
+    for t in terms:
+        for _ in range(400):
+            w = list(t)
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(w) + 1)
+                w[k : k + rng.randint(0, 1)] = rng.choices("abcdistu", k=rng.randint(0, 1))
+            words.add("".join(w))
+    m = toxicity.Automaton(terms)
+    for w in words:
+        near = [t for t in terms if t[0] == w[:1] and edits(w, t) <= (2 if len(t) >= 9 else 1 if len(t) >= 5 else 0)]
+        assert m.match(w) == (1 if w in terms else 2 if near else 0), w
+
+
+def test_words_of_any_length_and_a_quoted_term_scores_lower(spark):
+    long = "vequ" + "a" * 100
+    assert toxicity.Automaton(["vequ*"]).hits([long, "x" * 500]) == {long: 3}
+    model = (["idiot"], [-4.0, 2.0, 1.0, 2.0, -1.0, 0.5, 3.0, 0.0])
+    docs = spark.createDataFrame([(1, "you idiot"), (2, "she said the word «idiot» there"), (3, "calm words" * 30_000)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert got[1] > got[2] > got[3]
+
+
+def test_the_model_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices("calm sunny field river stone cloud".split(), k=12) + (["vile", "scumbag"] if i % 3 == 0 else [])) for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i, "other calm words") for i in range(0, 60, 4)] + [(100 + i, texts[i]) for i in range(10)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(60)] + [(100 + i, 1, 0) for i in range(10)] + [(i, 1, 1) for i in range(0, 60, 5)]
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    models = []
+    for flip in (1, -1):
+        models.append(toxicity.train(make(rows[::flip], "doc_id long, text string"), make(labels[::flip], "doc_id long, quality int, toxic int")))
+    assert models[0] == models[1]
+
+
+def test_stages_over_odd_rows(spark, sf):
+    """Nulls, empty and very long texts, ties, repeated rows, empty tables: no crash, columns stay."""
+    import corpus_pipeline
+
+    rows = [(1, None), (2, ""), (3, "word " * 100_000), (4, "same text of some words here"), (4, "same text of some words here"), (None, "no id but words"), (5, " \n\t"), (6, "write to a@b.org or 4111 1111 1111 1111 now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "cast(length(text) as long) as n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, sf)
+        ids = {r.doc_id for r in out.collect()}
+        assert ids == {1, 2, 3, 4, 5, 6, None}, name
+        if name != "best_fit_packing":
+            assert out.columns == df.columns
+        assert stage(spark, df.where("false"), sf).count() == 0

@@ -169,3 +169,32 @@ def test_redaction(spark):
     got = pii.redact(df)
     assert got.columns == df.columns
     assert {r.doc_id: r.text for r in got.collect()} == {1: "mail [EMAIL] or [PHONE] 🙂 [CARD].", 2: None, 3: "none"}
+
+
+def test_lines_and_words_of_a_simple_pattern_are_told_apart(spark):
+    """Thue-Morse lines and their complements have equal sums of powers modulo 2^64."""
+    line = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = line.translate(str.maketrans("ab", "ba"))
+    texts = [f"{line}\n{other}\n{line}", f"{line} {other} " * 8]
+    got = quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == figures(texts[r.doc_id])
+
+
+def test_empty_tables_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "some words here")], "doc_id long, text string").selectExpr("*", *(f"'x' as {c}" for c in ("n_tokens", "grp", "length", "kept", "n_words", "spans", "bin")))
+    path, model = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    for make in (lambda d: packing.best_two_fit(packing.pieces(d, path), packing.most_pieces(d)), lambda d: token_counts.token_counts(d, model), quality.judge, pii.find):
+        assert make(df).count() == 1 and make(df.where("false")).count() == 0
+
+
+def test_groups_grow_with_pieces_not_documents(spark):
+    df = spark.createDataFrame([(1, "é" * 10_000), (2, None), (3, "x")], "doc_id long, text string")
+    assert packing.most_pieces(df) == 3 + 20_000 // 4096
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_number_of_sequences_is_near_the_least(seed):
+    lengths = np.minimum(4096, np.random.default_rng(seed).lognormal(5.5, 1.2, 20_000).astype(np.int64) + 1)
+    bins, _ = packing.pack(lengths)
+    assert bins.max() + 1 <= -(-lengths.sum() // 4096) * 1.005 + 1
