@@ -1,33 +1,78 @@
-"""Country facet resolver: an ordered list of evidence, most telling first."""
+"""Country facet resolver: what a source is about, by an ordered list of evidence."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalar import flag_countries
+
 MOST = 3
+#: Characters of the description, and words of the transcript, that are context.
+CONTEXT_CHARS, TRANSCRIPT_WORDS = 1200, 120
+
+#: Signs that Georgia is the American state, and that it is not.
+STATE = r"\b(?:atlanta|ossoff|medicaid|six flags|dalton|north georgia|coffee county|chatham county|georgia national fair|us senate|u\.s\. senate|georgia state|hurricane isaias|mike collins|booking records|county jail|sheriff)\b"
+CAUCASUS = r"\b(?:tbilisi|caucasus|abkhazia|ossetia)\b"
+#: Signs that Montenegro is a person, and that it is the country.
+PERSON = r"\b(?:lu[ií]s|luis|maxi|fernanda|comendador)\s+montenegro\b|\b(?:chega|andr[eé] ventura|sns|primeiro.ministro)\b"
+TO_MONTENEGRO = r"\b(?:in|to|from|dans|en|em|nach|im|u|v)\s+montenegro\b"
+ADRIATIC = r"\b(?:crna gora|adriatic|balkan)\b"
+FLAG_ME = "\U0001f1f2\U0001f1ea"
+#: Fixed value: how paragraphs of promotion begin.
+PROMOTION = r"^(?:subscribe|follow|book a|join (?:me|our)|check out|visit my|watch more|tags:|keywords:)"
+
+
+def plain(text: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")))
 
 
 def cues(text: Column, countries: dict[str, list[str]]) -> Column:
-    """Sorted codes of the countries whose names stand in a text at word boundaries."""
-    found = [F.when(F.lower(text).rlike(r"(?U)(?<!\w)(?:" + "|".join("\\Q" + n.lower() + "\\E" for n in names) + r")(?!\w)"), F.lit(code)) for code, names in sorted(countries.items())]
+    """Codes of the countries whose names stand in a text at word boundaries, in the order given."""
+    found = []
+    for code, names in countries.items():
+        own = "|".join("\\Q" + n.lower() + "\\E" for n in names if not (code == "GB" and n.lower() == "english"))
+        found.append(F.when(plain(text).rlike(rf"(?U)(?<!\w)(?:{own})(?!\w)"), F.lit(code)))
     return F.array_compact(F.array(*found))
 
 
-def ambiguous(codes: Column, text: Column) -> Column:
-    """Georgia the country only without the state's cities; Montenegro not as the pronoun."""
-    state = F.lower(text).rlike(r"\b(?:atlanta|savannah)\b")
-    return F.filter(codes, lambda c: ~((c == "GE") & state))
+def focused(text: Column, countries: dict[str, list[str]], context: Column, title: Column, description: Column) -> Column:
+    """Cues without Georgia the state and Montenegro the person, by context."""
+    says = lambda c, p: c.rlike(f"(?U){p}")
+    state = says(context, STATE) & ~says(context, CAUCASUS)
+    flag = F.contains(title, F.lit(FLAG_ME)) | F.contains(F.substring(description, 1, CONTEXT_CHARS), F.lit(FLAG_ME))
+    person = says(context, PERSON) & ~(flag | says(plain(title), TO_MONTENEGRO) | says(context, ADRIATIC))
+    return F.filter(cues(text, countries), lambda c: ~((c == "GE") & state) & ~((c == "ME") & person))
+
+
+def substantive(paragraph: Column) -> Column:
+    """Whether a paragraph is prose: no link or hashtag list, five words, no promotion."""
+    body = F.trim(paragraph)
+    words = F.size(F.filter(F.split(body, r"(?U)\s+"), lambda w: w != ""))
+    return ~body.rlike(r"^(?:https?://|#)") & (F.regexp_count(body, F.lit(r"(?U)#\w+")) < 3) & (words >= 5) & ~plain(body).rlike(PROMOTION)
+
 
+def country_facets(title: Column, description: Column, transcript: Column, countries: dict[str, list[str]]) -> Column:
+    """Codes of the first evidence that names countries, if it names at most three.
 
-def country_facets(title: Column, lead: Column, transcript: Column, hashtags: Column, countries: dict[str, list[str]]) -> Column:
-    """Codes of the first evidence that names one to three countries; else none."""
-    empty = F.array().cast("array<string>")
-    options = []
-    for part in (title, lead, transcript, hashtags):
-        codes = ambiguous(cues(F.coalesce(part, F.lit("")), countries), F.coalesce(part, F.lit("")))
-        options.append((F.size(codes) > 0, F.when(F.size(codes) <= MOST, codes).otherwise(empty)))
-    out = empty
-    for seen, codes in reversed(options):
-        out = F.when(seen, codes).otherwise(out)
+    Evidence is the title ahead of its hashtags with its flags, then each
+    substantive paragraph, then the start of the transcript (text), then the
+    title's hashtags, which count up to two countries only.
+    """
+    none = F.array().cast("array<string>")
+    title, description, transcript = (F.coalesce(c, F.lit("")) for c in (title, description, transcript))
+    context = plain(F.concat(title, F.lit("\n"), F.substring(description, 1, CONTEXT_CHARS)))
+    spoken = F.array_join(F.slice(F.filter(F.split(transcript, r"(?U)\s+"), lambda w: w != ""), 1, TRANSCRIPT_WORDS), " ")
+    heard = F.when(spoken != "", F.concat(context, F.lit("\n"), plain(spoken))).otherwise(context)
+    at = lambda text, around: focused(text, countries, around, title, description)
+    flags = F.filter(flag_countries(title), lambda c: c.isin(list(countries)))
+    named = F.array_distinct(F.concat(at(F.trim(F.split(title, "#")[0]), context), flags))
+    paragraphs = F.transform(F.filter(F.split(description, r"\n\s*\n"), substantive), lambda p: at(p, context))
+    told = F.coalesce(F.try_element_at(F.filter(paragraphs, lambda c: F.size(c) > 0), F.lit(1)), none)
+    said = at(spoken, heard)
+    tagged = F.when(F.instr(title, "#") > 0, at(F.regexp_extract(title, r"(?s)#.*$", 0), heard)).otherwise(none)
+    few = lambda c: F.when(F.size(c) <= MOST, c).otherwise(none)
+    out = F.when(F.size(tagged) <= 2, tagged).otherwise(none)
+    for codes in (said, told, named):
+        out = F.when(F.size(codes) > 0, few(codes)).otherwise(out)
     return out

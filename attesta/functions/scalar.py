@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def iso_week(at: Column) -> Column:
@@ -41,8 +43,13 @@ def counter(text: Column) -> Column:
 
 
 def digest(parts: list[Column]) -> Column:
-    """SHA-256 of a JSON array of scalars."""
-    return F.sha2(F.to_json(F.array(*(p.cast("string") for p in parts))), 256)
+    """SHA-256 of the JSON array of scalars, each in the form of its own type."""
+    inner = [_unwrapped(F.to_json(F.array(p))) for p in parts]
+    return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *inner), F.lit("]")), 256)
+
+
+def _unwrapped(json: Column) -> Column:
+    return F.substring(json, F.lit(2), F.length(json) - 2)
 
 
 def null_keeping_json(struct: Column) -> Column:
@@ -73,18 +80,22 @@ def lenient_date(text: Column, zone: str = "Europe/Amsterdam") -> Column:
     return F.coalesce(day, iso, mail)
 
 
-def publication_date(html: Column, url: Column) -> Column:
-    """First date of meta, JSON-LD, time element or URL path, as ``yyyy-MM-dd``."""
-    date = r"(\d{4}-\d{2}-\d{2})"
-    patterns = (
-        rf"<meta[^>]+(?:article:published_time|datePublished|dc\.date|DC\.date\.issued)[^>]+content=[\"']{date}",
-        rf"<meta[^>]+content=[\"']{date}[^>]+(?:article:published_time|datePublished|dc\.date)",
-        rf"\"datePublished\"\s*:\s*\"{date}",
-        rf"<time[^>]+datetime=[\"']{date}",
-    )
-    found = [F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in patterns]
-    path = F.nullif(F.regexp_replace(F.regexp_extract(url, r"/(\d{4}[/-]\d{2}[/-]\d{2})(?:/|$|[^0-9])", 1), "/", "-"), F.lit(""))
-    return F.coalesce(*found, path)
+#: Names of meta elements that hold a publication date.
+DATE_NAMES = ("article:published_time", "datePublished", "pubdate", "date")
+
+
+def publication_date(html: Column, url: Column, zone: str = "Europe/Amsterdam") -> Column:
+    """Instant of the first readable date: meta elements, JSON-LD, time elements,
+    then a year/month/day path of the URL (local midnight)."""
+    quote, value = r"[\"']", r"([^\"']+)"
+    named = rf"\b(?:property|name)\s*=\s*{quote}(?:{'|'.join(DATE_NAMES)}){quote}"
+    content = rf"\bcontent\s*=\s*{quote}{value}"
+    patterns = (rf"<meta\b[^>]*?{named}[^>]*?{content}", rf"<meta\b[^>]*?{content}[^>]*?{named}", rf"{quote}datePublished{quote}\s*:\s*{quote}{value}", rf"<time\b[^>]*?\bdatetime\s*=\s*{quote}{value}")
+    found = [lenient_date(F.regexp_extract(html, rf"(?i){p}", 1), zone) for p in patterns]
+    part = F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    day = [F.regexp_extract(part, r"/(20\d{2})/(0?[1-9]|1[0-2])/(0?[1-9]|[12]\d|3[01])(?:/|$)", n) for n in (1, 2, 3)]
+    path = F.concat_ws("-", day[0], F.lpad(day[1], 2, "0"), F.lpad(day[2], 2, "0"))
+    return F.coalesce(*found, lenient_date(path, zone))
 
 
 #: Month names of the languages met, by number.
@@ -110,10 +121,40 @@ def canonical_url(url: Column, aliases: dict[str, str] | None = None) -> Column:
 
 
 def encoded_path(url: Column) -> Column:
-    """Percent-encodes each path segment, leaving scheme and host."""
-    head = F.regexp_extract(url, r"^[a-z]+://[^/]*", 0)
-    rest = F.substring(url, F.length(head) + 1, F.length(url))
-    return F.concat(head, F.array_join(F.transform(F.split(rest, "/"), lambda s: F.replace(F.url_encode(F.url_decode(s)), F.lit("+"), F.lit("%20"))), "/"))
+    """Percent-encodes what a URL's path and query may not hold; encoded parts stay.
+
+    The fragment goes.  Hosts are left to ``encoded_url``.
+    """
+    head = F.regexp_extract(url, r"^[a-z]+://[^/?#]*", 0)
+    rest = F.regexp_replace(F.substring(url, F.length(head) + 1, F.length(url)), "#.*$", "")
+    kept = r"[A-Za-z0-9/%:@!$&'()*+,;=._~?-]"
+    pieces = F.regexp_extract_all(rest, F.lit(rf"{kept}+|(?:(?!{kept})[\s\S])+"), 0)
+    return F.concat(head, F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(rf"^{kept}"), p).otherwise(F.replace(F.url_encode(p), F.lit("+"), F.lit("%20")))), ""))
+
+
+@F.pandas_udf(T.StringType())
+def ascii_host(hosts: pd.Series) -> pd.Series:
+    """Hosts in their ASCII form (IDNA); null where there is none."""
+
+    def one(host):
+        try:
+            return host.encode("idna").decode("ascii")
+        except UnicodeError:
+            return None
+
+    return hosts.map(one, na_action="ignore")
+
+
+def encoded_url(url: Column) -> Column:
+    """A URL for HTTP: ASCII host, encoded path and query; null without a host.
+
+    Only hosts past ASCII leave the JVM's functions.
+    """
+    host = F.regexp_extract(url, r"^https?://([^/?#:@]+)(?::[0-9]+)?(?:[/?#]|$)", 1)
+    plain = encoded_path(url)
+    ascii_ = F.when(host.rlike("^[\\x00-\\x7F]+$"), host).otherwise(ascii_host(F.when(~host.rlike("^[\\x00-\\x7F]*$"), F.lower(host))))
+    start = F.instr(plain, "://") + 3
+    return F.when(host != "", F.concat(F.substring(plain, F.lit(1), start - 1), ascii_, F.substring(plain, start + F.length(host), F.length(plain))))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -142,15 +183,22 @@ def topic_codes(topics: Column, primary: Column, secondary: Column) -> Column:
     return F.array_distinct(F.filter(picked, lambda t: t.isNotNull() & (t != "")))
 
 
-def error_category(status: Column, message: Column) -> Column:
+def error_category(status: Column, message: Column, kind: Column | None = None) -> Column:
+    """Category of a failed fetch by HTTP status, the one in the message, or the
+    kind of error: ``tls``, ``dns``, ``timeout``, ``closed`` or ``format``."""
+    named = F.nullif(F.regexp_extract(message, r"\b(?:HTTP(?: Error)? |error: )([1-5]\d\d)\b", 1), F.lit("")).cast("int")
+    status = F.coalesce(status, named)
+    kind = F.coalesce(kind, F.lit("")) if kind is not None else F.lit("")
     return (
-        F.when(status == 404, "not_found")
-        .when(status.isin(401, 403), "forbidden")
-        .when(status == 429, "rate_limited")
-        .when(status >= 500, "server")
-        .when(F.lower(message).contains("timed out"), "timeout")
-        .when(F.lower(message).contains("certificate"), "tls")
-        .otherwise("other")
+        F.when(status.isin(401, 403, 429), "possible_access_restriction")
+        .when(status == 404, "source_url_changed_or_removed")
+        .when(status >= 500, "possible_service_outage")
+        .when(kind == "tls", "tls_validation_failure")
+        .when(kind == "dns", "dns_failure")
+        .when((kind == "timeout") | F.coalesce(F.lower(message).contains("timed out"), F.lit(False)), "timeout_or_network_path")
+        .when(kind == "closed", "connection_closed")
+        .when(kind == "format", "collector_or_page_format_changed")
+        .otherwise("unclassified_failure")
     )
 
 
@@ -158,12 +206,22 @@ def nonlexical(text: Column) -> Column:
     return ~F.coalesce(text, F.lit("")).rlike(r"[\p{L}\p{N}]")
 
 
+#: Fixed value: bracketed cues of music and note signs.
+MUSIC = r"(?i)\[(?:music|instrumental|singing)[^\]]*\]|[♪♫]"
+
+
 def music_cue(text: Column) -> Column:
-    return text.rlike(r"(?i)^\s*[\[(♪]?\s*(?:music|musik|musique|música|applause)?\s*[\])♪]?\s*$")
+    """Whether a caption marks music anywhere."""
+    return F.coalesce(text.rlike(MUSIC), F.lit(False))
+
+
+#: Thumbnail sizes, best first.
+THUMBNAILS = ("maxres", "standard", "high", "medium", "default")
 
 
-def first_known(*options: Column) -> Column:
-    return F.coalesce(*options)
+def best_thumbnail(urls: Column) -> Column:
+    """First non-empty URL of a map by size."""
+    return F.coalesce(*(F.nullif(F.try_element_at(urls, F.lit(n)), F.lit("")) for n in THUMBNAILS))
 
 
 def mercator(lat: Column, lon: Column) -> tuple[Column, Column]:

@@ -179,32 +179,56 @@ def cards(html: Column, item: str, date: str, title: str, link: str) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def chunks(texts: pd.Series, limits: pd.Series) -> pd.Series:
-    """Parts of at most ``limit`` characters, cut at the last blank before it."""
+    """Parts of at most ``limit`` characters, cut at the last blank of their second
+    half, or at the limit where that has none."""
 
     def one(text: str | None, limit: int) -> list[str]:
-        out, rest = [], (text or "").strip()
-        while len(rest) > limit:
-            at = rest.rfind(" ", 0, limit + 1)
-            at = at if at > 0 else limit
-            out.append(rest[:at].strip())
-            rest = rest[at:].strip()
-        return out + [rest] if rest else out
+        text, out, at = text or "", [], 0
+        while at < len(text):
+            end = min(len(text), at + limit)
+            if end < len(text):
+                blank = text.rfind(" ", at + limit // 2, end)
+                end = blank if blank > at else end
+            out.append(text[at:end].strip())
+            at = end
+        return out
 
     return pd.Series([one(t, int(n)) for t, n in zip(texts, limits)], dtype=object)
 
 
-def article_text(pages: DataFrame, selectors: DataFrame, stored: str = "stored", least: int = 40, fallback: int = 250) -> DataFrame:
-    """Article text by a selector per source; else stored text over ``fallback``
-    characters, else the main element.  Attachment notices count as no text."""
-    rows = pages.join(F.broadcast(selectors), "source", "left")
+def article_text(pages: DataFrame, selectors: DataFrame, stored: str = "stored", fallback: int = 250) -> DataFrame:
+    """Article text by source: the block its selector names, if long enough and no
+    notice of an attachment; else stored text over ``fallback`` characters, else
+    the main element.
+
+    ``selectors`` is (source, selector, least): one row a source, whose number the
+    sources bound.  A selector of '' gives no text at all.
+    """
+    rows = pages.join(selectors, "source", "left")
     block = block_text("html", F.coalesce("selector", F.lit("")))
     notice = block.rlike(r"(?i)^(?:see|download) (?:the )?attach")
-    good = F.col("selector").isNotNull() & (F.length(block) >= least) & ~notice
+    good = (F.col("selector") != "") & (F.length(block) >= F.col("least")) & ~notice
     kept = F.when(F.length(stored) > fallback, F.col(stored))
-    return rows.withColumn("article", F.when(good, block).otherwise(F.coalesce(kept, main_text()("html"))))
-
-
-def ai_copy_faults(text: Column) -> Column:
-    """Names of rules a generated summary breaks."""
-    rules = {"missing source": r"(?i)\b(?:no|missing|without) (?:source|text) (?:was )?(?:provided|available)", "speaks as a model": r"(?i)\bas an? (?:ai|language) model\b"}
-    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in rules.items())))
+    other = F.coalesce(kept, main_text()("html"))
+    return rows.withColumn("article", F.when(F.coalesce(good, F.lit(False)), block).when(F.col("selector").eqNullSafe(""), "").otherwise(other))
+
+
+#: Fixed value: words that say AI in public copy.
+AI_COPY = r"(?iU)(?<!\w)(?:AI|AGI)(?!\w)|\b(?:artificial intelligence|machine learning|large language model|foundation model|super[ -]?intelligence)\b"
+#: Ways of saying that a source was missing.
+NO_SOURCE = (
+    r"\b(?:no|missing|without)\s+(?:full\s+)?(?:press release|article|source|document|text)",
+    r"\b(?:press release|article|source|document|text)(?:\s+text)?\s+(?:is\s+|was\s+|were\s+)?not\s+(?:provided|included|available)\b",
+    r"\b(?:press release|article|source|document|text).{0,30}\battached\b",
+)
+
+
+def ai_copy_faults(topics: Column, summary: Column, ticker: Column, rationale: Column, relevance: Column, confidence: Column) -> Column:
+    """What holds a generated label back: an AI topic whose public copy does not
+    name AI in summary and ticker, and an unsure answer that says its source was
+    missing."""
+    said = lambda c: F.coalesce(c.rlike(AI_COPY), F.lit(False))
+    unnamed = F.coalesce(F.array_contains(topics, "artificial_intelligence"), F.lit(False)) & ~(said(summary) & said(ticker))
+    copy = F.concat_ws(" ", F.coalesce(ticker, F.lit("")), F.coalesce(rationale, F.lit("")))
+    unsure = F.coalesce(relevance == "unclear", F.lit(False)) & (F.coalesce(confidence, F.lit(1.0)) <= 0.1)
+    return F.array_compact(F.array(F.when(unnamed, "AI not named"), F.when(unsure & copy.rlike("(?i)" + "|".join(NO_SOURCE)), "source missing")))

@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-#: Words of travel and of civic matters in titles.
-TRAVEL = ("travel", "tourism", "tourist", "holiday", "vacation", "itinerary", "sightseeing")
-CIVIC = ("government", "election", "parliament", "policy", "minister", "protest", "security")
+from pyspark.sql import types as T
+
+#: Phrases of travel promotion in titles.
+TRAVEL = (
+    r"travel (?:guide|vlog)", r"walking tour", r"city (?:tour|walk)", r"virtual tour", r"things to do", r"places to visit", r"must[- ]visit", r"tourist attractions?",
+    r"vacation (?:in|to)", r"holiday (?:in|to)", r"trip to", r"gu[ií]a de viaje", r"lugares para visitar", r"viaje a", r"guide de voyage", r"visiter [a-zà-ÿ]+",
+    r"voyage [aà] ", r"roteiro de viagem", r"viagem (?:a|para)", r"passeio (?:em|por)", r"cosa vedere", r"guida turistica", r"stadtf[uü]hrung", r"reisevlog",
+)
+#: Words of public affairs in titles and descriptions.
+CIVIC = (
+    r"protest\w*", r"demonstrat\w*", r"manifest\w*", r"strike", r"strikes", r"gr[eè]ve\w*", r"greve\w*", r"huelga\w*", r"sciopero\w*", r"government", r"gouvernement",
+    r"governo", r"gobierno", r"regierung", r"parliament", r"parlement", r"parlamento", r"election\w*", r"[eé]lection\w*", r"pol[ií]tic\w*", r"policy", r"politique",
+    r"pol[ií]tica", r"security", r"s[eé]curit[eé]", r"seguran[çc]a", r"seguridad", r"war", r"guerre", r"guerra", r"conflict\w*", r"conflit\w*", r"migration",
+    r"immigration", r"tax", r"imp[oô]t\w*", r"imposto\w*",
+)
 
 
 def key_exists(payload: Column, key: str) -> Column:
@@ -72,9 +83,10 @@ def caption_state(saved: Column, incomplete: Column, blocked: Column, unavailabl
 
 
 def travel_only(title: Column, description: Column) -> Column:
-    """Travel words in the title and no civic word in title or description."""
-    words = lambda ws: r"(?i)\b(?:" + "|".join(ws) + r")\b"
-    return F.coalesce(title, F.lit("")).rlike(words(TRAVEL)) & ~F.concat_ws(" ", title, description).rlike(words(CIVIC))
+    """Travel promotion in the title and nothing of public affairs in title or description."""
+    plain = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    words = lambda ws: r"(?U)\b(?:" + "|".join(ws) + r")\b"
+    return plain(title).rlike(words(TRAVEL)) & ~F.concat_ws(" ", plain(title), plain(description)).rlike(words(CIVIC))
 
 
 def iso_week_start(week: Column) -> Column:
@@ -110,8 +122,22 @@ def merged_value(right: Column, right_has: Column, left: Column) -> Column:
     return F.when(right_has, right).otherwise(left)
 
 
-def without_nul(c: Column) -> Column:
-    return F.replace(c, F.lit("\u0000"), F.lit(""))
+def deny(df: DataFrame, columns: list[str]) -> DataFrame:
+    """All columns but private ones; names that are not there are no error."""
+    return df.drop(*columns)
+
+
+def without_nul(c: Column, kind: T.DataType | None = None) -> Column:
+    """Text without NUL characters, at any depth of arrays, maps and structs."""
+    if kind is None or isinstance(kind, T.StringType):
+        return F.replace(c, F.lit("\u0000"), F.lit(""))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: without_nul(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.transform(F.map_entries(c), lambda e: F.struct(without_nul(e["key"], kind.keyType).alias("key"), without_nul(e["value"], kind.valueType).alias("value"))))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(without_nul(c[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return c
 
 
 def search(title: Column, channel: Column, text: str) -> Column:

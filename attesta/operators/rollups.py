@@ -140,3 +140,91 @@ def workload(done: Column, imported: Column, target: Column) -> list[Column]:
     """(done in all, target, remaining, never below zero)."""
     total, goal = F.sum(done + imported), F.sum(target)
     return [total.alias("done"), goal.alias("target"), F.greatest(F.lit(0), goal - total).alias("remaining")]
+
+
+def count_checks(videos: DataFrame, inventory: DataFrame, collection: DataFrame, history: DataFrame, missing: DataFrame) -> DataFrame:
+    """(check, passed): whether public counts fit together.
+
+    ``videos`` has batch, id, labelled, related, total, human_reviewed,
+    classified_comments, retained_comments, and alignment, sentiment and joint as
+    maps of counts (joint by ``alignment/sentiment``); ``inventory`` has batch, id
+    and caption; ``collection`` is one row of totals, with caption_total;
+    ``history`` has id, sampled, classified and related by week; ``missing`` has id.
+    Every rule is one aggregate, so nothing but its counts leaves the tables.
+    """
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    part = lambda m, key, n: F.aggregate(F.map_entries(m), F.lit(0).cast("bigint"), lambda s, e: s + F.when(F.split(e["key"], "/")[n] == key, e["value"]).otherwise(0))
+    fits = lambda field, n: F.forall(F.map_entries(field), lambda e: part(F.col("joint"), e["key"], n) == e["value"])
+    counts = lambda m: F.forall(F.map_values(m), lambda v: v >= 0)
+    rules = {
+        "comment total": F.col("total") >= 0,
+        "reviewed comments": F.col("human_reviewed").between(0, F.col("total")),
+        "per-video comment count": F.col("total") == F.col("classified_comments"),
+        "classified exceeds retained": F.col("total") <= F.col("retained_comments"),
+        "comments without classified video": F.col("labelled") | (F.col("total") == 0),
+        "alignment values": counts("alignment"),
+        "alignment sum": total("alignment") == F.col("total"),
+        "sentiment values": counts("sentiment"),
+        "sentiment sum": total("sentiment") == F.col("total"),
+        "joint total": F.col("joint").isNull() | (total("joint") == F.col("total")),
+        "joint alignment": F.col("joint").isNull() | fits("alignment", 0),
+        "joint sentiment": F.col("joint").isNull() | fits("sentiment", 1),
+    }
+    held = [(name, F.count_if(~F.coalesce(c, F.lit(False))) == 0) for name, c in rules.items()]
+    sums = {f"_{c}": F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "human_reviewed", "retained_comments")}
+    ids = F.count_distinct(F.struct("batch", "id"))
+    v = videos.agg(*(c.alias(f"rule {i}") for i, (_, c) in enumerate(held)), F.count("*").alias("_videos"), ids.alias("_video_ids"), F.count_if("labelled").alias("_labelled"), *(c.alias(n) for n, c in sums.items()))
+    i = inventory.agg(F.count("*").alias("_inventory"), ids.alias("_inventory_ids"))
+    weeks = inventory.groupBy(F.col("batch").alias("id")).agg(F.count("*").alias("_in"))
+    coded = videos.where("labelled").groupBy(F.col("batch").alias("id")).agg(F.count("*").alias("_coded"), F.count_if("related").alias("_rel"))
+    h = history.join(weeks, "id", "left").join(coded, "id", "left").join(missing.select("id", F.lit(True).alias("_gap")).distinct(), "id", "left").fillna(0, ["_in", "_coded", "_rel"])
+    whole = F.col("_in") == F.col("sampled")
+    h = h.agg(
+        (F.count("*") == F.count_distinct("id")).alias("_weeks"),
+        (F.count_if(~F.coalesce((F.col("sampled") >= 0) & (F.col("classified") >= 0) & (F.col("related") >= 0), F.lit(False))) == 0).alias("_typed"),
+        (F.count_if((F.col("related") > F.col("classified")) | (F.col("classified") > F.col("sampled"))) == 0).alias("_bounds"),
+        (F.count_if(whole & (F.col("_coded") != F.col("classified"))) == 0).alias("_kept_classified"),
+        (F.count_if(whole & (F.col("_rel") != F.col("related"))) == 0).alias("_kept_related"),
+        (F.count_if("_gap") == 0).alias("_gaps"),
+    )
+    row = collection.crossJoin(F.broadcast(v)).crossJoin(F.broadcast(i)).crossJoin(F.broadcast(h))
+    checks = [
+        ("video duplicates", F.col("_videos") == F.col("_video_ids")),
+        ("inventory duplicates", F.col("_inventory") == F.col("_inventory_ids")),
+        ("sample size", F.col("sampled_videos") == F.col("_inventory")),
+        ("English text coverage", F.col("transcript_eligible") == F.col("_videos")),
+        ("classified videos", F.col("classified_videos") == F.col("_labelled")),
+        ("missing text", F.col("awaiting_transcript") + F.col("transcript_eligible") == F.col("sampled_videos")),
+        ("caption categories", F.col("caption_total") == F.col("_inventory")),
+        *((name, F.col(f"rule {n}")) for n, (name, _) in enumerate(held)),
+        ("global comments", F.col("classified_comments") == F.col("_total")),
+        ("global reviewed comments", F.col("reviewed_comments") == F.col("_human_reviewed")),
+        ("global retained comments", F.col("retained_comments") == F.col("_retained_comments")),
+        ("duplicate history weeks", F.col("_weeks")),
+        ("history count type", F.col("_typed")),
+        ("history count bounds", F.col("_bounds")),
+        ("retained history classified count", F.col("_kept_classified")),
+        ("retained history related count", F.col("_kept_related")),
+        ("history gap overlaps saved week", F.col("_gaps")),
+    ]
+    return reconcile(checks, row)
+
+
+def week_health(batches: DataFrame, inventory: DataFrame, videos: DataFrame, at: Column) -> DataFrame:
+    """(batch, fault, sampled, classified) of the last whole week before ``at``.
+
+    fault is the first of: the week is missing, nothing was sampled, nothing was
+    classified, saved texts without a classification; or null.
+    """
+    from attesta.functions.scalar import week_window
+
+    want = batches.sparkSession.range(1).select(week_window(at)[2].alias("batch"))
+    own = lambda df: df.join(F.broadcast(want), "batch", "left_semi")
+    known = own(batches.select(F.col("id").alias("batch"))).agg(F.count("*").alias("known"))
+    sampled = own(inventory).agg(F.count("*").alias("sampled"))
+    done = own(videos).where("labelled")
+    classified = done.agg(F.count("*").alias("classified"))
+    missing = own(inventory).where("caption = 'saved'").join(done.select("id"), "id", "left_anti").agg(F.count_distinct("id").alias("open"))
+    row = want.crossJoin(known).crossJoin(sampled).crossJoin(classified).crossJoin(missing)
+    fault = F.when(F.col("known") == 0, "sample missing").when(F.col("sampled") == 0, "nothing sampled").when(F.col("classified") == 0, "nothing classified").when(F.col("open") > 0, "saved but unclassified")
+    return row.select("batch", fault.alias("fault"), "sampled", "classified", "open")

@@ -20,12 +20,19 @@ def insert_faults(new: DataFrame, old: DataFrame, key: str, digest: str) -> Data
 
 
 def immutable_insert(new: DataFrame, old: DataFrame, key: str, digest: str) -> DataFrame:
-    """Rows to append: none if there is any fault; stored ids are no-ops."""
-    faults = insert_faults(new, old, key, digest).agg(F.count("*").alias("_faults"))
+    """Rows to append; stored ids are no-ops.  A request with a fault is an error as
+    a whole: ``insert_faults`` says which."""
+    n = insert_faults(new, old, key, digest).agg(F.count("*").alias("_n"))
+    faults = n.select(F.when(F.col("_n") == 0, F.lit(0)).otherwise(F.raise_error(F.format_string("insert refused, faults: %d", "_n")).cast("int")).alias("_faults"))
     fresh = new.dropDuplicates([key]).join(old.select(key), key, "left_anti")
     return fresh.crossJoin(F.broadcast(faults)).where("_faults = 0").select(new.columns)
 
 
+def accepted(new: DataFrame, valid: Column) -> DataFrame:
+    """(accepted): the number of rows of an upsert that count."""
+    return new.agg(F.count_if(F.coalesce(valid, F.lit(False))).alias("accepted"))
+
+
 def upsert_keep(old: DataFrame, new: DataFrame, key: str, kept: list[str], valid: Column) -> DataFrame:
     """Merge by key: new values win, but a null never replaces a ``kept`` column.
 
@@ -85,7 +92,7 @@ def assign_sequence(tokens: DataFrame, token: str, order: str, assigned: DataFra
 def clone_batch(df: DataFrame, old: str, new: str) -> DataFrame:
     """Rows of a batch under another id; purged rows are an error."""
     rows = df.where(F.col("batch_id") == old)
-    id_ = F.when(F.col("purged_at").isNull(), F.concat(F.lit(new), F.substring("id", len(old) + 1, 10_000))).otherwise(F.raise_error(F.lit("purged rows cannot be cloned")))
+    id_ = F.when(F.col("purged_at").isNull(), F.concat(F.lit(new), F.expr(f"substring(id, {len(old) + 1})"))).otherwise(F.raise_error(F.lit("purged rows cannot be cloned")))
     return rows.withColumn("id", id_).withColumn("batch_id", F.lit(new))
 
 
@@ -163,7 +170,8 @@ def discovery_start(requested: Column, cursor: Column, initial: Column) -> Colum
 def discovered(found: DataFrame, known: DataFrame, key: str, date: str) -> DataFrame:
     """Known and new items; a known item's date follows the newest finding."""
     new = found.groupBy(key).agg(F.max(date).alias("_d"))
-    return known.join(new, key, "full").select(key, F.coalesce("_d", date).alias(date), F.col(date).isNull().alias("is_new"))
+    stored = known.withColumn("_known", F.lit(True))
+    return stored.join(new, key, "full").select(key, F.coalesce("_d", date).alias(date), F.col("_known").isNull().alias("is_new"))
 
 
 def day_mode(cursors: DataFrame, ready: Column, cursor: Column, target: Column) -> DataFrame:
@@ -177,9 +185,16 @@ def due_today(local: Column, last_day: Column) -> Column:
     return minute.between(900, 904) & ~F.coalesce(last_day == F.to_date(local), F.lit(False))
 
 
-def reconciled_findings(findings: DataFrame, key: str, supported: Column) -> DataFrame:
-    """Findings whose evidence still holds."""
-    return findings.withColumn("issues", F.filter("issues", lambda i: F.array_contains(supported, i))).where(F.size("issues") > 0)
+def reconciled_findings(findings: DataFrame, items: DataFrame, key: str, supported) -> DataFrame:
+    """Findings with the issues that hold, dropped where none does.
+
+    ``supported(issue)`` may use columns of the finding and its item.  Findings
+    whose item is unknown or whose source was not verified stay as they are.
+    """
+    rows = findings.join(items.withColumn("_item", F.lit(True)), key, "left").withColumn("_kept", F.filter("issues", supported))
+    as_is = F.col("_item").isNull() | (F.col("status") == "source_unverified")
+    rows = rows.withColumn("issues", F.when(F.coalesce(as_is, F.lit(False)), F.col("issues")).otherwise(F.col("_kept")))
+    return rows.where(F.coalesce(as_is, F.lit(False)) | (F.size("issues") > 0)).select(findings.columns)
 
 
 def single_requeue(items: DataFrame, identity: dict[str, str], status: str = "status") -> DataFrame:

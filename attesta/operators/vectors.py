@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from attesta.functions.scalar import cosine
 
+from .ordered import burst, week_streak
+
 BLOCK_ROWS = 2048
 
 
@@ -155,12 +157,41 @@ def injection(clusters: DataFrame, members: DataFrame, sources: DataFrame, by: s
     return out.select(by, F.when(F.col("total") > 0, F.coalesce("inside", F.lit(0)) / F.col("total")).alias("injection"))
 
 
-def amplification(parts: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Adds ``index``: the weighted sum of the components, null without comments."""
-    total = F.lit(0.0)
-    for name, w in weights.items():
-        total = total + F.coalesce(F.col(name), F.lit(0.0)) * w
-    return parts.withColumn("index", F.when(F.col("comments") > 0, F.round(total, 9)))
+def duplicate_groups(comments: DataFrame, by: str, key: str, text: Column, vector: str, near: float) -> DataFrame:
+    """(by, ids): complete-link clusters of similar vectors and groups of equal texts,
+    two members or more, each set of ids once."""
+    clusters = complete_link(comments, by, key, vector, near, 2).groupBy(by, "cluster").agg(F.array_sort(F.collect_list(key)).alias("ids")).select(by, "ids")
+    equal = comments.withColumn("_t", text).groupBy(by, "_t").agg(F.array_sort(F.collect_list(key)).alias("ids")).where(F.size("ids") > 1).select(by, "ids")
+    return clusters.union(equal).distinct()
+
+
+def amplification(comments: DataFrame, sources: DataFrame, recurring: DataFrame, by: str, key: str, text: Column, at: str, vector: str, narrative: str, near: float = 0.92, far: float = 0.35, seconds: int = 600) -> DataFrame:
+    """(by, comments, five components, index, clusters, largest) of each source with comments.
+
+    duplicate: share of comments in near or exact groups; burst: the most within
+    ``seconds``, less one, over the others; recurrence: share that recurs
+    elsewhere (``recurring`` has their keys); divergence: share less than ``far``
+    similar to the source (``sources``: by, source_vector); concentration of
+    narratives over the number of comments, normalised and clipped to 0 to 1.
+    """
+    groups = duplicate_groups(comments, by, key, text, vector, near)
+    in_groups = groups.select(by, F.explode("ids").alias(key)).groupBy(by).agg(F.count_distinct(key).alias("_dup"))
+    sizes = groups.groupBy(by).agg(F.count("*").alias("clusters"), F.max(F.size("ids")).alias("_most"))
+    rows = comments.join(recurring.select(key).distinct().withColumn("_again", F.lit(1)), key, "left").join(sources.select(by, "source_vector"), by)
+    n = rows.groupBy(by).agg(F.count("*").alias("comments"), F.count("_again").alias("_again"), F.count_if(cosine(F.col("source_vector"), F.col(vector)) < far).alias("_far"))
+    told = comments.groupBy(by, narrative).agg(F.count("*").alias("_k")).groupBy(by).agg((F.sum(F.col("_k") * F.col("_k")) / (F.sum("_k") * F.sum("_k"))).alias("_hhi"))
+    out = n.join(in_groups, by, "left").join(sizes, by, "left").join(burst(comments, by, at, seconds), by, "left").join(told, by, "left")
+    count = F.col("comments")
+    spread = F.when(count > 1, (F.col("_hhi") - 1 / count) / (1 - 1 / count)).otherwise(0.0)
+    parts = {
+        "duplicate": F.coalesce("_dup", F.lit(0)) / count,
+        "burst": F.greatest(F.lit(0.0), (F.col("burst") - 1) / F.greatest(F.lit(1), count - 1)),
+        "recurrence": F.col("_again") / count,
+        "divergence": F.col("_far") / count,
+        "concentration": F.greatest(F.lit(0.0), F.least(F.lit(1.0), spread)),
+    }
+    index = sum((c * WEIGHTS[name] for name, c in parts.items()), F.lit(0.0))
+    return out.select(by, "comments", *(c.alias(name) for name, c in parts.items()), index.alias("index"), F.coalesce("clusters", F.lit(0)).alias("clusters"), (F.coalesce("_most", F.lit(0)) / count).alias("largest"))
 
 
 #: Component weights of the amplification index.
@@ -188,10 +219,12 @@ def relevance(vector: Column, positive: Column, negative: Column, short: Column)
 
 def emerging(items: DataFrame, label: str, week: str, streak: int = 3, volume: int = 15) -> DataFrame:
     """Themes with a run of ``streak`` weeks or ``volume`` items."""
-    from .ordered import week_streak
-
     runs = week_streak(items, label, week)
     n = items.groupBy(label).agg(F.count("*").alias("items"))
     return runs.join(n, label).withColumn("emerging", (F.col("streak") >= streak) | (F.col("items") >= volume))
 
 
+def emerging_clusters(items: DataFrame, by: str, key: str, vector: str, week: str, least: float, streak: int = 3, volume: int = 15) -> DataFrame:
+    """The same for complete-link clusters of the items of each ``by``; theme is ``by:cluster``."""
+    clusters = complete_link(items, by, key, vector, least).withColumn("theme", F.concat_ws(":", F.col(by).cast("string"), F.col("cluster").cast("string")))
+    return emerging(clusters.join(items.select(key, week), key), "theme", week, streak, volume)

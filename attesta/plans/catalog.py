@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ("relational", "ordered", "sampling", "vectors", "texts", "state", "reviews", "streams")
+MODULES = ("relational", "ordered", "sampling", "vectors", "texts", "state", "reviews", "streams", "judgements", "sourcing")
 
 for _name in MODULES:
     importlib.import_module(f"attesta.plans.{_name}")

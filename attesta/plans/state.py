@@ -189,12 +189,19 @@ def all_or_nothing_import(spark, sf_dir):
     return rows.select("doc_id")
 
 
-@query("segment_verdicts", "select event_id, case when value > 60 and user_id % 3 = 0 then 'silence' when user_id % 3 = 0 or value % 10 > 8 then 'reject' else 'accept' end as verdict from events")
+@query(
+    "segment_verdicts",
+    """
+select event_id, case when value > 60 and user_id % 3 = 0 and event_id % 2 = 0 then 'silence' when user_id % 3 = 0 then 'uncertain_speech' when value % 10 > 8 then 'repetitive_speech' when event_id % 5 = 0 then 'empty_speech' else 'accept' end as verdict from events
+""",
+)
 def segment_verdicts(spark, sf_dir):
     ev = load(spark, sf_dir, "events")
     low = F.when(F.col("user_id") % 3 == 0, -2.0).otherwise(-0.1)
     ratio = F.when(F.col("value") % 10 > 8, 3.0).otherwise(1.0)
-    return ev.select("event_id", validation.segment_verdict(F.when(F.col("value") > 60, 0.9).otherwise(0.1), low, ratio).alias("verdict"))
+    quiet = F.when(F.col("value") > 60, 0.9).otherwise(0.1)
+    text = F.when(F.col("event_id") % 5 == 0, "  ").otherwise("words")
+    return ev.select("event_id", validation.segment_verdict(quiet, low, ratio, text, F.col("event_id") % 2 == 1).alias("verdict"))
 
 
 @query(

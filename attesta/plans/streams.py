@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from attesta.session import scratch
 from attesta.sources.tables import load
 from attesta.streaming import streams
 
@@ -13,13 +12,7 @@ from .registry import query
 
 
 def _checkpoint(spark) -> str:
-    """A folder for stream checkpoints: the shared one, or a local one if unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        return tempfile.mkdtemp(prefix="attesta-stream-")
-    import uuid
-
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return scratch(spark, "stream")
 
 
 #: More files than a table has: all that are there are one batch.

@@ -83,12 +83,6 @@ def alias_merge(spark, sf_dir):
     return got.select("site", "page_id", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query("publication_date")
-def publication_date(spark, sf_dir):
-    p = load(spark, sf_dir, "pages")
-    return p.select("page_id", scalar.publication_date(F.col("html"), F.col("url")).alias("published"))
-
-
 @query("main_text")
 def main_text(spark, sf_dir):
     p = load(spark, sf_dir, "pages")
@@ -103,33 +97,33 @@ def html_links(spark, sf_dir):
 @query("article_text")
 def article_text(spark, sf_dir):
     p = load(spark, sf_dir, "pages").select("page_id", "html", F.regexp_extract("url", "://(?:[^/]*\\.)?example\\.([a-z]+)", 1).alias("source"), F.lit(None).cast("string").alias("stored"))
-    selectors = spark.createDataFrame([("com", "ad"), ("net", "none")], "source string, selector string")
+    selectors = spark.createDataFrame([("com", "ad", 40), ("net", "none", 80), ("org", "", 40)], "source string, selector string, least int")
     return text.article_text(p, selectors).select("page_id", F.length("article").alias("n_chars"))
 
 
-@query("long_text_chunks")
+@query(
+    "long_text_chunks",
+    """
+with recursive d as (select doc_id, text as t, length(text) as n from documents where n_chars > 6000),
+c as (select doc_id, 0 as part, 0::bigint as a, e from (select doc_id, 0::bigint as a, case when n > 6000 then coalesce(nullif(3000 + 3000 - strpos(reverse(substr(t, 3001, 3000)), ' '), 6000), 6000) else n end as e from d)
+ union all select doc_id, part + 1, e, case when n > e + 6000 then case when strpos(reverse(substr(t, e + 3001, 3000)), ' ') > 0 then e + 6000 - strpos(reverse(substr(t, e + 3001, 3000)), ' ') else e + 6000 end else n end from c join d using (doc_id) where e < n)
+select doc_id, part, length(regexp_replace(substr(t, a + 1, e - a), '^\\s+|\\s+$', '', 'g')) as n_chars from c join d using (doc_id)
+""",
+)
 def long_text_chunks(spark, sf_dir):
     d = load(spark, sf_dir, "documents").where("n_chars > 6000")
     return d.select("doc_id", F.posexplode(text.chunks("text", F.lit(6000))).alias("part", "chunk")).select("doc_id", "part", F.length("chunk").alias("n_chars"))
 
 
-@query(
-    "excerpt_overlap",
-    r"""
-with q as (select item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as w from benchmark where item_id < 10),
-d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as w from documents where doc_id < 200),
-s as (select q.item_id, d.doc_id, len(list_intersect(q.w, d.w)) as shared from q, d)
-select item_id, doc_id, shared from (select *, row_number() over (partition by item_id order by shared desc, doc_id) as nth from s) where nth <= 2
-""",
-)
+@query("excerpt_overlap")
 def excerpt_overlap(spark, sf_dir):
     """Best two excerpts per quote by shared words, through an inverted join on words."""
     from pyspark.sql import Window
 
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0))
-    q = load(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", F.explode(words).alias("w"))
-    d = load(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", F.explode(words).alias("w"))
-    shared = q.join(d, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    q = load(spark, sf_dir, "benchmark").select("item_id", F.explode(words).alias("w"))
+    d = load(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("w"))
+    shared = d.join(q, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
     nth = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id"))
     return shared.withColumn("nth", nth).where("nth <= 2").select("item_id", "doc_id", "shared")
 
@@ -144,14 +138,19 @@ def language_subtag(spark, sf_dir):
 @query("country_cues", r"select n.n_nationkey, string_agg(case when regexp_matches(lower(r.r_name), '(^|[^a-z])' || k || '($|[^a-z])') then k end, ',' order by k) as cues from nation n join region r on n.n_regionkey = r.r_regionkey, (values ('africa'), ('america'), ('asia'), ('europe')) v(k) group by n.n_nationkey having count(case when regexp_matches(lower(r.r_name), '(^|[^a-z])' || k || '($|[^a-z])') then k end) > 0")
 def country_cues(spark, sf_dir):
     n = load(spark, sf_dir, "nation").join(F.broadcast(load(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    names = {k: [k] for k in ("africa", "america", "asia", "europe")}
-    codes = places.country_facets(F.lit(""), F.col("r_name"), F.lit(""), F.lit(""), names)
+    codes = places.cues(F.col("r_name"), {k: [k] for k in ("africa", "america", "asia", "europe")})
     return n.select("n_nationkey", F.array_join(codes, ",").alias("cues")).where("cues <> ''")
 
 
-@query("travel_exclusion", r"select doc_id, regexp_matches(coalesce(source, ''), '(?i)\b(travel|tourism|tourist|holiday|vacation|itinerary|sightseeing)\b') as excluded from documents")
+TITLES = ["Things to  do in Rome", "A walking tour", "Viaje a Madrid", "Holiday plans", "Must-visit war museums", "", None]
+ABOUT = ["", "the protesters came", "Élections in spring", "warm days"]
+
+
+@query("travel_exclusion", "select o_orderkey, o_orderkey % 7 in (0, 1, 2) and o_orderkey // 7 % 4 in (0, 3) as excluded from orders")
 def travel_exclusion(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", filters.travel_only(F.col("source"), F.col("text")).alias("excluded"))
+    k = F.col("o_orderkey")
+    option = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.pmod(n, F.lit(len(values))) + 1).cast("int"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", filters.travel_only(option(TITLES, k), option(ABOUT, F.floor(k / 7))).alias("excluded"))
 
 
 @query("map_projection", "select c_custkey, round((c_nationkey * 7 - 90 + 180) / 360.0, 6) as x, round(0.5 - ln(tan(0.7853981633974483 + radians(c_nationkey * 3 - 30) / 2)) / 6.283185307179586, 6) as y, round(sqrt(least(1, greatest(c_acctbal, 0) / 9000.0)), 6) as size from customer")
@@ -183,11 +182,19 @@ def topic_codes(spark, sf_dir):
     return p.select("p_partkey", codes.isNotNull().alias("has_topics"), F.size(codes).alias("n"))
 
 
-@query("error_categories", "select event_id, case when user_id % 5 = 0 then 'not_found' when user_id % 5 = 1 then 'forbidden' when user_id % 5 = 2 then 'rate_limited' when user_id % 5 = 3 then 'server' else 'timeout' end as category from events")
+@query(
+    "error_categories",
+    """
+select event_id, case event_id % 10 when 0 then 'source_url_changed_or_removed' when 1 then 'possible_access_restriction' when 2 then 'possible_service_outage' when 3 then 'possible_access_restriction'
+ when 4 then 'tls_validation_failure' when 5 then 'dns_failure' when 6 then 'timeout_or_network_path' when 7 then 'connection_closed' when 8 then 'collector_or_page_format_changed' else 'unclassified_failure' end as category from events
+""",
+)
 def error_categories(spark, sf_dir):
-    ev = load(spark, sf_dir, "events")
-    status = F.element_at(F.array(*map(F.lit, (404, 403, 429, 503, 0))), (F.col("user_id") % 5 + 1).cast("int"))
-    return ev.select("event_id", scalar.error_category(status, F.lit("Timed out")).alias("category"))
+    option = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % 10 + 1).cast("int"))
+    status = option([404, 403, 503, None, None, None, None, None, None, 302])
+    message = option(["", "", "", "HTTP Error 429: too many", "bad certificate", "no name", "Read Timed out", "gone", "no cards", "moved"])
+    kind = option(["", "", "", "", "tls", "dns", "", "closed", "format", ""])
+    return load(spark, sf_dir, "events").select("event_id", scalar.error_category(status, message, kind).alias("category"))
 
 
 @query("week_windows", "select distinct cast(ts::date - cast(dayofweek(ts::date) as integer) - 7 as date) as first_day, cast(ts::date - cast(dayofweek(ts::date) as integer) as date) as end_day, strftime(ts::date - cast(dayofweek(ts::date) as integer) - 1, '%G-W%V') as week from events where hour(ts) between 1 and 22")

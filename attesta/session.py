@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +20,16 @@ def builder(app: str = "attesta", cores: str = "*", shuffle_partitions: int | No
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     return b.config("spark.sql.shuffle.partitions", str(shuffle_partitions)) if shuffle_partitions else b
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share, ``spark.checkpoint.dir``.
+
+    Without that setting only a local master gets a folder of this machine.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: machines share no folder")
+        root = "file://" + tempfile.mkdtemp(prefix="attesta-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

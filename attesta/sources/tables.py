@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attesta.session import scratch
+
 #: The record envelope: one payload column, typed projections are made on read.
 ENVELOPE = T.StructType(
     [
@@ -79,17 +81,44 @@ def read_csv_audit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def snapshot_faults(tables: DataFrame, required: list[str], taken_at: Column, now: Column, hours: int = 24) -> DataFrame:
-    """Faults of a snapshot: age over the limit, and required tables that are missing.
+    """Faults of a snapshot: age over the limit, a stamp more than five minutes
+    ahead, and required tables that are missing.
 
     ``tables`` has one row for each table held (column ``name``).
     """
     spark = tables.sparkSession
     want = spark.createDataFrame([(n,) for n in required], "name string")
     missing = want.join(tables.select("name").distinct(), "name", "left_anti").select(F.concat(F.lit("missing table "), "name").alias("fault"))
-    age = spark.range(1).where(F.unix_timestamp(now) - F.unix_timestamp(taken_at) > hours * 3600).select(F.lit("snapshot too old").alias("fault"))
+    seconds = F.unix_timestamp(now) - F.unix_timestamp(taken_at)
+    age = spark.range(1).select(F.when(seconds > hours * 3600, "snapshot too old").when(seconds < -300, "snapshot of the future").alias("fault")).where("fault is not null")
     return missing.union(age)
 
 
+class ReadCache:
+    """Reads of one run: a table read once stays as it was, whatever is written later.
+
+    The first read of a table or batch is written to the shared folder; all later
+    reads of the run come from there, on whichever executor.
+    """
+
+    def __init__(self, read):
+        self.read, self.held = read, {}
+
+    def get(self, spark: SparkSession, table: str, batch: str | None = None) -> DataFrame:
+        key = (table, batch)
+        if key not in self.held:
+            rows = self.read(table) if batch is None else read_batch(self.read(table), batch)
+            path = scratch(spark, "read")
+            rows.write.parquet(path)
+            self.held[key] = spark.read.schema(rows.schema).parquet(path)
+        return self.held[key]
+
+
+def looked_up(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of the asked ids, each once however often it is asked: chunked requests as one join."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")
+
+
 def cached_fetch(requests: DataFrame, cache: DataFrame, key: str = "digest") -> tuple[DataFrame, DataFrame]:
     """(answers known, requests still to make) for memoised fetches."""
     return requests.join(cache, key), requests.join(cache.select(key), key, "left_anti")
@@ -113,12 +142,19 @@ def build_id(assets: DataFrame) -> DataFrame:
     return assets.agg(F.substring(F.sha2(joined, 256), 1, 16).alias("build_id"))
 
 
+def unescaped(c: Column) -> Column:
+    """Text with the entities that XML has by name resolved."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
 def feed_entries(bodies: DataFrame) -> DataFrame:
     """(source, title, link, published, text) of RSS items and Atom entries.
 
     Prefixes are dropped ahead of parsing, so namespaces do not matter; an
-    entry's link is its text or the href of the link element; the date is the
-    first of four elements that is there.
+    entry's link is the href of the link element or its text; the date is the
+    first of four elements that is there.  Entries without title or link go.
     """
     plain = F.regexp_replace("body", r"<(/?)[A-Za-z0-9_]+:([A-Za-z])", "<$1$2")
     items = F.expr(r"regexp_extract_all(plain, '(?s)<(?:item|entry)[ >].*?</(?:item|entry)>', 0)")
@@ -132,8 +168,8 @@ def feed_entries(bodies: DataFrame) -> DataFrame:
     return rows.select(
         "source",
         "position",
-        tag("title").alias("title"),
-        F.coalesce(tag("link"), href).alias("link"),
-        F.coalesce(tag("pubDate"), tag("published"), tag("updated"), tag("date")).alias("published"),
-        F.coalesce(tag("description"), tag("summary"), tag("content")).alias("text"),
-    )
+        F.trim(F.regexp_replace(unescaped(unescaped(tag("title"))), "<[^>]+>", " ")).alias("title"),
+        unescaped(unescaped(F.coalesce(href, tag("link")))).alias("link"),
+        F.coalesce(tag("published"), tag("updated"), tag("pubDate"), tag("date")).alias("published"),
+        F.trim(F.regexp_replace(unescaped(F.regexp_replace(unescaped(F.coalesce(tag("description"), tag("summary"), tag("content"))), "<[^>]+>", " ")), r"\s+", " ")).alias("text"),
+    ).where("title <> '' and link <> ''")

@@ -77,13 +77,21 @@ def insert_batches(df: DataFrame, target: str, key: str, checkpoint: str) -> Str
 
 
 def drained(df: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """All output of a stream over what is there now, as a table."""
-    import uuid
+    """All output of a stream over what is there now, by files beside the checkpoint.
 
-    name = f"attesta_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    In complete mode the last batch holds all; in update mode every batch's rows.
+    A repeated batch overwrites its own folder.
+    """
+    spark, schema, out, last = df.sparkSession, df.schema, f"{checkpoint}-rows", []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch-{number:09d}")
+        last.append(number)
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if not last:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{out}/batch-{last[-1]:09d}" if mode == "complete" else f"{out}/*")
 
 
 def drained_to_files(df: DataFrame, checkpoint: str) -> DataFrame:

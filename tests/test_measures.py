@@ -1,7 +1,11 @@
 """Measures, windows and sampling on small literal inputs."""
 
 import datetime as dt
+import math
+import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,9 +90,63 @@ def test_injection_share(spark):
         assert got == {"v": want, "empty": None}
 
 
-def test_amplification_extremes(spark):
-    df = spark.createDataFrame([("full", 3, 1.0, 1.0, 1.0, 1.0, 1.0), ("none", 0, None, None, None, None, None)], "k string, comments int, duplicate double, burst double, recurrence double, divergence double, concentration double")
-    assert dict(rows(vectors.amplification(df, vectors.WEIGHTS).select("k", "index"))) == {"full": 1.0, "none": None}
+def plain_amplification(comments, source, again):
+    """(five components, clusters, largest) of one source's comments (key, text, minute, vector, narrative)."""
+    n = len(comments)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    near = []
+    for c in comments:
+        for g in near:
+            if all(cos(c[3], o[3]) >= 0.92 for o in g):
+                g.append(c)
+                break
+        else:
+            near.append([c])
+    groups = {tuple(c[0] for c in g) for g in near if len(g) > 1}
+    groups |= {g for t in {c[1] for c in comments} if len(g := tuple(c[0] for c in comments if c[1] == t)) > 1}
+    burst = max(sum(c[2] <= o[2] <= c[2] + 10 for o in comments) for c in comments)
+    hhi = sum((k / n) ** 2 for k in Counter(c[4] for c in comments).values())
+    spread = (hhi - 1 / n) / (1 - 1 / n) if n > 1 else 0
+    parts = (len({k for g in groups for k in g}) / n, max(0, (burst - 1) / max(1, n - 1)), sum(c[0] in again for c in comments) / n, sum(cos(source, c[3]) < 0.35 for c in comments) / n, max(0, min(1, spread)))
+    return *parts, len(groups), max([len(g) for g in groups] + [0]) / n
+
+
+def test_amplification_against_a_plain_version(spark):
+    rng = random.Random(3)
+    base = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    rows = []
+    for i in range(120):
+        v = [x + rng.gauss(0, 0.2) for x in rng.choice(base)]
+        rows.append((i, rng.choice("abcd") if i != 7 else "single", f"text {rng.randint(0, 40)}", rng.randint(0, 60), v, rng.choice("xyz")))
+    start = dt.datetime(2026, 1, 1)
+    df = spark.createDataFrame([(i, s, t, start + dt.timedelta(minutes=m), v, n) for i, s, t, m, v, n in rows], "id long, source string, text string, at timestamp, v array<double>, narrative string")
+    sources = spark.createDataFrame([(s, base[k % 5]) for k, s in enumerate(["a", "b", "c", "d", "single", "nothing"])], "source string, source_vector array<double>")
+    again = set(range(0, 120, 9))
+    got = vectors.amplification(df, sources, spark.createDataFrame([(i,) for i in again], "id long"), "source", "id", F.col("text"), "at", "v", "narrative").collect()
+    assert {r.source for r in got} == {"a", "b", "c", "d", "single"}
+    for r in got:
+        mine = [(i, t, m, v, n) for i, s, t, m, v, n in rows if s == r.source]
+        want = plain_amplification(mine, base["abcd".find(r.source) if r.source != "single" else 4], again)
+        assert [round(x, 9) for x in (r.duplicate, r.burst, r.recurrence, r.divergence, r.concentration, r.clusters, r.largest)] == [round(x, 9) for x in want]
+        assert abs(r["index"] - sum(w * x for w, x in zip((0.25, 0.2, 0.2, 0.2, 0.15), want))) < 1e-9
+
+
+def test_recurrence_groups_against_a_plain_version(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(6, 8))
+    m = np.concatenate([base[i % 6] + rng.normal(size=(1, 8)) * 0.25 for i in range(60)])
+    m[7] = m[3]
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sim = np.round(unit @ unit.T, 12)
+    want = set()
+    for i in range(60):
+        near = [j for j in sorted(range(60), key=lambda j: (-sim[i, j], j))[:8] if sim[i, j] >= 0.92]
+        if len(near) > 1 and all(sim[a, b] >= 0.92 for a in near for b in near):
+            want.add(tuple(sorted(near)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>")
+    assert {tuple(r.ids) for r in vectors.mutual_groups(df, "id", "v", 8, 0.92).collect()} == want and len(want) > 3
+    both = vectors.united_groups(vectors.equal_groups(df, "id", "v"), vectors.mutual_groups(df, "id", "v", 8, 0.92))
+    assert {tuple(r.ids) for r in both.collect()} == want | {(3, 7)}
 
 
 def test_burst_counts_both_ends(spark):

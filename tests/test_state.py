@@ -17,7 +17,8 @@ def test_insert_is_idempotent_and_atomic(spark):
     assert [r.id for r in state.immutable_insert(same, old, "id", "digest").collect()] == ["c"]
     assert state.immutable_insert(same, old.union(frame(spark, [("c", "3")])), "id", "digest").count() == 0
     for bad in ([("a", "9"), ("d", "4")], [("d", "4"), ("d", "5")], [("d", None), ("e", "1")]):
-        assert state.immutable_insert(frame(spark, bad), old, "id", "digest").count() == 0
+        with pytest.raises(Exception, match="insert refused"):
+            state.immutable_insert(frame(spark, bad), old, "id", "digest").collect()
 
 
 def test_upsert_keeps_dates_and_drops_invalid(spark):
