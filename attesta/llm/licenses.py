@@ -152,6 +152,7 @@ def scan(files: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     parts = work.cut(blocks(by_text), "blocks")
     known = work.cut(match_lines(heads.groupBy("line").agg(F.count("*").alias("times")).withColumn("text", F.col("line")), notices), "notices")
     alike = work.cut(match_lines(parts.groupBy("line").agg(F.first("text").alias("text"), F.count("*").alias("times")), notices.union(texts)), "alike")
+    work.release(spark)
     said = heads.dropDuplicates(["file", "at"]).join(work.small_or_not(known, known.count(), 400), "line").select("file", "license", "cosine", F.lit(False).alias("all"), "full", "line_words", "n_words")
     shown = parts.select("file", "line", "whole").distinct().join(work.small_or_not(alike, alike.count(), 160), "line")
     shown = shown.select("file", "license", "cosine", F.col("whole").alias("all"), "full", F.lit(0).alias("line_words"), F.lit(1).alias("n_words"))
@@ -161,6 +162,7 @@ def scan(files: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     )
     own = work.cut(own.select(F.col("file").alias("text_id"), F.col("m.license").alias("license"), (-F.col("m.back")).alias("cosine"), "whole"), "own")
     where = files.select("file", "path", _text_id().alias("text_id"), F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "").alias("dir"))
+    work.release(spark)
     rows = work.cut(where.join(work.small_or_not(own, own.count(), 240), "text_id", "left").drop("text_id"), "declared")
     votes = rows.where("whole and dir is not null").groupBy("dir", "license").agg(F.count("*").alias("n"))
     first = Window.partitionBy("dir").orderBy(F.desc("n"), "license")
