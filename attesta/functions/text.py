@@ -29,6 +29,17 @@ def has_term(text: Column, term: str) -> Column:
     return F.lower(text).rlike(rf"(?U)(?<!\w){quoted}(?!\w)")
 
 
+def listed_terms(text: Column, terms: list[str]) -> Column:
+    """The terms of a short list whose words follow each other in a text, without a
+    join: one pattern for all goes ahead of one for each."""
+    word, gap = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]+"
+    own = {t: gap.join("\\Q" + w + "\\E" for w in t.split()) for t in terms}
+    whole = lambda p: rf"(?<!{word})(?:{p})(?!{word})"
+    low = F.lower(text)
+    found = F.array_compact(F.array(*(F.when(low.rlike(whole(p)), F.lit(t)) for t, p in own.items())))
+    return F.when(low.rlike(whole("|".join(own.values()))), found).otherwise(F.array().cast("array<string>"))
+
+
 def matched_terms(docs: DataFrame, text: str, terms: DataFrame, term: str, longest: int) -> DataFrame:
     """Documents joined with the terms they hold, by word n-grams.
 
@@ -150,14 +161,14 @@ def main_text(tags: tuple[str, ...] = ("main", "article")):
     return run
 
 
-@F.pandas_udf(T.StringType())
-def block_text(pages: pd.Series, selectors: pd.Series) -> pd.Series:
-    """Text of the first element with the class or id."""
+def _block(html: str | None, name: str) -> str:
+    return _picked(html, lambda tag, attrs: name == attrs.get("id") or name == attrs.get("itemprop") or name in (attrs.get("class") or "").split())
 
-    def one(html, name):
-        return _picked(html, lambda tag, attrs: name == attrs.get("id") or name in (attrs.get("class") or "").split())
 
-    return pd.Series([one(h, s) for h, s in zip(pages, selectors)], dtype=object)
+@F.pandas_udf(T.StringType())
+def block_text(pages: pd.Series, selectors: pd.Series) -> pd.Series:
+    """Text of the first element with the class or id; of several, joined by ``+``, in their order."""
+    return pd.Series([" ".join(filter(None, (_block(h, n) for n in s.split("+")))) for h, s in zip(pages, selectors)], dtype=object)
 
 
 def links(html: Column) -> Column:
@@ -196,21 +207,51 @@ def chunks(texts: pd.Series, limits: pd.Series) -> pd.Series:
     return pd.Series([one(t, int(n)) for t, n in zip(texts, limits)], dtype=object)
 
 
-def article_text(pages: DataFrame, selectors: DataFrame, stored: str = "stored", fallback: int = 250) -> DataFrame:
-    """Article text by source: the block its selector names, if long enough and no
-    notice of an attachment; else stored text over ``fallback`` characters, else
-    the main element.
-
-    ``selectors`` is (source, selector, least): one row a source, whose number the
-    sources bound.  A selector of '' gives no text at all.
+#: Where a source's article is, and how long it is at least.  ``stored``
+#: is the text that came with the entry, ``main`` the main element.
+ARTICLES = (
+    ("CA", "news-release-container", 80), ("CN", "Artical_Content", 80), ("US", "wp-block-post-content", 40), ("AM", "news-text", 40), ("BE", "wysiwyg__content", 40),
+    ("NO", "article-body", 40), ("SM", "stored", 40), ("MT", "stored", 40), ("UA", "editor-content", 40), ("TR", "news-detail", 40), ("ES", "contentArticleBody", 40),
+    ("XK", "elementor-widget-theme-post-content", 40), ("AZ", "page-content", 40), ("LU", "cmp-text", 40), ("VA", "articleBody", 40), ("ME", "ui-article", 40), ("MC", "prose", 40),
+    ("RO", "pageDescription", 40), ("LI", "main-text", 40), ("MK", "blog-content", 40), ("KZ", "articles__container", 40), ("PT", "body", 40), ("HU", "main", 40), ("CZ", "article", 40),
+    ("PL", "main-content", 40), ("SK", "page-content", 40), ("SI", "intro+content-blocks", 40), ("DK", "content-rte", 40), ("DE", "bpa-richtext", 40), ("SE", "has-wordExplanation", 40),
+    ("IT", "field-name-body", 40), ("GB", "govspeak", 40), ("BG", "view", 40), ("HR", "article-intro+article-content", 40), ("MD", "news-post", 40), ("IS", "main", 40),
+    ("GR", "entry-content", 40), ("AD", "float-left", 40), ("RS", "article-text+text-content", 40), ("BY", "wysiwyg", 1), ("GE", "stored", 1),
+)
+#: Marks ahead of which a page is not read, notices instead of articles.
+AFTER = {"SI": "<main", "DE": 'id="rs_reading_area_content"'}
+NOTICES = {"CN": r"(?i)Please see (?:the )?attachment for .*full text", "DE": r"(?i)^Die Pressemitteilung finden Sie im Anhang\.?$"}
+
+
+def article_text(pages: DataFrame, source: str = "source", stored: str = "stored", fallback: int = 250) -> DataFrame:
+    """Adds ``article`` and ``fault`` to pages with ``html``.
+
+    Sources of ARTICLES have the text of their blocks; what is too short is a
+    fault (empty without one for RO), as a notice of an attachment is.  Others
+    have the stored text over ``fallback`` characters, else the main element.
+    The rules are some forty rows, so they are broadcast.
     """
-    rows = pages.join(selectors, "source", "left")
-    block = block_text("html", F.coalesce("selector", F.lit("")))
-    notice = block.rlike(r"(?i)^(?:see|download) (?:the )?attach")
-    good = (F.col("selector") != "") & (F.length(block) >= F.col("least")) & ~notice
-    kept = F.when(F.length(stored) > fallback, F.col(stored))
-    other = F.coalesce(kept, main_text()("html"))
-    return rows.withColumn("article", F.when(F.coalesce(good, F.lit(False)), block).when(F.col("selector").eqNullSafe(""), "").otherwise(other))
+    spark = pages.sparkSession
+    rules = spark.createDataFrame([(c, b, n) for c, b, n in ARTICLES], "_code string, _blocks string, _least int")
+    rows = pages.join(F.broadcast(rules), F.col(source) == F.col("_code"), "left")
+    html = F.coalesce("html", F.lit(""))
+    for code, mark in AFTER.items():
+        at = F.instr(html, mark)
+        html = F.when(F.col(source).eqNullSafe(code), F.when(at > 0, F.substring(html, at, F.length(html))).otherwise("")).otherwise(html)
+    html = F.when(F.col(source).eqNullSafe("CA"), F.regexp_replace(html, r'(?s)<p class="teaser hidden">.*?</p>', "")).otherwise(html)
+    block = block_text(html, F.coalesce("_blocks", F.lit("")))
+    block = F.when(F.col(source).eqNullSafe("CA"), F.split(block, " Contacts ")[0]).otherwise(block)
+    kept = F.coalesce(stored, F.lit(""))
+    ruled = F.when(F.col("_blocks") == "stored", kept).when(F.col("_blocks") == "main", main_text()("html")).otherwise(block)
+    other = F.when(F.length(kept) > fallback, kept).otherwise(main_text()("html"))
+    rows = rows.withColumn("_text", F.coalesce(F.when(F.col("_code").isNotNull(), ruled).otherwise(other), F.lit("")))
+    notice = F.lit(False)
+    for code, pattern in NOTICES.items():
+        notice = notice | (F.col(source).eqNullSafe(code) & F.col("_text").rlike(pattern))
+    short = F.length("_text") < F.col("_least")
+    fault = F.when(notice, "attachment notice").when(short & (F.col(source) != "RO"), "no usable article body")
+    rows = rows.withColumn("fault", fault)
+    return rows.withColumn("article", F.when(F.col("fault").isNull(), F.when(F.coalesce(short, F.lit(False)), "").otherwise(F.col("_text")))).drop("_code", "_blocks", "_least", "_text")
 
 
 #: Fixed value: words that say AI in public copy.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.sources.tables import if_small
+
 
 def burst(df: DataFrame, by: str, at: str, seconds: int = 600) -> DataFrame:
     """Most events within ``seconds`` after any event, both ends included."""
@@ -35,6 +37,28 @@ def tertiles(df: DataFrame, value: str, by: list[str] | None = None, names=("low
     return df.join(ranked.select(*by, value, tier.alias("tier")), [*by, value], "left")
 
 
+ROWS_PER_RANGE = 200_000
+
+
+def placed(df: DataFrame, value: Column, ties: list[str], name: str = "place") -> DataFrame:
+    """Adds the place by (value, ties), null values last, without one global sort.
+
+    Approximate quantiles of the values, numbers or stamps, cut the rows into
+    ranges; a place is the rank inside its range plus the sizes of the ranges
+    before.  Equal values share a range.
+    """
+    rows = df.withColumn("_v", value).withColumn("_d", F.col("_v").cast("double"))
+    ranges = -(-rows.count() // ROWS_PER_RANGE)
+    cuts = sorted(set(rows.approxQuantile("_d", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_d"))) if cuts else F.lit(0)
+    rows = rows.withColumn("_range", F.when(F.col("_d").isNull(), len(cuts) + 1).otherwise(at))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_range", before.alias("_start")))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("_v").asc_nulls_last(), *ties))
+    return rows.withColumn("_in", inside).join(starts, "_range").withColumn(name, F.col("_start") + F.col("_in")).drop("_v", "_d", "_range", "_start", "_in")
+
+
 def week_streak(df: DataFrame, by: str, day: str) -> DataFrame:
     """Longest run of consecutive ISO weeks."""
     weeks = df.select(by, F.to_date(F.date_trunc("week", day)).alias("w")).distinct()
@@ -47,12 +71,12 @@ def cumulative_share(df: DataFrame, day: str, label: str) -> DataFrame:
     """Share of each label among all labels to date, on a dense day grid; null before the first."""
     counts = df.groupBy(F.to_date(day).alias("day"), F.col(label).alias("label")).agg(F.count("*").alias("n"))
     days = counts.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("day"))
-    grid = days.crossJoin(F.broadcast(counts.select("label").distinct()))
+    grid = days.crossJoin(if_small(counts.select("label").distinct(), 100))
     rows = grid.join(counts, ["day", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     mine = F.sum("n").over(Window.partitionBy("label").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
     per_day = rows.groupBy("day").agg(F.sum("n").alias("d"))
     all_ = per_day.select("day", F.sum("d").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)).alias("all"))
-    return rows.withColumn("mine", mine).join(F.broadcast(all_), "day").select("day", "label", F.when(F.col("all") > 0, 100.0 * F.col("mine") / F.col("all")).alias("share"))
+    return rows.withColumn("mine", mine).join(all_, "day").select("day", "label", F.when(F.col("all") > 0, 100.0 * F.col("mine") / F.col("all")).alias("share"))
 
 
 def visibility_top(df: DataFrame, by: str, key: str, likes: str, replies: str, k: int | None) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 import random
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,8 +109,25 @@ def hash_plan(df: DataFrame, key: str, seed: str, share: float, least: int, stra
 
 
 def population_hash(df: DataFrame, key: str) -> DataFrame:
-    """SHA-256 of the JSON list of sorted distinct ids."""
-    return df.agg(F.sha2(F.to_json(F.array_sort(F.collect_set(F.col(key).cast("string")))), 256).alias("population_hash"))
+    """SHA-256 of the JSON list of sorted distinct ids.
+
+    Ids are sorted by all executors; one task then reads them in order and keeps
+    the state of the hash only, as this hash is of one sequence.
+    """
+
+    def run(batches):
+        state, lead = hashlib.sha256(b"["), b""
+        for batch in batches:
+            ids = [json.dumps(i, ensure_ascii=False).encode() for i in batch.column(0).to_pylist() if i is not None]
+            if ids:
+                state.update(lead + b",".join(ids))
+                lead = b","
+        state.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], ["population_hash"])
+
+    ids = df.select(F.col(key).cast("string").alias("id")).where("id is not null").distinct()
+    none = df.sparkSession.range(1).select(F.lit(None).cast("string"))  # a task for an empty table too
+    return ids.union(none).orderBy("id").coalesce(1).mapInArrow(run, "population_hash string")
 
 
 def linked_sample(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import placed
+
 
 def insert_faults(new: DataFrame, old: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, fault) that keep a whole request from being written."""
@@ -84,8 +86,7 @@ def assign_sequence(tokens: DataFrame, token: str, order: str, assigned: DataFra
     """(token, number): known tokens keep theirs, new ones follow in order of arrival."""
     top = assigned.agg(F.coalesce(F.max("number"), F.lit(0)).alias("_top"))
     fresh = tokens.groupBy(token).agg(F.min(order).alias("_at")).join(assigned, token, "left_anti")
-    nth = F.row_number().over(Window.orderBy("_at", token))
-    new = fresh.withColumn("_n", nth).crossJoin(F.broadcast(top)).select(token, (F.col("_n") + F.col("_top")).cast("long").alias("number"))
+    new = placed(fresh, F.col("_at"), [token], "_n").crossJoin(F.broadcast(top)).select(token, (F.col("_n") + F.col("_top")).cast("long").alias("number"))
     return assigned.select(token, F.col("number").cast("long").alias("number")).union(new)
 
 

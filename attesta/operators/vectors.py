@@ -11,7 +11,9 @@ from attesta.functions.scalar import cosine
 
 from .ordered import burst, week_streak
 
-BLOCK_ROWS = 2048
+#: Vectors of a block, and query rows that are multiplied at a time: a task holds two
+#: blocks and one strip of products.
+BLOCK_ROWS, STRIP_ROWS = 16_384, 512
 
 
 def unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -51,11 +53,19 @@ def knn(df: DataFrame, key: str, vector: str, k: int, queries: DataFrame | None
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(a) or not len(b):
             return pa.table({"query": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        sim = np.round(m[a] @ m[b].T, 12)
-        take = min(k, len(b))
-        order = np.lexsort((np.broadcast_to(keys[b], sim.shape), -sim), axis=1)[:, :take]
-        at = np.repeat(np.arange(len(a)), take)
-        return pa.table({"query": keys[a][at], "neighbour": keys[b][order.ravel()], "cosine": sim[at, order.ravel()]})
+        take, parts = min(k, len(b)), []
+        for lo in range(0, len(a), STRIP_ROWS):
+            mine = a[lo : lo + STRIP_ROWS]
+            sim = np.round(m[mine] @ m[b].T, 12)
+            least = -np.partition(-sim, take - 1, axis=1)[:, take - 1 : take]
+            row, col = np.nonzero(sim >= least)
+            order = np.lexsort((keys[b][col], -sim[row, col], row))
+            row, col = row[order], col[order]
+            first = np.searchsorted(row, np.arange(len(mine)))
+            kept = np.arange(len(row)) - first[row] < take
+            row, col = row[kept], col[kept]
+            parts.append(pa.table({"query": keys[mine][row], "neighbour": keys[b][col], "cosine": sim[row, col]}))
+        return pa.concat_tables(parts)
 
     near = _against(queries if queries is not None else df, df, key, vector, rows, run, "query long, neighbour long, cosine double")
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
@@ -69,9 +79,13 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float) -> DataFra
         side, keys = table.column("side").to_numpy(), table.column("key").to_numpy()
         m = unit_rows(table.column("vector"))
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        sim = m[a] @ m[b].T if len(a) and len(b) else np.zeros((len(a), len(b)))
-        i, j = np.nonzero((sim >= least) & (keys[a][:, None] < keys[b][None, :]))
-        return pa.table({"a": keys[a][i].astype(np.int64), "b": keys[b][j].astype(np.int64), "cosine": sim[i, j]})
+        parts = [pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})]
+        for lo in range(0, len(a) if len(b) else 0, STRIP_ROWS):
+            mine = a[lo : lo + STRIP_ROWS]
+            sim = m[mine] @ m[b].T
+            i, j = np.nonzero((sim >= least) & (keys[mine][:, None] < keys[b][None, :]))
+            parts.append(pa.table({"a": keys[mine][i].astype(np.int64), "b": keys[b][j].astype(np.int64), "cosine": sim[i, j]}))
+        return pa.concat_tables(parts)
 
     return _against(df, df, key, vector, df.count(), run, "a long, b long, cosine double")
 

@@ -31,14 +31,14 @@ def week_streak(spark, sf_dir):
 @query(
     "cumulative_share",
     """
-with c as (select ts::date as day, event_type as label, count(*) as n from events where user_id < 5 group by 1, 2),
+with c as (select ts::date as day, event_type as label, count(*) as n from events group by 1, 2),
 d as (select unnest(generate_series((select min(day) from c), (select max(day) from c), interval 1 day))::date as day),
 g as (select d.day, l.label, coalesce(c.n, 0) as n from d cross join (select distinct label from c) l left join c on c.day = d.day and c.label = l.label)
 select day, label, round(100.0 * sum(n) over (partition by label order by day) / nullif(sum(n) over (order by day), 0), 6) as share from g
 """,
 )
 def cumulative_share(spark, sf_dir):
-    ev = load(spark, sf_dir, "events").where("user_id < 5")
+    ev = load(spark, sf_dir, "events")
     return ordered.cumulative_share(ev, "ts", "event_type").withColumn("share", F.round("share", 6))
 
 
@@ -92,11 +92,11 @@ def leaders_then_fill(spark, sf_dir):
     return ordered.leaders_then_fill(d, "source", [F.desc("n_chars"), F.asc("doc_id")], 40).select("doc_id")
 
 
-@query("rank_then_total", "select event_type, count(*) as total, count(distinct user_id) as coverage, row_number() over (order by count(distinct user_id) desc, count(*) desc, event_type) as place from events where user_id < 40 group by event_type")
+@query("rank_then_total", "select event_type, count(*) as total, count(distinct user_id) as coverage, row_number() over (order by count(distinct user_id) desc, count(*) desc, event_type) as place from events group by event_type")
 def rank_then_total(spark, sf_dir):
     from pyspark.sql import Window
 
-    got = load(spark, sf_dir, "events").where("user_id < 40").groupBy("event_type").agg(F.count("*").alias("total"), F.count_distinct("user_id").alias("coverage"))
+    got = load(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("total"), F.count_distinct("user_id").alias("coverage"))
     return got.withColumn("place", F.row_number().over(Window.orderBy(F.desc("coverage"), F.desc("total"), "event_type")))
 
 
@@ -170,10 +170,7 @@ def iso_week_span(spark, sf_dir):
     return ev.groupBy("user_id").agg(F.min("w").alias("first_week"), F.max("w").alias("last_week"), F.count_distinct("w").alias("weeks"))
 
 
-@query("nulls_last_sort", "select doc_id, p from (select doc_id, row_number() over (order by case when doc_id % 3 = 0 then null else n_chars end desc nulls last, doc_id) as p from documents) where p <= 30 or p > 990")
+@query("nulls_last_sort", "select doc_id, row_number() over (order by case when doc_id % 3 = 0 then null else n_chars end desc nulls last, doc_id) as p from documents")
 def nulls_last_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
-    d = load(spark, sf_dir, "documents")
-    at = F.when(F.col("doc_id") % 3 != 0, F.col("n_chars"))
-    return d.withColumn("p", F.row_number().over(Window.orderBy(at.desc_nulls_last(), "doc_id"))).where("p <= 30 or p > 990").select("doc_id", "p")
+    at = F.when(F.col("doc_id") % 3 != 0, -F.col("n_chars"))
+    return ordered.placed(load(spark, sf_dir, "documents"), at, ["doc_id"], "p").select("doc_id", "p")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from attesta.operators import filters, latest, ordered, rollups, state, validation, vectors
+from attesta.operators import filters, latest, ordered, rollups, sampling, state, validation, vectors
 from attesta.sources import tables
 from attesta.sources.tables import load
 
@@ -59,14 +59,14 @@ def refresh_report(spark, sf_dir):
 @query(
     "uncovered_days",
     """
-with i as (select l_orderkey as k, date_diff('day', timestamp '1995-01-01', l_shipdate) as s, date_diff('day', timestamp '1995-01-01', l_shipdate) + l_quantity as e from lineitem where l_orderkey < 3000),
+with i as (select l_orderkey as k, date_diff('day', timestamp '1995-01-01', l_shipdate) as s, date_diff('day', timestamp '1995-01-01', l_shipdate) + l_quantity as e from lineitem),
 r as (select k, min(s) as s, max(e) as e from i group by k), p as (select *, max(e) over (partition by k order by s, e rows between unbounded preceding and 1 preceding) as reach from i)
 select r.k, round(coalesce(sum(case when p.s - p.reach > 0.02 then p.s - p.reach end), 0), 6)::double as uncovered, (r.e - r.s)::double as total from r join p using (k) group by r.k, r.e, r.s
 """,
 )
 def uncovered_days(spark, sf_dir):
     """Seconds (here days) of a region that no segment covers, and in all."""
-    l = load(spark, sf_dir, "lineitem").where("l_orderkey < 3000")
+    l = load(spark, sf_dir, "lineitem")
     start = F.datediff("l_shipdate", F.lit("1995-01-01")).cast("double")
     seg = l.select(F.col("l_orderkey").alias("k"), start.alias("start"), (start + F.col("l_quantity")).alias("end"))
     regions = seg.groupBy("k").agg(F.min("start").alias("start"), F.max("end").alias("end"))
@@ -111,7 +111,8 @@ def classification_order(spark, sf_dir):
     """Priority bucket, then hash."""
     d = load(spark, sf_dir, "documents")
     bucket = F.when(F.contains(F.lower("text"), F.lit("license")), 0).when(F.col("lang") == "en", 1).otherwise(2)
-    return d.select("doc_id", F.row_number().over(Window.orderBy(bucket, F.sha2(F.col("doc_id").cast("string"), 256))).alias("place"))
+    rows = d.select("doc_id", bucket.alias("bucket"), F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    return sampling.placed_by_hash(rows, "bucket", "h", "doc_id").select("doc_id", "place")
 
 
 @query("valid_reviews", "select doc_id from labels where doc_id % 3 = 0 or doc_id % 3 = 1")
@@ -135,10 +136,10 @@ def camera_availability(spark, sf_dir):
     return ev.where(filters.camera_available(F.col("event_type") != "error", id_, F.col("ts"), F.lit("2024-01-31").cast("timestamp"))).select("event_id")
 
 
-@query("cooldown_queue", "select user_id, last_try from (select user_id, max(ts) filter (where event_type = 'error') as last_try, bool_or(event_type = 'error' and value > 40) as bad from events where user_id < 80 group by user_id) where last_try is null or last_try + case when bad then interval 7 days else interval 1 day end <= timestamp '2024-01-29'")
+@query("cooldown_queue", "select user_id, last_try from (select user_id, max(ts) filter (where event_type = 'error') as last_try, bool_or(event_type = 'error' and value > 40) as bad from events group by user_id) where last_try is null or last_try + case when bad then interval 7 days else interval 1 day end <= timestamp '2024-01-29'")
 def cooldown_queue(spark, sf_dir):
     """Untried first, then past their waiting time."""
-    ev = load(spark, sf_dir, "events").where("user_id < 80")
+    ev = load(spark, sf_dir, "events")
     u = ev.groupBy("user_id").agg(F.expr("max(ts) filter (where event_type = 'error')").alias("last_try"), F.bool_or(F.expr("event_type = 'error' and value > 40")).alias("bad"))
     return u.where(filters.cooled_down(F.col("last_try"), F.col("bad"), F.lit("2024-01-29").cast("timestamp"))).orderBy(F.asc_nulls_first("last_try"), "user_id").select("user_id", "last_try")
 
@@ -162,9 +163,9 @@ def precision_window(spark, sf_dir):
     return ev.where(filters.in_window(day, F.col("ts"), precision, t("2024-01-05 08:00:00"), t("2024-01-07 08:00:00"), zone)).select("event_id")
 
 
-@query("allow_list", "select doc_id, lang from documents where doc_id < 100")
+@query("allow_list", "select doc_id, lang from documents")
 def allow_list(spark, sf_dir):
-    return filters.allow(load(spark, sf_dir, "documents").where("doc_id < 100"), ["doc_id", "lang", "secret"])
+    return filters.allow(load(spark, sf_dir, "documents"), ["doc_id", "lang", "secret"])
 
 
 @query("merge_precedence", "select doc_id, case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then 'right' else lang end as lang from documents")

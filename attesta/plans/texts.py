@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import places, scalar, text
 from attesta.operators import filters
-from attesta.sources.tables import load
+from attesta.sources.tables import if_small, load
 
 from .registry import query
 
@@ -22,7 +22,21 @@ select d.doc_id, t.term from documents d, t where ' ' || array_to_string(regexp_
 )
 def term_match(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
-    terms = F.broadcast(spark.createDataFrame(TERMS, "term string"))
+    return d.select("doc_id", F.explode(text.listed_terms(F.col("text"), [t for (t,) in TERMS])).alias("term"))
+
+
+@query(
+    "term_dictionary",
+    r"""
+with t as (select distinct lower(regexp_extract(text, '[\p{L}\p{N}_]+ [\p{L}\p{N}_]+')) as term from benchmark)
+select d.doc_id, t.term from documents d join t on t.term <> '' and contains(' ' || array_to_string(regexp_extract_all(lower(d.text), '[\p{L}\p{N}_]+'), ' ') || ' ', ' ' || t.term || ' ')
+""",
+)
+def term_dictionary(spark, sf_dir):
+    """Terms of a dictionary that is a table, by a join of word n-grams."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    first = F.lower(F.regexp_extract("text", r"[\p{L}\p{N}_]+ [\p{L}\p{N}_]+", 0))
+    terms = if_small(load(spark, sf_dir, "benchmark").select(first.alias("term")).where("term <> ''").distinct(), 100)
     return text.matched_terms(d, "text", terms, "term", 2).select("doc_id", "term")
 
 
@@ -42,16 +56,16 @@ def quote_grounding(spark, sf_dir):
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     b = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), words.alias("w"))
     d = load(spark, sf_dir, "documents").select("doc_id", "text", words.alias("_w"))
-    long_ = F.broadcast(b.where(F.size("w") >= 6).select("item_id", "item", F.array_join(F.slice("w", 2, 4), " ").alias("key")))
-    short = F.broadcast(b.where(F.size("w") < 6).select("item_id", "item"))
+    long_ = if_small(b.where(F.size("w") >= 6).select("item_id", "item", F.array_join(F.slice("w", 2, 4), " ").alias("key")), 2000)
+    short = if_small(b.where(F.size("w") < 6).select("item_id", "item"), 200)
     rows = d.where(F.size("_w") >= 4).select("doc_id", "text", F.explode(text.word_grams(4)).alias("key")).join(long_, "key").drop("key")
     found = rows.where(text.grounded(F.col("item"), F.col("text"))).select("item_id", "doc_id")
     return found.union(d.crossJoin(short).where(text.grounded(F.col("item"), F.col("text"))).select("item_id", "doc_id")).distinct()
 
 
-@query("normalized_digest", r"select doc_id, sha256(lower(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')))) as digest from documents where lang = 'en'")
+@query("normalized_digest", r"select doc_id, sha256(lower(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')))) as digest from documents")
 def normalized_digest(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").where("lang = 'en'")
+    d = load(spark, sf_dir, "documents")
     return d.select("doc_id", F.sha2(text.normalized_ascii(F.col("text")), 256).alias("digest"))
 
 
@@ -94,11 +108,38 @@ def html_links(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", F.explode(text.links(F.col("html"))).alias("link"))
 
 
-@query("article_text")
+@query(
+    "article_text",
+    """
+with x as (select c_custkey as k, ['US', 'CA', 'RO', 'SI', 'CN', 'SM', 'HU', 'ZZ', 'HR', 'DE', 'VA'][c_custkey % 11 + 1] as c, c_name || repeat(' word', cast(c_custkey // 11 % 30 as integer)) as body from customer),
+y as (select *, case c when 'SI' then 'lead ' || body when 'HR' then 'lead ' || body when 'SM' then 'kept ' || body when 'ZZ' then case when length('kept ' || body) > 100 then 'kept ' || body else body end else body end as t from x),
+z as (select *, case when c = 'CN' and k % 5 = 0 then 'attachment notice' when length(t) < (case c when 'CA' then 80 when 'CN' then 80 when 'ZZ' then 0 else 40 end) and c <> 'RO' then 'no usable article body' end as fault from y)
+select k as c_custkey, case when fault is null then case when c = 'RO' and length(t) < 40 then '' else t end end as article, fault from z
+""",
+)
 def article_text(spark, sf_dir):
-    p = load(spark, sf_dir, "pages").select("page_id", "html", F.regexp_extract("url", "://(?:[^/]*\\.)?example\\.([a-z]+)", 1).alias("source"), F.lit(None).cast("string").alias("stored"))
-    selectors = spark.createDataFrame([("com", "ad", 40), ("net", "none", 80), ("org", "", 40)], "source string, selector string, least int")
-    return text.article_text(p, selectors).select("page_id", F.length("article").alias("n_chars"))
+    """One page a customer, in the form of its source."""
+    k = F.col("c_custkey")
+    codes = ["US", "CA", "RO", "SI", "CN", "SM", "HU", "ZZ", "HR", "DE", "VA"]
+    code = F.element_at(F.array(*map(F.lit, codes)), (k % 11 + 1).cast("int"))
+    body = F.concat("c_name", F.repeat(F.lit(" word"), (F.floor(k / 11) % 30).cast("int")))
+    wrap = {
+        "US": ('<div class="a wp-block-post-content">', "</div>"),
+        "CA": ('<div class="news-release-container"><p class="teaser hidden">no</p>', "<p> Contacts me</p></div>"),
+        "RO": ('<p id="pageDescription">', "</p>"),
+        "SI": ('<p class="intro">early</p><main><p class="intro">lead</p><div class="content-blocks">', "</div></main>"),
+        "CN": ('<div class="Artical_Content">', "</div>"),
+        "SM": ("<main>", "</main>"),
+        "HU": ("<nav>x</nav><main>", "<script>y</script></main>"),
+        "ZZ": ("<main>", "</main>"),
+        "HR": ('<p class="article-intro">lead</p><div class="article-content">', "</div>"),
+        "DE": ('<p class="bpa-richtext">early</p><div id="rs_reading_area_content"><div class="bpa-richtext">', "</div></div>"),
+        "VA": ('<div itemprop="articleBody" class="z">', "</div><div>more</div>"),
+    }
+    part = lambda n: F.element_at(F.array(*(F.lit(wrap[c][n]) for c in codes)), (k % 11 + 1).cast("int"))
+    notice = F.when((code == "CN") & (k % 5 == 0), F.lit(" Please see attachment for the full text")).otherwise("")
+    pages = load(spark, sf_dir, "customer").select("c_custkey", code.alias("source"), F.concat(part(0), body, notice, part(1)).alias("html"), F.concat(F.lit("kept "), body).alias("stored"))
+    return text.article_text(pages, fallback=100).select("c_custkey", "article", "fault")
 
 
 @query(
@@ -197,8 +238,8 @@ def error_categories(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", scalar.error_category(status, message, kind).alias("category"))
 
 
-@query("week_windows", "select distinct cast(ts::date - cast(dayofweek(ts::date) as integer) - 7 as date) as first_day, cast(ts::date - cast(dayofweek(ts::date) as integer) as date) as end_day, strftime(ts::date - cast(dayofweek(ts::date) as integer) - 1, '%G-W%V') as week from events where hour(ts) between 1 and 22")
+@query("week_windows", "select distinct d - cast(dayofweek(d) as integer) - 7 as first_day, d - cast(dayofweek(d) as integer) as end_day, strftime(d - cast(dayofweek(d) as integer) - 1, '%G-W%V') as week from (select (ts + interval 1 hour)::date as d from events)")
 def week_windows(spark, sf_dir):
-    ev = load(spark, sf_dir, "events").where("hour(ts) between 1 and 22")
+    """Amsterdam weeks; January has no clock change."""
     start, end, week = scalar.week_window(F.col("ts"))
-    return ev.select(scalar.local_day(start).alias("first_day"), scalar.local_day(end).alias("end_day"), week.alias("week")).distinct()
+    return load(spark, sf_dir, "events").select(scalar.local_day(start).alias("first_day"), scalar.local_day(end).alias("end_day"), week.alias("week")).distinct()

@@ -33,6 +33,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+#: A table is broadcast only when its counted rows, at the given width, are under this.
+BROADCAST_BYTES = 8 << 20
+
+
+def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """With a broadcast hint if the table is small, which takes a count of its rows."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def read_batch(df: DataFrame, batch: str | None = None) -> DataFrame:
     """Rows of one batch, or of all for None; prunes when stored by batch."""
     return df if batch is None else df.where(F.col("batch_id") == batch)

@@ -222,3 +222,25 @@ def test_age_and_ratio_nulls(spark):
     t = lambda s: F.lit(s).cast("timestamp")
     got = spark.range(1).select(scalar.age_hours(t(None), t("2024-01-01")), scalar.age_hours(t("2024-01-02"), t("2024-01-01")), scalar.per_thousand(F.lit(1), F.lit(0)), scalar.counter(F.lit("-3")), scalar.counter(F.lit("12"))).first()
     assert tuple(got) == (None, 0.0, None, None, 12)
+
+
+@pytest.mark.parametrize("rows_per_range", [7, 10_000])
+def test_places_by_ranges_equal_one_sort(spark, monkeypatch, rows_per_range):
+    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", rows_per_range)
+    rng = random.Random(6)
+    values = [(i, rng.choice([None, *range(12)])) for i in range(200)]
+    df = spark.createDataFrame(values, "id long, v long")
+    want = {i: n for n, (i, v) in enumerate(sorted(values, key=lambda r: (r[1] is None, r[1] or 0, r[0])), 1)}
+    assert {r.id: r.place for r in ordered.placed(df, F.col("v"), ["id"]).collect()} == want
+    assert ordered.placed(df.where("false"), F.col("v"), ["id"]).count() == 0
+
+
+def test_population_hash_of_many_and_no_ids(spark):
+    import hashlib
+    import json
+
+    ids = ["b", "a", "ü", 'q"', "a", None]
+    for rows in (ids, [], [str(i) for i in range(25_000)]):
+        want = json.dumps(sorted({i for i in rows if i is not None}), ensure_ascii=False, separators=(",", ":"))
+        df = spark.createDataFrame([(i,) for i in rows], "id string")
+        assert [r[0] for r in sampling.population_hash(df, "id").collect()] == [hashlib.sha256(want.encode()).hexdigest()]
