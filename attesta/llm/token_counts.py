@@ -8,15 +8,19 @@ prefix follows from the last tokens at the places where a piece can still
 start.  A state is that finite context - a chain of trie nodes, each with the
 token before its start and the relative count - so equal contexts of any texts
 are one state.  States and transitions are compiled when first met and kept in
-one dense table per process, which is bounded: a full table starts anew.
+one dense table per process.
 
 Texts are dealt into chunks of equal length, and all chunks run in lock-step
-through the table.  A chunk's entry state is unknown, so it first runs from a
-guess (the state behind a blank).  The chunk's state map is this run plus the
-stretch in which another entry differs from it: a prefix scan hands each exit
-state to the next chunk, which replays until both runs are in one state.  Most
-chunks meet at their first word boundary, and only chunks whose exit changed
-are scanned again, so words of any length stay exact.
+through the table.  A chunk's entry state is unknown, so it first runs from the
+state behind a blank.  Its state map has a row (entry, exit, tokens) for each
+entry that the map of the chunk before can give; such an entry runs only until
+both runs are in one state, mostly to the first word boundary.  The maps are
+composed by a parallel prefix scan: in round j those of 2^j successive chunks,
+which gives all true entries in as many rounds as the number of chunks has
+bits.  Words of any length stay exact.
+
+The table and the memo of pairs are bounded: between blocks of chunks, also of
+one long text, a full table starts anew from the state at hand.
 
 Null and empty texts have no tokens.  Every row is counted, repeated rows too.
 """
@@ -168,8 +172,6 @@ class Transducer:
 
     def count(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Tokens of each text; text i is codes[starts[i]:starts[i + 1]]."""
-        if self.rows * self.cols > TABLE_CELLS:
-            self.clear()
         size = np.diff(starts)
         total = (size > 0).astype(np.int64)
         pieces = -(-size // CHUNK)
@@ -178,12 +180,40 @@ class Transducer:
         begin = starts[:-1][owner] + nth * CHUNK
         length = np.minimum(CHUNK, starts[1:][owner] - begin)
         col = self.columns(self.lut[codes])
-        entry_exit = np.full(len(owner), self.blank, np.int64)
+        entry = self.blank
         for lo in range(0, len(owner), LANES):
-            self._lanes(col, begin, length, nth, owner, total, entry_exit, lo, min(lo + LANES, len(owner)))
+            if self.rows * self.cols > TABLE_CELLS:
+                chain = self.states[entry]
+                self.clear()
+                col, entry = self.columns(self.lut[codes]), self.intern(chain)
+            entry = self._lanes(col, begin, length, nth, owner, total, entry, lo, min(lo + LANES, len(owner)))
         return total
 
-    def _lanes(self, col, begin, length, nth, owner, total, exits, lo, hi):
+    def _replay(self, col, run: dict, lane: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(exit, tokens) of chunks for other entries, run until they meet the first run."""
+        st, add = entry.copy(), np.zeros(len(lane), np.int64)
+        exits, tokens = np.empty(len(lane), np.int64), np.empty(len(lane), np.int64)
+        at, t = np.arange(len(lane)), 0
+        while len(at):
+            mine = lane[at]
+            same = st[at] == run["path"][t, mine]
+            done = same | (run["length"][mine] == t)
+            k = at[done]
+            tokens[k] = run["tokens"][lane[k]] - run["sums"][t, lane[k]] + add[k]
+            exits[k] = np.where(same[done], run["exit"][lane[k]], st[k])
+            at = at[~done]
+            if len(at):
+                s, d = self.move(st[at], col[run["begin"][lane[at]] + t])
+                st[at] = s
+                add[at] += d
+                t += 1
+        return exits, tokens
+
+    def _lanes(self, col, begin, length, nth, owner, total, entry, lo, hi) -> int:
+        """Adds the tokens of chunks lo to hi; returns the last one's exit state.
+
+        ``entry`` is the state ahead of chunk lo where that goes on with a text.
+        """
         n, m = hi - lo, int(length[lo:hi].max())
         order = np.argsort(-length[lo:hi], kind="stable")
         b, ln = begin[lo:hi][order], length[lo:hi][order]
@@ -200,42 +230,61 @@ class Transducer:
             path[t + 1], sums[t + 1] = state, count
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        exit_ = state[place]
-        counts = count[place]
-        inner = nth[lo:hi] > 0
-        entry = np.full(n, self.blank, np.int64)
-        todo = np.flatnonzero(inner)
-        while len(todo):
-            before = np.where(todo > 0, exit_[todo - 1], exits[lo - 1] if lo else self.blank)
-            changed = before != entry[todo]
-            todo, before = todo[changed], before[changed]
-            if not len(todo):
-                break
-            entry[todo] = before
-            lane, st, add = place[todo], before.copy(), np.zeros(len(todo), np.int64)
-            at, redo = np.arange(len(todo)), []
-            for t in range(m + 1):
-                over = ln[lane[at]] == t
-                met = (st[at] == path[t, lane[at]]) | over
-                if met.any():
-                    k = at[met]
-                    final = count[lane[k]] - sums[t, lane[k]] + add[k]
-                    counts[todo[k]] = final
-                    end = np.where(over[met] & (st[k] != path[t, lane[k]]), st[k], state[lane[k]])
-                    moved = end != exit_[todo[k]]
-                    exit_[todo[k]] = end
-                    redo.append(todo[k][moved] + 1)
-                    at = at[~met]
-                    if not len(at):
-                        break
-                s, d = self.move(st[at], col[b[lane[at]] + t])
-                st[at] = s
-                add[at] += d
-            todo = np.concatenate(redo) if redo else np.zeros(0, np.int64)
-            todo = np.unique(todo[todo < n])
-            todo = todo[inner[todo]]
-        np.add.at(total, owner[lo:hi], counts)
-        exits[lo:hi] = exit_
+        run = {"path": path, "sums": sums, "exit": state, "tokens": count, "begin": b, "length": ln}
+        heads = nth[lo:hi] == 0
+        heads[0] = True
+        chunk, into, out, tokens = self._maps(col, run, place, heads, entry if nth[lo] else self.blank)
+        true = _scan(chunk, into, out, heads)
+        np.add.at(total, owner[lo:hi], tokens[true])
+        return int(out[true[-1]])
+
+    def _maps(self, col, run, place, heads, entry):
+        """State maps of all chunks: sorted rows (chunk, entry, exit, tokens).
+
+        A head has one entry.  The entries of any other chunk are the exits of
+        the one before it, for each of that one's entries, and for the blank that
+        all started from: rows are added until every exit is an entry.
+        """
+        n = len(place)
+        at = np.arange(n)
+        first = np.full(n, self.blank, np.int64)
+        first[0] = entry
+        first[1:][~heads[1:]] = run["exit"][place[:-1]][~heads[1:]]
+        seen = np.zeros(0, np.int64)
+        parts = []
+        chunk, into = at, first
+        while len(chunk):
+            out, tokens = self._replay(col, run, place[chunk], into)
+            parts.append((chunk, into, out, tokens))
+            seen = np.union1d(seen, chunk << 32 | into)
+            follows = np.flatnonzero((chunk + 1 < n) & ~heads[np.minimum(chunk + 1, n - 1)])
+            new = np.setdiff1d((chunk[follows] + 1) << 32 | out[follows], seen)
+            chunk, into = new >> 32, new & 0xFFFFFFFF
+        chunk, into, out, tokens = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(chunk << 32 | into, kind="stable")
+        return chunk[order], into[order], out[order], tokens[order]
+
+
+def _scan(chunk: np.ndarray, into: np.ndarray, out: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The row of each chunk's true entry, by a parallel prefix scan of the maps.
+
+    Round j holds the maps of 2^j successive chunks, each composed of two maps of
+    the round before; they carry the true rows of the chunks less than 2^j past a
+    head over to those less than 2^(j+1) past it.
+    """
+    n, key = len(heads), chunk << 32 | into
+    lead = np.searchsorted(chunk, np.arange(n))
+    jump = np.searchsorted(key, (chunk + 1) << 32 | out)
+    jump[(chunk + 1 >= n) | heads[np.minimum(chunk + 1, n - 1)]] = -1
+    at = np.flatnonzero(heads)
+    past = np.arange(n) - at[np.searchsorted(at, np.arange(n), "right") - 1]
+    true, step = lead.copy(), 1
+    while step <= past.max(initial=0):
+        mine = np.flatnonzero((past >= step) & (past < 2 * step))
+        true[mine] = jump[true[mine - step]]
+        jump = np.where(jump >= 0, jump[jump], -1)
+        step *= 2
+    return true
 
 
 def transducer(model_path: str) -> Transducer:
