@@ -15,8 +15,8 @@ The method adds two kinds:
   mod-97 remainder is 1 (score 0.9);
 * national_phone: digit groups without ``+`` and 9 to 11 digits (score 0.3).
 
-A context word within 40 characters before the match adds 0.4, a word of
-numbering (order, invoice, ...) takes 0.4; spans of 0.6 or more stay.
+A context word within 40 characters before or 20 after the match adds 0.4, a
+word of numbering (order, invoice, ...) takes 0.4; spans of 0.6 or more stay.
 
 Null and empty texts have no spans.  Rows are independent, repeated ones too.
 """
@@ -75,7 +75,7 @@ NEEDS = {"email": "@", "phone": "+"}
 FOR = {"iban": r"\b(?:iban|account|bank|konto|compte|cuenta)\b", "national_phone": r"\b(?:tel|phone|call|mobile|fax|telefon|téléphone|teléfono)\b"}
 AGAINST = r"\b(?:order|invoice|isbn|serial|version|ticket|bestellung|commande|pedido)\b"
 SCORE = {"iban": 0.9, "national_phone": 0.3}
-STEP, LEAST, BEFORE = 0.4, 0.6, 40
+STEP, LEAST, BEFORE, AFTER = 0.4, 0.6, 40, 20
 
 
 def matches(text: Column, kind: str) -> Column:
@@ -133,9 +133,9 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def score(text: Column, span: Column, kind: str) -> Column:
-    """Base score of an added kind, moved by the words before the match."""
+    """Base score of an added kind, moved by the words around the match."""
     lo = F.greatest(span["start"] - BEFORE, F.lit(0))
-    near = F.lower(F.substring(text, lo + 1, span["start"] - lo))
+    near = F.lower(F.concat(F.substring(text, lo + 1, span["start"] - lo), F.lit("\n"), F.substring(text, span["end"] + 1, F.lit(AFTER))))
     return F.lit(SCORE[kind]) + F.when(near.rlike(FOR[kind]), STEP).otherwise(0.0) - F.when(near.rlike(AGAINST), STEP).otherwise(0.0)
 
 
@@ -166,11 +166,14 @@ def _labels(kind: str) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, counts of the base kinds, base_sha256, spans) of every document."""
+    """(doc_id, counts of the base kinds, base_sha256, spans, found) of every document.
+
+    ``found`` says whether there is any span, of the added kinds too.
+    """
     rows = with_spans(docs.select("doc_id", "text"))
     base = F.concat_ws(",", *(_labels(k) for k in BASE))
     every = F.concat_ws(",", *(_labels(k) for k in PATTERNS))
-    return rows.select("doc_id", *(F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in BASE), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+    return rows.select("doc_id", *(F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in BASE), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"), (every != "").alias("found"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
