@@ -7,6 +7,7 @@ import gc
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -26,9 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from the session; a local one only if unset."""
+    """The folder all executors share, from the session.
+
+    Where it is unset only a local master gets a folder of this machine, which the
+    session then keeps; on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: machines share no folder")
         root = "file://" + tempfile.mkdtemp(prefix="attesta-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -45,9 +52,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._attesta_path = path
+    if _scopes():
+        _scopes()[-1].append(out)
     return out
 
 
+def _scopes() -> list[list[DataFrame]]:
+    """Open scopes; no name of this module, whose names go to the workers."""
+    return sys.__dict__.setdefault("_attesta_scopes", [])
+
+
+@contextmanager
+def scope():
+    """Scratch tables written inside are deleted at the end, so what is made of them
+    has to be written before, outside of the list: ``kept.remove`` takes it out."""
+    made: list[DataFrame] = []
+    _scopes().append(made)
+    try:
+        yield made
+    finally:
+        _scopes().pop()
+        drop(*made)
+
+
 def tidy(f):
     """A mapInArrow function that hands memory back when its task ends.
 
