@@ -279,7 +279,10 @@ def test_one_response_for_each_payload_with_repeats_and_null_ids(spark, tmp_path
     assert keys == sorted(keys) and len({r.range for r in got}) > 10
 
 
-def test_equal_texts_declare_licenses_once_and_ids_may_be_null(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_equal_texts_declare_licenses_once_and_ids_may_be_null(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(work, "BROADCAST_BYTES", 0)
     mit = "Released under the MIT License.\n" + "word " * 12
     rows = [("f", "d/f", mit), ("f", "d/f", mit), (None, "n/x", "Released under the MIT License."), (None, "n/y", "code"), ("g", "d/g", "code"), ("s", "s/s.py", "# SPDX-License-Identifier: Apache-2.0\ncode"), ("long", "l/l", "code words " * 50_000 + "\nReleased under the MIT License.")]
     df = spark.createDataFrame(rows, "file string, path string, text string").withColumn("license", F.lit("clash"))

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 
 from attesta.llm import packing, pii, quality, token_counts
 
@@ -184,7 +185,7 @@ def test_lines_and_words_of_a_simple_pattern_are_told_apart(spark):
 def test_empty_tables_and_clashing_names(spark):
     df = spark.createDataFrame([(1, "some words here")], "doc_id long, text string").selectExpr("*", *(f"'x' as {c}" for c in ("n_tokens", "grp", "length", "kept", "n_words", "spans", "bin")))
     path, model = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    for make in (lambda d: packing.best_two_fit(packing.pieces(d, path), packing.most_pieces(d)), lambda d: token_counts.token_counts(d, model), quality.judge, pii.find):
+    for make in (lambda d: packing.best_two_fit(packing.pieces(d, path), packing.most_pieces(d)), lambda d: token_counts.token_counts(d, model), quality.judge, pii.report):
         assert make(df).count() == 1 and make(df.where("false")).count() == 0
 
 
@@ -198,3 +199,28 @@ def test_number_of_sequences_is_near_the_least(seed):
     lengths = np.minimum(4096, np.random.default_rng(seed).lognormal(5.5, 1.2, 20_000).astype(np.int64) + 1)
     bins, _ = packing.pack(lengths)
     assert bins.max() + 1 <= -(-lengths.sum() // 4096) * 1.005 + 1
+
+
+@pytest.mark.parametrize("chunk,lanes", [(1, 5), (3, 7), (8, 64), (256, 2)])
+def test_state_maps_compose_over_chunks_of_any_size(monkeypatch, chunk, lanes):
+    """Words that span many chunks, whose states meet late or never, and blocks that end inside a text."""
+    monkeypatch.setattr(token_counts, "CHUNK", chunk)
+    monkeypatch.setattr(token_counts, "LANES", lanes)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["ab" * 300, "x" * 700, "=" * 333, "aaab" * 90, "the" * 150, "e" * 17 + " " * 40 + "é" * 60, "", "a", "中文字" * 50] + fuzz(["a", "b", "ab", " ", "th", "e", "é", "\n", "==", "▁"], 60, 90, 3)
+    codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
+    starts = np.concatenate(([0], np.cumsum([len(c) for c in codes])))
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    got = token_counts.Transducer(path).count(np.concatenate(codes), starts)
+    assert got.tolist() == [len(library.encode(t)) for t in texts]
+
+
+def test_the_table_starts_anew_inside_a_long_text(monkeypatch):
+    monkeypatch.setattr(token_counts, "CHUNK", 8)
+    monkeypatch.setattr(token_counts, "LANES", 16)
+    monkeypatch.setattr(token_counts, "TABLE_CELLS", 1)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    text = " ".join(fuzz(["a", "b", "ab", "th", "e", "é", "q", "x"], 200, 30, 4))
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    machine = token_counts.Transducer(path)
+    assert machine.count(codes, np.array([0, len(codes)])).tolist() == [len(sentencepiece.SentencePieceProcessor(model_file=str(path)).encode(text))]
