@@ -84,15 +84,20 @@ def _weights(lines: DataFrame, key: str) -> DataFrame:
 
 def _text_id() -> Column:
     """Texts, not files, declare licenses: equal texts once, whatever their files are called."""
-    return F.sha2(F.coalesce("text", F.lit("")), 256)
+    return _key(F.coalesce("text", F.lit("")))
+
+
+def _key(text: Column) -> Column:
+    """128 bits of the SHA-256 of a text."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
 def header_lines(files: DataFrame) -> DataFrame:
-    """(file, line, n_words, line_words) of every line with a word of licensing."""
+    """(file, at, line, text, n_words, line_words) of every line with a word of licensing; line is a hash."""
     lines = files.where(F.lower("text").rlike(WORDING)).select("file", "text", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = lines.where(F.lower("line").rlike(WORDING))
     count = lambda c: F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+"))
-    return lines.select("file", "at", F.col("line"), count(F.col("text")).alias("n_words"), count(F.col("line")).alias("line_words"))
+    return lines.select("file", "at", _key(F.col("line")).alias("line"), F.col("line").alias("text"), count(F.col("text")).alias("n_words"), count(F.col("line")).alias("line_words"))
 
 
 def blocks(files: DataFrame) -> DataFrame:
@@ -103,7 +108,7 @@ def blocks(files: DataFrame) -> DataFrame:
     parts = F.array_distinct(F.concat(wide(2), wide(3), F.split("text", r"\n[\x20\t\r]*\n"), runs))
     parts = F.filter(parts, lambda p: F.lower(p).rlike(WORDING) & (p != F.col("text")))
     both = F.concat(F.array(F.struct("text", F.lit(True).alias("whole"))), F.transform(parts, lambda p: F.struct(p.alias("text"), F.lit(False).alias("whole"))))
-    return texts.select("file", F.explode(both).alias("b")).select("file", F.sha2("b.text", 256).alias("line"), "b.text", "b.whole")
+    return texts.select("file", F.explode(both).alias("b")).select("file", _key(F.col("b.text")).alias("line"), "b.text", "b.whole")
 
 
 def match_lines(lines: DataFrame, templates: DataFrame) -> DataFrame:
@@ -150,11 +155,11 @@ def scan(files: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     by_text = files.select(_text_id().alias("file"), "text")
     heads = work.cut(header_lines(by_text), "headers")
     parts = work.cut(blocks(by_text), "blocks")
-    known = work.cut(match_lines(heads.groupBy("line").agg(F.count("*").alias("times")).withColumn("text", F.col("line")), notices), "notices")
+    known = work.cut(match_lines(heads.groupBy("line").agg(F.first("text").alias("text"), F.count("*").alias("times")), notices), "notices")
     alike = work.cut(match_lines(parts.groupBy("line").agg(F.first("text").alias("text"), F.count("*").alias("times")), notices.union(texts)), "alike")
     work.release(spark)
-    said = heads.dropDuplicates(["file", "at"]).join(work.small_or_not(known, known.count(), 400), "line").select("file", "license", "cosine", F.lit(False).alias("all"), "full", "line_words", "n_words")
-    shown = parts.select("file", "line", "whole").distinct().join(work.small_or_not(alike, alike.count(), 160), "line")
+    said = heads.drop("text").dropDuplicates(["file", "at"]).join(work.small_or_not(known, known.count(), 100), "line").select("file", "license", "cosine", F.lit(False).alias("all"), "full", "line_words", "n_words")
+    shown = parts.select("file", "line", "whole").distinct().join(work.small_or_not(alike, alike.count(), 100), "line")
     shown = shown.select("file", "license", "cosine", F.col("whole").alias("all"), "full", F.lit(0).alias("line_words"), F.lit(1).alias("n_words"))
     own = said.union(shown).groupBy("file").agg(
         F.min(F.struct((~(F.col("all") & F.col("full"))).alias("part"), (-F.col("cosine")).alias("back"), "license")).alias("m"),
@@ -163,7 +168,7 @@ def scan(files: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     own = work.cut(own.select(F.col("file").alias("text_id"), F.col("m.license").alias("license"), (-F.col("m.back")).alias("cosine"), "whole"), "own")
     where = files.select("file", "path", _text_id().alias("text_id"), F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "").alias("dir"))
     work.release(spark)
-    rows = work.cut(where.join(work.small_or_not(own, own.count(), 240), "text_id", "left").drop("text_id"), "declared")
+    rows = work.cut(_declared(where, own), "declared")
     votes = rows.where("whole and dir is not null").groupBy("dir", "license").agg(F.count("*").alias("n"))
     first = Window.partitionBy("dir").orderBy(F.desc("n"), "license")
     declared = votes.withColumn("nth", F.row_number().over(first)).where("nth = 1").select(F.col("dir").alias("up"), F.col("license").alias("dir_license"))
@@ -181,6 +186,20 @@ def scan(files: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _declared(where: DataFrame, own: DataFrame) -> DataFrame:
+    """Files with what their texts declare.  If those texts are not few, a filter of
+    them parts the files, and only files that it may hold are shuffled."""
+    from .urls import bloom_flag
+
+    n = own.count()
+    if n * 120 <= work.BROADCAST_BYTES:
+        return where.join(F.broadcast(own), "text_id", "left").drop("text_id")
+    flagged = bloom_flag(where.withColumn("h", F.xxhash64("text_id")), own.select(F.xxhash64("text_id").alias("h")), n)
+    some = flagged.where("maybe").drop("maybe").join(own, "text_id", "left")
+    none = flagged.where("not maybe").drop("maybe")
+    return some.unionByName(none, allowMissingColumns=True).drop("text_id")
+
+
 def as_files(docs: DataFrame) -> DataFrame:
     """documents as files: ``source/<doc_id div 64>/<doc_id>``."""
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("cast(doc_id div 64 as string)"), F.col("doc_id").cast("string"))
