@@ -31,12 +31,15 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
-#: Listed canonical sites of the query.
-LISTED = (
-    "adult-x.example.net/",
-    "ads-track.example.org/",
-    "cheap-pills.example.com/",
-)
+#: Kinds of listed sites of the query, and the domains they are under.
+KINDS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+DOMAINS = ("example.com", "example.net", "example.org")
+NUMBERED = 200
+
+
+def listed_sites() -> list[str]:
+    """Canonical sites of the query's list: each kind by its name and numbered, under each domain."""
+    return [f"{k}{n}.{d}/" for k in KINDS for n in ("", *range(NUMBERED)) for d in DOMAINS]
 
 
 def n_blocks(keys: int) -> int:
@@ -159,7 +162,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(x,) for x in LISTED], "key string")
+    listed = spark.createDataFrame([(x,) for x in listed_sites()], "key string")
     return url_filter(work.table(spark, sf_dir, "pages"), listed)
 
 
@@ -178,7 +181,7 @@ with u as (
          when (host = 'net' or suffix(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
          when (host = 'net' or suffix(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
          when (host = 'com' or suffix(host, '.com')) and starts_with(path, '/') then 'com/' end as rule,
-    regexp_matches(host, '(^|\.)(adult-x\.example\.net|ads-track\.example\.org|cheap-pills\.example\.com)(:[0-9]+)?$') as listed
+    regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)([1-9]?[0-9]|1[0-9][0-9])?\.example\.(com|net|org)(:[0-9]+)?$') as listed
   from p
 )
 select page_id, host, path, rule,
