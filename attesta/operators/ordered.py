@@ -112,7 +112,8 @@ def leaders_then_fill(df: DataFrame, batch: str, order: list[Column], k: int) ->
 
 def weighted_order(df: DataFrame, weight: Column, seed: int, key: str) -> DataFrame:
     """Random order in proportion to weights: -ln(u) / w with u from the key's hash."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(2**53 - 1)) + 1) / F.lit(float(2**53))
+    digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), 1, 13)
+    u = (F.conv(digits, 16, 10).cast("bigint") + 1) / F.lit(float(2**52))
     return df.withColumn("draw", -F.log(u) / weight)
 
 

@@ -38,13 +38,22 @@ def country_of(countries: Column, seed: str | int, none: str = "EU") -> Column:
 def stratified_hash_sample(df: DataFrame, stratum: list[str], key: str, quota: Column, seed: str | int) -> DataFrame:
     """Smallest hashes of each stratum; adds size, probability and selected.
 
-    Shortfalls are not made up elsewhere.
+    Ranks come from ranges of the hashes' first digits, so no task sorts a
+    stratum.  Shortfalls are not made up elsewhere.
     """
+    rows = df.withColumn("h", key_hash(seed, F.col(key))).withColumn("_range", F.substring("h", 1, 3))
+    sizes = rows.groupBy(*stratum, "_range").agg(F.count("*").alias("_size"))
     w = Window.partitionBy(*stratum)
-    rows = df.withColumn("h", key_hash(seed, F.col(key)))
-    rows = rows.withColumn("nth", F.row_number().over(w.orderBy("h", key))).withColumn("size", F.count("*").over(w))
+    before = F.coalesce(F.sum("_size").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    named = {c: f"_s{i}" for i, c in enumerate([*stratum, "_range"])}
+    sizes = sizes.select(*(F.col(c).alias(n) for c, n in named.items()), before.alias("_start"), F.sum("_size").over(w).alias("size"))
+    inside = F.row_number().over(Window.partitionBy(*stratum, "_range").orderBy("h", key))
+    same = F.lit(True)
+    for c, n in named.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    rows = rows.withColumn("_in", inside).join(sizes, same).withColumn("nth", F.col("_start") + F.col("_in"))
     n = F.least(F.col("size"), quota)
-    return rows.withColumn("selected", F.col("nth") <= quota).withColumn("probability", n / F.col("size")).drop("h", "nth")
+    return rows.withColumn("selected", F.col("nth") <= quota).withColumn("probability", n / F.col("size")).drop("h", "nth", "_in", "_start", "_range", *named.values())
 
 
 def stratified_rng_sample(df: DataFrame, stratum: str, key: str, quota: str, seed: int) -> DataFrame:

@@ -117,7 +117,13 @@ def monotone_cursor(spark, sf_dir):
     return p.join(e, "user_id", "full").select("user_id", ordered.moved_cursor(F.col("cursor"), F.col("ended")).alias("cursor"))
 
 
-@query("weighted_order")
+@query(
+    "weighted_order",
+    """
+with w as (select doc_id, source, -ln((cast('0x' || substr(sha256('7:' || doc_id), 1, 13) as bigint) + 1) / 4503599627370496.0) / ((1 + 4 * exp(-(doc_id % 30) / 4.0)) * case when n_chars > 2000 then 1.8 else 1.0 end) as draw from documents)
+select doc_id, source, round(draw, 9) as draw from (select *, row_number() over (partition by source order by draw, doc_id) as nth from w) where nth = 1
+""",
+)
 def weighted_order(spark, sf_dir):
     """Weighted random order, one pick a source."""
     from pyspark.sql import Window
@@ -125,7 +131,7 @@ def weighted_order(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     age = (F.col("doc_id") % 30).cast("double")
     rows = ordered.weighted_order(d, ordered.highlight_weight(age, F.col("n_chars") > 2000, F.lit(False)), 7, "doc_id")
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("draw", "doc_id"))).where("nth = 1").select("doc_id", "source", "draw")
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("draw", "doc_id"))).where("nth = 1").select("doc_id", "source", F.round("draw", 9).alias("draw"))
 
 
 def _lines(spark, sf_dir):

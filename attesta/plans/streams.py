@@ -57,7 +57,7 @@ def stream_sliding_counts(spark, sf_dir):
     return streams.drained(got, "complete", _checkpoint(spark)).select("start", "n")
 
 
-@query("stream_cursor")
+@query("stream_cursor", "select user_id, epoch_us(max(ts)) as cursor from events group by user_id")
 def stream_cursor(spark, sf_dir):
     """Forward-only cursors in arbitrary state."""
     got = streams.running_cursor(_events(spark, sf_dir), "user_id", "ts")

@@ -69,7 +69,7 @@ def normalized_digest(spark, sf_dir):
     return d.select("doc_id", F.sha2(text.normalized_ascii(F.col("text")), 256).alias("digest"))
 
 
-@query("normalized_casefold")
+@query("normalized_casefold", r"select doc_id, sha256(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[ \t\n\r\f\v]+', ' ', 'g'))) as digest from documents")
 def normalized_casefold(spark, sf_dir):
     """NFKC and case folding, by an Arrow UDF."""
     return load(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalized("text"), 256).alias("digest"))
@@ -156,7 +156,15 @@ def long_text_chunks(spark, sf_dir):
     return d.select("doc_id", F.posexplode(text.chunks("text", F.lit(6000))).alias("part", "chunk")).select("doc_id", "part", F.length("chunk").alias("n_chars"))
 
 
-@query("excerpt_overlap")
+@query(
+    "excerpt_overlap",
+    r"""
+with q as (select item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as w from benchmark),
+d as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as w from documents),
+s as (select item_id, doc_id, count(*) as shared from q join d using (w) group by 1, 2)
+select item_id, doc_id, shared from (select *, row_number() over (partition by item_id order by shared desc, doc_id) as nth from s) where nth <= 2
+""",
+)
 def excerpt_overlap(spark, sf_dir):
     """Best two excerpts per quote by shared words, through an inverted join on words."""
     from pyspark.sql import Window
