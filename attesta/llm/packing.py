@@ -35,6 +35,7 @@ CAPACITY = 4096
 END_ID = 1
 PIECES_PER_GROUP = 32_768
 MEMO_CHUNKS = 1_000_000
+JOINED = 500
 
 
 class ChunkIds:
@@ -53,6 +54,8 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        special = [(i, t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not t.normalized and t.content.startswith("<|")]
+        self.mark_id, self.mark = (special[0][0], special[0][1].encode()) if special else (-1, b"")
         self.memo: dict[bytes, bytes] = {}
 
     def of(self, texts: list[bytes]) -> list[bytes]:
@@ -61,11 +64,22 @@ class ChunkIds:
         memo = self.memo
         if len(memo) > MEMO_CHUNKS:
             memo.clear()
-        new = list(set().union(*chunks).difference(memo))
-        got = self.tok.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-        memo.update(zip(new, [array("I", e.ids).tobytes() for e in got]))
+        self._learn(set().union(*chunks).difference(memo))
         return [b"".join([memo[c] for c in each]) for each in chunks]
 
+    def _learn(self, new: set[bytes]) -> None:
+        """Encodes chunks, JOINED at a time with a special token between them, which
+        no text's encoding reaches across; chunks that could hold one go alone."""
+        plain = [c for c in new if b"<|" not in c] if self.mark else []
+        alone = list(new.difference(plain))
+        got = self.tok.encode_batch_fast([c.decode() for c in alone], add_special_tokens=False)
+        self.memo.update(zip(alone, [array("I", e.ids).tobytes() for e in got]))
+        parts = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        for part, e in zip(parts, self.tok.encode_batch_fast([self.mark.join(p).decode() for p in parts], add_special_tokens=False) if parts else []):
+            ids = np.array(e.ids, "<u4")
+            raw, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+            self.memo.update(zip(part, [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])], strict=True))
+
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of every item by best-two-fit."""
