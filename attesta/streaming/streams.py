@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from attesta.sources.tables import if_small
+
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int = 1) -> DataFrame:
     """A Parquet folder as a stream, with the columns of ``like``."""
@@ -58,6 +60,8 @@ def insert_batches(df: DataFrame, target: str, key: str, checkpoint: str) -> Str
 
     A batch has a folder of its own, named by checkpoint and batch id, and is
     compared with all other folders, so a repeated batch writes the same rows.
+    The target's ids are read but not shuffled: a batch's ids go to them if they
+    are few, and only those found come back.
     """
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
@@ -67,7 +71,8 @@ def insert_batches(df: DataFrame, target: str, key: str, checkpoint: str) -> Str
         fresh = batch.dropDuplicates([key])
         try:
             old = spark.read.schema(batch.schema).parquet(f"{target}/run-*").where(~F.contains("_metadata.file_path", F.lit(f"/{own}/"))).select(key)
-            fresh = fresh.join(old, key, "left_anti")
+            asked = if_small(fresh.select(key), 64)
+            fresh = fresh.join(old.join(asked, key, "left_semi").distinct(), key, "left_anti")
         except AnalysisException as e:  # the first batch has no target yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
