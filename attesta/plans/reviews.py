@@ -10,6 +10,7 @@ from attesta.sources import tables
 from attesta.sources.tables import load
 
 from .registry import query
+from .vectors import clusters
 
 
 @query("superseded_batches", "select o_orderkey from orders where o_orderkey not in (select o_orderkey - 1 from orders where o_orderstatus = 'P')")
@@ -191,11 +192,17 @@ def cluster_relation_rules(spark, sf_dir):
     return l.select("doc_id", F.array_join(validation.errors(validation.label_rules(["security"], ["actor"])), ",").alias("errors"))
 
 
-@query("nearest_classified", "select vec_id, case when vec_id = 0 then 'direct' else 'other' end is not null as known from embeddings")
+@query(
+    "nearest_classified",
+    clusters("vec_id % 5", 0.3)
+    + """, r as (select g, cluster, min(vec_id) as rep from k group by 1, 2)
+select k.vec_id, e.label as taken, case when k.vec_id = rep then 'direct' else 'propagated' end as provenance from k join r using (g, cluster) join embeddings e on e.vec_id = rep""",
+)
 def nearest_classified(spark, sf_dir):
-    """Every vector has a representative whose label it takes."""
-    c = vectors.complete_link(load(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.3)
-    return vectors.representatives(c, "label", "vec_id").select("vec_id", F.col("provenance").isNotNull().alias("known"))
+    """Every row takes the label of its cluster's representative."""
+    e = load(spark, sf_dir, "embeddings").withColumn("video", F.col("vec_id") % 5)
+    members = vectors.representatives(vectors.complete_link(e, "video", "vec_id", "embedding", 0.3), "video", "vec_id")
+    return members.join(e.select(F.col("vec_id").alias("representative"), F.col("label").alias("taken")), "representative").select("vec_id", "taken", "provenance")
 
 
 @query("pooled_comments", "select conv_id, turn from (select conv_id, turn, row_number() over (partition by conv_id order by turn) as nth from conversations) where nth <= 3")
