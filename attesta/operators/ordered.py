@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.sources.tables import if_small
+from attesta.session import written
+from attesta.sources.tables import BROADCAST_BYTES, if_small
 
 
 def burst(df: DataFrame, by: str, at: str, seconds: int = 600) -> DataFrame:
@@ -40,23 +41,29 @@ def tertiles(df: DataFrame, value: str, by: list[str] | None = None, names=("low
 ROWS_PER_RANGE = 200_000
 
 
-def placed(df: DataFrame, value: Column, ties: list[str], name: str = "place") -> DataFrame:
-    """Adds the place by (value, ties), null values last, without one global sort.
+def placed(df: DataFrame, value: Column, ties: list[str], name: str = "place", nulls_first: bool = False, write=written) -> DataFrame:
+    """Adds the place by (value, ties), from 1, null values last or first, without one global sort.
 
-    Approximate quantiles of the values, numbers or stamps, cut the rows into
-    ranges; a place is the rank inside its range plus the sizes of the ranges
-    before.  Equal values share a range.
+    Rows are dealt by ranges of the whole order, ties and row numbers included, so a value that
+    all rows share is cut too; each range is sorted and written once (``write``) with its rows'
+    numbers, and a place is that number plus the sizes of the ranges before, a table of one row a
+    range.  Rows that are equal in value and ties get places in any order.
     """
-    rows = df.withColumn("_v", value).withColumn("_d", F.col("_v").cast("double"))
-    ranges = -(-rows.count() // ROWS_PER_RANGE)
-    cuts = sorted(set(rows.approxQuantile("_d", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_d"))) if cuts else F.lit(0)
-    rows = rows.withColumn("_range", F.when(F.col("_d").isNull(), len(cuts) + 1).otherwise(at))
-    sizes = rows.groupBy("_range").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.select("_range", before.alias("_start")))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("_v").asc_nulls_last(), *ties))
-    return rows.withColumn("_in", inside).join(starts, "_range").withColumn(name, F.col("_start") + F.col("_in")).drop("_v", "_d", "_range", "_start", "_in")
+    value = value if isinstance(value, Column) else F.col(value)
+    order = [F.col("_placed_v").asc_nulls_first() if nulls_first else F.col("_placed_v").asc_nulls_last()]
+    order += [*(F.col(t).asc_nulls_first() for t in ties), F.col("_placed_row")]
+    ranges = max(1, -(-df.count() // ROWS_PER_RANGE))
+    rows = df.withColumn("_placed_v", value).withColumn("_placed_row", F.monotonically_increasing_id())
+    rows = (rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.coalesce(1)).sortWithinPartitions(*order)
+    rows = write(rows.drop("_placed_v", "_placed_row").withColumn("_placed_at", F.monotonically_increasing_id()), "placed")
+    rows = rows.withColumn("_placed_range", F.shiftright("_placed_at", 33))
+    sizes = rows.groupBy("_placed_range").agg(F.count("*").alias("_placed_size"))
+    before = F.coalesce(F.sum("_placed_size").over(Window.orderBy("_placed_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_placed_range", before.alias("_placed_start"))
+    starts = F.broadcast(starts) if ranges * 24 <= BROADCAST_BYTES else starts
+    inside = F.col("_placed_at") - F.shiftleft("_placed_range", 33) + 1
+    rows = rows.join(starts, "_placed_range").withColumn(name, F.col("_placed_start") + inside)
+    return rows.drop("_placed_at", "_placed_range", "_placed_start", "_placed_size")
 
 
 def week_streak(df: DataFrame, by: str, day: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def builder(app: str = "attesta", cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession.Builder:
@@ -33,3 +33,10 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir is not set: machines share no folder")
         root = "file://" + tempfile.mkdtemp(prefix="attesta-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table as written to a scratch folder: rows stay as they are once, whatever is lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
