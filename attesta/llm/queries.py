@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-from . import decontaminate, divergence, jaccard, licenses, packing, pii, quality, sql, token_counts, toxicity, trie, urls, warc
+from . import decontaminate, divergence, jaccard, licenses, packing, pii, quality, quantised, sql, token_counts, toxicity, trie, urls, warc
 
 
 def pipeline(spark, sf_dir):
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_additive_quantisation": quantised.op12_additive_quantisation,
     "op13_prefix_trie": trie.op13_prefix_trie,
     "pipeline": pipeline,
 }
@@ -33,5 +34,6 @@ SQL = {
     "op8_url_filter": urls.OP8_SQL,
     "op9_quality_rules": sql.OP9,
     "op11_source_divergence": divergence.OP11_SQL,
+    "op12_additive_quantisation": quantised.OP12_SQL,
     "op13_prefix_trie": trie.OP13_SQL,
 }
