@@ -66,6 +66,25 @@ def placed(df: DataFrame, value: Column, ties: list[str], name: str = "place", n
     return rows.drop("_placed_at", "_placed_range", "_placed_start", "_placed_size")
 
 
+#: Neighbouring rows that a running sum adds up in one window.
+SUM_ROWS = 65_536
+
+
+def running_sum(df: DataFrame, by: str, place: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over a key's rows up to each, by a ``place`` that numbers all rows.
+
+    Windows hold SUM_ROWS neighbours; a window over their sums adds what came before, so a key may have any number of rows.
+    """
+    rows = df.withColumn("_sum_block", F.expr(f"{place} div {SUM_ROWS}"))
+    blocks = rows.groupBy(by, "_sum_block").agg(F.sum(value).alias("_sum_all"))
+    before = Window.partitionBy(by).orderBy("_sum_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col(by).alias("_sum_by"), "_sum_block", F.coalesce(F.sum("_sum_all").over(before), F.lit(0)).alias("_sum_before"))
+    inside = F.sum(value).over(Window.partitionBy(by, "_sum_block").orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn(name, inside).withColumnRenamed("_sum_block", "_sum_mine")
+    same = (F.col("_sum_mine") == F.col("_sum_block")) & F.col(by).eqNullSafe(F.col("_sum_by"))
+    return rows.join(blocks, same).withColumn(name, F.col(name) + F.col("_sum_before")).drop("_sum_mine", "_sum_by", "_sum_block", "_sum_before")
+
+
 def week_streak(df: DataFrame, by: str, day: str) -> DataFrame:
     """Longest run of consecutive ISO weeks."""
     weeks = df.select(by, F.to_date(F.date_trunc("week", day)).alias("w")).distinct()

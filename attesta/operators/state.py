@@ -97,13 +97,6 @@ def clone_batch(df: DataFrame, old: str, new: str) -> DataFrame:
     return rows.withColumn("id", id_).withColumn("batch_id", F.lit(new))
 
 
-def ledger(events: DataFrame, by: str, order: list[str], kind: str, amount: str, limit: float, kinds: list[str]) -> DataFrame:
-    """Running spend of the counted kinds and whether each event is within the limit."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = F.when(F.col(kind).isin(kinds), F.col(amount)).otherwise(0.0)
-    return events.withColumn("spent", F.round(F.sum(counted).over(w), 6)).withColumn("within", F.col("spent") <= limit)
-
-
 def settled(reservations: DataFrame, settlements: DataFrame, key: str) -> DataFrame:
     """Cost per reservation: settled once, at the first settlement; unknown usage keeps it."""
     first = settlements.groupBy(key).agg(F.min_by("amount", "settlement_id").alias("used"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attesta.operators import state, validation
+from attesta.operators import budgets, state, validation
 from attesta.sources.tables import load
 
 from .registry import query
@@ -71,11 +71,35 @@ def clone_batch(spark, sf_dir):
     return state.clone_batch(d, "B1", "B2").select("id", "batch_id")
 
 
-@query("budget_ledger", "select event_id, round(sum(case when event_type in ('purchase', 'click') then value else 0 end) over (partition by user_id order by ts, event_id), 4) as spent, round(sum(case when event_type in ('purchase', 'click') then value else 0 end) over (partition by user_id order by ts, event_id), 6) <= 500 as within from events")
+RESERVATIONS = """
+select event_id // 100 as ledger, event_id, row_number() over (partition by event_id // 100 order by ts, event_id) as i, event_type in ('purchase', 'click', 'view') as asks,
+ case when event_type in ('purchase', 'click', 'view') then event_id else event_id - 1 - event_id % 5 end as ident,
+ case when event_type in ('purchase', 'click', 'view') then round(value * 1000000)::bigint when event_id % 7 > 0 then round(value / 2 * 1000000)::bigint end as amount from events"""
+
+
+def _reservations(ev):
+    """Purchases, clicks and views ask for their value; the others settle an earlier event at half of theirs, some at an unknown cost."""
+    asks = F.col("event_type").isin("purchase", "click", "view")
+    ident = F.when(asks, F.col("event_id")).otherwise(F.col("event_id") - 1 - F.col("event_id") % 5)
+    amount = F.when(asks, F.col("value")).when(F.col("event_id") % 7 > 0, F.col("value") / 2)
+    return ev.select(F.expr("event_id div 100").alias("ledger"), "event_id", "ts", F.when(asks, "reserve").otherwise("settle").alias("kind"), ident.alias("ident"), amount.alias("amount"))
+
+
+LEDGER_SQL = f"""
+with recursive e as ({RESERVATIONS}),
+f as (select distinct ledger, 0::bigint as i, 0::bigint as event_id, 0::bigint as spent, []::struct(id bigint, amount bigint)[] as held, '' as outcome from e
+ union all select f.ledger, e.i, e.event_id, case when asks then case when spent + amount <= 500000000 then spent + amount else spent end when amount is null or k is null then spent else spent + amount - held[k].amount end,
+  case when asks then case when spent + amount <= 500000000 then list_append(held, struct_pack(id := ident, amount := amount)) else held end when amount is null or k is null then held else list_filter(held, lambda x: x.id <> ident) end,
+  case when asks then case when spent + amount <= 500000000 then 'accepted' else 'refused' end when amount is null or k is null then 'ignored' else 'settled' end
+  from (select f.*, e.i as next, list_position(list_transform(f.held, lambda x: x.id), e.ident) as k from f join e on e.ledger = f.ledger and e.i = f.i + 1) f join e on e.ledger = f.ledger and e.i = f.next)
+select event_id, outcome, round(spent / 1000000.0, 6) as spent from f where i > 0
+"""
+
+
+@query("budget_ledger", LEDGER_SQL)
 def budget_ledger(spark, sf_dir):
-    ev = load(spark, sf_dir, "events")
-    got = state.ledger(ev, "user_id", ["ts", "event_id"], "event_type", "value", 500.0, ["purchase", "click"])
-    return got.select("event_id", F.round("spent", 4).alias("spent"), "within")
+    got = budgets.ledger(_reservations(load(spark, sf_dir, "events")), "ledger", ["ts", "event_id"], "kind", "ident", "amount", 500.0)
+    return got.select("event_id", "outcome", F.round("spent", 6).alias("spent"))
 
 
 @query(

@@ -9,6 +9,7 @@ from attesta.sources.tables import load
 from attesta.streaming import streams
 
 from .registry import query
+from .state import LEDGER_SQL, _reservations
 
 
 def _checkpoint(spark) -> str:
@@ -63,3 +64,13 @@ def stream_cursor(spark, sf_dir):
     got = streams.running_cursor(_events(spark, sf_dir), "user_id", "ts")
     rows = streams.drained(got, "update", _checkpoint(spark))
     return rows.groupBy("user_id").agg(F.max("cursor").alias("cursor"))
+
+
+@query("stream_ledger", LEDGER_SQL)
+def stream_ledger(spark, sf_dir):
+    """The ledgers of ``budget_ledger`` as a stream; files whose times overlap are one batch."""
+    got = streams.ledger(_reservations(_events(spark, sf_dir, ALL_FILES)), "ledger", "ts", "kind", "ident", "amount", 500.0)
+    rows = streams.drained_to_files(got, _checkpoint(spark))
+    # an event is known by its time: both kinds of one ident have their own
+    named = load(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.expr("event_id div 100").alias("ledger"))
+    return rows.join(named, ["ledger", "at"]).select("event_id", "outcome", F.round("spent", 6).alias("spent"))
