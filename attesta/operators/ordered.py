@@ -10,9 +10,22 @@ from attesta.sources.tables import BROADCAST_BYTES, if_small
 
 
 def burst(df: DataFrame, by: str, at: str, seconds: int = 600) -> DataFrame:
-    """Most events within ``seconds`` after any event, both ends included."""
-    w = Window.partitionBy(by).orderBy(F.unix_micros(at)).rangeBetween(Window.currentRow, seconds * 1_000_000)
-    return df.withColumn("_n", F.count("*").over(w)).groupBy(by).agg(F.max("_n").alias("burst"))
+    """Most events within ``seconds`` after any event, both ends included; 0 for a key whose times are all null.
+
+    Events are counted by key and time first.  A window starts in a bucket of ``seconds`` and ends in the next one or at
+    its first time, so buckets are windows of their own: each gets a copy of the one after it.
+    """
+    span = seconds * 1_000_000
+    counts = df.groupBy(by, F.unix_micros(at).alias("_at")).agg(F.count("*").alias("_n"))
+    rows = counts.where("_at is not null").withColumn("_bucket", F.floor(F.col("_at") / F.lit(span)) if span else F.col("_at"))
+    mine = rows.withColumn("_own", F.lit(True))
+    if span:
+        mine = mine.union(rows.withColumn("_bucket", F.col("_bucket") - 1).withColumn("_own", F.lit(False)))
+    w = Window.partitionBy(by, "_bucket").orderBy("_at").rangeBetween(Window.currentRow, span)
+    most = mine.withColumn("_n", F.sum("_n").over(w)).where("_own").groupBy(by).agg(F.max("_n").alias("burst"))
+    same = F.col(by).eqNullSafe(F.col("_by"))
+    keys = counts.select(F.col(by).alias("_by")).distinct()
+    return keys.join(most, same, "left").select(F.col("_by").alias(by), F.coalesce("burst", F.lit(0)).alias("burst"))
 
 
 def tertiles(df: DataFrame, value: str, by: list[str] | None = None, names=("low", "medium", "high")) -> DataFrame:
@@ -178,7 +191,39 @@ def coverage_gaps(regions: DataFrame, segments: DataFrame, by: str, slack: float
     return before.union(last).union(whole).union(bare).where(F.col("gap_end") - F.col("gap_start") > least)
 
 
+def _binned(df: DataFrame, start: str, end: str) -> DataFrame:
+    """Adds the interval's level, the least power of two that is no shorter, if bins of that width can be numbered."""
+    s, e = F.col(start).cast("double"), F.col(end).cast("double")
+    ok = (F.col(end) >= F.col(start)) & (F.abs(s) < float("inf")) & (F.abs(e) < float("inf"))
+    rows = df.where(ok).withColumns({"_s": s, "_e": e})
+    level = F.greatest(F.lit(-20), F.ceil(F.log2(F.greatest(F.abs("_s"), F.abs("_e"), F.lit(1.0)))) - 60, F.ceil(F.log2(F.greatest(F.col("_e") - F.col("_s"), F.lit(2.0**-20)))))
+    return rows.withColumn("_level", level.cast("int"))
+
+
+def _in_bins(df: DataFrame, levels: DataFrame) -> DataFrame:
+    """A row for each bin that an interval touches at each level that is no lower than its own."""
+    rows = df.join(levels, F.col("_at") >= F.col("_level"))
+    wide = F.pow(F.lit(2.0), F.col("_at"))
+    rows = rows.withColumns({"_low": F.floor(F.col("_s") / wide), "_high": F.floor(F.col("_e") / wide)})
+    return rows.withColumn("_bin", F.explode(F.sequence("_low", "_high"))).drop("_s", "_e", "_high")
+
+
 def overlaps(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
-    """Pairs of overlapping intervals of one key: (start, end) and (b_start, b_end)."""
-    other = b.select(by, F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    return a.join(other, by).where((F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")))
+    """Pairs of intervals of one key with start < b_end and b_start < end; b's columns but the key get ``b_``.
+
+    An interval touches two bins or so of any level no lower than its own, levels being powers
+    of two.  A pair meets at the level of its longer interval, in the first bin that both touch:
+    a key's intervals are spread over its bins, and what meets there lies within two bins of each
+    other.  Nulls, ends before starts and infinite ends overlap nothing.
+    """
+    names = [c for c in b.columns if c != by]
+    left = _binned(a.where(F.col(by).isNotNull()), "start", "end")
+    right = _binned(b.select(F.col(by).alias("_by"), *(F.col(c).alias(f"b_{c}") for c in names)), "b_start", "b_end")
+    # of a double's range there are some thousand levels at most
+    levels = F.broadcast(left.select("_level").union(right.select("_level")).distinct().select(F.col("_level").alias("_at")))
+    x = _in_bins(left, levels)
+    y = _in_bins(right, levels).withColumnsRenamed({c: f"{c}_b" for c in ("_level", "_at", "_low", "_bin")})
+    same = (F.col(by) == F.col("_by")) & (F.col("_at") == F.col("_at_b")) & (F.col("_bin") == F.col("_bin_b"))
+    met = (F.greatest("_level", "_level_b") == F.col("_at")) & (F.col("_bin") == F.greatest("_low", "_low_b"))
+    pairs = x.join(y, same & met & (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")))
+    return pairs.select(*a.columns, *(f"b_{c}" for c in names))

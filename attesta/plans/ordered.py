@@ -163,11 +163,28 @@ select a.l_orderkey, count(*) as n from i a join i b on a.l_orderkey = b.l_order
 )
 def interval_overlap(spark, sf_dir):
     rows = _lines(spark, sf_dir)
-    lines = rows.select("l_orderkey", F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("l_linenumber").alias("b_line"))
-    got = rows.join(lines, "l_orderkey").where((F.col("l_linenumber") < F.col("b_line")) & (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")))
+    got = ordered.overlaps(rows, rows, "l_orderkey").where("l_linenumber < b_l_linenumber")
     return got.groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
+@query(
+    "supplier_overlap",
+    """
+with i as (select l_suppkey as k, l_orderkey * 10 + l_linenumber as id, date_diff('day', timestamp '1995-01-01', l_shipdate)::double as s, date_diff('day', timestamp '1995-01-01', l_shipdate) + l_quantity % 7 as e from lineitem),
+p as (select s_suppkey as k, min(o) as s, max(o) as e from (select s_suppkey, unnest([s_suppkey % 50 * 40, s_suppkey % 50 * 40 + s_suppkey % 90]) as o from supplier) group by 1)
+select i.k as supplier, count(*) as n, sum(least(i.e, p.e) - greatest(i.s, p.s)) as shared, min(id) as first from i join p on i.k = p.k and i.s < p.e and p.s < i.e group by 1
+""",
+)
+def supplier_overlap(spark, sf_dir):
+    """Shipments of a supplier, thousands a key, against one period each; some have no length."""
+    half = F.col("s_suppkey") % 50 * 40
+    period = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), half.cast("double").alias("start"), (half + F.col("s_suppkey") % 90).cast("double").alias("end"))
+    day = F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")).cast("double")
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), day.alias("start"), (day + F.col("l_quantity") % 7).cast("double").alias("end"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    got = ordered.overlaps(lines, period, "supplier")
+    return got.groupBy("supplier").agg(F.count("*").alias("n"), F.sum(F.least("end", "b_end") - F.greatest("start", "b_start")).alias("shared"), F.min("id").alias("first"))
+
+
 @query("iso_week_span", "select user_id, min(strftime(ts, '%G-W%V')) as first_week, max(strftime(ts, '%G-W%V')) as last_week, count(distinct strftime(ts, '%G-W%V')) as weeks from events group by user_id")
 def iso_week_span(spark, sf_dir):
     from attesta.functions.scalar import iso_week

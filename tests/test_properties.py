@@ -45,6 +45,34 @@ def test_islands_and_gaps(spark, seed):
     assert gaps == 70 - sum(b - a for a, b in want)
 
 
+@pytest.mark.parametrize("seed", [7, 8])
+def test_overlaps_are_those_of_the_plain_join(spark, seed):
+    rng = random.Random(seed)
+    span = lambda: (rng.choice("aab"), s := rng.choice([rng.uniform(-50, 50), float(rng.randint(-9, 9)), 1.7e15]), s + rng.choice([0.0, 0.25, 1.0, rng.random() * 8, 64.0, 5000.0]))
+    a, b = [span() for _ in range(120)], [span() for _ in range(120)]
+    odd = [("a", 5.0, 4.0), ("a", None, 4.0), ("a", 1.0, None), ("a", 0.0, float("inf")), ("a", float("nan"), 1.0), (None, 0.0, 9.0)]
+    frame = lambda rows: spark.createDataFrame([(*r, i) for i, r in enumerate(rows + odd)], "k string, start double, end double, id int")
+    got = sorted((r.id, r.b_id) for r in ordered.overlaps(frame(a), frame(b), "k").collect())
+    assert got == sorted((i, j) for i, (k, s, e) in enumerate(a) for j, (q, t, f) in enumerate(b) if k == q and s < f and t < e)
+    assert len(got) > 500
+
+
+def test_overlaps_of_one_key_are_spread(spark):
+    df = spark.range(20_000).select(F.lit("k").alias("k"), (F.col("id") * 2.0).alias("start"), (F.col("id") * 2.0 + 3).alias("end"))
+    got = ordered.overlaps(df, df, "k")
+    assert got.count() == 20_000 + 2 * 19_999
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_at" in plan and "CartesianProduct" not in plan
+
+
+def test_bursts_of_odd_rows(spark):
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("a", None), ("b", base), ("b", base), (None, base)], "k string, at timestamp")
+    assert set(map(tuple, ordered.burst(df, "k", "at").collect())) == {("a", 0), ("b", 2), (None, 1)}
+    assert set(map(tuple, ordered.burst(df, "k", "at", 0).collect())) == {("a", 0), ("b", 2), (None, 1)}
+    assert ordered.burst(df.where("false"), "k", "at").count() == 0
+
+
 def test_hash_places_are_the_global_order(spark):
     df = spark.range(3000).withColumn("h", sampling.key_hash("s", F.col("id"))).withColumn("late", (F.col("id") % 2).cast("int"))
     got = sampling.placed_by_hash(df, "late", "h", "id").select("late", "h", "id", "place").collect()
