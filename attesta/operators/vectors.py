@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.scalar import cosine
+from attesta.session import scratch, written
 
-from .ordered import burst, week_streak
+from .ordered import burst, placed, week_streak
 
 #: Vectors of a block, and query rows that are multiplied at a time: a task holds two
 #: blocks and one strip of products.
@@ -23,38 +24,132 @@ def unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _blocks(df: DataFrame, key: str, vector: str, rows: int) -> tuple[DataFrame, int]:
-    n = max(1, -(-rows // BLOCK_ROWS))
-    return df.select(F.col(key).alias("key"), F.col(vector).alias("vector"), F.pmod(F.xxhash64(key), F.lit(n)).alias("block")), n
+#: Rows of a cell on average, cells at most (their centres are sent to all tasks), rows that centres are fitted on for each
+#: cell, and by how much angles may be off.
+CELL_ROWS, MOST_CELLS, FIT_ROWS, SLACK = 4096, 1024, 8, 1e-6
 
 
-def _against(queries: DataFrame, items: DataFrame, key: str, vector: str, rows: int, run, schema: str) -> DataFrame:
-    """Every query block meets every item block in a task of its own.
+class Cells:
+    """Vectors dealt to cells around centres, so that a search can leave out cells that are too far.
 
-    Blocks hold about BLOCK_ROWS vectors, so a task multiplies two bounded
-    matrices; work is the product of the two sides, as an exact search is.
+    Angles obey the triangle inequality: a row of a cell is no nearer to a vector than the angle
+    between vector and centre less the cell's radius.  Zero vectors have a cell of their own, at a
+    similarity of 0 to everything.  Rows without a vector take no part.
     """
-    q, n_q = _blocks(queries, key, vector, rows)
-    x, n_x = _blocks(items, key, vector, rows)
-    left = q.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_x - 1)))).withColumnRenamed("block", "qb").withColumn("side", F.lit(0))
-    right = x.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long")))).withColumnRenamed("block", "other").withColumn("side", F.lit(1))
-    both = left.select("qb", F.col("other").cast("long").alias("xb"), "side", "key", "vector").union(right.select("qb", F.col("other").alias("xb"), "side", "key", "vector"))
-    return both.groupBy("qb", "xb").applyInArrow(run, schema)
 
-
-def knn(df: DataFrame, key: str, vector: str, k: int, queries: DataFrame | None = None) -> DataFrame:
-    """(query, neighbour, cosine, rank) of the k nearest, itself included; ties by key."""
-    rows = df.count()
+    def __init__(self, df: DataFrame, key: str, vector: str):
+        rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+        self.n = rows.count()
+        wanted = min(MOST_CELLS, -(-self.n // CELL_ROWS))
+        some = rows.orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS * wanted).toArrow()  # a bounded sample
+        self.centres = _centres(unit_rows(some.column("vector")), wanted) if self.n else np.zeros((0, 1))
+        centres = self.centres
+
+        def run(batches):
+            for batch in batches:
+                cell, angle = _nearest_cell(unit_rows(batch.column("vector")), centres)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(angle)], names=["key", "vector", "cell", "angle"])
+
+        kinds = dict(rows.dtypes)
+        dealt = rows.mapInArrow(run, f"key {kinds['key']}, vector {kinds['vector']}, cell int, angle double")
+        self.rows = written(dealt, "cells")
+        self.radius, self.size = np.full(len(centres) + 1, -1.0), np.zeros(len(centres) + 1, np.int64)
+        for r in self.rows.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect():  # a row a cell
+            self.radius[r.cell], self.size[r.cell] = r.radius, r.n
+
+    def visits(self, queries: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
+        """(key, vector, cell) of the queries and each cell they have to meet.
+
+        For ``least``, cells that may hold a similarity of it; for ``k``, cells that may hold one of the k nearest, given
+        ``reached``, a similarity that k rows have or null, in the queries.
+        """
+        centres, radius, size = self.centres, self.radius, self.size
+
+        def run(batches):
+            for batch in batches:
+                m = unit_rows(batch.column("vector"))
+                angle = np.arccos(np.clip(m @ centres.T, -1, 1))
+                zero = ~m.any(axis=1)
+                low = np.maximum(angle - radius[:-1], 0)
+                low[:, radius[:-1] < 0] = np.inf
+                low = np.hstack([low, np.full((len(m), 1), np.pi / 2 if size[-1] else np.inf)])
+                low[zero] = np.where(size > 0, np.pi / 2, np.inf)
+                if least is not None:
+                    far = np.full(len(m), np.arccos(np.clip(least, -1, 1)))
+                else:
+                    # any cells of k rows or more together bound the k-th angle by their farthest ends
+                    high = np.hstack([np.minimum(angle + radius[:-1], np.pi), np.full((len(m), 1), np.pi / 2)])
+                    high[zero] = np.pi / 2
+                    high[:, size == 0] = np.inf
+                    order = np.argsort(high, axis=1)
+                    enough = (np.cumsum(size[order], axis=1) >= k).argmax(axis=1)
+                    far = np.take_along_axis(high, order, 1)[np.arange(len(m)), enough]
+                    far[size.sum() < k] = np.pi
+                    known = batch.column("reached").to_numpy(zero_copy_only=False).astype(np.float64)
+                    far = np.fmin(far, np.arccos(np.clip(known, -1, 1)))
+                row, cell = np.nonzero(low <= far[:, None] + SLACK)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), batch.column("vector").take(pa.array(row)), pa.array(np.where(cell == len(centres), -1, cell), pa.int32())], names=["key", "vector", "cell"])
+
+        kinds = dict(queries.dtypes)
+        return queries.mapInArrow(run, f"key {kinds['key']}, vector {kinds['vector']}, cell int")
+
+    def meet(self, visits: DataFrame, run, schema: str, first_only: bool = False, rows: DataFrame | None = None) -> DataFrame:
+        """``run`` over blocks of a cell's rows and of its visitors, BLOCK_ROWS of each or so; ``rows`` are
+        some of the cells' rows, with a column ``cluster``."""
+        spark, mine = self.rows.sparkSession, self.rows if rows is None else rows
+        told = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
+        blocks = lambda n: max(1, -(-int(n) // BLOCK_ROWS))
+        sizes = spark.createDataFrame([(c, blocks(self.size[c]), blocks(told[c])) for c in told], "cell int, subs int, parts int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        draw = lambda c, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(c)).cast("int")
+        near, met = F.broadcast(sizes), ["cell", "sub", "part", "side", "key", "vector", *(["cluster"] if rows is not None else [])]
+        left = visits.withColumn("cluster", F.lit(None).cast("long")).join(near, "cell").withColumn("sub", F.lit(0) if first_only else every("subs")).withColumns({"part": draw("parts", 1), "side": F.lit(0)})
+        right = mine.join(near, "cell").withColumn("sub", draw("subs", 2)).withColumns({"part": every("parts"), "side": F.lit(1)})
+        right = right.where("sub = 0") if first_only else right
+        return left.select(*met).union(right.select(*met)).groupBy("cell", "sub", "part").applyInArrow(run, schema)
+
+    def pairs(self, visits: DataFrame) -> int:
+        """How many pairs of a visitor and a row meet; all pairs are visitors times rows."""
+        return sum(r.n * int(self.size[r.cell]) for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect())
+
+
+def _centres(sample: np.ndarray, wanted: int) -> np.ndarray:
+    """Unit centres of a sample by a few rounds of means."""
+    sample = sample[sample.any(axis=1)]
+    if not len(sample):
+        return sample
+    centres = sample[:wanted]
+    for _ in range(5):
+        near = (sample @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, sample)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.where(length > 0, length, 1), centres)
+    return centres
+
+
+def _nearest_cell(m: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell and angle to its centre; -1 and 0 for zero vectors."""
+    if not len(m) or not len(centres):
+        return np.full(len(m), -1), np.zeros(len(m))
+    sim = m @ centres.T
+    cell = sim.argmax(axis=1)
+    zero = ~m.any(axis=1)
+    angle = np.arccos(np.clip(sim[np.arange(len(m)), cell], -1, 1))
+    return np.where(zero, -1, cell), np.where(zero, 0, angle)
+
+
+def _best(k: int):
+    """Function of one block of visitors (side 0) and rows (side 1): each visitor's k nearest, ties by key."""
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         keys = table.column("key").to_numpy()
         m = unit_rows(table.column("vector"))
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(a) or not len(b):
-            return pa.table({"query": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        take, parts = min(k, len(b)), []
-        for lo in range(0, len(a), STRIP_ROWS):
+        parts = [pa.table({"query": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})]
+        take = min(k, len(b))
+        for lo in range(0, len(a) if take else 0, STRIP_ROWS):
             mine = a[lo : lo + STRIP_ROWS]
             sim = np.round(m[mine] @ m[b].T, 12)
             least = -np.partition(-sim, take - 1, axis=1)[:, take - 1 : take]
@@ -67,13 +162,43 @@ def knn(df: DataFrame, key: str, vector: str, k: int, queries: DataFrame | None
             parts.append(pa.table({"query": keys[mine][row], "neighbour": keys[b][col], "cosine": sim[row, col]}))
         return pa.concat_tables(parts)
 
-    near = _against(queries if queries is not None else df, df, key, vector, rows, run, "query long, neighbour long, cosine double")
+    return run
+
+
+def nearest_visits(cells: Cells, queries: DataFrame, k: int) -> DataFrame:
+    """(key, vector, cell) that a search of the k nearest needs: each query first meets a block of
+    its own cell, and then every cell that may hold a row as near as the k-th of these."""
+    centres = cells.centres
+
+    def own(batches):
+        for batch in batches:
+            cell, _ = _nearest_cell(unit_rows(batch.column("vector")), centres)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=["key", "vector", "cell"])
+
+    asked = queries.where("vector is not null").select("key", "vector")
+    kinds = dict(asked.dtypes)
+    at_home = asked.mapInArrow(own, f"key {kinds['key']}, vector {kinds['vector']}, cell int")
+    found = cells.meet(at_home, _best(k), "query long, neighbour long, cosine double", first_only=True)
+    reached = found.groupBy("query").agg(F.count("*").alias("_n"), F.min("cosine").alias("reached")).where(F.col("_n") >= k)
+    rows = asked.join(reached.select(F.col("query").alias("key"), "reached"), "key", "left")
+    return written(cells.visits(rows, k=k), "visits")
+
+
+def knn(df: DataFrame, key: str, vector: str, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """(query, neighbour, cosine, rank) of the k nearest, itself included; ties by key.
+
+    Exact: only cells that the triangle inequality rules out are left out.  On vectors without clusters
+    nothing is ruled out and every block meets every block.
+    """
+    cells = Cells(df, key, vector)
+    asked = (queries if queries is not None else df).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    near = cells.meet(nearest_visits(cells, asked, k), _best(k), "query long, neighbour long, cosine double")
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def similar_pairs(df: DataFrame, key: str, vector: str, least: float) -> DataFrame:
-    """(a, b, cosine) with a < b and cosine of ``least`` or more."""
+    """(a, b, cosine) with a < b and cosine of ``least`` or more, from the cells near enough."""
 
     def run(table: pa.Table) -> pa.Table:
         side, keys = table.column("side").to_numpy(), table.column("key").to_numpy()
@@ -87,15 +212,21 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float) -> DataFra
             parts.append(pa.table({"a": keys[mine][i].astype(np.int64), "b": keys[b][j].astype(np.int64), "cosine": sim[i, j]}))
         return pa.concat_tables(parts)
 
-    return _against(df, df, key, vector, df.count(), run, "a long, b long, cosine double")
+    cells = Cells(df, key, vector)
+    visits = written(cells.visits(cells.rows.select("key", "vector"), least=least), "visits")
+    return cells.meet(visits, run, "a long, b long, cosine double")
+
+
+#: Rows of a group that are told in one task, one after another.
+RANGE_ROWS = 8192
 
 
 def complete_link(df: DataFrame, by: str, key: str, vector: str, least: float, smallest: int = 1) -> DataFrame:
     """(by, cluster, key) of greedy complete-link clusters, scanned in key order.
 
     A row joins the first cluster whose every member is at least ``least``
-    similar.  Order matters, so each group is one task; groups are the comments
-    of one video.
+    similar.  Groups of up to RANGE_ROWS rows are a task each; larger ones go in rounds, see
+    ``_in_rounds``.  Rows without a vector take no part.
     """
     kind = dict(df.dtypes)
 
@@ -117,7 +248,91 @@ def complete_link(df: DataFrame, by: str, key: str, vector: str, least: float, s
         out = table.select([by, key]).take(pa.array(at, pa.int64()))
         return out.append_column("cluster", pa.array(number, pa.int32()))
 
-    return df.select(by, key, vector).groupBy(by).applyInArrow(run, f"{by} {kind[by]}, {key} {kind[key]}, cluster int")
+    rows = df.where(F.col(vector).isNotNull()).select(by, key, vector)
+    large = rows.groupBy(F.col(by).alias("_large")).agg(F.count("*").alias("_n")).where(F.col("_n") > RANGE_ROWS).select("_large")
+    same, schema = F.col(by).eqNullSafe(F.col("_large")), f"{by} {kind[by]}, {key} {kind[key]}, cluster int"
+    if large.isEmpty():
+        return rows.groupBy(by).applyInArrow(run, schema)
+    own = rows.join(large, same, "left_anti").groupBy(by).applyInArrow(run, schema)
+    return own.union(_in_rounds(rows.join(large, same, "left_semi"), by, key, vector, least, smallest))
+
+
+def _in_rounds(df: DataFrame, by: str, key: str, vector: str, least: float, smallest: int) -> DataFrame:
+    """Complete-link clusters of large groups, RANGE_ROWS rows of each group a round, in key order.
+
+    A round's rows meet the members of earlier rounds in blocks of cells that are near enough, and
+    for each cluster that is wholly similar in a block its members there are counted: where the counts
+    make up the cluster, it is a candidate.  One task a group then tells the round's rows one after another, from candidates
+    and their own similarities.  Pairs are never written.  Of equal vectors only the first is told: what later ones join is the same.
+    """
+    rows = placed(df, F.struct(by, key), [], "_at", nulls_first=True)
+    starts = rows.groupBy(by).agg(F.min("_at").alias("_first"), F.count("*").alias("_all"))
+    rows = rows.join(starts.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    # vectors of no length are not similar to each other
+    alone = F.when(~F.exists(vector, lambda x: x != 0), F.col("_at"))
+    rows = written(rows.withColumn("_alone", alone), "linked")
+    firsts = rows.groupBy("_first", vector, "_alone").agg(F.min("_at").alias("code"))
+    firsts = written(firsts.withColumn("round", F.expr(f"(code - _first) div {RANGE_ROWS}")), "firsts")
+
+    def counted(table: pa.Table) -> pa.Table:
+        side, code, group = table.column("side").to_numpy(), table.column("key").to_numpy(), table.column("cluster").to_numpy(zero_copy_only=False)
+        m = unit_rows(table.column("vector"))
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        parts = [pa.table({"code": pa.array([], pa.int64()), "cluster": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})]
+        if len(a) and len(b):
+            b = b[np.argsort(group[b], kind="stable")]
+            names, begin, size = np.unique(group[b].astype(np.int64), return_index=True, return_counts=True)
+            for lo in range(0, len(a), STRIP_ROWS):
+                mine = a[lo : lo + STRIP_ROWS]
+                alike = np.add.reduceat((m[mine] @ m[b].T >= least - 1e-12).astype(np.int32), begin, axis=1)
+                i, j = np.nonzero(alike == size[None, :])
+                parts.append(pa.table({"code": code[mine][i], "cluster": names[j], "n": size[j].astype(np.int64)}))
+        return pa.concat_tables(parts)
+
+    def told(table: pa.Table) -> pa.Table:
+        """(code, cluster) of one group's rows of a round; a cluster is named by its first member."""
+        table = table.sort_by("code")
+        code, m = table.column("code").to_numpy(), unit_rows(table.column("vector"))
+        fits = table.column("fits").to_pylist()
+        home, added = np.full(len(code), -1, np.int64), {}
+        for lo in range(0, len(code), STRIP_ROWS):
+            near = m[lo : lo + STRIP_ROWS] @ m.T >= least - 1e-12
+            for i in range(lo, min(lo + STRIP_ROWS, len(code))):
+                names, n = np.unique(home[:i][near[i - lo, :i]], return_counts=True)
+                alike = dict(zip(names.tolist(), n.tolist()))
+                old = set(fits[i] or ())
+                ok = [c for c in old if alike.get(c, 0) == added.get(c, 0)]
+                # clusters that this round began need no candidate
+                ok += [c for c, k in alike.items() if c >= code[0] and k == added[c]]
+                home[i] = min(ok, default=int(code[i]))
+                added[int(home[i])] = added.get(int(home[i]), 0) + 1
+        return pa.table({"code": pa.array(code, pa.int64()), "cluster": pa.array(home, pa.int64())})
+
+    cells = Cells(firsts.withColumn("_v", F.col(vector)), "code", "_v")
+    located = cells.rows.join(firsts.select(F.col("code").alias("key"), "_first", "round"), "key")
+    located = written(located, "located")
+    path = scratch(df.sparkSession, "members")
+    last = firsts.agg(F.max("round")).first()[0]
+    for number in range(last + 1):
+        mine = located.where(F.col("round") == number)
+        if number:
+            members = df.sparkSession.read.schema("code long, cluster long").parquet(f"{path}/*")
+            earlier = located.where(F.col("round") < number).join(members.withColumnRenamed("code", "key"), "key").select("cell", "key", "vector", "cluster")
+            visits = written(cells.visits(mine.select("key", "vector"), least=least - 1e-12), "visits")
+            found = cells.meet(visits, counted, "code long, cluster long, n long", rows=earlier).groupBy("code", "cluster").agg(F.sum("n").alias("n"))
+            sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+            fits = found.join(sizes, "cluster").where("n = size").groupBy("code").agg(F.collect_list("cluster").alias("fits"))
+            mine = mine.join(fits.withColumnRenamed("code", "key"), "key", "left")
+        else:
+            mine = mine.withColumn("fits", F.lit(None).cast("array<long>"))
+        mine = mine.select("_first", F.col("key").alias("code"), "vector", "fits").groupBy("_first").applyInArrow(told, "code long, cluster long")
+        mine.write.parquet(f"{path}/round-{number:06d}")
+    members = df.sparkSession.read.schema("code long, cluster long").parquet(f"{path}/*")
+    copies = rows.join(firsts.drop("round", "_alone"), ["_first", vector]).where(F.col("_alone").isNull() | (F.col("code") == F.col("_at")))
+    got = copies.join(members, "code").select(by, "_first", key, F.col("cluster").alias("name"))
+    names = got.groupBy("_first", "name").agg(F.count("*").alias("_n")).where(F.col("_n") >= smallest)
+    names = names.withColumn("cluster", (F.row_number().over(Window.partitionBy("_first").orderBy("name")) - 1).cast("int"))
+    return got.join(names, ["_first", "name"]).select(by, key, "cluster")
 
 
 def centroid(df: DataFrame, by: list[str], vector: str) -> DataFrame:

@@ -73,6 +73,57 @@ def test_bursts_of_odd_rows(spark):
     assert ordered.burst(df.where("false"), "k", "at").count() == 0
 
 
+@pytest.mark.parametrize("seed", [13, 14])
+def test_large_groups_are_clustered_in_rounds(spark, seed, monkeypatch):
+    for name, n in (("RANGE_ROWS", 40), ("CELL_ROWS", 30), ("BLOCK_ROWS", 25), ("STRIP_ROWS", 9)):
+        monkeypatch.setattr(vectors, name, n)
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(9, 5))
+    m = middle[rng.integers(0, 9, 240)] + 0.35 * rng.normal(size=(240, 5))
+    m[100:130] = m[20]
+    m[130:133] = 0
+    group = [None if i % 40 == 7 else "small" if i % 8 == 0 else "big" for i in range(240)]
+    df = spark.createDataFrame([(i, group[i], [float(x) for x in v]) for i, v in enumerate(m)] + [(900, "big", None)], "id long, g string, v array<double>")
+    got: dict = {}
+    for r in vectors.complete_link(df, "g", "id", "v", 0.8, 2).collect():
+        got.setdefault(r.g, {}).setdefault(r.cluster, []).append(r.id)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    u = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    sim = u @ u.T
+    for g in ("big", "small", None):
+        plain: list[list[int]] = []
+        for i in (i for i in range(240) if group[i] == g):
+            home = next((c for c in plain if all(sim[i, j] >= 0.8 - 1e-12 for j in c)), None)
+            plain.append([i]) if home is None else home.append(i)
+        assert {n: sorted(c) for n, c in got.get(g, {}).items()} == dict(enumerate(c for c in plain if len(c) > 1))
+    assert len(got["big"]) > 8
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_cells_leave_out_nothing_that_is_near(spark, seed, monkeypatch):
+    for name, n in (("CELL_ROWS", 25), ("BLOCK_ROWS", 20), ("STRIP_ROWS", 7)):
+        monkeypatch.setattr(vectors, name, n)
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(12, 6))
+    m = middle[rng.integers(0, 12, 300)] + 0.1 * rng.normal(size=(300, 6))
+    m[40:70] = m[3]  # copies of one vector, and vectors of no length
+    m[70:74] = 0
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(999, None)], "id long, v array<double>")
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    u = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    sim = np.round(u @ u.T, 12)
+    want = {(q, int(n), r) for q in range(300) for r, n in enumerate(np.lexsort((np.arange(300), -sim[q]))[:5], 1)}
+    assert {(r.query, r.neighbour, r["rank"]) for r in vectors.knn(df, "id", "v", 5).collect()} == want
+    for least in (0.9, -0.2):
+        assert {(r.a, r.b) for r in vectors.similar_pairs(df, "id", "v", least).collect()} == {(i, j) for i in range(300) for j in range(i + 1, 300) if (u @ u.T)[i, j] >= least}
+    cells = vectors.Cells(df, "id", "v")
+    visits = vectors.nearest_visits(cells, cells.rows.select("key", "vector"), 5)
+    assert cells.pairs(visits) < 0.6 * 300 * 300
+    assert cells.pairs(cells.visits(cells.rows.select("key", "vector"), least=0.9)) < 0.5 * 300 * 300
+    assert vectors.knn(df.where("false"), "id", "v", 5).count() == 0
+    assert vectors.knn(df, "id", "v", 400).count() == 300 * 300
+
+
 def test_hash_places_are_the_global_order(spark):
     df = spark.range(3000).withColumn("h", sampling.key_hash("s", F.col("id"))).withColumn("late", (F.col("id") % 2).cast("int"))
     got = sampling.placed_by_hash(df, "late", "h", "id").select("late", "h", "id", "place").collect()
