@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions import places, scalar, text
-from attesta.operators import filters
-from attesta.sources.tables import if_small, load
+from attesta.operators import filters, phrases
+from attesta.sources.tables import load
 
 from .registry import query
 
@@ -33,11 +33,26 @@ select d.doc_id, t.term from documents d join t on t.term <> '' and contains(' '
 """,
 )
 def term_dictionary(spark, sf_dir):
-    """Terms of a dictionary that is a table, by a join of word n-grams."""
+    """Terms of a dictionary that is a table."""
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
     first = F.lower(F.regexp_extract("text", r"[\p{L}\p{N}_]+ [\p{L}\p{N}_]+", 0))
-    terms = if_small(load(spark, sf_dir, "benchmark").select(first.alias("term")).where("term <> ''").distinct(), 100)
-    return text.matched_terms(d, "text", terms, "term", 2).select("doc_id", "term")
+    return phrases.dictionary_matches(d, "text", load(spark, sf_dir, "benchmark").select(first.alias("term")), "term").select("doc_id", "term")
+
+
+@query(
+    "term_dictionary_marks",
+    r"""
+with t as (select distinct lower(array_to_string(string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' ')[3:5], ' ')) as term from benchmark),
+d as (select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as text from documents)
+select doc_id, term from d join t on contains(text, term) and term <> '' and regexp_matches(text, '(^|[^\p{L}\p{N}_])' || regexp_escape(term) || '($|[^\p{L}\p{N}_])')
+""",
+)
+def term_dictionary_marks(spark, sf_dir):
+    """Terms with their marks, at the ends of words of the normalised text."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    terms = load(spark, sf_dir, "benchmark").select(F.lower(F.array_join(F.slice(words, 3, 3), " ")).alias("term"))
+    return phrases.dictionary_matches(d, "text", terms, "term", words=False).select("doc_id", "term")
 
 
 @query("word_boundary_match", r"select doc_id from documents where regexp_matches(lower(text), '(^|[^0-9A-Za-z_])mit license([^0-9A-Za-z_]|$)')")
@@ -47,20 +62,33 @@ def word_boundary_match(spark, sf_dir):
 
 @query("quote_grounding", "select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)")
 def quote_grounding(spark, sf_dir):
-    """Benchmark items that are exact parts of documents.
+    """Benchmark items that are exact parts of documents."""
+    b = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return phrases.grounded_quotes(b, d).select(F.col("quote").alias("item_id"), F.col("source").alias("doc_id")).distinct()
 
-    An item's second to fifth word are whole words of any text that holds it:
-    a hash join on 4-word windows, then the exact test.  Items too short for
-    that are few and are tested against every text.
-    """
-    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    b = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), words.alias("w"))
-    d = load(spark, sf_dir, "documents").select("doc_id", "text", words.alias("_w"))
-    long_ = if_small(b.where(F.size("w") >= 6).select("item_id", "item", F.array_join(F.slice("w", 2, 4), " ").alias("key")), 2000)
-    short = if_small(b.where(F.size("w") < 6).select("item_id", "item"), 200)
-    rows = d.where(F.size("_w") >= 4).select("doc_id", "text", F.explode(text.word_grams(4)).alias("key")).join(long_, "key").drop("key")
-    found = rows.where(text.grounded(F.col("item"), F.col("text"))).select("item_id", "doc_id")
-    return found.union(d.crossJoin(short).where(text.grounded(F.col("item"), F.col("text"))).select("item_id", "doc_id")).distinct()
+
+GAP, LETTER = r"[^\p{L}\p{N}_]+", r"[\p{L}\p{N}_]"
+#: Words 4 to 15 of each benchmark item, in lower case, with single blanks.
+QUOTES = rf"select item_id, array_to_string(list_transform(regexp_extract_all(text, '{LETTER}+')[4:15], lambda w: lower(w)), ' ') as said from benchmark"
+
+
+@query(
+    "quote_repair",
+    rf"""
+with q as ({QUOTES}), w as (select item_id, said, regexp_extract_all(said, '{LETTER}+') as words from q),
+r as (select item_id, doc_id, said, text, case when contains(text, said) then said else regexp_extract(text, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(' || array_to_string(words, '{GAP}') || ')(?:$|[^\p{{L}}\p{{N}}_])', 1) end as repaired
+ from w join documents on len(words) >= 3)
+select item_id, doc_id, repaired, strpos(text, repaired) - 1 as start, contains(text, said) as exact from r where repaired <> ''
+""",
+)
+def quote_repair(spark, sf_dir):
+    """Fragments of benchmark items without marks and capitals, in the wording of the documents that hold them."""
+    words = F.slice(F.regexp_extract_all("text", F.lit(LETTER + "+"), 0), 4, 12)
+    b = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array_join(F.transform(words, F.lower), " ").alias("text"))
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    got = phrases.repaired_quotes(b, d)
+    return got.select(F.col("quote").alias("item_id"), F.col("source").alias("doc_id"), "repaired", "start", "exact")
 
 
 @query("normalized_digest", r"select doc_id, sha256(lower(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')))) as digest from documents")
