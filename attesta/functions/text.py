@@ -188,23 +188,23 @@ def cards(html: Column, item: str, date: str, title: str, link: str) -> Column:
     return F.transform(blocks, one)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunks(texts: pd.Series, limits: pd.Series) -> pd.Series:
+def chunked(text: str | None, limit: int) -> list[str]:
     """Parts of at most ``limit`` characters, cut at the last blank of their second
     half, or at the limit where that has none."""
+    text, out, at = text or "", [], 0
+    while at < len(text):
+        end = min(len(text), at + limit)
+        if end < len(text):
+            blank = text.rfind(" ", at + limit // 2, end)
+            end = blank if blank > at else end
+        out.append(text[at:end].strip())
+        at = end
+    return out
+
 
-    def one(text: str | None, limit: int) -> list[str]:
-        text, out, at = text or "", [], 0
-        while at < len(text):
-            end = min(len(text), at + limit)
-            if end < len(text):
-                blank = text.rfind(" ", at + limit // 2, end)
-                end = blank if blank > at else end
-            out.append(text[at:end].strip())
-            at = end
-        return out
-
-    return pd.Series([one(t, int(n)) for t, n in zip(texts, limits)], dtype=object)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def chunks(texts: pd.Series, limits: pd.Series) -> pd.Series:
+    return pd.Series([chunked(t, int(n)) for t, n in zip(texts, limits)], dtype=object)
 
 
 #: Where a source's article is, and how long it is at least.  ``stored``

@@ -210,6 +210,19 @@ def count_checks(videos: DataFrame, inventory: DataFrame, collection: DataFrame,
     return reconcile(checks, row)
 
 
+def batch_health(batches: DataFrame, inventory: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(batch, sampled, classified, saved, open, fault) of every batch.
+
+    inventory is (batch, id, saved), labelled has ids, each once.  fault is the first of: nothing sampled, nothing
+    classified, saved texts without a classification; or null.
+    """
+    rows = inventory.join(labelled.select(F.col("id").alias("_done")), F.col("id") == F.col("_done"), "left")
+    n = rows.groupBy("batch").agg(F.count("*").alias("sampled"), F.count("_done").alias("classified"), F.count_if("saved").alias("saved"), F.count_if(F.col("saved") & F.col("_done").isNull()).alias("open"))
+    got = batches.join(n, "batch", "left").fillna(0, ["sampled", "classified", "saved", "open"])
+    fault = F.when(F.col("sampled") == 0, "nothing sampled").when(F.col("classified") == 0, "nothing classified").when(F.col("open") > 0, "saved but unclassified")
+    return got.withColumn("fault", fault)
+
+
 def week_health(batches: DataFrame, inventory: DataFrame, videos: DataFrame, at: Column) -> DataFrame:
     """(batch, fault, sampled, classified) of the last whole week before ``at``.
 

@@ -6,11 +6,12 @@ import hashlib
 import json
 import random
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import placed
+
 
 def key_hash(seed: str | int, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
@@ -57,21 +58,28 @@ def stratified_hash_sample(df: DataFrame, stratum: list[str], key: str, quota: C
 
 
 def stratified_rng_sample(df: DataFrame, stratum: str, key: str, quota: str, seed: int) -> DataFrame:
-    """The same plan drawn by Python's generator, seeded per stratum by a digest.
+    """The same plan drawn by Python's generator, seeded per stratum by a digest: (stratum, key, selected, probability).
 
-    A stratum's ids meet in one task; use the hash sample where strata are large.
+    What is drawn depends on a stratum's size, quota and seed alone, so places are drawn from
+    these and meet the rows by their rank of the key as text.  A task holds a quota, never a
+    stratum.  The quota is that of the smallest key; a repeated key is a row of its own.
     """
+    rows = df.select(stratum, key, quota).withColumn("_key", F.col(key).cast("string"))
+    rows = placed(rows, F.struct(stratum, "_key"), [], "_at", nulls_first=True)
+    sizes = rows.groupBy(stratum).agg(F.min("_at").alias("_first"), F.count("*").alias("_all"), F.min_by(quota, "_at").alias("_quota"))
+    sizes = sizes.select(F.col(stratum).alias("_of"), F.coalesce(F.col(stratum).cast("string"), F.lit("None")).alias("_name"), "_first", "_all", F.least("_all", F.greatest(F.coalesce("_quota", F.lit(0)), F.lit(0))).cast("long").alias("_take"))
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = str(pdf[stratum].iloc[0])
-        ids = sorted(pdf[key].astype(str))
-        n = min(len(ids), int(pdf[quota].iloc[0]))
-        seeded = hashlib.sha256(json.dumps([seed, name], separators=(",", ":")).encode()).hexdigest()
-        picked = set(random.Random(seeded).sample(ids, n))
-        return pd.DataFrame({stratum: pdf[stratum], key: pdf[key], "selected": pdf[key].astype(str).isin(picked), "probability": n / len(ids)})
-
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(stratum, key, quota).groupBy(stratum).applyInPandas(draw, f"{stratum} {types[stratum]}, {key} {types[key]}, selected boolean, probability double")
+    def draw(batches):
+        for batch in batches:
+            for name, first, size, take in zip(*(batch.column(c).to_pylist() for c in ("_name", "_first", "_all", "_take"))):
+                seeded = hashlib.sha256(json.dumps([seed, name], separators=(",", ":")).encode()).hexdigest()
+                picked = random.Random(seeded).sample(range(size), take)
+                for lo in range(0, take, 65_536):
+                    yield pa.RecordBatch.from_arrays([pa.array([first + i for i in picked[lo : lo + 65_536]], pa.int64())], names=["_picked"])
+
+    drawn = sizes.mapInArrow(draw, "_picked long")
+    rows = rows.join(sizes, F.col(stratum).eqNullSafe(F.col("_of"))).join(drawn, F.col("_at") == F.col("_picked"), "left")
+    return rows.select(stratum, key, F.col("_picked").isNotNull().alias("selected"), (F.col("_take") / F.col("_all")).alias("probability"))
 
 
 def hash_threshold(key: Column, seed: str | int, share: float) -> Column:

@@ -438,11 +438,19 @@ def reconcile_counts(spark, sf_dir):
     return customers.union(orders).union(labels).union(orphans)
 
 
-@query("health_check", "select c_custkey from customer where c_acctbal > 0 and not exists (select 1 from orders where o_custkey = c_custkey)")
+@query(
+    "health_check",
+    """
+with w as (select c_nationkey as batch, c_custkey as id, c_acctbal > 0 as saved, exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P') as labelled from customer),
+b as (select n_nationkey as batch, count(id) as sampled, count(id) filter (where labelled) as classified, count(id) filter (where saved) as saved, count(id) filter (where saved and not labelled) as open from nation left join w on batch = n_nationkey and n_nationkey % 6 <> 5 group by 1)
+select batch, sampled, classified, saved, open, case when sampled = 0 then 'nothing sampled' when classified = 0 then 'nothing classified' when open > 0 then 'saved but unclassified' end as fault from b
+""",
+)
 def health_check(spark, sf_dir):
-    """Saved but unlabelled: expected rows without a counterpart."""
-    c = load(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey")
-    return c.join(load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Batches, sampled items and labels as nations, customers and their open orders; every sixth nation has no sample."""
+    c = load(spark, sf_dir, "customer").where("c_nationkey % 6 <> 5").select(F.col("c_nationkey").alias("batch"), F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("saved"))
+    done = load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id")).distinct()
+    return rollups.batch_health(load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("batch")), c, done)
 
 
 @query(

@@ -74,3 +74,11 @@ def stream_ledger(spark, sf_dir):
     # an event is known by its time: both kinds of one ident have their own
     named = load(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.expr("event_id div 100").alias("ledger"))
     return rows.join(named, ["ledger", "at"]).select("event_id", "outcome", F.round("spent", 6).alias("spent"))
+
+
+@query("stream_numbers", "select user_id, cast(row_number() over (order by min(ts), user_id) as bigint) as number from events group by user_id")
+def stream_numbers(spark, sf_dir):
+    """Numbers of users in order of their first event, as a stream; files whose times overlap are one batch."""
+    check = _checkpoint(spark)
+    streams.numbered_batches(_events(spark, sf_dir, ALL_FILES), f"{check}-numbers", "user_id", "ts", check).awaitTermination()
+    return spark.read.schema("user_id long, number long").parquet(f"{check}-numbers/batch-*")

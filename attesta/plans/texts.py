@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attesta.functions import places, scalar, text
-from attesta.operators import filters, phrases
+from attesta.functions import places, scalar, tables, text
+from attesta.operators import filters, phrases, providers
 from attesta.sources.tables import load
 
 from .registry import query
@@ -184,6 +184,48 @@ def long_text_chunks(spark, sf_dir):
     return d.select("doc_id", F.posexplode(text.chunks("text", F.lit(6000))).alias("part", "chunk")).select("doc_id", "part", F.length("chunk").alias("n_chars"))
 
 
+@query("links_by_function", r"select page_id, unnest(regexp_extract_all(html, '(?i)<(?:a|link)\s[^>]*?href=[\x22\x27]([^\x22\x27]+)', 1)) as link from pages")
+def links_by_function(spark, sf_dir):
+    """``html_links`` through a table function in SQL."""
+    tables.register(spark)
+    return spark.sql("select p.page_id, l.link from {pages} p, lateral page_links(p.html) l", pages=load(spark, sf_dir, "pages"))
+
+
+@query(
+    "page_gaps",
+    """
+with r as (select distinct o_custkey % 50 as source, o_orderkey as page from orders), n as (select source, page, lead(page) over (partition by source order by page) as next from r)
+select source::varchar as source, page as after, next from n where next > page + 1
+""",
+)
+def page_gaps(spark, sf_dir):
+    """Left out numbers within each partition of a TABLE argument."""
+    tables.register(spark)
+    o = load(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).cast("string").alias("source"), F.col("o_orderkey").cast("long").alias("page"))
+    return spark.sql("select * from page_gaps(table(select source, page from {o}) partition by source order by page)", o=o)
+
+
+@query(
+    "provider_labels",
+    """
+with a as (select doc_id, case when regexp_matches(text, '(?i)licen[cs]e') then 'license' when regexp_matches(text, '@') then 'contact' else 'prose' end as kind, doc_id % 7 as r from documents)
+select doc_id, case when r <> 3 then kind end as kind, case when r = 3 then 'pending' when kind = 'contact' and r = 5 or kind = 'prose' and r = 2 then 'rejected' else 'classified' end as status,
+ case when r = 3 then '' else concat_ws(';', case when kind = 'contact' and r = 5 then 'contact of a closed source' end, case when kind = 'prose' and r = 2 then 'answered twice' end) end as errors from a
+""",
+)
+def provider_labels(spark, sf_dir):
+    """Labels of a provider that leaves items out, answers some twice and breaks a rule."""
+    rules = providers.by_rules("kind", "prose", license="(?i)licen[cs]e", contact="@")
+
+    def provider(items):
+        got = rules(items)
+        return got.where("id % 7 <> 3").union(got.where("id % 7 = 2 and kind = 'prose'"))
+
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    got = providers.labelled(d, "doc_id", F.col("text"), provider, {"contact of a closed source": ~((F.col("kind") == "contact") & (F.col("doc_id") % 7 == 5))})
+    return got.select("doc_id", "kind", "status", F.array_join("errors", ";").alias("errors"))
+
+
 @query(
     "excerpt_overlap",
     r"""

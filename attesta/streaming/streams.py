@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from attesta.operators.budgets import UNIT, units
+from attesta.operators.ordered import placed
 from attesta.sources.tables import if_small
 
 
@@ -119,6 +120,33 @@ def insert_batches(df: DataFrame, target: str, key: str, checkpoint: str) -> Str
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def numbered_batches(df: DataFrame, target: str, token: str, order: str, checkpoint: str) -> StreamingQuery:
+    """Running numbers for new tokens: (token, number) in folders of ``target``, one a micro-batch.
+
+    A token keeps its number; new ones of a batch follow the highest number in order of ``order``,
+    ties by token.  A repeated batch, as after a restart, sees only the folders before it and so gives
+    the same numbers again.  Ids are placed by ranges: no task holds a batch.
+    """
+    kind = dict(df.dtypes)[token]
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        schema = f"{token} {kind}, number long"
+        try:
+            old = spark.read.schema(schema).parquet(f"{target}/batch-*").where(F.regexp_extract("_metadata.file_path", r"/batch-(\d{9})/[^/]*$", 1) < f"{number:09d}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            old = spark.createDataFrame([], schema)
+        known = old.select(F.col(token).alias("_known"))
+        fresh = batch.where(F.col(token).isNotNull()).groupBy(token).agg(F.min(order).alias("_order")).join(known, F.col(token) == F.col("_known"), "left_anti")
+        top = old.agg(F.coalesce(F.max("number"), F.lit(0)).alias("_top"))
+        new = placed(fresh, F.col("_order"), [token], "_n").crossJoin(F.broadcast(top))
+        new.select(token, (F.col("_n") + F.col("_top")).cast("long").alias("number")).write.mode("overwrite").parquet(f"{target}/batch-{number:09d}")
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def drained(df: DataFrame, mode: str, checkpoint: str) -> DataFrame:
     """All output of a stream over what is there now, by files beside the checkpoint.
 
