@@ -2,8 +2,8 @@
 
 ``listed`` canonical URLs are dealt into 256-bit blocks (four longs) by one
 hash; four bits of the block, one in each long, come from another.  The filter
-is a DataFrame with one row per block, so building it is one pre-aggregated
-``bit_or`` and probing it a hash join on the block number.  What passes goes to
+is a DataFrame with one row per block, of MOST_BLOCKS at most, so building it is one pre-aggregated
+``bit_or`` and probing it a broadcast join on the block number.  What passes goes to
 an exact join with the list, which removes the false positives.  All other pages
 stay where they were read.
 
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from . import work
 
 BITS_PER_KEY = 16
-BLOCK_BYTES = 64
+#: Blocks of any filter at most: 64 bytes each, so that a filter is always broadcast.
+MOST_BLOCKS = work.BROADCAST_BYTES // 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rules of the query (host, path) and their verdicts.
@@ -43,8 +44,11 @@ def listed_sites() -> list[str]:
 
 
 def n_blocks(keys: int) -> int:
-    """A power of two: 16 bits a key at least, up to 2^24 blocks of 256 bits."""
-    return min(1 << 24, 1 << max(0, (max(keys, 1) * BITS_PER_KEY // 256).bit_length()))
+    """A power of two: 16 bits a key at least, up to MOST_BLOCKS of 256 bits.
+
+    A filter of more keys gets denser and lets more pass, which the exact steps after it remove.
+    """
+    return min(MOST_BLOCKS, 1 << max(0, (max(keys, 1) * BITS_PER_KEY // 256).bit_length()))
 
 
 def _block(h: Column, blocks: int) -> Column:
@@ -71,17 +75,15 @@ def _hit(h: Column) -> Column:
 
 
 def bloom_probe(rows: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
-    """Rows whose hash ``h`` the filter may hold; blocks are broadcast if small."""
+    """Rows whose hash ``h`` the filter may hold; rows are not shuffled, however many keys there are."""
     h, n = F.col("h"), n_blocks(count)
-    small = work.small_or_not(blocks, n, BLOCK_BYTES)
-    return rows.withColumn("block", _block(h, n)).join(small, "block").where(_hit(h)).select(*rows.columns)
+    return rows.withColumn("block", _block(h, n)).join(F.broadcast(blocks), "block").where(_hit(h)).select(*rows.columns)
 
 
 def bloom_flag(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
-    """All rows, with ``maybe`` in place of ``h``: whether the filter may hold it."""
+    """All rows, with ``maybe`` in place of ``h``: whether the filter may hold it.  Rows are not shuffled."""
     h, n = F.col("h"), n_blocks(count)
-    small = work.small_or_not(bloom_blocks(keys, count), n, BLOCK_BYTES)
-    out = rows.withColumn("block", _block(h, n)).join(small, "block", "left")
+    out = rows.withColumn("block", _block(h, n)).join(F.broadcast(bloom_blocks(keys, count)), "block", "left")
     return out.withColumn("maybe", F.coalesce(_hit(h), F.lit(False))).drop("h", "block", "w0", "w1", "w2", "w3")
 
 
