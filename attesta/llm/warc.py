@@ -44,6 +44,8 @@ SAMPLE_PER_RANGE = 64
 #: Sorts records without a page_id last.
 LAST_ID = (1 << 63) - 1
 EPOCH = "2024-01-01 00:00:00"
+#: Seconds that made-up capture times span, ranges that the driver has bounds of, and the numbers that each may be cut into.
+SPAN, FIRST_RANGES, RANGE_STEP = 315_576_000, 256, 1 << 32
 LEVEL = 2
 
 
@@ -144,6 +146,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 INDEX = "url_key string, ts string, page_id long, file string, offset long, size long"
+_KEY = pa.struct([("url_key", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64())])
 _INDEX_NAMES = ("url_key", "ts", "page_id", "file", "offset", "size")
 
 
@@ -189,8 +192,14 @@ def _write(folder: str):
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
-    """Writes WARC files; returns the index entries of all runs, run by run."""
-    ts = F.col("capture_ts") if "capture_ts" in pages.columns else F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH)) + F.coalesce("page_id", F.lit(0)))
+    """Writes WARC files; returns the index entries of all runs, run by run.
+
+    A column ``capture_ts`` that is a time stamp is the capture time; one of another type is any
+    column.  Else, and where it is null, the time follows from page_id, within SPAN seconds of EPOCH.
+    """
+    ts = F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH)) + F.coalesce(F.pmod("page_id", F.lit(SPAN)), F.lit(0)))
+    if dict(pages.dtypes).get("capture_ts") in ("timestamp", "timestamp_ntz"):
+        ts = F.coalesce(F.col("capture_ts").cast("timestamp"), ts)
     rows = pages.select(
         "page_id",
         F.coalesce("url", F.lit("")).alias("url"),
@@ -241,19 +250,60 @@ def _one_response(rows: DataFrame, order: Column) -> DataFrame:
     return plain.select(*_RECORD).unionByName(leads.select(*_RECORD))
 
 
-def _bounds(entries: DataFrame, n: int) -> list[tuple]:
-    """Range bounds of the composite key at quantiles of a sample that grows with
-    the ranges, SAMPLE_PER_RANGE keys each.  File and offset make keys distinct,
-    so equal captures can be cut as well."""
-    ranges = -(-n // ENTRIES_PER_RANGE)
-    if ranges <= 1:
-        return []
-    share = min(1.0, SAMPLE_PER_RANGE / ENTRIES_PER_RANGE)
-    rows = entries.select("url_key", "ts", F.coalesce("page_id", F.lit(LAST_ID)).alias("page_id"), "file", "offset").sample(share, 7).collect()
-    keys = sorted({tuple(r) for r in rows})
+def _sample(entries: DataFrame, ranges: int) -> DataFrame:
+    """Composite keys, SAMPLE_PER_RANGE a range or so.  File and offset make keys distinct, so equal captures can be cut as well."""
+    share = min(1.0, SAMPLE_PER_RANGE * ranges / max(1, entries.count()))
+    return entries.select("url_key", "ts", F.coalesce("page_id", F.lit(LAST_ID)).alias("page_id"), "file", "offset").sample(share, 7)
+
+
+def _quantiles(keys: list[tuple], ranges: int) -> list[tuple]:
+    keys = sorted(set(keys))
     return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
 
 
+def _bounds(entries: DataFrame, ranges: int) -> list[tuple]:
+    """Bounds of FIRST_RANGES ranges at most, of a sample that is bounded with them."""
+    ranges = min(ranges, FIRST_RANGES)
+    return _quantiles([tuple(r) for r in _sample(entries, ranges).collect()], ranges) if ranges > 1 else []
+
+
+def _own_bounds(entries: DataFrame, bounds: list[tuple], ranges: int) -> DataFrame:
+    """(range, bounds): each first range's own bounds, of the sample that falls into it; no machine sees those of all."""
+    each = -(-ranges // FIRST_RANGES)
+    kind = "array<struct<url_key:string,ts:string,page_id:long,file:string,offset:long>>"
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = _quantiles(list(zip(*(table.column(c).to_pylist() for c in _INDEX_NAMES[:5]))), each)
+        listed = [dict(zip(_INDEX_NAMES[:5], k)) for k in keys]
+        return pa.table({"range": table.column("range").slice(0, 1), "bounds": pa.array([listed], pa.list_(_KEY))})
+
+    def deal(batches):
+        for batch in batches:
+            keys = zip(*(c.to_pylist() for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([bisect.bisect_right(bounds, k) for k in keys], pa.int64())], [*_INDEX_NAMES[:5], "range"])
+
+    told = _sample(entries, ranges).mapInArrow(work.tidy(deal), "url_key string, ts string, page_id long, file string, offset long, range long")
+    return told.groupBy("range").applyInArrow(run, f"range long, bounds {kind}")
+
+
+def _deal_again(batches):
+    """Cuts pieces of first ranges by these ranges' own bounds, each still in order; ranges are numbered within RANGE_STEP."""
+    for batch in batches:
+        out: list[tuple] = []
+        cols = [batch.column(c).to_pylist() for c in ("range", "run", "bounds", *_INDEX_NAMES)]
+        for first, run, bounds, *lists in zip(*cols):
+            bounds = [tuple(b.values()) for b in bounds or ()]
+            rows = list(zip(*lists))
+            keys = [(k, t, LAST_ID if p is None else p, f, o) for k, t, p, f, o, _ in rows]
+            cuts = [0, *(bisect.bisect_left(keys, b) for b in bounds), len(rows)]
+            for n, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                if lo < hi:
+                    out.append((first * RANGE_STEP + n, f"{run}-{n}", *(list(c) for c in zip(*rows[lo:hi]))))
+        types = (pa.int64(), pa.string(), *(pa.list_(t) for t in (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())))
+        cols = list(zip(*out)) if out else [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["range", "run", *_INDEX_NAMES])
+
+
 def _deal(bounds: list[tuple]):
     """Cuts runs into range pieces (range, run, entries), each still in order."""
 
@@ -294,9 +344,17 @@ def _merge(table: pa.Table) -> pa.Table:
 
 
 def merge_index(entries: DataFrame) -> DataFrame:
-    """Globally ordered capture histories: order by (range, position)."""
-    bounds = _bounds(entries, entries.count())
-    pieces = entries.mapInArrow(work.tidy(_deal(bounds)), "range long, run string, url_key array<string>, ts array<string>, page_id array<long>, file array<string>, offset array<long>, size array<long>")
+    """Globally ordered capture histories: order by (range, position).
+
+    Over FIRST_RANGES ranges, runs are cut twice: by bounds that the driver knows, and by each of these ranges' own.
+    """
+    ranges = -(-entries.count() // ENTRIES_PER_RANGE)
+    bounds = _bounds(entries, ranges)
+    schema = "range long, run string, url_key array<string>, ts array<string>, page_id array<long>, file array<string>, offset array<long>, size array<long>"
+    pieces = entries.mapInArrow(work.tidy(_deal(bounds)), schema)
+    if ranges > FIRST_RANGES:
+        own = work.cut(_own_bounds(entries, bounds, ranges), "bounds")
+        pieces = pieces.join(own, "range", "left").mapInArrow(work.tidy(_deal_again), schema)
     return pieces.groupBy("range").applyInArrow(_merge, INDEX + ", range long, position long")
 
 
