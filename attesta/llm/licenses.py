@@ -11,7 +11,9 @@ is compared once.  Each is a sparse vector of lower-case word weights
 ``tf * idf`` (idf over all lines, or all blocks and whole texts, counted with
 their repetitions, and the templates); dot products are one join on words.  A
 cosine of MIN_COSINE to a notice, or MIN_TEXT to a full text, declares that
-license, ties to the smaller license name.
+license, ties to the smaller license name.  Telling terms (TWINS) give near twins
+of a full text, as AGPL-3.0 of GPL-3.0 or BSD-2-Clause of BSD-3-Clause, their own
+name; a Creative Commons notice of parts that no template has declares nothing.
 
 A file whose parts declare a license has it itself; of several, a full text
 that the whole file is goes first, then the best cosine, then the smaller name.
@@ -104,10 +106,11 @@ def _key(text: Column) -> Column:
 
 def header_lines(files: DataFrame) -> DataFrame:
     """(file, at, line, text, n_words, line_words) of every line with a word of licensing; line is a hash."""
-    lines = files.where(_worded(F.col("text"))).select("file", "text", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.where(_worded(F.col("line")))
     count = lambda c: F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+"))
-    return lines.select("file", "at", _key(F.col("line")).alias("line"), F.col("line").alias("text"), count(F.col("text")).alias("n_words"), count(F.col("line")).alias("line_words"))
+    # words of the whole text are counted once, not for each line, and the text is not copied to its lines
+    own = files.where(_worded(F.col("text"))).select("file", count(F.col("text")).alias("n_words"), F.split("text", "\n").alias("lines"))
+    lines = own.select("file", "n_words", F.posexplode("lines").alias("at", "line")).where(_worded(F.col("line")))
+    return lines.select("file", "at", _key(F.col("line")).alias("line"), F.col("line").alias("text"), "n_words", count(F.col("line")).alias("line_words"))
 
 
 def blocks(files: DataFrame) -> DataFrame:
@@ -141,10 +144,35 @@ def match_lines(lines: DataFrame, templates: DataFrame) -> DataFrame:
     dot = a.join(b, "term").groupBy("line", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     cos = dot.join(norm_a, "line").join(norm_b, "template").select("line", "template", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 9).alias("cosine"))
     near = cos.where(F.col("cosine") >= F.when(F.col("template.full"), MIN_TEXT).otherwise(MIN_COSINE))
-    best = near.groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("back"), F.col("template.license").alias("license"), F.col("template.full").alias("full"))).alias("m"))
+    told = near.join(lines.select("line", "text"), "line").select("line", "cosine", F.col("template.full").alias("full"), twin(F.col("template.license"), F.col("text"), F.col("template.full")).alias("license"))
+    best = told.where("license is not null").groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("back"), "license", "full")).alias("m"))
     return best.select("line", F.col("m.license").alias("license"), (-F.col("m.back")).alias("cosine"), F.col("m.full").alias("full"))
 
 
+#: Terms that tell a license from its near twins, as (license, twin, pattern, least, most).  A
+#: text that is near the license's full text but has the pattern fewer or more times is the twin.
+TWINS = (
+    ("GPL-3.0", "AGPL-3.0", r"affero", 0, 8),
+    ("GPL-2.0", "LGPL-2.0", r"gnu\s+(?:library|lesser)\s+general\s+public", 0, 6),
+    ("BSD-3-Clause", "BSD-4-Clause", r"advertising\s+materials\s+mentioning", 0, 0),
+    ("BSD-3-Clause", "BSD-2-Clause", r"endorse\s+or\s+promote", 1, 99),
+    ("MIT", "MIT-0", r"permission\s+notice(?:\s+\([^)]*\))?\s+shall\s+be\s+included", 1, 99),
+    ("ISC", "0BSD", r"permission\s+notice\s+appear\s+in\s+all\s+copies", 1, 99),
+)
+
+
+def twin(license_: Column, text: Column, full: Column) -> Column:
+    """The name that a text's telling terms leave of a match; null where a notice tells of a license without template."""
+    low, out = F.lower(text), license_
+    for name, other, pattern, least, most in reversed(TWINS):
+        out = F.when(full & (license_ == name) & ~F.regexp_count(low, F.lit(pattern)).between(least, most), other).otherwise(out)
+    # what stands behind a Creative Commons "by" has to be what the template has
+    said = F.regexp_extract(low, r"\bcc[\s-]+by((?:-(?:nc|sa|nd))*)\b", 1)
+    named = F.upper(F.concat(F.lit("CC-BY"), said))
+    cc = ~full & license_.startswith("CC-BY") & low.rlike(r"\bcc[\s-]+by\b")
+    return F.when(cc & (F.regexp_replace(license_, "-[0-9.]+$", "") != named), None).otherwise(out)
+
+
 def ancestors(directory: Column) -> Column:
     """The directory and its ancestors, nearest first; empty for null."""
     parts = F.split(directory, "/")
