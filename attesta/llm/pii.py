@@ -76,26 +76,62 @@ FOR = {"iban": r"\b(?:iban|account|bank|konto|compte|cuenta)\b", "national_phone
 AGAINST = r"\b(?:order|invoice|isbn|serial|version|ticket|bestellung|commande|pedido)\b"
 SCORE = {"iban": 0.9, "national_phone": 0.3}
 STEP, LEAST, BEFORE, AFTER = 0.4, 0.6, 40, 20
+#: Elements that a fold gathers in one list, and code points of a piece of a text.
+GROUP, PIECE = 256, 4096
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def grouped(items: Column) -> Column:
+    """An array as arrays of GROUP of its elements, so that a fold copies short lists only."""
+    last = F.floor((F.size(items) - 1) / GROUP).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), last), lambda g: F.slice(items, g * GROUP + 1, F.lit(GROUP)))
+    return F.when(F.size(items) > 0, groups).otherwise(F.array())
 
 
 def matches(text: Column, kind: str) -> Column:
-    """array<struct<start,end,match>> of a kind's matches, in code points."""
+    """array<struct<start,end,match>> of a kind's matches, in code points; work is linear in text and matches."""
     pattern, gap = PATTERNS[kind]
     gap = gap.replace("{p}", pattern)
     both = F.regexp_extract_all(text, F.lit(rf"\G({gap})({pattern})"), 0)
     whole = F.transform(both, lambda e: F.struct(F.char_length(e).alias("size"), F.regexp_extract(e, rf"^(?:{gap})({pattern})$", 1).alias("match")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
 
     def add(acc: Column, e: Column) -> Column:
         end = acc["at"] + e["size"]
         span = F.struct((end - F.char_length(e["match"])).alias("start"), end.alias("end"), e["match"].alias("match"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    found = F.aggregate(whole, zero, add, lambda acc: acc["out"])
+    def told(group: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+        return F.aggregate(group, zero, add, lambda acc: acc["out"])
+
+    def starts(groups: Column) -> Column:
+        sizes = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda n, e: n + e["size"]))
+        return F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    spans_of = lambda groups: F.flatten(F.zip_with(groups, F.slice(starts(groups), F.lit(1), F.size(groups)), told))
+    found = bound(whole, lambda w: F.when(F.size(w) > 0, bound(grouped(w), spans_of)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>")))
     need = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9]")
     return F.when(need, found).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
 
 
+def pieces(text: Column) -> Column:
+    """A text in pieces of PIECE code points: parts of it are found without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), 0)
+
+
+def part(parts: Column, start: Column, end: Column) -> Column:
+    """The code points from start to before end of the text that ``pieces`` are of."""
+    i, j = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    piece = lambda n: F.coalesce(F.get(parts, n), F.lit(""))
+    same = F.substring(piece(i), start - i * PIECE + 1, end - start)
+    between = F.array_join(F.slice(parts, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+    return F.when(end <= start, "").when(i == j, same).otherwise(F.concat(F.substring(piece(i), start - i * PIECE + 1, F.lit(PIECE)), between, F.substring(piece(j), F.lit(1), end - j * PIECE)))
+
+
 def digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
@@ -132,10 +168,10 @@ def _valid(kind: str, m: Column) -> Column:
     return {"email": F.lit(True), "ip": octets_fit(m), "card": luhn(m), "phone": n.between(9, 15), "iban": mod97(m), "national_phone": n.between(9, 11)}[kind]
 
 
-def score(text: Column, span: Column, kind: str) -> Column:
-    """Base score of an added kind, moved by the words around the match."""
+def score(parts: Column, span: Column, kind: str) -> Column:
+    """Base score of an added kind, moved by the words around the match in a text's pieces."""
     lo = F.greatest(span["start"] - BEFORE, F.lit(0))
-    near = F.lower(F.concat(F.substring(text, lo + 1, span["start"] - lo), F.lit("\n"), F.substring(text, span["end"] + 1, F.lit(AFTER))))
+    near = F.lower(F.concat(part(parts, lo, span["start"]), F.lit("\n"), part(parts, span["end"], span["end"] + AFTER)))
     return F.lit(SCORE[kind]) + F.when(near.rlike(FOR[kind]), STEP).otherwise(0.0) - F.when(near.rlike(AGAINST), STEP).otherwise(0.0)
 
 
@@ -144,7 +180,8 @@ def spans(text: Column, kind: str) -> Column:
     found = F.filter(matches(text, kind), lambda s: _valid(kind, s["match"]))
     if kind in BASE:
         return found
-    return F.filter(found, lambda s: score(text, s, kind) >= LEAST)
+    near = lambda f: F.when(F.size(f) > 0, bound(pieces(text), lambda p: F.filter(f, lambda s: score(p, s, kind) >= LEAST))).otherwise(f)
+    return bound(found, near)
 
 
 def free_prefix(docs: DataFrame) -> str:
@@ -190,14 +227,27 @@ def redact(docs: DataFrame) -> DataFrame:
     typed = [F.transform(F.col(f"{prefix}{k}"), marked_as(i, k)) for i, k in enumerate(PATTERNS)]
     body = F.coalesce(F.col("text"), F.lit(""))
     ordered = F.array_sort(F.concat(*typed))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def add(acc: Column, s: Column) -> Column:
-        end = F.greatest(acc["at"], -s["back"])
-        fresh = F.concat(acc["out"], F.array(F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), s["mark"]))
-        return F.struct(end.alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+    def add(parts: Column):
+        def one(acc: Column, s: Column) -> Column:
+            end = F.greatest(acc["at"], -s["back"])
+            fresh = F.concat(acc["out"], F.array(part(parts, acc["at"], s["start"]), s["mark"]))
+            return F.struct(end.alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+
+        return one
+
+    def told(parts: Column) -> Column:
+        none = F.array().cast("array<string>")
+
+        def group(acc: Column, g: Column) -> Column:
+            inner = F.aggregate(g, F.struct(acc["at"].alias("at"), none.alias("out")), add(parts), lambda x: F.struct(x["at"].alias("at"), F.array(F.array_join(x["out"], "")).alias("out")))
+            return bound(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        rest = lambda acc: F.concat(F.array_join(acc["out"], ""), part(parts, acc["at"], F.char_length(body)))
+        return bound(ordered, lambda o: F.aggregate(grouped(o), start, group, rest))
 
-    text = F.aggregate(ordered, zero, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.char_length(body))))
+    text = bound(pieces(body), told)
     marked = with_spans(docs, prefix=prefix)
     any_ = sum((F.size(f"{prefix}{k}") for k in PATTERNS), F.lit(0)) > 0
     return marked.withColumn("text", F.when(any_, text).otherwise(F.col("text"))).select(cols)
