@@ -1,12 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
 
 Words are the runs of letters, digits and marks of any script, in lower case.
-Seeds are the distinct 4-word windows of the items (all words, for shorter
-items).  One scan of the documents tests every window against a bit map of the
+Seeds are the rare ones of the distinct 4-word windows of the items (all words,
+for shorter items): those of at most ``MOST_ITEMS`` items, and of each item the
+``RAREST`` that fewest items have, whatever their number.  So a phrase that all items of
+a benchmark share nominates no pairs, and an item of such phrases alone is
+found by them.  How frequent a window is in the documents plays no part: what
+is found in a document does not depend on other documents.  One scan of the documents tests every window against a bit map of the
 seeds, sized by their number, and writes the stretches of words around the
-hits.  A join with the seeds makes (passage, item) candidates: every seed
-nominates, however frequent, so what is found in a document does not depend on
-other documents.  A candidate whose words, counted with repetitions, have too
+hits.  A join with the seeds makes (passage, item) candidates.  A candidate whose words, counted with repetitions, have too
 few in common with the item for the least score is out before alignment, which
 loses nothing, as a score is at most twice the matched words.  Each other
 candidate is aligned with the item by Smith-Waterman over words (match 2,
@@ -26,7 +28,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel, work
@@ -34,6 +36,8 @@ from . import kernel, work
 GRAM = 4
 #: Bits of the seed map for each seed, and the most and least there are of them.
 BITS_PER_SEED, MIN_BITS, MAX_BITS = 16, 1 << 20, 1 << 28
+#: Items that a rare seed is in at most, and seeds of an item that are used however many items they are in.
+MOST_ITEMS, RAREST = 32, 8
 MIN_SCORE = 0.5
 MIN_WORDS = 4
 #: Words around a hit, as a multiple of the longest item.
@@ -276,12 +280,20 @@ def _align(batches):
         yield out
 
 
-def contained(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score, matched_words, item_words, last_word) of items found."""
+def rare_seeds(items: DataFrame) -> DataFrame:
+    """(item_id, gram) of the seeds that nominate, by the number of items that have them."""
+    seeds = items.select("item_id", F.explode("grams").alias("gram")).distinct()
+    n = seeds.groupBy("gram").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("item_id").orderBy("n", "gram"))
+    return seeds.join(n, "gram").withColumn("nth", nth).where((F.col("n") <= MOST_ITEMS) | (F.col("nth") <= RAREST)).select("item_id", "gram")
+
+
+def nominated(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """(doc_id, item_id, size, first, words, item_words) of the passages and items that are aligned."""
     spark = docs.sparkSession
     items = work.cut(bench.select("item_id", "text").where("item_id is not null").mapInArrow(work.tidy(_item_rows), "item_id long, size long, words binary, grams array<long>").where("size > 0"), "items")
     facts = items.agg(F.count("*").alias("n"), F.coalesce(F.max("size"), F.lit(1)).alias("top"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()
-    seeds = items.select("item_id", F.explode("grams").alias("gram"))
+    seeds = work.cut(rare_seeds(items), "seeds")
     size = bits_for(facts["total"])
     short = [r[0] for r in items.where(F.col("size") < GRAM).select("size").distinct().collect()]
     bits = spark.sparkContext.broadcast(seed_map(seeds, size))
@@ -293,7 +305,12 @@ def contained(docs: DataFrame, bench: DataFrame) -> DataFrame:
     pairs = near.join(passages.select("doc_id", "first", "words"), ["doc_id", "first"]).join(
         work.small_or_not(items.select("item_id", "size", F.col("words").alias("item_words")), facts["total"], 16), "item_id"
     )
-    got = pairs.select("doc_id", "item_id", "size", "first", "words", "item_words").mapInArrow(work.tidy(_align), "doc_id long, item_id long, size long, first long, score long, matched long, end long")
+    return pairs.select("doc_id", "item_id", "size", "first", "words", "item_words")
+
+
+def contained(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """(doc_id, item_id, score, matched_words, item_words, last_word) of items found."""
+    got = nominated(docs, bench).mapInArrow(work.tidy(_align), "doc_id long, item_id long, size long, first long, score long, matched long, end long")
     got = got.where((F.col("score") >= 2 * MIN_SCORE * F.col("size")) & (F.col("matched") >= F.least(F.lit(MIN_WORDS), "size")))
     best = got.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("first")).alias("back"), "size", "matched", "end")).alias("m"))
     return best.select("doc_id", "item_id", (F.col("m.score") / (2 * F.col("m.size"))).alias("score"), F.col("m.matched").alias("matched_words"), F.col("m.size").alias("item_words"), (F.col("m.end") - F.col("m.back")).alias("last_word"))

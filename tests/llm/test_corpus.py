@@ -61,6 +61,18 @@ def test_leaks_are_caught_and_clean_texts_left(spark):
     assert decontaminate.contained(df.where("false"), bench).count() == 0
 
 
+def test_a_phrase_of_all_items_nominates_no_pairs(spark):
+    rng = random.Random(8)
+    said = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    items = [(i, "which of the following is " + said(25)) for i in range(400)]
+    alike = [(1000 + i, "please answer the question below with one word") for i in range(50)]
+    docs = [(i, said(60) + " which of the following is " + said(60)) for i in range(400)] + [(500 + i, said(30) + " " + items[i][1] + " " + said(30)) for i in range(20)] + [(600, alike[0][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + alike, "item_id long, text string")
+    assert decontaminate.nominated(d, b).count() < 2000
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contained(d, b).collect()}
+    assert got == {(500 + i, i) for i in range(20)} | {(600, i) for i, _ in alike}
+
+
 def test_edited_copies_of_one_kind_are_all_caught(spark):
     item = [f"w{i}" for i in range(40)]
     edited = [f"x{i}" if i in (4, 12, 20, 28, 36) else w for i, w in enumerate(item)]
@@ -76,8 +88,10 @@ def test_loser_tree_merges(seed):
     assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
 
 
-def test_archive_round_trip(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("first_ranges", [256, 3])
+def test_archive_round_trip(spark, tmp_path, monkeypatch, first_ranges):
     monkeypatch.setattr(warc, "ENTRIES_PER_RANGE", 7)
+    monkeypatch.setattr(warc, "FIRST_RANGES", first_ranges)
     monkeypatch.setattr(warc, "FILE_BYTES", 3000)
     rows = [(i, f"http://{'ab'[i % 2]}.example.com/{i % 3}", "same" if i % 3 == 0 else f"<p>é\r\n\r\n{i}</p>" * (i + 1)) for i in range(40)]
     rows += [(50, None, None), (51, "", ""), (52, "not a url\n", "x" * 100_000), (53, "http://[bad", None)]
@@ -96,6 +110,30 @@ def test_archive_round_trip(spark, tmp_path, monkeypatch):
     assert keys == sorted(keys) and len({r.range for r in got}) > 2
 
 
+def test_archives_of_any_ids_and_capture_times(spark, tmp_path):
+    ids = [4611686018427387904, 5_000_000_000_000, -(1 << 62), 7, None]
+    rows = [(i, "http://a.example.com/", f"page {i}", "n/a", n) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, capture_ts string, n int")
+    got = {r.page_id: r.capture_ts for r in warc.archive(df, f"file://{tmp_path}/a").collect()}
+    assert got.keys() == set(ids) and all(re.fullmatch(r"20[23][0-9]-[0-9]{2}-[0-9]{2}T[0-9:]{8}Z", t) for t in got.values())
+    stamped = df.withColumn("capture_ts", F.when(F.col("n") == 3, F.lit("2020-02-03 04:05:06").cast("timestamp")))
+    times = {r.page_id: r.capture_ts for r in warc.archive(stamped, f"file://{tmp_path}/b").collect()}
+    assert times == got | {7: "2020-02-03T04:05:06Z"}
+    assert warc.archive(df.withColumn("capture_ts", F.col("n")), f"file://{tmp_path}/c").count() == 5
+
+
+def test_filters_of_any_size_shuffle_no_rows(spark):
+    keys = spark.range(50).select(F.xxhash64("id").alias("h"))
+    rows = spark.range(0, 100, 1, 3).select("id", F.xxhash64("id").alias("h"), F.lit("text").alias("text"))
+    for count in (50, 3_000_000, 1 << 40):
+        assert urls.n_blocks(count) * 64 <= work.BROADCAST_BYTES
+        flagged = urls.bloom_flag(rows, keys, count)
+        assert set(range(50)) <= {r.id for r in flagged.where("maybe").collect()} and flagged.count() == 100
+        for got in (flagged, urls.bloom_probe(rows, urls.bloom_blocks(keys, count), count)):
+            plan = got._jdf.queryExecution().sparkPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_archives_below_the_minimum_and_empty_tables(spark, tmp_path):
     df = spark.createDataFrame([(2, "u", "aa"), (1, "u", "aa"), (3, "u", "long one"), (4, "u", "long one")], "page_id long, url string, html string")
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive(df, f"file://{tmp_path}/a", 5).collect()}
@@ -103,6 +141,30 @@ def test_archives_below_the_minimum_and_empty_tables(spark, tmp_path):
     assert warc.archive(df.where("false"), f"file://{tmp_path}/b").count() == 0
 
 
+def test_near_twins_of_full_texts_have_their_own_names(spark):
+    text = dict(licenses.full_texts())
+    third = re.compile(r"(?s)(?:3\.|\*|-)?\s*Neither the name.*?prior written permission\.\s*")
+    bsd2 = third.sub("", text["BSD-3-Clause"])
+    assert "endorse" not in bsd2
+    rows = [
+        (1, "a/LICENSE", text["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL").replace("GNU General", "GNU Affero General"), "AGPL-3.0"),
+        (2, "b/LICENSE", bsd2, "BSD-2-Clause"),
+        (3, "c/LICENSE", re.sub(r"(?s)subject to the following\s+conditions:.*?shall be included in all\s+copies or substantial portions of the Software\.", "", text["MIT"]), "MIT-0"),
+        (4, "a/x.c", "int main", "AGPL-3.0"),
+        (5, "d/x.py", "# Licensed under CC BY-NC-ND 4.0", None),
+        (6, "e/x.py", "# Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"),
+        *((10 + i, f"{n}/LICENSE", t, n) for i, (n, t) in enumerate(text.items())),
+    ]
+    got = {r.file: r.license for r in licenses.scan(spark.createDataFrame([r[:3] for r in rows], "file long, path string, text string")).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
+def test_texts_of_many_license_lines(spark):
+    text = "\n".join(f"# License line {i} of the MIT License" for i in range(20_000))
+    lines = licenses.header_lines(spark.createDataFrame([(1, text)], "file long, text string"))
+    assert lines.agg(F.count("*"), F.min("n_words"), F.max("n_words"), F.min("line_words")).first() == (20_000, 160_000, 160_000, 8)
+
+
 def test_full_texts_and_wrapped_headers(spark):
     text = dict(licenses.full_texts())
     mit = text["MIT"].replace("[year] [fullname]", "2024 A Person")

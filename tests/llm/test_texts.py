@@ -172,6 +172,28 @@ def test_redaction(spark):
     assert {r.doc_id: r.text for r in got.collect()} == {1: "mail [EMAIL] or [PHONE] 🙂 [CARD].", 2: None, 3: "none"}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_many_matches_in_groups_and_pieces(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    bits = ["a@b.com", "ü", "x", "10.0.0.1", "4111 1111 1111 1111", "+1 743 555 3824", "iban DE89370400440532013000", "tel 030 1234 5678", "order 030 1234 5678", "🙂", " ", "\n", "word " * 9]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", ", "]) for _ in range(rng.choice([0, 1, 40, 200]))) for _ in range(30)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    want = {r.doc_id: r for r in pii.report(df).collect()}
+    cut = {}
+    for i, t in enumerate(texts):
+        ends, out = 0, []
+        for kind, a, b in sorted((x.split(":") for x in want[i].spans.split(",") if x), key=lambda x: (int(x[1]), -int(x[2]), list(pii.PATTERNS).index(x[0]))):
+            if int(a) >= ends:
+                out += [t[ends : int(a)], f"[{kind.upper()}]"]
+            ends = max(ends, int(b))
+        cut[i] = "".join(out) + t[ends:]
+    for group, piece in ((256, 4096), (3, 16)):
+        monkeypatch.setattr(pii, "GROUP", group)
+        monkeypatch.setattr(pii, "PIECE", piece)
+        assert {r.doc_id: r for r in pii.report(df).collect()} == want
+        assert {r.doc_id: r.text for r in pii.redact(df).collect()} == cut | {99: None}
+
+
 def test_lines_and_words_of_a_simple_pattern_are_told_apart(spark):
     """Thue-Morse lines and their complements have equal sums of powers modulo 2^64."""
     line = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
