@@ -21,37 +21,45 @@ AUTOMATON_BYTES, AUTOMATA, MAP_BITS, WINDOW, LOOKUPS = 8 << 20, 16, 1 << 26, 3,
 WORD = re.compile(r"\w+")
 
 
-def _automaton(terms: list[str]):
-    """The automaton of the terms; compiled once a worker."""
+def _normal(text: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
+
+
+def _automaton(terms: list[str], as_written=str):
+    """The automaton of the terms' forms, or None without any; compiled once a worker."""
     import ahocorasick
 
     kept = sys.__dict__.setdefault("_attesta_automata", {})
-    name = hashlib.sha256("\n".join(terms).encode()).hexdigest()
+    name = as_written.__name__ + hashlib.sha256("\n".join(terms).encode()).hexdigest()
     if name not in kept:
         kept.clear()
         made = ahocorasick.Automaton()
+        said: dict[str, list[str]] = {}
         for t in terms:
-            made.add_word(t, t)
+            said.setdefault(as_written(t), []).append(t)
+        for key, own in said.items():
+            if key:
+                made.add_word(key, (key, own))
         made.make_automaton()
-        kept[name] = made
+        kept[name] = made if len(made) else None
     return kept[name]
 
 
 def _held(text: str, terms, words: bool) -> set[str]:
     """Terms of the automaton that a text holds."""
     if words:
-        return {t[1:-1] for _, t in terms.iter(f" {' '.join(WORD.findall(text.lower()))} ")}
-    text = " ".join(unicodedata.normalize("NFKC", text).casefold().split())
+        return {key[1:-1] for _, (key, _) in terms.iter(f" {' '.join(WORD.findall(text.lower()))} ")}
+    text = _normal(text)
     inside = lambda i: 0 <= i < len(text) and WORD.match(text[i]) is not None
-    return {t for end, t in terms.iter(text) if not inside(end + 1) and not inside(end - len(t))}
+    return {t for end, (key, own) in terms.iter(text) if not inside(end + 1) and not inside(end - len(key)) for t in own}
 
 
 def dictionary_matches(docs: DataFrame, text: str, terms: DataFrame, term: str, words: bool = True) -> DataFrame:
     """Documents joined with the terms of a table that they hold, each once.
 
     With ``words``, terms are lower-case words with single blanks, and are held where these words follow
-    each other with any marks between.  Without, terms are normalised strings (see ``text.normalized``),
-    held by the normalised text where no word goes on at either end.  Terms have any length and script; null and empty ones are in no text.
+    each other with any marks between.  Without, terms are any strings,
+    held where the normalised text (see ``text.normalized``) has their normalised form and no word goes on at either end.  Terms have any length and script; null and empty ones are in no text.
 
     The terms' automaton goes to the texts, which are not shuffled.  A dictionary of over AUTOMATON_BYTES is
     parted by first letters, an automaton and a pass over the texts each; one of words of over AUTOMATA such parts joins n-grams.
@@ -70,7 +78,7 @@ def dictionary_matches(docs: DataFrame, text: str, terms: DataFrame, term: str,
         listed = sorted(f" {r[0]} " if words else r[0] for r in mine.collect())
 
         def run(batches, listed=listed):
-            made = _automaton(listed) if listed else None
+            made = _automaton(listed, str if words else _normal)
             for batch in batches:
                 row, found = [], []
                 for i, t in enumerate(batch.column(text).to_pylist() if made else []):
@@ -231,11 +239,11 @@ def _short(quotes: DataFrame, sources: DataFrame) -> DataFrame:
         listed = sorted(r[0] for r in texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == n).collect())
 
         def run(batches, listed=listed):
-            made = _automaton(listed) if listed else None
+            made = _automaton(listed)
             for batch in batches:
                 row, found = [], []
                 for i, t in enumerate(batch.column("text").to_pylist() if made else []):
-                    held = sorted({x for _, x in made.iter(t)})
+                    held = sorted({x for _, (x, _) in made.iter(t)})
                     row += [i] * len(held)
                     found += held
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row, pa.int64())), pa.array(found, pa.string())], names=["source", "said"])

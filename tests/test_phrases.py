@@ -63,7 +63,7 @@ def test_dictionaries(spark, monkeypatch, parts):
 
 
 def test_terms_with_marks(spark):
-    docs = spark.createDataFrame([(1, "The U.K.  and\nthe ＵＫ"), (2, "funk, ok"), (3, "c++ and c"), (4, None)], "id int, text string")
-    table = spark.createDataFrame([("u.k.",), ("uk",), ("c++",), ("c",), ("and the",), ("unk",)], "term string")
+    docs = spark.createDataFrame([(1, "The U.K.  and\nthe ＵＫ"), (2, "funk, ok"), (3, "c++ and c"), (4, None), (5, "Die Straße.")], "id int, text string")
+    table = spark.createDataFrame([("u.k.",), ("uk",), ("c++",), ("c",), ("and the",), ("unk",), ("STRASSE",), ("straße",)], "term string")
     got = {(r.id, r.term) for r in phrases.dictionary_matches(docs, "text", table, "term", words=False).collect()}
-    assert got == {(1, "u.k."), (1, "uk"), (1, "and the"), (3, "c++"), (3, "c")}
+    assert got == {(1, "u.k."), (1, "uk"), (1, "and the"), (3, "c++"), (3, "c"), (5, "STRASSE"), (5, "straße")}
