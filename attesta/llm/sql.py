@@ -10,17 +10,26 @@ rep as (select rid, sum(hit)::bigint as n_repeat_words from m group by rid),
 wc as (select rid, count(*) as n_words, sum(length(word))::bigint as word_chars from w group by rid),
 l as (select rid, generate_subscripts(ls, 1) as i, unnest(ls) as line from (select rid, string_split(t, chr(10)) as ls from d)),
 k as (select rid, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as lw from l),
-f as (select rid, row_number() over (partition by rid, line order by i) > 1 as dup, len(lw) as words, length(array_to_string(lw, '')) as chars,
-        len(regexp_extract_all(line, '[#*$%&|<>]')) as symbols, len(regexp_extract_all(line, '!')) as bangs, len(regexp_extract_all(line, '\|')) as pipes,
-        regexp_matches(lower(line), 'accept all cookies|all rights reserved|click here to|enable javascript|privacy policy|sign up for our newsletter|subscribe to our newsletter|terms of use|we use cookies') as boiler
+f as (select rid, i, row_number() over (partition by rid, line order by i) > 1 as dup, len(lw) as words, length(array_to_string(lw, '')) as chars, lw[len(lw)] as tail,
+        len(regexp_extract_all(line, '[#*$%&|<>]')) as symbols, len(regexp_extract_all(line, '!')) as bangs, len(regexp_extract_all(line, '\|')) + len(list_filter(lw, lambda x: x in ('/', '>', '»', '›', '•', '·'))) as seps,
+        len(list_filter(lw, lambda x: x in ('/', '>', '»', '›', '•', '·', '|', '-', '*', '–', '—'))) as bullets, regexp_matches(line, '[.,;:!?…。！？、，；：؟،।]') as marked,
+        length(array_to_string(list_filter(lw, lambda x: regexp_matches(x, '^([hH][tT][tT][pP][sS]?://|[wW][wW][wW]\.)')), '')) as link_chars,
+        regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'accept all cookies|all rights reserved|back to top|click here to|cookie policy|enable javascript|log in to comment|privacy policy|share this article|sign up for our newsletter|skip to content|subscribe to our newsletter|terms of use|this site uses cookies|we use cookies|alle cookies akzeptieren|alle rechte vorbehalten|diese website verwendet cookies|hier klicken, um|javascript aktivieren|newsletter abonnieren|nutzungsbedingungen|wir verwenden cookies|zum inhalt springen|accepter tous les cookies|activer javascript|ce site utilise des cookies|cliquez ici pour|inscrivez-vous à notre newsletter|mentions légales|nous utilisons des cookies|politique de confidentialité|tous droits réservés|aceptar todas las cookies|aviso legal|este sitio utiliza cookies|haga clic aquí para|política de privacidad|suscríbete a nuestro boletín|términos de uso|todos los derechos reservados|utilizamos cookies') as phrase
       from k where len(lw) > 0),
-lines as (select rid, count(*) filter (where dup) as n_dup_lines,
-        coalesce(sum(chars) filter (where dup or 4 * symbols > chars or (words >= 5 and 2 * bangs >= words) or (pipes >= 3 and 4 * pipes >= words) or boiler), 0)::bigint as lost_chars from f group by rid),
+sh as (select *, words - bullets <= 3 and not regexp_matches(tail, '[.,;:!?…。！？、，；：؟،।"'')\]}»”’]$') as short from f),
+ru as (select *, row_number() over (partition by rid order by i) - row_number() over (partition by rid, short order by i) as run from sh),
+ju as (select rid, dup, chars, 4 * symbols > chars or (words >= 5 and 2 * bangs >= words) or regexp_matches(tail, '(\.\.\.|…)$') or (words >= 30 and not marked) as punctuation,
+        (seps >= 3 and 4 * seps >= words) or (seps >= 2 and 3 * seps >= words) or 2 * link_chars >= chars or (short and count(*) over (partition by rid, short, run) >= 4) as navigation, dup or phrase as boilerplate
+      from ru),
+lines as (select rid, count(*) filter (where dup) as n_dup_lines, count(*) filter (where punctuation) as n_punctuation_lines, count(*) filter (where navigation) as n_navigation_lines,
+        count(*) filter (where boilerplate) as n_boilerplate_lines, coalesce(sum(chars) filter (where punctuation or navigation or boilerplate), 0)::bigint as lost_chars from ju group by rid),
 a as (select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+        coalesce(n_punctuation_lines, 0) as n_punctuation_lines, coalesce(n_navigation_lines, 0) as n_navigation_lines, coalesce(n_boilerplate_lines, 0) as n_boilerplate_lines,
         coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(lost_chars, 0) as lost_chars
       from d left join wc using (rid) left join rep using (rid) left join lines using (rid)),
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from a)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and 100 * lost_chars <= 50 * word_chars as kept, lost_chars from b
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and 100 * lost_chars <= 50 * word_chars as kept, lost_chars,
+  n_punctuation_lines, n_navigation_lines, n_boilerplate_lines from b
 """
 
 OP7 = r"""

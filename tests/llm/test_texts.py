@@ -113,6 +113,56 @@ def test_quality_figures(spark, sf):
         assert not (r.base_failed and r.kept)
 
 
+def lines_of(text):
+    """(punctuation, navigation, boilerplate) of each line with a word, rule by rule."""
+    word, sep = re.compile(r"[^\x20\x09-\x0D]+"), set(quality.SEPARATORS)
+    lines = [(x, word.findall(x)) for x in text.split("\n") if word.search(x)]
+    short, seen, out = [], set(), []
+    for line, ws in lines:
+        n, chars = len(ws), sum(map(len, ws))
+        p = 4 * len(re.findall(r"[#*$%&|<>]", line)) > chars or (n >= 5 and 2 * line.count("!") >= n)
+        p |= ws[-1].endswith(("...", "…")) or (n >= 30 and not set(line) & set(quality.MARKS))
+        seps = line.count("|") + sum(w in sep for w in ws)
+        v = (seps >= 3 and 4 * seps >= n) or (seps >= 2 and 3 * seps >= n)
+        v |= 2 * sum(len(w) for w in ws if re.match(r"https?://|www\.", w, re.I | re.A)) >= chars
+        low = "".join(c.lower() if c.isascii() else c for c in line)
+        out.append([p, v, line in seen or any(b in low for b in quality.BOILERPLATE)])
+        seen.add(line)
+        short.append(n - sum(w in set(quality.BULLETS) for w in ws) <= 3 and ws[-1][-1] not in quality.MARKS + quality.CLOSERS)
+    for i, s in enumerate(short):
+        a, b = i, i
+        while s and a and short[a - 1]:
+            a -= 1
+        while s and b + 1 < len(short) and short[b + 1]:
+            b += 1
+        out[i][1] |= s and b - a >= 3
+    return [sum(x[j] for x in out) for j in range(3)], sum(sum(map(len, w)) for (_, w), x in zip(lines, out) if any(x))
+
+
+def test_line_rules_equal_a_plain_version(spark, sf):
+    parts = ["a", "Home", "News item", "\n", "\n", "\n\n", " ", " ", " | ", " > ", " » ", "• ", "- ", "*", "!", ".", "...", "…", "…\n", "é", "。", "”", "http://x.org/a", " HTTPS://b", "www.", "wwwa", " ", "\t", "\r\n", "We use COOKIES", "TERMES", "mentions légales", "ſ", "w " * 31]
+    parts += [b.upper() for b in quality.BOILERPLATE[::9]]
+    texts = [t or "" for t in EDGE] + fuzz(parts, 1500, 40, 11) + ["w " * 30, "w " * 29, "a\nb\nc", "a\n\nb\nc c c\n• d", "…", "..", "a..", "we use", " cookies"]
+    texts += [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    for r in quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)).collect():
+        rules, lost = lines_of(texts[r.doc_id] or "")
+        assert ([r.n_punctuation_lines, r.n_navigation_lines, r.n_boilerplate_lines], r.lost_chars) == (rules, lost), texts[r.doc_id]
+        assert r.kept == (not r.base_failed and 100 * lost <= 50 * r.word_chars)
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["Home » News » Sport", "a | b | c | d", "Read on at https://news.example.org/2024/long-name", "Wir verwenden Cookies, um zu helfen.", "Voir la Politique de confidentialité.", "Todos los derechos reservados.", "And then it broke off...", "word " * 30],
+)
+def test_a_failing_line_of_each_kind_goes(spark, line):
+    good = "A long sentence stands here, so that this text is kept whatever a single odd line may take away from it."
+    more = "The next one is as long as that, since thirty words of the same kind would else weigh more than all others together, which is not what is looked at here."
+    rows = [(1, f"{good}\n{line}\nA heading\n{more}")]
+    assert quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).first().lost_chars == len("".join(line.split()))
+    if not line.startswith("word"):  # thirty equal words fail the base rule
+        assert quality.clean(spark.createDataFrame(rows, "doc_id long, text string")).first().text == f"{good}\nA heading\n{more}"
+
+
 def test_cleaning_removes_lines(spark):
     good = "one two three four five six seven eight nine ten eleven twelve thirteen"
     more = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
