@@ -20,6 +20,8 @@ toxic if any is, so the model does not depend on the order of rows.
 
 Null and empty texts get the model's score of no hit.  Without labelled rows
 the seed lexicon and fixed weights are used.  Repeated rows are each scored.
+Rows without a doc_id are scored too; nothing is learned from them, and whether
+they are held out is null.
 """
 
 from __future__ import annotations

@@ -251,6 +251,16 @@ def test_toxicity_without_labels_and_with_nulls(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3, None}
 
 
+def test_rows_without_an_id_are_scored_and_not_held_out(spark, tmp_path):
+    rows = [(None, "you idiot", "x"), (None, None, "y"), (7, "you idiot", "z"), (7, "you idiot", "z")]
+    spark.createDataFrame(rows, "doc_id long, text string, score string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, 0, 1), (7, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op10_toxicity(spark, str(tmp_path)).collect()
+    out = zlib.crc32(b"7") % 5 == 0
+    assert sorted((r.doc_id or 0, str(r.held_out), r.predicted) for r in got) == [(0, "None", 0), (0, "None", 1), (7, str(out), 1), (7, str(out), 1)]
+    assert all(0 <= r.score <= 1 for r in got)
+
+
 def test_pipeline_runs_over_small_tables(spark, sf):
     import corpus_pipeline
 
