@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.session import scratch
-from attesta.sources.tables import load
 from attesta.streaming import streams
 
 from .registry import query
@@ -69,11 +68,9 @@ def stream_cursor(spark, sf_dir):
 @query("stream_ledger", LEDGER_SQL)
 def stream_ledger(spark, sf_dir):
     """The ledgers of ``budget_ledger`` as a stream; files whose times overlap are one batch."""
-    got = streams.ledger(_reservations(_events(spark, sf_dir, ALL_FILES)), "ledger", "ts", "kind", "ident", "amount", 500.0)
+    got = streams.ledger(_reservations(_events(spark, sf_dir, ALL_FILES)), "ledger", "ts", "kind", "ident", "amount", 500.0, event="event_id")
     rows = streams.drained_to_files(got, _checkpoint(spark))
-    # an event is known by its time: both kinds of one ident have their own
-    named = load(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.expr("event_id div 100").alias("ledger"))
-    return rows.join(named, ["ledger", "at"]).select("event_id", "outcome", F.round("spent", 6).alias("spent"))
+    return rows.select("event_id", "outcome", F.round("spent", 6).alias("spent"))
 
 
 @query("stream_numbers", "select user_id, cast(row_number() over (order by min(ts), user_id) as bigint) as number from events group by user_id")

@@ -58,21 +58,23 @@ def running_cursor(df: DataFrame, key: str, at: str) -> DataFrame:
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, cursor long", "cursor long", "update", "NoTimeout")
 
 
-def ledger(df: DataFrame, by: str, order: str, kind: str, ident: str, amount: str, limit: float) -> DataFrame:
+def ledger(df: DataFrame, by: str, order: str, kind: str, ident: str, amount: str, limit: float, event: str | None = None) -> DataFrame:
     """(by, ident, kind, at, outcome, spent) of budget events as they arrive, by the rules of ``budgets.ledger``.
 
     A ledger's state is what it spent, its open reservations and the ids it was asked for; a batch's events are
-    taken in order of ``order`` (microseconds) and ident, batches as they come.
+    taken in order of ``order`` (microseconds) and ident, batches as they come.  ``event``, a column that tells events
+    of one time apart, goes ahead of ident in that order and is returned as well.
     """
     kinds = dict(df.dtypes)
+    own = [event] if event else []
     top = round(limit * UNIT)
 
     def step(name, frames, state):
         spent, kept = state.get if state.exists else (0, "[{}, []]")
         open_, asked = json.loads(kept)
         asked, out = set(asked), []
-        rows = pd.concat(list(frames)).sort_values(["at", "ident"])
-        for i, told, at, n in rows[["ident", "kind", "at", "units"]].itertuples(index=False):
+        rows = pd.concat(list(frames)).sort_values(["at", *own, "ident"])
+        for i, told, at, n, *known in rows[["ident", "kind", "at", "units", *own]].itertuples(index=False):
             key, n = str(i), None if pd.isna(n) else int(n)
             if told == "reserve" and n is not None and key not in asked:
                 asked.add(key)
@@ -85,13 +87,13 @@ def ledger(df: DataFrame, by: str, order: str, kind: str, ident: str, amount: st
                     spent += n - open_.pop(key)
             else:
                 outcome = "invalid"
-            out.append((name[0], i, told, at, outcome, spent / UNIT))
+            out.append((name[0], i, told, at, outcome, spent / UNIT, *known))
         state.update((spent, json.dumps([open_, sorted(asked)])))
-        yield pd.DataFrame(out, columns=[by, "ident", "kind", "at", "outcome", "spent"])
+        yield pd.DataFrame(out, columns=[by, "ident", "kind", "at", "outcome", "spent", *own])
 
     rows = df.where(F.col(by).isNotNull() & F.col(ident).isNotNull())
-    rows = rows.select(by, F.col(ident).alias("ident"), F.col(kind).alias("kind"), F.unix_micros(F.col(order).cast("timestamp")).alias("at"), units(F.col(amount).cast("double")).cast("double").alias("units"))
-    return rows.groupBy(by).applyInPandasWithState(step, f"{by} {kinds[by]}, ident {kinds[ident]}, kind string, at long, outcome string, spent double", "spent long, kept string", "append", "NoTimeout")
+    rows = rows.select(by, F.col(ident).alias("ident"), F.col(kind).alias("kind"), F.unix_micros(F.col(order).cast("timestamp")).alias("at"), units(F.col(amount).cast("double")).cast("double").alias("units"), *own)
+    return rows.groupBy(by).applyInPandasWithState(step, f"{by} {kinds[by]}, ident {kinds[ident]}, kind string, at long, outcome string, spent double{''.join(f', {c} {kinds[c]}' for c in own)}", "spent long, kept string", "append", "NoTimeout")
 
 
 def insert_batches(df: DataFrame, target: str, key: str, checkpoint: str) -> StreamingQuery:

@@ -96,3 +96,17 @@ def test_places_split_a_value_that_all_rows_share(spark, monkeypatch):
     assert sorted(r.p for r in got) == list(range(1, 1001)) and all((r.p - 1) // 2 == r.t for r in got)
     nulls = ordered.placed(spark.createDataFrame([(None, 1), (5, 2), (1, 3)], "v int, t int"), F.col("v"), ["t"], "p", nulls_first=True)
     assert {r.t: r.p for r in nulls.collect()} == {1: 1, 3: 2, 2: 3}
+
+
+def test_stream_ledger_tells_events_of_one_time_apart(spark, tmp_path):
+    from attesta.plans.streams import stream_ledger
+
+    start = datetime.datetime(2024, 1, 1)
+    kinds = ("view", "signup", "purchase", "error", "click")
+    rows = [(i, start + datetime.timedelta(seconds=(i * 7 % 200) // 9), i % 3, kinds[i % 5], 40.0 + i % 11, "{}") for i in range(200)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    from attesta.plans.state import budget_ledger
+
+    want = sorted(map(tuple, budget_ledger(spark, str(tmp_path)).collect()))
+    assert len(want) == 200 and sorted(map(tuple, stream_ledger(spark, str(tmp_path)).collect())) == want
