@@ -19,7 +19,12 @@ BLOCK_ROWS, STRIP_ROWS = 16_384, 512
 
 def unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows scaled to length 1; zero vectors stay zero."""
-    m = np.array(vectors.to_pylist(), np.float64)
+    parts = vectors.chunks if isinstance(vectors, pa.ChunkedArray) else [vectors]
+    sizes = {n for p in parts for n in p.value_lengths().unique().to_pylist()}
+    if len(sizes) > 1 or None in sizes:
+        raise ValueError("vectors differ in length")
+    flat = [np.asarray(p.flatten().to_numpy(zero_copy_only=False), np.float64) for p in parts]
+    m = np.concatenate([np.zeros(0), *flat]).reshape(len(vectors), sizes.pop() if sizes else 0)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
@@ -221,6 +226,30 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float) -> DataFra
 RANGE_ROWS = 8192
 
 
+def _first_fit(m: np.ndarray, least: float, fits: list[np.ndarray] | None = None, earlier: int = 0) -> np.ndarray:
+    """Cluster numbers of rows in order: a row joins the first cluster whose every member is similar, or begins one.
+
+    Numbers under ``earlier`` are of clusters that are there already; ``fits`` has, in order, those whose members so far
+    are all similar to a row.
+    """
+    home, size, top = np.zeros(len(m), np.int64), np.zeros(earlier + len(m), np.int64), earlier
+    for lo in range(0, len(m), STRIP_ROWS):
+        hi = min(lo + STRIP_ROWS, len(m))
+        near = m[lo:hi] @ m[:hi].T >= least - 1e-12
+        for i in range(lo, hi):
+            whole = np.bincount(home[:i][near[i - lo, :i]], minlength=top) == size[:top]
+            old = fits[i][whole[fits[i]]] if fits is not None else ()
+            new = whole[earlier:].argmax() if top > earlier else 0
+            if len(old):
+                home[i] = old[0]
+            elif top > earlier and whole[earlier + new]:
+                home[i] = earlier + new
+            else:
+                home[i], top = top, top + 1
+            size[home[i]] += 1
+    return home
+
+
 def complete_link(df: DataFrame, by: str, key: str, vector: str, least: float, smallest: int = 1) -> DataFrame:
     """(by, cluster, key) of greedy complete-link clusters, scanned in key order.
 
@@ -233,20 +262,12 @@ def complete_link(df: DataFrame, by: str, key: str, vector: str, least: float, s
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(np.array(table.column(key).to_pylist()), kind="stable")
         table = table.take(pa.array(order))
-        m = unit_rows(table.column(vector))
-        groups: list[list[int]] = []
-        for i in range(len(m)):
-            for g in groups:
-                if (m[g] @ m[i] >= least - 1e-12).all():
-                    g.append(i)
-                    break
-            else:
-                groups.append([i])
-        groups = [g for g in groups if len(g) >= smallest]
-        at = [i for g in groups for i in g]
-        number = [n for n, g in enumerate(groups) for _ in g]
+        home = _first_fit(unit_rows(table.column(vector)), least)
+        size = np.bincount(home)
+        number = np.cumsum(size >= smallest) - 1
+        at = np.flatnonzero(size[home] >= smallest)
         out = table.select([by, key]).take(pa.array(at, pa.int64()))
-        return out.append_column("cluster", pa.array(number, pa.int32()))
+        return out.append_column("cluster", pa.array(number[home[at]], pa.int32()))
 
     rows = df.where(F.col(vector).isNotNull()).select(by, key, vector)
     large = rows.groupBy(F.col(by).alias("_large")).agg(F.count("*").alias("_n")).where(F.col("_n") > RANGE_ROWS).select("_large")
@@ -260,10 +281,10 @@ def complete_link(df: DataFrame, by: str, key: str, vector: str, least: float, s
 def _in_rounds(df: DataFrame, by: str, key: str, vector: str, least: float, smallest: int) -> DataFrame:
     """Complete-link clusters of large groups, RANGE_ROWS rows of each group a round, in key order.
 
-    A round's rows meet the members of earlier rounds in blocks of cells that are near enough, and
-    for each cluster that is wholly similar in a block its members there are counted: where the counts
-    make up the cluster, it is a candidate.  One task a group then tells the round's rows one after another, from candidates
-    and their own similarities.  Pairs are never written.  Of equal vectors only the first is told: what later ones join is the same.
+    A round's rows meet their group's members of earlier rounds in blocks of whole clusters, so that a block tells
+    by itself whether all members of a cluster are similar to a row: only then it is a candidate.  Clusters of over a quarter of a block
+    are dealt to several, whose counts have to make up the cluster.  One task a group then tells the round's rows one after another,
+    from candidates and their own similarities.  Pairs are never written.  Of equal vectors only the first is told: what later ones join is the same.
     """
     rows = placed(df, F.struct(by, key), [], "_at", nulls_first=True)
     starts = rows.groupBy(by).agg(F.min("_at").alias("_first"), F.count("*").alias("_all"))
@@ -275,59 +296,58 @@ def _in_rounds(df: DataFrame, by: str, key: str, vector: str, least: float, smal
     firsts = written(firsts.withColumn("round", F.expr(f"(code - _first) div {RANGE_ROWS}")), "firsts")
 
     def counted(table: pa.Table) -> pa.Table:
-        side, code, group = table.column("side").to_numpy(), table.column("key").to_numpy(), table.column("cluster").to_numpy(zero_copy_only=False)
+        code, group = table.column("code").to_numpy(), table.column("cluster").to_numpy(zero_copy_only=False)
+        mine = table.column("mine").to_numpy(zero_copy_only=False)
         m = unit_rows(table.column("vector"))
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = np.flatnonzero(mine), np.flatnonzero(~mine)
         parts = [pa.table({"code": pa.array([], pa.int64()), "cluster": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})]
         if len(a) and len(b):
             b = b[np.argsort(group[b], kind="stable")]
             names, begin, size = np.unique(group[b].astype(np.int64), return_index=True, return_counts=True)
+            theirs = m[b].T
             for lo in range(0, len(a), STRIP_ROWS):
-                mine = a[lo : lo + STRIP_ROWS]
-                alike = np.add.reduceat((m[mine] @ m[b].T >= least - 1e-12).astype(np.int32), begin, axis=1)
-                i, j = np.nonzero(alike == size[None, :])
-                parts.append(pa.table({"code": code[mine][i], "cluster": names[j], "n": size[j].astype(np.int64)}))
+                strip = a[lo : lo + STRIP_ROWS]
+                i, j = np.nonzero(np.logical_and.reduceat(m[strip] @ theirs >= least - 1e-12, begin, axis=1))
+                parts.append(pa.table({"code": code[strip][i], "cluster": names[j], "n": size[j].astype(np.int64)}))
         return pa.concat_tables(parts)
 
     def told(table: pa.Table) -> pa.Table:
-        """(code, cluster) of one group's rows of a round; a cluster is named by its first member."""
+        """Members of one group's rows of a round; a cluster is named by its first member."""
         table = table.sort_by("code")
-        code, m = table.column("code").to_numpy(), unit_rows(table.column("vector"))
-        fits = table.column("fits").to_pylist()
-        home, added = np.full(len(code), -1, np.int64), {}
-        for lo in range(0, len(code), STRIP_ROWS):
-            near = m[lo : lo + STRIP_ROWS] @ m.T >= least - 1e-12
-            for i in range(lo, min(lo + STRIP_ROWS, len(code))):
-                names, n = np.unique(home[:i][near[i - lo, :i]], return_counts=True)
-                alike = dict(zip(names.tolist(), n.tolist()))
-                old = set(fits[i] or ())
-                ok = [c for c in old if alike.get(c, 0) == added.get(c, 0)]
-                # clusters that this round began need no candidate
-                ok += [c for c, k in alike.items() if c >= code[0] and k == added[c]]
-                home[i] = min(ok, default=int(code[i]))
-                added[int(home[i])] = added.get(int(home[i]), 0) + 1
-        return pa.table({"code": pa.array(code, pa.int64()), "cluster": pa.array(home, pa.int64())})
-
-    cells = Cells(firsts.withColumn("_v", F.col(vector)), "code", "_v")
-    located = cells.rows.join(firsts.select(F.col("code").alias("key"), "_first", "round"), "key")
-    located = written(located, "located")
-    path = scratch(df.sparkSession, "members")
+        code, fits = table.column("code").to_numpy(), table.column("fits").to_pylist()
+        old = np.unique(np.array([c for own in fits for c in own or ()], np.int64))
+        home = _first_fit(unit_rows(table.column("vector")), least, [np.searchsorted(old, np.sort(np.array(own or (), np.int64))) for own in fits], len(old))
+        first = np.zeros(max(home.max() + 1, len(old)), np.int64)
+        first[: len(old)] = old
+        started, at = np.unique(home, return_index=True)
+        new = started >= len(old)
+        first[started[new]] = code[at[new]]
+        return table.select(["_first", "code", "vector"]).append_column("cluster", pa.array(first[home], pa.int64()))
+
+    path, kinds = scratch(df.sparkSession, "members"), dict(df.dtypes)
+    schema = f"_first long, code long, vector {kinds[vector]}, cluster long"
     last = firsts.agg(F.max("round")).first()[0]
     for number in range(last + 1):
-        mine = located.where(F.col("round") == number)
+        mine = firsts.where(F.col("round") == number).select("_first", "code", F.col(vector).alias("vector"))
         if number:
-            members = df.sparkSession.read.schema("code long, cluster long").parquet(f"{path}/*")
-            earlier = located.where(F.col("round") < number).join(members.withColumnRenamed("code", "key"), "key").select("cell", "key", "vector", "cluster")
-            visits = written(cells.visits(mine.select("key", "vector"), least=least - 1e-12), "visits")
-            found = cells.meet(visits, counted, "code long, cluster long, n long", rows=earlier).groupBy("code", "cluster").agg(F.sum("n").alias("n"))
-            sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-            fits = found.join(sizes, "cluster").where("n = size").groupBy("code").agg(F.collect_list("cluster").alias("fits"))
-            mine = mine.join(fits.withColumnRenamed("code", "key"), "key", "left")
+            members = df.sparkSession.read.schema(schema).parquet(f"{path}/*")
+            blocks = F.broadcast(members.groupBy("_first").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
+            # of clusters as large there are a few a block of rows
+            most = max(1, BLOCK_ROWS // 4)
+            large = F.broadcast(members.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > most))
+            sub = F.pmod(F.xxhash64("code"), F.coalesce(F.ceil(F.col("size") / most), F.lit(1)))
+            theirs = members.join(blocks, "_first").join(large, "cluster", "left").withColumn("block", F.pmod(F.xxhash64("cluster", sub), F.col("blocks")).cast("int"))
+            asked = mine.join(blocks, "_first").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("cluster", F.lit(None).cast("long"))
+            met = ["_first", "block", "code", "vector", "cluster"]
+            both = asked.select(*met, F.lit(True).alias("mine")).union(theirs.select(*met, F.lit(False)))
+            found = both.groupBy("_first", "block").applyInArrow(counted, "code long, cluster long, n long").join(large, "cluster", "left")
+            parted = found.where("size is not null").groupBy("code", "cluster", "size").agg(F.sum("n").alias("n")).where("n = size").select("code", "cluster")
+            fits = found.where("size is null").select("code", "cluster").union(parted).groupBy("code").agg(F.collect_list("cluster").alias("fits"))
+            mine = mine.join(fits, "code", "left").select("_first", "code", "vector", "fits")
         else:
             mine = mine.withColumn("fits", F.lit(None).cast("array<long>"))
-        mine = mine.select("_first", F.col("key").alias("code"), "vector", "fits").groupBy("_first").applyInArrow(told, "code long, cluster long")
-        mine.write.parquet(f"{path}/round-{number:06d}")
-    members = df.sparkSession.read.schema("code long, cluster long").parquet(f"{path}/*")
+        mine.groupBy("_first").applyInArrow(told, schema).write.parquet(f"{path}/round-{number:06d}")
+    members = df.sparkSession.read.schema(schema).parquet(f"{path}/*").select("code", "cluster")
     copies = rows.join(firsts.drop("round", "_alone"), ["_first", vector]).where(F.col("_alone").isNull() | (F.col("code") == F.col("_at")))
     got = copies.join(members, "code").select(by, "_first", key, F.col("cluster").alias("name"))
     names = got.groupBy("_first", "name").agg(F.count("*").alias("_n")).where(F.col("_n") >= smallest)

@@ -186,3 +186,24 @@ def test_stream_dedupe_keeps_files_of_overlapping_times(spark, tmp_path):
         pq.write_table(pa.table({"event_id": [100 * part + i for i in range(20)] + [7], "user_id": [1] * 20 + [1], "ts": pa.array([*at, dt.datetime(2024, 2, 6)], pa.timestamp("us"))}), f"{path}/part-{part}.parquet")
         os.utime(f"{path}/part-{part}.parquet", (1_700_000_000 + part, 1_700_000_000 + part))
     assert sorted(r.event_id for r in stream_dedupe(spark, str(tmp_path)).collect()) == [*range(20), *range(100, 120), *range(200, 220)]
+
+
+def test_large_groups_are_clustered_each_for_itself(spark, monkeypatch):
+    for name, n in (("RANGE_ROWS", 30), ("CELL_ROWS", 30), ("BLOCK_ROWS", 16), ("STRIP_ROWS", 9)):
+        monkeypatch.setattr(vectors, name, n)
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(4, 6))[rng.integers(0, 4, 300)] + 0.5 * rng.normal(size=(300, 6))
+    df = spark.createDataFrame([(i, i % 2, [float(x) for x in v]) for i, v in enumerate(m)], "id long, g int, v array<double>")
+    got: dict = {}
+    for r in vectors.complete_link(df, "g", "id", "v", 0.3).collect():
+        got.setdefault((r.g, r.cluster), []).append(r.id)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sim, want = u @ u.T, {}
+    for g in range(2):
+        plain: list[list[int]] = []
+        for i in range(g, 300, 2):
+            home = next((c for c in plain if all(sim[i, j] >= 0.3 - 1e-12 for j in c)), None)
+            plain.append([i]) if home is None else home.append(i)
+        want |= {(g, n): c for n, c in enumerate(plain)}
+    assert max(map(len, want.values())) > 8
+    assert {k: sorted(c) for k, c in got.items()} == want
