@@ -132,3 +132,9 @@ def test_snapshot_faults(spark):
     now = F.lit("2026-01-03").cast("timestamp")
     got = {r.fault for r in tables.snapshot_faults(held, ["a", "b"], F.lit("2026-01-01").cast("timestamp"), now).collect()}
     assert got == {"missing table b", "snapshot too old"}
+
+
+def test_country_patterns_run_once_an_evidence(spark):
+    df = spark.createDataFrame([("Dutch talks", "", None)], "t string, d string, s string")
+    plan = df.select(places.country_facets(F.col("t"), F.col("d"), F.col("s"), {"NL": ["dutch"], "FR": ["france"]}))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("dutch\\E)(?!") <= 8
