@@ -208,6 +208,10 @@ def _in_bins(df: DataFrame, levels: DataFrame) -> DataFrame:
     return rows.withColumn("_bin", F.explode(F.sequence("_low", "_high"))).drop("_s", "_e", "_high")
 
 
+#: Intervals of a key on one side that the other side's rows meet one by one, without bins.
+FEW_INTERVALS = 16
+
+
 def overlaps(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
     """Pairs of intervals of one key with start < b_end and b_start < end; b's columns but the key get ``b_``.
 
@@ -219,11 +223,16 @@ def overlaps(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
     names = [c for c in b.columns if c != by]
     left = _binned(a.where(F.col(by).isNotNull()), "start", "end")
     right = _binned(b.select(F.col(by).alias("_by"), *(F.col(c).alias(f"b_{c}") for c in names)), "b_start", "b_end")
+    cross = (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end"))
+    most = right.groupBy("_by").agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most <= FEW_INTERVALS:
+        pairs = left.join(right, (F.col(by) == F.col("_by")) & cross)
+        return pairs.select(*a.columns, *(f"b_{c}" for c in names))
     # of a double's range there are some thousand levels at most
     levels = F.broadcast(left.select("_level").union(right.select("_level")).distinct().select(F.col("_level").alias("_at")))
     x = _in_bins(left, levels)
     y = _in_bins(right, levels).withColumnsRenamed({c: f"{c}_b" for c in ("_level", "_at", "_low", "_bin")})
     same = (F.col(by) == F.col("_by")) & (F.col("_at") == F.col("_at_b")) & (F.col("_bin") == F.col("_bin_b"))
     met = (F.greatest("_level", "_level_b") == F.col("_at")) & (F.col("_bin") == F.greatest("_low", "_low_b"))
-    pairs = x.join(y, same & met & (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")))
+    pairs = x.join(y, same & met & cross)
     return pairs.select(*a.columns, *(f"b_{c}" for c in names))

@@ -196,4 +196,4 @@ def iso_week_span(spark, sf_dir):
 @query("nulls_last_sort", "select doc_id, row_number() over (order by case when doc_id % 3 = 0 then null else n_chars end desc nulls last, doc_id) as p from documents")
 def nulls_last_sort(spark, sf_dir):
     at = F.when(F.col("doc_id") % 3 != 0, -F.col("n_chars"))
-    return ordered.placed(load(spark, sf_dir, "documents"), at, ["doc_id"], "p").select("doc_id", "p")
+    return ordered.placed(load(spark, sf_dir, "documents").select("doc_id", "n_chars"), at, ["doc_id"], "p").select("doc_id", "p")

@@ -207,3 +207,22 @@ def test_large_groups_are_clustered_each_for_itself(spark, monkeypatch):
         want |= {(g, n): c for n, c in enumerate(plain)}
     assert max(map(len, want.values())) > 8
     assert {k: sorted(c) for k, c in got.items()} == want
+
+
+def test_few_intervals_of_a_key_meet_without_bins(spark):
+    a = spark.range(2000).select((F.col("id") % 5).alias("k"), (F.col("id") * 1.5).alias("start"), (F.col("id") * 1.5 + F.col("id") % 7).alias("end"), "id")
+    b = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 90.0).alias("start"), (F.col("id") * 90.0 + 400).alias("end"))
+    got = ordered.overlaps(a, b, "k")
+    assert "explode" not in got._jdf.queryExecution().analyzed().toString()
+    want = {i for i in range(2000) if i * 1.5 < i % 5 * 90 + 400 and i % 5 * 90 < i * 1.5 + i % 7}
+    assert sorted(r.id for r in got.collect()) == sorted(want)
+
+
+def test_places_of_documents_carry_no_texts(spark, tmp_path, monkeypatch):
+    from attesta.plans import ordered as plans
+
+    seen = []
+    monkeypatch.setattr(plans.ordered, "placed", lambda df, *a: seen.extend(df.columns) or df.withColumn("p", F.lit(1)))
+    spark.createDataFrame([(1, "text", 4)], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    plans.nulls_last_sort(spark, str(tmp_path))
+    assert "text" not in seen
