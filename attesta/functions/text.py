@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 
 
 @F.pandas_udf(T.StringType())
-def normalized(texts: pd.Series) -> pd.Series:
+def normalized(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKC, case folding and single spaces; null stays null."""
-    return texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).casefold().split()), na_action="ignore")
+    for some in texts:
+        yield some.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).casefold().split()), na_action="ignore")
 
 
 def normalized_ascii(text: Column) -> Column:

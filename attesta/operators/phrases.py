@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.text import matched_terms
-from attesta.session import written
+from attesta.session import small_batches, written
 
 #: Bytes of the terms of one automaton, automata at most (beyond these n-grams are joined), bits of the map of
 #: wanted windows, words of a window, and quotes that are looked up in a text at a time.
@@ -54,8 +54,8 @@ def _held(text: str, terms, words: bool) -> set[str]:
     return {t for end, (key, own) in terms.iter(text) if not inside(end + 1) and not inside(end - len(key)) for t in own}
 
 
-def dictionary_matches(docs: DataFrame, text: str, terms: DataFrame, term: str, words: bool = True) -> DataFrame:
-    """Documents joined with the terms of a table that they hold, each once.
+def dictionary_matches(docs: DataFrame, text: str, terms: DataFrame, term: str, words: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Documents joined with the terms of a table that they hold, each once; of the documents' columns all, or ``keep``.
 
     With ``words``, terms are lower-case words with single blanks, and are held where these words follow
     each other with any marks between.  Without, terms are any strings,
@@ -68,9 +68,10 @@ def dictionary_matches(docs: DataFrame, text: str, terms: DataFrame, term: str,
     size, longest = terms.agg(F.sum(F.octet_length(term) + 8), F.max(F.size(F.split(term, " ")))).first()
     parts = max(1, -(-(size or 0) // AUTOMATON_BYTES))
     if words and parts > AUTOMATA:
-        return matched_terms(docs, text, terms, term, longest)
-    names = docs.columns
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+        return matched_terms(docs, text, terms, term, longest).select(*(docs.columns if keep is None else keep), term)
+    small_batches(docs.sparkSession)
+    names = docs.columns if keep is None else keep
+    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*names).dtypes)
     out = None
     for n in range(parts):
         mine = terms.where(F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(parts)) == n)
@@ -85,7 +86,7 @@ def dictionary_matches(docs: DataFrame, text: str, terms: DataFrame, term: str,
                     held = _held(t, made, words) if t else ()
                     row += [i] * len(held)
                     found += sorted(held)
-                part = batch.take(pa.array(row, pa.int64()))
+                part = batch.select(names).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=[*names, term])
 
         got = docs.mapInArrow(run, f"{kinds}, `{term}` string")

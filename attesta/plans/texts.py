@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import places, scalar, tables, text
 from attesta.operators import filters, phrases, providers
+from attesta.session import small_batches
 from attesta.sources.tables import load
 
 from .registry import query
@@ -36,7 +37,7 @@ def term_dictionary(spark, sf_dir):
     """Terms of a dictionary that is a table."""
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
     first = F.lower(F.regexp_extract("text", r"[\p{L}\p{N}_]+ [\p{L}\p{N}_]+", 0))
-    return phrases.dictionary_matches(d, "text", load(spark, sf_dir, "benchmark").select(first.alias("term")), "term").select("doc_id", "term")
+    return phrases.dictionary_matches(d, "text", load(spark, sf_dir, "benchmark").select(first.alias("term")), "term", keep=["doc_id"]).select("doc_id", "term")
 
 
 @query(
@@ -52,7 +53,7 @@ def term_dictionary_marks(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     terms = load(spark, sf_dir, "benchmark").select(F.lower(F.array_join(F.slice(words, 3, 3), " ")).alias("term"))
-    return phrases.dictionary_matches(d, "text", terms, "term", words=False).select("doc_id", "term")
+    return phrases.dictionary_matches(d, "text", terms, "term", words=False, keep=["doc_id"]).select("doc_id", "term")
 
 
 @query("word_boundary_match", r"select doc_id from documents where regexp_matches(lower(text), '(^|[^0-9A-Za-z_])mit license([^0-9A-Za-z_]|$)')")
@@ -100,6 +101,7 @@ def normalized_digest(spark, sf_dir):
 @query("normalized_casefold", r"select doc_id, sha256(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[ \t\n\r\f\v]+', ' ', 'g'))) as digest from documents")
 def normalized_casefold(spark, sf_dir):
     """NFKC and case folding, by an Arrow UDF."""
+    small_batches(spark)
     return load(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalized("text"), 256).alias("digest"))
 
 

@@ -22,6 +22,17 @@ def builder(app: str = "attesta", cores: str = "*", shuffle_partitions: int | No
     return b.config("spark.sql.shuffle.partitions", str(shuffle_partitions)) if shuffle_partitions else b
 
 
+#: Rows of an Arrow batch of texts: ten thousand, Spark's default, may be a gigabyte of them.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Python workers have at most BATCH_ROWS rows at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all machines share, ``spark.checkpoint.dir``.
 

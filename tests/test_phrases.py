@@ -67,3 +67,17 @@ def test_terms_with_marks(spark):
     table = spark.createDataFrame([("u.k.",), ("uk",), ("c++",), ("c",), ("and the",), ("unk",), ("STRASSE",), ("straße",)], "term string")
     got = {(r.id, r.term) for r in phrases.dictionary_matches(docs, "text", table, "term", words=False).collect()}
     assert got == {(1, "u.k."), (1, "uk"), (1, "and the"), (3, "c++"), (3, "c"), (5, "STRASSE"), (5, "straße")}
+
+
+def test_matches_carry_the_kept_columns_in_small_batches(spark):
+    from attesta.plans.texts import normalized_casefold, term_dictionary
+    from attesta.session import BATCH_ROWS
+
+    docs = spark.createDataFrame([(1, "An apple, a pear"), (2, None)], "id long, text string")
+    got = phrases.dictionary_matches(docs, "text", spark.createDataFrame([("a pear",), ("an apple",)], "term string"), "term", keep=["id"])
+    assert got.columns == ["id", "term"] and sorted(map(tuple, got.collect())) == [(1, "a pear"), (1, "an apple")]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for query in (normalized_casefold, term_dictionary):
+        spark.conf.set(name, "10000")
+        query(spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(name)) == BATCH_ROWS
