@@ -15,6 +15,8 @@ from .ordered import burst, placed, week_streak
 #: Vectors of a block, and query rows that are multiplied at a time: a task holds two
 #: blocks and one strip of products.
 BLOCK_ROWS, STRIP_ROWS = 16_384, 512
+#: Pairs whose exact similarities are worked out at a time.
+PAIRS = 65_536
 
 
 def unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -31,7 +33,7 @@ def unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 #: Rows of a cell on average, cells at most (their centres are sent to all tasks), rows that centres are fitted on for each
 #: cell, and by how much angles may be off.
-CELL_ROWS, MOST_CELLS, FIT_ROWS, SLACK = 4096, 1024, 8, 1e-6
+CELL_ROWS, MOST_CELLS, FIT_ROWS, SLACK = 16_384, 1024, 8, 1e-6
 
 
 class Cells:
@@ -63,7 +65,7 @@ class Cells:
             self.radius[r.cell], self.size[r.cell] = r.radius, r.n
 
     def visits(self, queries: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
-        """(key, vector, cell) of the queries and each cell they have to meet.
+        """(key, vector, cell, reached) of the queries and each cell they have to meet.
 
         For ``least``, cells that may hold a similarity of it; for ``k``, cells that may hold one of the k nearest, given
         ``reached``, a similarity that k rows have or null, in the queries.
@@ -93,23 +95,24 @@ class Cells:
                     known = batch.column("reached").to_numpy(zero_copy_only=False).astype(np.float64)
                     far = np.fmin(far, np.arccos(np.clip(known, -1, 1)))
                 row, cell = np.nonzero(low <= far[:, None] + SLACK)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), batch.column("vector").take(pa.array(row)), pa.array(np.where(cell == len(centres), -1, cell), pa.int32())], names=["key", "vector", "cell"])
+                taken = batch.take(pa.array(row))
+                reached = taken.column("reached") if least is None else pa.nulls(len(row), pa.float64())
+                yield pa.RecordBatch.from_arrays([taken.column("key"), taken.column("vector"), pa.array(np.where(cell == len(centres), -1, cell), pa.int32()), reached], names=["key", "vector", "cell", "reached"])
 
         kinds = dict(queries.dtypes)
-        return queries.mapInArrow(run, f"key {kinds['key']}, vector {kinds['vector']}, cell int")
+        return queries.mapInArrow(run, f"key {kinds['key']}, vector {kinds['vector']}, cell int, reached double")
 
-    def meet(self, visits: DataFrame, run, schema: str, first_only: bool = False, rows: DataFrame | None = None) -> DataFrame:
-        """``run`` over blocks of a cell's rows and of its visitors, BLOCK_ROWS of each or so; ``rows`` are
-        some of the cells' rows, with a column ``cluster``."""
-        spark, mine = self.rows.sparkSession, self.rows if rows is None else rows
+    def meet(self, visits: DataFrame, run, schema: str, first_only: bool = False) -> DataFrame:
+        """``run`` over blocks of a cell's rows and of its visitors, BLOCK_ROWS of each or so."""
+        spark = self.rows.sparkSession
         told = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
         blocks = lambda n: max(1, -(-int(n) // BLOCK_ROWS))
         sizes = spark.createDataFrame([(c, blocks(self.size[c]), blocks(told[c])) for c in told], "cell int, subs int, parts int")
         every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         draw = lambda c, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(c)).cast("int")
-        near, met = F.broadcast(sizes), ["cell", "sub", "part", "side", "key", "vector", *(["cluster"] if rows is not None else [])]
-        left = visits.withColumn("cluster", F.lit(None).cast("long")).join(near, "cell").withColumn("sub", F.lit(0) if first_only else every("subs")).withColumns({"part": draw("parts", 1), "side": F.lit(0)})
-        right = mine.join(near, "cell").withColumn("sub", draw("subs", 2)).withColumns({"part": every("parts"), "side": F.lit(1)})
+        near, met = F.broadcast(sizes), ["cell", "sub", "part", "side", "key", "vector", "reached"]
+        left = visits.join(near, "cell").withColumn("sub", F.lit(0) if first_only else every("subs")).withColumns({"part": draw("parts", 1), "side": F.lit(0)})
+        right = self.rows.withColumn("reached", F.lit(None).cast("double")).join(near, "cell").withColumn("sub", draw("subs", 2)).withColumns({"part": every("parts"), "side": F.lit(1)})
         right = right.where("sub = 0") if first_only else right
         return left.select(*met).union(right.select(*met)).groupBy("cell", "sub", "part").applyInArrow(run, schema)
 
@@ -154,17 +157,24 @@ def _best(k: int):
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         parts = [pa.table({"query": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})]
         take = min(k, len(b))
+        # single precision tells what may be near enough, double precision what is
+        rough, theirs, reached = m.astype(np.float32), keys[b], table.column("reached").to_numpy(zero_copy_only=False).astype(np.float64)
+        other, slack = rough[b].T, 1e-6 + m.shape[1] * 2.0**-22
         for lo in range(0, len(a) if take else 0, STRIP_ROWS):
             mine = a[lo : lo + STRIP_ROWS]
-            sim = np.round(m[mine] @ m[b].T, 12)
-            least = -np.partition(-sim, take - 1, axis=1)[:, take - 1 : take]
-            row, col = np.nonzero(sim >= least)
-            order = np.lexsort((keys[b][col], -sim[row, col], row))
-            row, col = row[order], col[order]
+            near = rough[mine] @ other
+            floor = reached[mine]
+            bare = np.flatnonzero(np.isnan(floor))
+            if len(bare):
+                floor[bare] = np.partition(near[bare], -take, axis=1)[:, -take]
+            row, col = np.nonzero(near >= (floor - 2 * slack)[:, None].astype(np.float32))
+            sim = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", m[mine[row[n : n + PAIRS]]], m[b[col[n : n + PAIRS]]]) for n in range(0, len(row), PAIRS))])
+            sim = np.round(sim, 12)
+            order = np.lexsort((theirs[col], -sim, row))
+            row, col, sim = row[order], col[order], sim[order]
             first = np.searchsorted(row, np.arange(len(mine)))
             kept = np.arange(len(row)) - first[row] < take
-            row, col = row[kept], col[kept]
-            parts.append(pa.table({"query": keys[mine][row], "neighbour": keys[b][col], "cosine": sim[row, col]}))
+            parts.append(pa.table({"query": keys[mine][row[kept]], "neighbour": theirs[col[kept]], "cosine": sim[kept]}))
         return pa.concat_tables(parts)
 
     return run
@@ -178,11 +188,11 @@ def nearest_visits(cells: Cells, queries: DataFrame, k: int) -> DataFrame:
     def own(batches):
         for batch in batches:
             cell, _ = _nearest_cell(unit_rows(batch.column("vector")), centres)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=["key", "vector", "cell"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.nulls(len(cell), pa.float64())], names=["key", "vector", "cell", "reached"])
 
     asked = queries.where("vector is not null").select("key", "vector")
     kinds = dict(asked.dtypes)
-    at_home = asked.mapInArrow(own, f"key {kinds['key']}, vector {kinds['vector']}, cell int")
+    at_home = asked.mapInArrow(own, f"key {kinds['key']}, vector {kinds['vector']}, cell int, reached double")
     found = cells.meet(at_home, _best(k), "query long, neighbour long, cosine double", first_only=True)
     reached = found.groupBy("query").agg(F.count("*").alias("_n"), F.min("cosine").alias("reached")).where(F.col("_n") >= k)
     rows = asked.join(reached.select(F.col("query").alias("key"), "reached"), "key", "left")

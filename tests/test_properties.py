@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +227,20 @@ def test_places_of_documents_carry_no_texts(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, "text", 4)], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     plans.nulls_last_sort(spark, str(tmp_path))
     assert "text" not in seen
+
+
+def test_nearest_search_by_a_reached_bound_keeps_ties():
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(60, 5))
+    m[20:40] = m[3]
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 12)
+    order = [np.lexsort((np.arange(60), -sim[q]))[:4] for q in range(60)]
+    reached = [sim[q, order[q][3]] if q % 2 else None for q in range(60)] + [None] * 60
+    table = pa.table({"side": [0] * 60 + [1] * 60, "key": [*range(60)] * 2, "vector": [list(x) for x in m] * 2, "reached": pa.array(reached, pa.float64())})
+    got = vectors._best(4)(table)
+    odd = {(q, int(n)) for q in range(60) for n in order[q]}
+    assert set(zip(got.column("query").to_pylist(), got.column("neighbour").to_pylist())) == odd
+    # rows below the bound are not even ranked
+    far = table.set_column(3, "reached", pa.array([2.0] * 120))
+    assert vectors._best(4)(far).num_rows == 0
