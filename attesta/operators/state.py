@@ -15,10 +15,15 @@ from .ordered import placed
 def insert_faults(new: DataFrame, old: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, fault) that keep a whole request from being written."""
     bad = new.where(F.col(key).isNull() | F.col(digest).isNull()).select(key, F.lit("bad envelope").alias("fault"))
-    twice = new.groupBy(key).agg(F.count_distinct(digest).alias("n")).where("n > 1").select(key, F.lit("conflict in request").alias("fault"))
-    kept = old.select(key, F.col(digest).alias("_old"))
-    stored = new.join(kept, key).where(F.col(digest) != F.col("_old")).select(key, F.lit("conflict with stored").alias("fault")).distinct()
-    return bad.union(twice).union(stored)
+    rows = new.select(key, digest, F.lit(True).alias("_new")).union(old.select(key, digest, F.lit(False)))
+    # dealt by key ahead of all grouping: a task holds its share of the keys, not what its file has
+    each = rows.repartition(F.col(key)).groupBy(key, digest).agg(F.count_if("_new").alias("_n"), F.count_if(~F.col("_new")).alias("_o")).where(F.col(digest).isNotNull())
+    said, kept = F.col("_n") > 0, F.col("_o") > 0
+    sets = each.groupBy(key).agg(F.count_if(said).alias("_said"), F.count_if(kept).alias("_kept"), F.count_if(said & kept).alias("_same"))
+    twice = F.when(F.col("_said") > 1, F.lit("conflict in request"))
+    # two sets of digests have no unequal pair only where both are the same single one
+    stored = F.when(F.col(key).isNotNull() & F.expr("_said > 0 and _kept > 0 and not (_said = 1 and _kept = 1 and _same = 1)"), F.lit("conflict with stored"))
+    return bad.union(sets.select(key, F.explode(F.array_compact(F.array(twice, stored))).alias("fault")))
 
 
 def immutable_insert(new: DataFrame, old: DataFrame, key: str, digest: str) -> DataFrame:
@@ -26,7 +31,8 @@ def immutable_insert(new: DataFrame, old: DataFrame, key: str, digest: str) -> D
     a whole: ``insert_faults`` says which."""
     n = insert_faults(new, old, key, digest).agg(F.count("*").alias("_n"))
     faults = n.select(F.when(F.col("_n") == 0, F.lit(0)).otherwise(F.raise_error(F.format_string("insert refused, faults: %d", "_n")).cast("int")).alias("_faults"))
-    fresh = new.dropDuplicates([key]).join(old.select(key), key, "left_anti")
+    # what is stored goes first, and both steps find the rows dealt by key
+    fresh = new.repartition(F.col(key)).join(old.select(key), key, "left_anti").dropDuplicates([key])
     return fresh.crossJoin(F.broadcast(faults)).where("_faults = 0").select(new.columns)
 
 

@@ -1,5 +1,8 @@
 """Versioned state: atomic failure, idempotency, retention."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +24,22 @@ def test_insert_is_idempotent_and_atomic(spark):
             state.immutable_insert(frame(spark, bad), old, "id", "digest").collect()
 
 
+def test_insert_deals_rows_by_key_once(spark):
+    rng = random.Random(11)
+    some = lambda n: [(rng.choice(["a", "b", "c", "d", None]), rng.choice(["1", "2", None])) for _ in range(n)]
+    for _ in range(8):
+        new, old = some(rng.randint(1, 5)), some(rng.randint(0, 5))
+        want = [(k, "bad envelope") for k, d in new if k is None or d is None]
+        told = {k: {d for x, d in new if x == k and d is not None} for k, _ in new}
+        want += [(k, "conflict in request") for k, ds in told.items() if len(ds) > 1]
+        want += [(k, "conflict with stored") for k, ds in told.items() if k is not None and any(x == k and y is not None and y != d for d in ds for x, y in old)]
+        got = [tuple(r) for r in state.insert_faults(frame(spark, new), frame(spark, old), "id", "digest").collect()]
+        assert Counter(got) == Counter(want)
+    plan = state.immutable_insert(frame(spark, [("a", "1")]), frame(spark, [("b", "1")]), "id", "digest")._jdf.queryExecution().executedPlan().toString()
+    # one for the faults, two for the rows to append: digests are neither grouped ahead of them nor joined
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
 def test_upsert_keeps_dates_and_drops_invalid(spark):
     old = spark.createDataFrame([("a", "x", "2026-01-01")], "id string, t string, d string")
     new = spark.createDataFrame([("a", "y", None), ("b", "bad", "2026-01-02"), ("c", "z", None)], "id string, t string, d string")
