@@ -16,8 +16,8 @@ from attesta.functions.text import matched_terms
 from attesta.session import small_batches, written
 
 #: Bytes of the terms of one automaton, automata at most (beyond these n-grams are joined), bits of the map of
-#: wanted windows, words of a window, and quotes that are looked up in a text at a time.
-AUTOMATON_BYTES, AUTOMATA, MAP_BITS, WINDOW, LOOKUPS = 8 << 20, 16, 1 << 26, 3, 1000
+#: wanted windows, words of a window, quotes that are looked up in a text at a time, and words whose hashes a task keeps.
+AUTOMATON_BYTES, AUTOMATA, MAP_BITS, WINDOW, LOOKUPS, KNOWN_WORDS = 8 << 20, 16, 1 << 26, 3, 1000, 1 << 16
 WORD = re.compile(r"\w+")
 
 
@@ -94,13 +94,16 @@ def dictionary_matches(docs: DataFrame, text: str, terms: DataFrame, term: str,
     return out
 
 
-def _windows(words: list[str]) -> np.ndarray:
-    """Hashes of all WINDOW following words, rolled over the words' own hashes."""
-    known: dict[str, int] = {}
-    for w in words:
-        if w not in known:
-            known[w] = int.from_bytes(hashlib.blake2b(w.encode(errors="surrogatepass"), digest_size=8).digest(), "little")
-    h = np.array([known[w] for w in words], np.uint64)
+def _windows(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """Hashes of all WINDOW following words, rolled over the hashes of the words without case.
+
+    ``known`` keeps the words' hashes from text to text.
+    """
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = int.from_bytes(hashlib.blake2b(w.casefold().encode(errors="surrogatepass"), digest_size=8).digest(), "little")
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = len(h) - WINDOW + 1
     if n < 1:
         return np.zeros(0, np.int64)
@@ -119,14 +122,16 @@ def _index(texts: DataFrame, inner: int, wanted: np.ndarray | None) -> DataFrame
     kind = dict(texts.dtypes)["id"]
 
     def run(batches):
+        known: dict[str, int] = {}
         for batch in batches:
             ids, parts = [], [np.zeros(0, np.int64)]
             for i, t in enumerate(batch.column("text").to_pylist()):
-                words = folded(t) if t else []
-                found = np.unique(_windows(words[inner : len(words) - inner]))
+                words = WORD.findall(t) if t else []
+                found = _windows(words[inner : len(words) - inner], known)
                 if wanted is not None:
                     at = found & (len(wanted) * 64 - 1)
                     found = found[(wanted[at >> 6] >> (at & 63)) & 1 == 1]
+                found = np.unique(found)
                 ids += [i] * len(found)
                 parts.append(found)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int64())), pa.array(np.concatenate(parts), pa.int64())], names=["id", "window"])
@@ -134,13 +139,18 @@ def _index(texts: DataFrame, inner: int, wanted: np.ndarray | None) -> DataFrame
     return texts.mapInArrow(run, f"id {kind}, window long")
 
 
-def candidates(quotes: DataFrame, sources: DataFrame, inner: int) -> DataFrame:
+def candidates(quotes: DataFrame, sources: DataFrame, *inner: int) -> DataFrame:
     """(quote, source) ids of the sources that hold the quote's rarest window of words.
 
     quotes and sources are (id, text).  A map of the quotes' windows, of bounded size, goes to
-    the sources; what passes is the index, which holds no texts.
+    the sources; what passes is the index, which holds no texts.  Of several ``inner`` each has its
+    pairs, from one reading of the sources.
     """
-    asked = written(_index(quotes, inner, None), "asked")
+    asked = None
+    for n in inner:
+        some = _index(quotes, n, None).withColumn("inner", F.lit(n))
+        asked = some if asked is None else asked.union(some)
+    asked = written(asked, "asked")
     n = asked.count()
     size = 1 << max(12, min(MAP_BITS, 16 * n).bit_length() - 1)
     bit = F.col("window").bitwiseAND(F.lit(size - 1))
@@ -151,8 +161,9 @@ def candidates(quotes: DataFrame, sources: DataFrame, inner: int) -> DataFrame:
     index = written(_index(sources, 0, wanted), "windows")
     counts = index.groupBy("window").agg(F.count("*").alias("n"))
     told = asked.join(counts, "window", "left")
-    rarest = told.groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "window")).alias("r")).where("r.n > 0")
-    return rarest.select(F.col("id").alias("quote"), F.col("r.window").alias("window")).join(index.withColumnRenamed("id", "source"), "window").select("quote", "source")
+    rarest = told.groupBy("id", "inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "window")).alias("r")).where("r.n > 0")
+    rarest = rarest.select(F.col("id").alias("quote"), F.col("r.window").alias("window")).distinct()
+    return rarest.join(index.withColumnRenamed("id", "source"), "window").select("quote", "source")
 
 
 def _verified(pairs: DataFrame, quotes: DataFrame, sources: DataFrame, test, schema: str, names: list[str]) -> DataFrame:
@@ -214,7 +225,7 @@ def repaired_quotes(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """
     q, s = quotes.where("id is not null and text is not null"), sources.where("id is not null and text is not null")
     # words in the middle of an exact quote are whole words of its source, all words of another are
-    pairs = candidates(q, s, 0).union(candidates(q, s, 1)).distinct()
+    pairs = candidates(q, s, 0, 1).distinct()
     return _verified(pairs, q, s, _repair, "start long, repaired string, exact boolean", ["start", "repaired", "exact"])
 
 

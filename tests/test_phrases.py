@@ -48,6 +48,18 @@ def test_quotes(spark, monkeypatch, seed):
     assert all(texts[j][n : n + len(r)] == r and e == (asked[i] in texts[j]) for (i, j), (r, n, e) in got.items())
 
 
+def test_sources_are_read_once(spark, monkeypatch):
+    calls = []
+    index = phrases._index
+    monkeypatch.setattr(phrases, "_index", lambda texts, inner, wanted: (calls.append((inner, wanted is not None)), index(texts, inner, wanted))[1])
+    monkeypatch.setattr(phrases, "KNOWN_WORDS", 3)
+    q = spark.createDataFrame([(1, "beta Gamma delta epsilon zeta"), (2, "pha beta gamma delta eps"), (3, "no such words here")], "id int, text string")
+    s = spark.createDataFrame([(7, "Alpha Beta, gamma. DELTA epsilon-zeta"), (8, "alpha beta gamma delta epsilon"), (9, None)], "id int, text string")
+    got = {tuple(r) for r in phrases.repaired_quotes(q, s).select("quote", "source", "start", "repaired", "exact").collect()}
+    assert got == {(1, 7, 6, "Beta, gamma. DELTA epsilon-zeta", False), (2, 8, 2, "pha beta gamma delta eps", True)}
+    assert [c for c in calls if c[1]] == [(0, True)]
+
+
 @pytest.mark.parametrize("parts", [1, 3, 100])
 def test_dictionaries(spark, monkeypatch, parts):
     quotes, sources = some(7)
