@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from attesta.functions import places, scalar, tables, text
 from attesta.operators import filters, phrases, providers
 from attesta.session import small_batches
-from attesta.sources.tables import load
+from attesta.sources.tables import if_small, load
 
 from .registry import query
 
@@ -228,6 +228,10 @@ def provider_labels(spark, sf_dir):
     return got.select("doc_id", "kind", "status", F.array_join("errors", ";").alias("errors"))
 
 
+#: Pairs of a quote and a document that a task counts at a time.
+PAIRS = 1 << 20
+
+
 @query(
     "excerpt_overlap",
     r"""
@@ -238,12 +242,18 @@ select item_id, doc_id, shared from (select *, row_number() over (partition by i
 """,
 )
 def excerpt_overlap(spark, sf_dir):
-    """Best two excerpts per quote by shared words, through an inverted join on words."""
+    """Best two excerpts per quote by shared words, through an inverted join on words.
+
+    Documents are dealt out by id first, in parts of so many pairs with quotes, so pairs
+    are counted where they arise and only a part's best two leave it.
+    """
     from pyspark.sql import Window
 
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0))
-    q = load(spark, sf_dir, "benchmark").select("item_id", F.explode(words).alias("w"))
-    d = load(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("w"))
+    quotes, docs = load(spark, sf_dir, "benchmark"), load(spark, sf_dir, "documents")
+    parts = max(spark.sparkContext.defaultParallelism, -(-docs.count() * quotes.count() // PAIRS))
+    q = if_small(quotes.select("item_id", F.explode(words).alias("w")), 64)
+    d = docs.select("doc_id", words.alias("ws")).repartition(parts, "doc_id").select("doc_id", F.explode_outer("ws").alias("w"))
     shared = d.join(q, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
     nth = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id"))
     return shared.withColumn("nth", nth).where("nth <= 2").select("item_id", "doc_id", "shared")

@@ -93,3 +93,20 @@ def test_matches_carry_the_kept_columns_in_small_batches(spark):
         spark.conf.set(name, "10000")
         query(spark, "/root/testdata/sf0.001")
         assert int(spark.conf.get(name)) == BATCH_ROWS
+
+
+def test_overlaps_are_counted_where_documents_lie(spark, monkeypatch, tmp_path):
+    from attesta.plans import texts
+
+    docs = [(1, "a b c d"), (2, "A, b! x"), (2, "c a"), (3, None), (4, "d c b a"), (5, "é a")]
+    items = [(10, "a b c"), (11, "d É"), (12, "zz"), (13, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = texts.excerpt_overlap(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(10, 1, 3), (10, 2, 4), (11, 1, 1), (11, 4, 1)]
+    assert "hashpartitioning(item_id#" in (plan := got._jdf.queryExecution().executedPlan().toString())
+    assert not re.search(r"hashpartitioning\(item_id#\w+, doc_id", plan)
+    monkeypatch.setattr(texts, "PAIRS", 2)
+    few = texts.excerpt_overlap(spark, str(tmp_path))
+    assert re.search(r"hashpartitioning\(doc_id#\w+, 12\)", few._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, got.collect()))
