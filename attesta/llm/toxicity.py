@@ -246,7 +246,15 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[float]]:
     picked = [own.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     picked = F.broadcast(picked[0].union(picked[1]))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= TRAIN_TEXT_BYTES)
-    rows = texts.join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").collect()
+    rows = texts.join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    # a partition at a time: the JVM never holds the sample whole
+    model = _learned(rows.toLocalIterator())
+    work.trim()
+    return model
+
+
+def _learned(rows: Iterable) -> tuple[list[str], list[float]]:
+    """(lexicon, weights) from rows (text, toxic) in any order."""
     marks: dict[str, float] = {}
     for text, toxic in rows:
         marks[text] = max(marks.get(text, 0.0), float(toxic))

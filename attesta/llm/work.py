@@ -109,13 +109,20 @@ def release(spark: SparkSession) -> None:
 
 
 def drop(*frames: DataFrame) -> None:
-    """Delete scratch tables that nothing reads any more."""
+    """Delete scratch tables that nothing reads any more.
+
+    The plans that made them are let go as well: left to itself the driver's heap
+    grows by the plans of many small jobs.
+    """
+    spark = None
     for df in frames:
         path = getattr(df, "_attesta_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if spark:
+        release(spark)
 
 
 def small_or_not(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
